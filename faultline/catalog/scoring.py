@@ -13,17 +13,20 @@ from faultline.operators.ordering import medians, order_statistics, with_row_num
 from faultline.operators.ranking import outsider_scores, peer_scores
 from faultline.operators.market import market_metrics, rolling_market
 from faultline.plans import fragility as fr
-from faultline.session import reuse
 from faultline.plans.metrics import metrics_as_of
 
 
 def metrics(v: Views) -> DataFrame:
+    return v.stored("quarterly_metrics", build_metrics)
+
+
+def build_metrics(v: Views) -> DataFrame:
     base = metrics_as_of(v.companies, v.facts_q, v.prices_s, AS_OF)
-    return reuse(fr.with_guarantee_ratio(base, fr.guarantee_exposure(v.signals, AS_OF)))
+    return fr.with_guarantee_ratio(base, fr.guarantee_exposure(v.signals, AS_OF))
 
 
 def snapshot(v: Views) -> DataFrame:
-    return fr.fragility(metrics(v), v.signals, AS_OF)
+    return v.stored("fragility", lambda v: fr.fragility(metrics(v), v.signals, AS_OF))
 
 
 AVAILABLE = """make_date(CASE WHEN substr(period, 5) = '1231' THEN CAST(substr(period, 1, 4) AS INT) + 1 ELSE CAST(substr(period, 1, 4) AS INT) END,
@@ -59,7 +62,7 @@ add_view("metrics0", """SELECT d.as_of, c.code, c.name, c.peer_group, c.group_id
   FROM companies c CROSS JOIN date_period d LEFT JOIN facts_q f ON f.code = c.code AND f.period = d.period
   LEFT JOIN facts_q p ON p.code = c.code AND p.period = (CAST(substr(d.period, 1, 4) AS INT) - 1) || substr(d.period, 5)
   LEFT JOIN market_asof m ON m.code = c.code AND m.as_of = d.as_of""")
-add_view("metrics_all", """SELECT m.*, round(ret_60d - median(ret_60d) OVER (PARTITION BY m.as_of, peer_group), 6) AS excess_ret_60d,
+add_view("metrics_all", """SELECT m.*, round(ret_60d - median(ret_60d) OVER (PARTITION BY m.as_of, peer_group), 7) AS excess_ret_60d,
   coalesce(g.guarantee_exposure_wan, 0) AS guarantee_exposure_wan, coalesce(g.guarantee_basis, '') AS guarantee_basis,
   CASE WHEN equity > 0 THEN round(coalesce(g.guarantee_exposure_wan, 0) * 1e4 / equity, 6) END AS guarantee_to_equity
   FROM metrics0 m LEFT JOIN guarantee_asof g ON g.code = m.code AND g.as_of = m.as_of""")

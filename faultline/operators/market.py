@@ -46,4 +46,4 @@ def add_excess_return(metrics: DataFrame, by: list[str]) -> DataFrame:
     """60-day return minus the peer median."""
     med = medians(metrics, by, "ret_60d", "_med").drop("n")
     return (metrics.join(med, by, "left")
-            .withColumn("excess_ret_60d", F.round(F.col("ret_60d") - F.col("_med"), 6)).drop("_med"))
+            .withColumn("excess_ret_60d", F.round(F.col("ret_60d") - F.col("_med"), 7)).drop("_med"))

@@ -52,9 +52,13 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, out: str, descen
 
 
 def with_row_number(df: DataFrame, by: list[str], value: str, tie: str, out: str = "pos",
-                    descending: bool = False) -> DataFrame:
-    """1-based row number ordered by (value, tie ascending), exact for groups and ties of any size."""
-    ranked = with_positions(df, by, value, descending).withColumn("_tb", order_bucket(F.col(tie)))
+                    descending: bool = False, tie_bucket: Column | None = None) -> DataFrame:
+    """1-based row number ordered by (value, tie ascending), exact for groups and ties of any size.
+
+    ``tie_bucket`` must be monotone in ``tie``; the default is for numbers, ``text_bucket`` is for text.
+    """
+    bucket = order_bucket(F.col(tie)) if tie_bucket is None else tie_bucket
+    ranked = with_positions(df, by, value, descending).withColumn("_tb", bucket)
     keys = [*by, value]
     ahead = (ranked.groupBy(*keys, "_tb").agg(F.count("*").alias("_c"))
              .withColumn("_skip", F.coalesce(F.sum("_c").over(
@@ -65,6 +69,11 @@ def with_row_number(df: DataFrame, by: list[str], value: str, tie: str, out: str
             .drop("before", "ties", "_tb", "_skip"))
 
 
+def text_bucket(c: Column, chars: int = 6) -> Column:
+    """The leading characters sort like the whole text."""
+    return F.substring(c, 1, chars)
+
+
 def order_statistics(df: DataFrame, by: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Values at 0-based ascending positions; each pick is a column expression over the group size ``n``."""
     pos = positions(df, by, value)

@@ -1,9 +1,9 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults, reuse of intermediates and the shared checkpoint folder."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,21 +25,22 @@ def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a reduced intermediate that several branches of one plan read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration in reliable storage so that a lost executor costs one round, not all.
+    """Write one round of an iteration as a table in the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is used only
-    where no folder is set, as in local tests.
+    The written table survives lost executors, is computed once, and gives the next round exact sizes.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/faultline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
