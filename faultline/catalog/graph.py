@@ -145,7 +145,7 @@ def add_summary(prefix: str, by: str = "as_of") -> None:
         list_sum(list_transform(generate_series(1, len(b.ds)), lambda i: CASE WHEN NOT b.lis[i] THEN 0.0 WHEN b.ts[i] = 'weak' THEN 1.0 WHEN b.ts[i] = 'medium' THEN 0.5 ELSE 0.0 END))::DOUBLE AS listed_reach
       FROM {prefix}keyed)""")
     add_view(f"{prefix}findings", f"""SELECT {by}, seed, listed_seq, rules, route, shock, CASE WHEN scenario THEN 0.0 ELSE full_score END AS score, scenario,
-      CASE WHEN scenario THEN full_score END AS scenario_score, round(amount / 1e4, 2) AS amount_yi, listed_reach, beyond, beyond_amount_wan, alternatives, route_rules, ds, rs, ts, lis, ams FROM (
+      CASE WHEN scenario THEN full_score END AS scenario_score, round(amount / 1e4, 6) AS amount_yi, listed_reach, beyond, beyond_amount_wan, alternatives, route_rules, ds, rs, ts, lis, ams FROM (
       SELECT *, row_number() OVER (PARTITION BY {by}, seed, listed_seq ORDER BY CASE WHEN scenario THEN 0.0 ELSE full_score END DESC, rules, route) AS rk,
         count(*) OVER (PARTITION BY {by}, seed, listed_seq) - 1 AS alternatives,
         array_to_string(list_sort(list_distinct(list(rules) OVER (PARTITION BY {by}, seed, listed_seq))), ',') AS route_rules FROM {prefix}scored) WHERE rk = 1""")

@@ -120,10 +120,11 @@ def enumerate_paths(seeds: DataFrame, steps: DataFrame, nodes: DataFrame, by: li
 
     seeds: by, node, shock, severity; nodes: by, node, tier, equity, listed, rated, group_id, industry.
     """
-    frontier = seeds.select(*by, F.col("node").alias("seed"), "shock", "node", level_number(F.col("severity")).alias("level"),
+    frontier = cut_lineage(seeds).select(*by, F.col("node").alias("seed"), "shock", "node", level_number(F.col("severity")).alias("level"),
                             F.array("node").alias("visited"), F.lit("").alias("key"), F.lit(False).alias("grouped"),
                             F.expr("cast(array() as array<struct<rule:string,src:string,dst:string,severity:string,dst_tier:string,"
                                    "decision:string,basis:string,evidence:string,amount_wan:double,dst_listed:boolean>>)").alias("steps"))
+    steps, nodes = cut_lineage(steps), cut_lineage(nodes)        # read by every hop
     finished = None
     for hop in range(1, max_hops + 1):
         # the option table is aliased so that an option-less branch stays, with a null dst
@@ -172,8 +173,7 @@ def summarize(paths: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     A path is cut after its last listed company; what lies beyond is folded into a count and an amount. Cut
     paths with the same listed companies in the same order are one finding with counted alternatives.
     """
-    last = F.aggregate(F.sequence(F.lit(1), F.size("steps")), F.lit(0),
-                       lambda acc, i: F.when(F.try_element_at("steps", i)["dst_listed"], i).otherwise(acc))
+    last = F.coalesce(F.array_max(F.transform("steps", lambda s, i: F.when(s["dst_listed"], i + 1).otherwise(0))), F.lit(0))
     cut = paths.withColumn("_last", last)
     name = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat(s["rule"], F.lit(":"), s["dst"])), ">")
     head, tail = F.slice("steps", 1, F.col("_last")), F.slice("steps", F.col("_last") + 1, rules.MAX_HOPS)
@@ -193,7 +193,7 @@ def summarize(paths: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
                         lambda a, x: a + lookup(x["dst_tier"], rules.REACH_TIER_WEIGHT, 0.0))
     amount_yi = _amount(F.col("steps")) / 1e4
     full = F.round(F.col("sev") * (1 + F.log10(1 + amount_yi)) * F.col("listed_reach"), 2)
-    s = (s.withColumn("listed_reach", reach).withColumn("amount_yi", F.round(amount_yi, 2)).withColumn("_full", full)
+    s = (s.withColumn("listed_reach", reach).withColumn("amount_yi", F.round(amount_yi, 6)).withColumn("_full", full)
          .withColumn("scenario", F.exists("steps", lambda x: x["rule"] == "R4"))
          .withColumn("score", F.when(F.col("scenario"), 0.0).otherwise(F.col("_full")))
          .withColumn("scenario_score", F.when(F.col("scenario"), F.col("_full"))).drop("_full")

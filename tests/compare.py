@@ -61,13 +61,14 @@ if __name__ == "__main__":
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     pick = sys.argv[1:]
     spark, con, bad = local_session(), connect(sf), []
+    spark.sparkContext.setLogLevel("OFF")
     for name, q in QUERIES.items():
         if pick and not any(name == p or (p.endswith("*") and name.startswith(p[:-1])) or p in q.ops for p in pick):
             continue
         try:
             ok, msg = compare(spark, con, name, q.run, q.sql, sf)
         except Exception as e:
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:1500]}"
+            ok, msg = False, f"{type(e).__name__}: {str(e)[:700]}"
         print("ok  " if ok else "FAIL", name, msg, flush=True)
         if not ok:
             bad.append(name)
