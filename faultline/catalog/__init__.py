@@ -1,5 +1,5 @@
 """All registered queries; importing the modules registers them."""
 from faultline.catalog.registry import QUERIES
-from faultline.catalog import graph, readings, scoring  # noqa: F401
+from faultline.catalog import graph, history, readings, scoring  # noqa: F401
 
 __all__ = ["QUERIES"]

@@ -102,7 +102,7 @@ add_view("fragility_full", f"""SELECT *, CASE WHEN base_tier IS NOT NULL AND red
       CASE WHEN score_liquidity >= 90 THEN 'extreme_liquidity' END], lambda x: x IS NOT NULL), ',') AS red_lines,
     coalesce(e.events, 0) AS events_after_report, coalesce(e.serious, 0) AS serious
   FROM dim_scores s JOIN metrics_all m USING (as_of, code) LEFT JOIN events_after e USING (as_of, code))""")
-add_view("fragility", """SELECT as_of, code, peer_group, period, round(total, 1) AS total_score, """ + ", ".join(
+add_view("fragility", """SELECT as_of, code, peer_group, period, round(round(total, 6), 1) AS total_score, """ + ", ".join(
     f"round(score_{d}, 1) AS score_{d}" for d in rules.WEIGHTS) + """, base_tier,
   CASE WHEN serious > 0 AND ruled IS NOT NULL THEN CASE WHEN ruled = 'strong' THEN 'medium' ELSE 'weak' END ELSE ruled END AS tier,
   red_lines, events_after_report, reasons FROM fragility_full""")

@@ -92,7 +92,7 @@ def fragility(metrics: DataFrame, signals: DataFrame, dates: list[str]) -> DataF
     ruled = F.when(F.col("_total").isNotNull() & (F.size("_lines") > 0), "weak").otherwise(F.col("base_tier"))
     return (scored.withColumn("_total", total).withColumn("_lines", red_lines())
             .withColumn("base_tier", base).withColumn("_ruled", ruled)
-            .select("as_of", "code", "peer_group", "period", F.round("_total", 1).alias("total_score"),
+            .select("as_of", "code", "peer_group", "period", F.round(F.round("_total", 6), 1).alias("total_score"),
                     *[F.round(f"score_{d}", 1).alias(f"score_{d}") for d in rules.WEIGHTS], "base_tier",
                     F.when(F.coalesce("serious", F.lit(0)) > 0, tier_up(F.col("_ruled"))).otherwise(F.col("_ruled")).alias("tier"),
                     F.concat_ws(",", "_lines").alias("red_lines"),
