@@ -1,5 +1,6 @@
 """All registered queries; importing the modules registers them."""
 from faultline.catalog.registry import QUERIES
-from faultline.catalog import graph, history, readings, scoring  # noqa: F401
+from faultline.catalog import history  # noqa: F401  (defines views the next modules use)
+from faultline.catalog import exposure, graph, readings, scoring  # noqa: F401
 
 __all__ = ["QUERIES"]
