@@ -1,6 +1,13 @@
 """All registered queries; importing the modules registers them."""
 from faultline.catalog.registry import QUERIES
-from faultline.catalog import history  # noqa: F401  (defines views the next modules use)
-from faultline.catalog import exposure, graph, readings, scoring  # noqa: F401
+# later modules use the SQL views of earlier ones
+from faultline.catalog import scoring  # noqa: F401  isort:skip
+from faultline.catalog import history  # noqa: F401  isort:skip
+from faultline.catalog import graph  # noqa: F401  isort:skip
+from faultline.catalog import readings  # noqa: F401  isort:skip
+from faultline.catalog import exposure  # noqa: F401  isort:skip
+from faultline.catalog import basics  # noqa: F401  isort:skip
+from faultline.catalog import relations  # noqa: F401  isort:skip
+from faultline.catalog import studies  # noqa: F401  isort:skip
 
 __all__ = ["QUERIES"]

@@ -108,13 +108,13 @@ def brand_asof(v: Views) -> DataFrame:
 
 @query("X4 T1", f"""SELECT CAST(b.as_of AS VARCHAR) AS as_of, b.symbol, b.code, b.share, m.ret, f.tier, CASE WHEN b.share > 0 THEN round(abs(m.ret) * b.share *
     CASE f.tier WHEN 'weak' THEN 1.0 WHEN 'medium' THEN 0.5 WHEN 'strong' THEN 0.2 ELSE 0.5 END * 100, 2) END::DOUBLE AS stress
-  FROM brand_asof b JOIN moves m ON m.symbol = b.symbol AND m.as_of = b.as_of AND m.shock LEFT JOIN fragility f ON f.code = b.code AND f.as_of = b.as_of""".replace("* 100, 2)", "* 100, 12)"))
+  FROM brand_asof b JOIN moves m ON m.symbol = b.symbol AND m.as_of = b.as_of AND m.shock LEFT JOIN fragility f ON f.code = b.code AND f.as_of = b.as_of""".replace("* 100, 2)", "* 100, 4)"))
 def stress_ranking(v: Views):
     """|move| × share × tier multiplier for every shocked product and exposed company."""
     shocked = ex.price_moves(v.prices_b, AS_OF).where("shock").select("symbol", "as_of", "ret")
     t = brand_asof(v).join(F.broadcast(shocked), ["symbol", "as_of"]).join(snapshot(v).select("code", "as_of", "tier"), ["code", "as_of"], "left")  # brands × dates
     weight = F.coalesce(lookup(F.col("tier"), rules.STRESS_TIER_WEIGHT), F.lit(0.5))
-    idx = F.when(F.col("share") > 0, F.round(F.abs("ret") * F.col("share") * weight * 100, 12))
+    idx = F.when(F.col("share") > 0, F.round(F.abs("ret") * F.col("share") * weight * 100, 4))
     return t.select(day(), "symbol", "code", "share", "ret", "tier", idx.alias("stress"))
 
 

@@ -87,3 +87,8 @@ PRICE_SHOCK_ROWS, PRICE_SHOCK = 20, 0.10
 # ---- carbon (fixed values): tonnes of CO2 per tonne by route, share of the border levy by year
 CARBON_INTENSITY = {"BF-BOF": 2.34, "EAF": 0.69, "DRI-EAF": 1.47}
 BORDER_FACTOR = {2026: 0.025, 2027: 0.05, 2028: 0.10, 2029: 0.225, 2030: 0.485, 2031: 0.61, 2032: 0.735, 2033: 0.86, 2034: 1.0}
+
+# ---- framework agreements (fixed patterns)
+AGREEMENT_EXPLICIT = (r"(?:有效期|期限)[^。；]{0,12}?自\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
+                      r"[^。；]{0,12}?至\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日")
+AGREEMENT_YEARS = r"(\d{4})\s*(?:年度?)?\s*(?:至|-|–|—|~)\s*(\d{4})\s*年度?[^。；]{0,12}(?:关联交易|协议)"
