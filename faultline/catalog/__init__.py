@@ -9,5 +9,6 @@ from faultline.catalog import exposure  # noqa: F401  isort:skip
 from faultline.catalog import basics  # noqa: F401  isort:skip
 from faultline.catalog import relations  # noqa: F401  isort:skip
 from faultline.catalog import studies  # noqa: F401  isort:skip
+from faultline.catalog import quality  # noqa: F401  isort:skip
 
 __all__ = ["QUERIES"]

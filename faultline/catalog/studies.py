@@ -300,20 +300,20 @@ def relative_event_returns(v: Views):
 
 
 add_view("sizes", "SELECT p_brand AS symbol, round(avg(p_retailprice), 6) AS exposure FROM part GROUP BY p_brand")
-add_view("zs", """SELECT idx, CASE WHEN count(*) >= 10 THEN corr(ra, rb) END * sign(any_value(shock)) AS z FROM (SELECT r.idx, e.shock, rank() OVER (PARTITION BY r.idx ORDER BY exposure) + (count(*) OVER (PARTITION BY r.idx, exposure) - 1) / 2.0::DOUBLE AS ra,
+add_view("zs", """SELECT idx, CASE WHEN count(*) >= 4 THEN corr(ra, rb) END * sign(any_value(shock)) AS z FROM (SELECT r.idx, e.shock, rank() OVER (PARTITION BY r.idx ORDER BY exposure) + (count(*) OVER (PARTITION BY r.idx, exposure) - 1) / 2.0::DOUBLE AS ra,
   rank() OVER (PARTITION BY r.idx ORDER BY round(rel, 9)) + (count(*) OVER (PARTITION BY r.idx, round(rel, 9)) - 1) / 2.0::DOUBLE AS rb FROM rel_ret r JOIN ev e USING (idx) JOIN sizes USING (symbol)) GROUP BY idx""")
 
 
 def event_z(v: Views) -> DataFrame:
     expo = v.table("part").groupBy(F.col("p_brand").alias("symbol")).agg(F.round(F.avg("p_retailprice"), 6).alias("exposure"))
     r = relative_returns(v).withColumn("rel", F.round("rel", 9)).join(expo, "symbol")
-    s = stats.spearman(r, ["event"], "exposure", "rel", least=10)
+    s = stats.spearman(r, ["event"], "exposure", "rel", least=4)
     return s.join(monthly_events(v), "event").select("event", (F.signum("shock") * F.col("rho")).alias("z"), "n")
 
 
 @query("V9", "SELECT idx AS event, round(z, 6) AS z FROM zs WHERE z IS NOT NULL")
 def shock_event_z(v: Views):
-    """Expected sign times rank correlation of exposure and relative return, events with at least ten firms."""
+    """Expected sign times rank correlation of exposure and relative return, events with enough firms."""
     return event_z(v).where("z is not null").select("event", F.round("z", 6).alias("z"))
 
 
