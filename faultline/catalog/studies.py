@@ -305,6 +305,10 @@ add_view("zs", """SELECT idx, CASE WHEN count(*) >= 4 THEN corr(ra, rb) END * si
 
 
 def event_z(v: Views) -> DataFrame:
+    return v.stored("event_z", build_event_z)
+
+
+def build_event_z(v: Views) -> DataFrame:
     expo = v.table("part").groupBy(F.col("p_brand").alias("symbol")).agg(F.round(F.avg("p_retailprice"), 6).alias("exposure"))
     r = relative_returns(v).withColumn("rel", F.round("rel", 9)).join(expo, "symbol")
     s = stats.spearman(r, ["event"], "exposure", "rel", least=4)
