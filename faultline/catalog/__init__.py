@@ -11,5 +11,6 @@ from faultline.catalog import relations  # noqa: F401  isort:skip
 from faultline.catalog import studies  # noqa: F401  isort:skip
 from faultline.catalog import quality  # noqa: F401  isort:skip
 from faultline.catalog import textjobs  # noqa: F401  isort:skip
+from faultline.catalog import streams  # noqa: F401  isort:skip
 
 __all__ = ["QUERIES"]
