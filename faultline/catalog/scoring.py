@@ -11,7 +11,7 @@ from faultline.catalog.views import AS_OF, Views, add_view
 from faultline.functions.scalars import lookup, tier_of
 from faultline.operators.ordering import medians, order_statistics, with_row_number
 from faultline.operators.ranking import outsider_scores, peer_scores
-from faultline.operators.market import market_metrics, rolling_market
+from faultline.operators.market import market_metrics
 from faultline.plans import fragility as fr
 from faultline.plans.metrics import metrics_as_of
 

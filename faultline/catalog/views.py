@@ -26,7 +26,9 @@ def forget_snapshots() -> None:
 
 
 def cents(c: Column) -> Column:
-    return F.round(c * 100).cast("bigint")
+    """Whole cents, half away from zero, without leaving primitive arithmetic (``round`` goes through decimals)."""
+    up = F.floor(F.abs(c) * 100 + 0.5)
+    return F.when(c < 0, -up).otherwise(up)
 
 
 class Views:

@@ -8,22 +8,6 @@ from faultline.operators.asof import latest_as_of
 from faultline.operators.ordering import medians
 
 
-def rolling_market(prices: DataFrame, key: str = "code") -> DataFrame:
-    """Returns, volatility, distance to the low and the last 60 closes at every trading day, in one pass."""
-    w = W.partitionBy(key).orderBy("date")
-    c = F.col("close")
-    s = (prices.where(c > 0).withColumn("_r", F.ln(c / F.lag("close").over(w)))
-         .withColumn("_k", F.row_number().over(w)))
-    enough = F.col("_k") >= 21
-    return s.select(
-        key, "date", "close", "_k",
-        F.when(enough, c / F.lag("close", 20).over(w) - 1).alias("ret_20d"),
-        (c / F.lag("close", 60).over(w) - 1).alias("ret_60d"),
-        F.when(enough, F.stddev_samp("_r").over(w.rowsBetween(-19, 0)) * F.sqrt(F.lit(250.0))).alias("vol_20d"),
-        F.when(enough, c / F.min("close").over(w.rowsBetween(-249, 0)) - 1).alias("dist_52w_low"),
-        F.when(enough, F.collect_list("close").over(w.rowsBetween(-59, 0))).alias("_last60"))
-
-
 def drawdown(closes):
     """Worst close ÷ running peak − 1 of an ordered array."""
     start = F.struct(closes[0].alias("peak"), F.lit(0.0).alias("worst"))
@@ -34,12 +18,29 @@ def drawdown(closes):
 
 
 def market_metrics(prices: DataFrame, dates: list[str], key: str = "code") -> DataFrame:
-    """One row per (key, as_of) with the indicators on the last trading day on or before the date."""
-    cols = ["ret_20d", "ret_60d", "vol_20d", "dist_52w_low", "_last60"]
-    at = latest_as_of(rolling_market(prices, key), [key], "date", dates, ["date", *cols])
-    return at.select(key, "as_of", F.col("date").alias("last_trade_date"),
-                     *[F.round(c, 6).alias(c) for c in cols[:4]],
-                     F.round(F.when(F.col("_last60").isNotNull(), drawdown(F.col("_last60"))), 6).alias("max_drawdown_60d"))
+    """One row per (key, as_of) with the indicators on the last trading day on or before the date.
+
+    Trading days are numbered once per series; each evaluation date then reads only its last 250 rows and
+    reduces them in one aggregation, instead of sliding long frames over every day of every series.
+    """
+    w = W.partitionBy(key).orderBy("date")
+    numbered = prices.where("close > 0").select(key, "date", "close", F.lag("close").over(w).alias("_prev"), F.row_number().over(w).alias("_k"))
+    at = latest_as_of(numbered, [key], "date", dates, ["date", "_k"]).withColumnsRenamed({"date": "last_trade_date", "_k": "_n"})
+    back = F.col("_n") - F.col("_k")                                    # 0 = the last trading day
+    c = F.col("close")
+    def on(n):
+        return F.max(F.when(F.col("_back") == n, c))
+    recent = F.array_sort(F.collect_list(F.when(F.col("_back") < 60, F.struct((-F.col("_back")).alias("i"), c.alias("close")))))
+    t = (numbered.join(at, key).withColumn("_back", back).where(F.col("_back").between(0, 249))
+         .groupBy(key, "as_of", "last_trade_date", "_n").agg(
+             on(0).alias("_c0"), on(20).alias("_c20"), on(60).alias("_c60"),
+             F.stddev_samp(F.when(F.col("_back") < 20, F.ln(c / F.col("_prev")))).alias("_sd"), F.min(c).alias("_low"), recent.alias("_last60")))
+    enough = F.col("_n") >= 21
+    return t.select(
+        key, "as_of", "last_trade_date", F.round(F.when(enough, F.col("_c0") / F.col("_c20") - 1), 6).alias("ret_20d"),
+        F.round(F.col("_c0") / F.col("_c60") - 1, 6).alias("ret_60d"), F.round(F.when(enough, F.col("_sd") * F.sqrt(F.lit(250.0))), 6).alias("vol_20d"),
+        F.round(F.when(enough, F.col("_c0") / F.col("_low") - 1), 6).alias("dist_52w_low"),
+        F.round(F.when(enough, drawdown(F.transform("_last60", lambda s: s["close"]))), 6).alias("max_drawdown_60d"))
 
 
 def add_excess_return(metrics: DataFrame, by: list[str]) -> DataFrame:

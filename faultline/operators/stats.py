@@ -21,9 +21,10 @@ def ln_choose(n: Column, k: Column) -> Column:
 def fisher_greater(tables: DataFrame, by: list[str], a: str, b: str, c: str, d: str) -> DataFrame:
     """(by, p): one-sided exact p of 2×2 tables, the tail spread over rows."""
     n1, n2, k = F.col(a) + F.col(b), F.col(c) + F.col(d), F.col(a) + F.col(c)
-    t = tables.select(*by, n1.alias("n1"), n2.alias("n2"), k.alias("k"), F.explode(F.sequence(F.col(a), F.least(n1, k))).alias("x"))
-    term = F.exp(ln_choose(F.col("n1"), F.col("x")) + ln_choose(F.col("n2"), F.col("k") - F.col("x")) - ln_choose(F.col("n1") + F.col("n2"), F.col("k")))
-    return t.where("k - x <= n2").withColumn("_t", term).groupBy(*by).agg(F.sum("_t").alias("p"))
+    t = tables.select(*by, n1.alias("_n1"), n2.alias("_n2"), k.alias("_k"), F.explode(F.sequence(F.col(a), F.least(n1, k))).alias("_x"))
+    n1, n2, k, x = F.col("_n1"), F.col("_n2"), F.col("_k"), F.col("_x")
+    term = F.exp(ln_choose(n1, x) + ln_choose(n2, k - x) - ln_choose(n1 + n2, k))
+    return t.where(k - x <= n2).withColumn("_t", term).groupBy(*by).agg(F.sum("_t").alias("p"))
 
 
 def auc(rows: DataFrame, by: list[str], score: str, y: str, weight: str | None = None) -> DataFrame:

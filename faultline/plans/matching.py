@@ -16,45 +16,35 @@ def greedy_pairs(gold: DataFrame, pred: DataFrame, bucket: list[str], fields: li
     """(bucket, gold_idx, pred_idx): each gold record, in order, takes the open prediction of its bucket with the
     most equal fields; an equal name outweighs all fields. A bucket is one category of one document.
 
-    Buckets with one record on each side need no choice and stay in the JVM. The others are sorted by bucket
-    inside each partition and streamed through one small loop.
+    Buckets with one record on each side need no choice and stay in the JVM; the others, each a row holding the
+    records of one document's category, go through one small loop.
     """
-    g = gold.select(*bucket, "idx", name, *fields, F.lit(0).alias("side"))
-    p = pred.select(*bucket, "idx", name, *fields, F.lit(1).alias("side"))
-    both = g.unionByName(p)
-    sizes = both.groupBy(*bucket).agg(F.count_if(F.col("side") == 0).alias("_g"), F.count_if(F.col("side") == 1).alias("_p")).where("_g > 0 and _p > 0")
-    single = (both.join(sizes.where("_g = 1 and _p = 1"), bucket, "left_semi").groupBy(*bucket)
-              .agg(F.max(F.when(F.col("side") == 0, F.col("idx"))).alias("gold_idx"), F.max(F.when(F.col("side") == 1, F.col("idx"))).alias("pred_idx")))
-    many = both.join(sizes.where("_g > 1 or _p > 1"), bucket, "left_semi").repartition(*bucket).sortWithinPartitions(*bucket, "side", "idx")
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in g.select(*bucket).schema], "gold_idx int", "pred_idx int"])
-    weight = len(fields) + 1
+    def side(df):
+        return df.groupBy(*bucket).agg(F.sort_array(F.collect_list(F.struct("idx", name, *fields))).alias("_r"))
+
+    both = side(gold).withColumnRenamed("_r", "_g").join(side(pred).withColumnRenamed("_r", "_p"), bucket)
+    alone = (F.size("_g") == 1) & (F.size("_p") == 1)
+    single = both.where(alone).select(*bucket, F.col("_g")[0]["idx"].cast("int").alias("gold_idx"), F.col("_p")[0]["idx"].cast("int").alias("pred_idx"))
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in gold.select(*bucket).schema], "gold_idx int", "pred_idx int"])
+    columns, weight = [*bucket, "gold_idx", "pred_idx"], len(fields) + 1
 
     def same(a, b):
         return a == b or (pd.isna(a) and pd.isna(b))
 
-    def pair(key, rows):
-        open_ = [r for r in rows if r["side"] == 1]
-        for left in (r for r in rows if r["side"] == 0):
-            if not open_:
-                return
-            best = max(open_, key=lambda r: weight * (r[name] == left[name]) + sum(same(r[f], left[f]) for f in fields))
-            open_.remove(best)
-            yield (*key, left["idx"], best["idx"])
-
     def run(batches):
-        key, rows, out = None, [], []
         for pdf in batches:
-            for r in pdf.to_dict("records"):
-                k = tuple(r[b] for b in bucket)
-                if k != key:
-                    out.extend(pair(key, rows))
-                    key, rows = k, []
-                rows.append(r)
-            yield pd.DataFrame(out, columns=[*bucket, "gold_idx", "pred_idx"])
             out = []
-        yield pd.DataFrame(list(pair(key, rows)), columns=[*bucket, "gold_idx", "pred_idx"])
-
-    return single.unionByName(many.mapInPandas(run, schema))
+            for row in pdf.to_dict("records"):
+                open_ = list(row["_p"])
+                for left in row["_g"]:
+                    if not open_:
+                        break
+                    scores = [weight * (r[name] == left[name]) + sum(same(r[f], left[f]) for f in fields) for r in open_]
+                    best = open_.pop(scores.index(max(scores)))
+                    out.append((*[row[b] for b in bucket], left["idx"], best["idx"]))
+            yield pd.DataFrame(out, columns=columns)
+
+    return single.unionByName(both.where(~alone).mapInPandas(run, schema))
 
 
 def pair_records(gold: DataFrame, pred: DataFrame, doc: str, category: str, name: str, amount: str, fields: list[str]) -> DataFrame:

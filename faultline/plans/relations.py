@@ -18,11 +18,12 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 def link_names(names: DataFrame, by: list[str], name: str, shortest: int = 4) -> DataFrame:
     """Names of one group that contain each other share the longest member as label."""
     keys = names.where(F.length(name) >= shortest).select(*by, F.col(name).alias("a"))
-    pairs = contains_pairs(keys, names.select(*by, F.col(name).alias("b")), by, "a", "b", gram=shortest)
-    own = names.select(*by, F.col(name).alias("a"), F.col(name).alias("b"))
-    comp = connected_components(pairs.unionByName(own), by).withColumnRenamed("node", name)
+    pairs = contains_pairs(keys, names.select(*by, F.col(name).alias("b")), by, "a", "b", gram=shortest).where("a <> b")
+    # only names that contain each other go through the rounds; all others are their own label
+    comp = connected_components(pairs, by).withColumnRenamed("node", name)
     label = comp.groupBy(*by, "component").agg(F.max_by(name, F.struct(F.length(name), name)).alias("label"))
-    return comp.join(label, [*by, "component"])
+    linked = comp.join(label, [*by, "component"]).select(*by, name, "label")
+    return names.select(*by, name).join(linked, [*by, name], "left").withColumn("label", F.coalesce("label", name))
 
 
 def summary(rows: DataFrame) -> DataFrame:
