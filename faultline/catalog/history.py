@@ -130,7 +130,7 @@ add_view("dupont_long", """SELECT as_of, peer_group, code, unnest(['margin', 'tu
 
 
 @query("F21", f"""SELECT {DAY}, code, product, arg_min(factor, {{'g': gap, 'f': factor}}) AS worst_factor, min(gap) AS gap FROM (
-  SELECT l.as_of, l.code, factor, round((value - med) / abs(nullif(med, 0)), 6) * CASE factor WHEN 'multiplier' THEN -1 ELSE 1 END AS gap,
+  SELECT l.as_of, l.code, factor, round((value - med) / abs(nullif(med, 0)), 6) * CASE factor WHEN 'multiplier' THEN -1 ELSE 1 END + 0.0::DOUBLE AS gap,
     round(np / revenue * (revenue / assets) * (assets / nullif(assets - liab, 0)), 6) AS product
   FROM (SELECT *, median(value) OVER (PARTITION BY as_of, peer_group, factor) AS med FROM dupont_long WHERE value IS NOT NULL) l JOIN report_asof r ON r.as_of = l.as_of AND r.code = l.code) WHERE gap IS NOT NULL GROUP BY ALL""")
 def dupont_drag(v: Views):
@@ -141,7 +141,7 @@ def dupont_drag(v: Views):
                           F.round(c("np") / c("revenue") * (c("revenue") / c("assets")) * ratio(c("assets"), c("assets") - c("liab")), 6).alias("product"))
     long = r.unpivot(["as_of", "peer_group", "code", "product"], ["margin", "turnover", "multiplier"], "factor", "value").where("value is not null")
     keys = ["as_of", "peer_group", "factor"]
-    gap = F.round(growth(c("value"), c("median")), 6) * F.when(c("factor") == "multiplier", -1).otherwise(1)
+    gap = F.round(growth(c("value"), c("median")), 6) * F.when(c("factor") == "multiplier", -1).otherwise(1) + F.lit(0.0)
     return (long.join(medians(long, keys, "value"), keys).withColumn("gap", gap).where("gap is not null").groupBy("as_of", "code", "product")
             .agg(F.min(F.struct("gap", "factor")).alias("w")).select(day(), "code", "product", F.col("w.factor").alias("worst_factor"), F.col("w.gap").alias("gap")))
 

@@ -166,7 +166,7 @@ def rank_correlation(v: Views):
 
 @query("V8", f"""WITH sh AS (SELECT draw, as_of, rx, ry, row_number() OVER (PARTITION BY draw, as_of ORDER BY code) AS i, row_number() OVER (PARTITION BY draw, as_of ORDER BY md5(draw || '|' || code)) AS j FROM xy_ranks, generate_series(1, 60) d(draw)),
   d AS (SELECT a.draw, a.as_of, corr(a.rx, b.ry) AS rho FROM sh a JOIN sh b ON a.draw = b.draw AND a.as_of = b.as_of AND a.i = b.j GROUP BY a.draw, a.as_of), o AS (SELECT as_of, corr(rx, ry) AS rho FROM xy_ranks GROUP BY as_of)
-  SELECT CAST(o.as_of AS VARCHAR) AS as_of, round(any_value(o.rho), 6) AS rho, count(CASE WHEN d.rho >= o.rho THEN 1 END) AS hits, round((1 + count(CASE WHEN d.rho >= o.rho THEN 1 END)) / 61, 6) AS p FROM o JOIN d USING (as_of) GROUP BY o.as_of""")
+  SELECT CAST(o.as_of AS VARCHAR) AS as_of, round(any_value(o.rho), 6) AS rho, count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END) AS hits, round((1 + count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END)) / 61, 6) AS p FROM o JOIN d USING (as_of) GROUP BY o.as_of""")
 def correlation_permutation(v: Views):
     """Permutation p of a rank correlation: y ranks dealt out in hash order, all draws at once."""
     r = with_average_rank(with_average_rank(xy(v), ["as_of"], "x", "rx").drop("n"), ["as_of"], "y", "ry").drop("n")
@@ -175,7 +175,7 @@ def correlation_permutation(v: Views):
     dealt = stats.shuffled_position(draws, ["draw", "as_of"], "_h", "i").select("draw", "as_of", "i", "ry")
     rho = dealt.join(base.select("as_of", "i", "rx"), ["as_of", "i"]).groupBy("draw", "as_of").agg(F.corr("rx", "ry").alias("d"))
     seen = r.groupBy("as_of").agg(F.corr("rx", "ry").alias("rho"))
-    hits = F.count_if(F.col("d") >= F.col("rho"))
+    hits = F.count_if(F.col("d") >= F.col("rho") - 1e-9)
     return rho.join(seen, "as_of").groupBy(day(), "rho").agg(hits.alias("hits")).select("as_of", F.round("rho", 6).alias("rho"), "hits", F.round((1 + F.col("hits")) / F.lit(61), 6).alias("p"))
 
 
@@ -322,13 +322,13 @@ def shock_event_z(v: Views):
 
 
 @query("V10", """WITH pool AS (SELECT idx, round(z, 9) AS z FROM zs WHERE z IS NOT NULL), d AS (SELECT draw, avg(z) AS m FROM (SELECT draw, z, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '|' || idx)) AS k FROM pool, generate_series(1, 100) t(draw)) WHERE k <= 8 GROUP BY draw),
-  o AS (SELECT avg(z) AS observed FROM (SELECT z FROM pool ORDER BY idx DESC LIMIT 8)) SELECT round(any_value(observed), 6) AS observed, count(CASE WHEN m >= observed THEN 1 END) AS hits FROM d, o""")
+  o AS (SELECT avg(z) AS observed FROM (SELECT z FROM pool ORDER BY idx DESC LIMIT 8)) SELECT round(any_value(observed), 6) AS observed, count(CASE WHEN m >= observed - 1e-9 THEN 1 END) AS hits FROM o LEFT JOIN d ON true""")
 def placebo_permutation(v: Views):
     """Mean z of the latest eight events against eight drawn from the pool without replacement."""
     pool = event_z(v).where("z is not null").select("event", F.round("z", 9).alias("z"))
     drawn = stats.shuffled_position(stats.with_draws(pool, 100, F.col("event")), ["draw"], "_h", "k").where("k <= 8").groupBy("draw").agg(F.avg("z").alias("m"))
     seen = pool.orderBy(F.desc("event")).limit(8).agg(F.avg("z").alias("observed"))              # the eight latest events, one row
-    return drawn.join(F.broadcast(seen), F.lit(True)).groupBy("observed").agg(F.count_if(F.col("m") >= F.col("observed")).alias("hits")).select(F.round("observed", 6).alias("observed"), "hits")
+    return seen.join(F.broadcast(drawn), F.lit(True), "left").groupBy("observed").agg(F.count_if(F.col("m") >= F.col("observed") - 1e-9).alias("hits"))   # one row per draw.select(F.round("observed", 6).alias("observed"), "hits")
 
 
 @query("W20")
