@@ -328,7 +328,8 @@ def placebo_permutation(v: Views):
     pool = event_z(v).where("z is not null").select("event", F.round("z", 9).alias("z"))
     drawn = stats.shuffled_position(stats.with_draws(pool, 100, F.col("event")), ["draw"], "_h", "k").where("k <= 8").groupBy("draw").agg(F.avg("z").alias("m"))
     seen = pool.orderBy(F.desc("event")).limit(8).agg(F.avg("z").alias("observed"))              # the eight latest events, one row
-    return seen.join(F.broadcast(drawn), F.lit(True), "left").groupBy("observed").agg(F.count_if(F.col("m") >= F.col("observed") - 1e-9).alias("hits"))   # one row per draw.select(F.round("observed", 6).alias("observed"), "hits")
+    # one row per draw on the broadcast side
+    return seen.join(F.broadcast(drawn), F.lit(True), "left").groupBy("observed").agg(F.count_if(F.col("m") >= F.col("observed") - 1e-9).alias("hits")).select(F.round("observed", 6).alias("observed"), "hits")
 
 
 @query("W20")
