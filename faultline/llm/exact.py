@@ -11,14 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.llm import common
 from faultline.session import cut_lineage
 
 SLICE = 1 << 16                        # bits of a slice: 8 kB a plane
 MAX_BITS = 1 << 27                     # the second plane is broadcast: 16 MB at most; fuller filters shuffle more rows
-BITS_PER_ROW, HASHES = 16, 2
+BITS_PER_ROW = 16
+SENT_TOGETHER = 1 << 20
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -58,14 +59,23 @@ def repeated_plane(hashes: DataFrame, rows: int) -> tuple[int, DataFrame]:
     bits = filter_bits(rows)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[np.ndarray] = []
         for b in batches:
-            p, n = np.unique(positions(b["key"].to_numpy(), bits), return_counts=True)
-            part = p // SLICE
-            for s, lo, hi in zip(*(x := np.unique(part, return_index=True)), np.append(x[1][1:], len(p)), strict=True):
-                at = (p[lo:hi] % SLICE).astype("<u2")
-                yield pd.DataFrame({"slice": [s], "once": [at.tobytes()], "twice": [at[n[lo:hi] > 1].tobytes()]})
-
-    def merge(key, parts: pd.DataFrame) -> pd.DataFrame:
+            waiting.append(b["key"].to_numpy())
+            if sum(map(len, waiting)) >= SENT_TOGETHER:
+                yield from slices(np.concatenate(waiting))
+                waiting = []
+        if waiting:
+            yield from slices(np.concatenate(waiting))
+
+    def slices(keys: np.ndarray) -> Iterator[pd.DataFrame]:
+        p, n = np.unique(positions(keys, bits), return_counts=True)
+        names, starts = np.unique(p // SLICE, return_index=True)
+        at = (p % SLICE).astype("<u2")
+        rows = [(s, at[lo:hi].tobytes(), at[lo:hi][n[lo:hi] > 1].tobytes()) for s, lo, hi in zip(names, starts, np.append(starts[1:], len(p)), strict=True)]
+        yield pd.DataFrame(rows, columns=["slice", "once", "twice"])
+
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         count = np.zeros(SLICE, np.int64)
         for once, twice in zip(parts["once"], parts["twice"], strict=True):
             count[np.frombuffer(once, "<u2")] += 1
@@ -106,10 +116,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     alone = tagged.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rest = tagged.where("maybe").select("doc_id", "text_sha256")
-    # copies with the same doc_id are numbered, so that exactly one of them stays; the number needs no buffer
-    rest = rest.withColumn("copy", F.row_number().over(W.partitionBy("text_sha256", "doc_id").orderBy("doc_id")))
-    groups = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return alone.union(rest.join(groups, "text_sha256").select(
+    # rows repeated with one doc_id are counted first, so that exactly one of them stays
+    rest = rest.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies"))
+    groups = cut_lineage(rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
+    found = rest.join(groups, "text_sha256").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return alone.union(found.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"))
 
