@@ -272,15 +272,15 @@ def log_scaled_strength(v: Views):
                                       sc.significant(F.col("s_acctbal")).alias("shown"))
 
 
-@query("F22", """SELECT id, CAST(max(CASE WHEN b - a > 0 AND b - a <= 1100 THEN b END) AS VARCHAR) AS agreement_end FROM (
-  SELECT o_orderkey AS id, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40, make_date(CAST(year(o_orderdate) AS INT), 1, 1)]) AS a,
-    unnest([CAST(o_orderdate AS DATE) + 700, CAST(o_orderdate AS DATE) + CAST(40 + floor(o_totalprice / 300) AS INT), make_date(CAST(year(o_orderdate) + o_orderkey % 4 AS INT), 12, 31)]) AS b FROM orders) GROUP BY id""")
+@query("F22", """SELECT id, CAST(max(CASE WHEN b - a > 0 AND b - a <= 1100 AND (k < 3 OR year(b) > year(a)) THEN b END) AS VARCHAR) AS agreement_end FROM (
+  SELECT o_orderkey AS id, unnest([1, 2, 3]) AS k, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40, make_date(CAST(year(o_orderdate) AS INT), 1, 1)]) AS a,
+    unnest([CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 * 90 AS INT), CAST(o_orderdate AS DATE) + CAST(40 + floor(o_totalprice / 300) AS INT), make_date(CAST(year(o_orderdate) + o_orderkey % 4 AS INT), 12, 31)]) AS b FROM orders) GROUP BY id""")
 def agreement_periods(v: Views):
     """End of a multi-year agreement read from its sentences."""
     o = F.to_date("o_orderdate")
     fmt = "yyyy年M月d日"
     y = F.year(o)
-    text = F.concat(F.lit("协议有效期自"), F.date_format(o, fmt), F.lit("至"), F.date_format(F.date_add(o, 700), fmt), F.lit("；另一期限自 "), F.date_format(F.date_add(o, 40), fmt), F.lit("起至"),
+    text = F.concat(F.lit("协议有效期自"), F.date_format(o, fmt), F.lit("至"), F.date_format(F.date_add(o, (F.col("o_orderkey") % 9 * 90).cast("int")), fmt), F.lit("；另一期限自 "), F.date_format(F.date_add(o, 40), fmt), F.lit("起至"),
                     F.date_format(F.date_add(o, (40 + F.floor(F.col("o_totalprice") / 300)).cast("int")), fmt), F.lit("。公司 "), y, F.lit("-"), y + F.col("o_orderkey") % 4, F.lit("年度日常关联交易"))
     return v.table("orders").select(F.col("o_orderkey").alias("id"), tx.agreement_end(text).cast("string").alias("agreement_end"))
 

@@ -303,28 +303,33 @@ def graph_coverage(v: Views):
                     "n_guarantee", "n_service", "n_supply"))
 
 
+_DEEPEST = 14                         # rounds written out in the SQL; the plan has no limit
 _SUP = "SELECT as_of, src, dst FROM g_steps WHERE shock = 'supply'"
 _BFS = "b0 AS (SELECT as_of, node, 0 AS depth, [node] AS route FROM (SELECT DISTINCT as_of, src AS node FROM e) r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.as_of = r.as_of AND e.dst = r.node))"
-for _k in range(1, 7):
+for _k in range(1, _DEEPEST + 1):
     _prev = " UNION ALL ".join(f"SELECT as_of, node FROM b{j}" for j in range(_k))
     _BFS += (f", b{_k} AS (SELECT b.as_of, e.dst AS node, {_k} AS depth, min(list_append(b.route, e.dst)) AS route FROM b{_k - 1} b JOIN e ON e.as_of = b.as_of AND e.src = b.node"
              f" WHERE NOT EXISTS (SELECT 1 FROM ({_prev}) p WHERE p.as_of = b.as_of AND p.node = e.dst) GROUP BY b.as_of, e.dst)")
-_ALL = " UNION ALL ".join(f"SELECT * FROM b{j}" for j in range(7))
+_ALL = " UNION ALL ".join(f"SELECT * FROM b{j}" for j in range(_DEEPEST + 1))
 
 
-@query("G17 G18", f"WITH e AS ({_SUP}), {_BFS} SELECT {DAY}, node, depth, array_to_string(route, '>') AS route FROM ({_ALL})")
+@query("G17 G18", f"""WITH e AS ({_SUP}), {_BFS} SELECT {DAY}, node, depth, array_to_string(route, '>') AS route FROM ({_ALL})
+  UNION ALL SELECT DISTINCT {DAY}, node, 0, node FROM (SELECT as_of, src AS node FROM e UNION SELECT as_of, dst FROM e) n WHERE NOT EXISTS (SELECT 1 FROM ({_ALL}) a WHERE a.as_of = n.as_of AND a.node = n.node)""")
 def supply_layers(v: Views):
-    """Breadth-first layers of the supply network from companies nobody supplies, with one shortest route each."""
+    """Breadth-first layers of the supply network from companies nobody supplies, with one shortest route each; who is not reached stands in layer 0."""
     e = g.stored_steps(v).where("shock = 'supply'").select("as_of", "src", "dst")
     roots = e.select("as_of", F.col("src").alias("node")).distinct().join(e.select("as_of", F.col("dst").alias("node")), ["as_of", "node"], "left_anti")
-    return shortest_routes(e, roots, ["as_of"], max_rounds=6).select(day(), "node", "depth", F.array_join("route", ">").alias("route"))
+    found = shortest_routes(e, roots, ["as_of"])
+    nodes = e.select("as_of", F.explode(F.array("src", "dst")).alias("node")).distinct().join(found, ["as_of", "node"], "left_anti")
+    every = found.unionByName(nodes.select("as_of", "node", F.lit(0).alias("depth"), F.array("node").alias("route")))
+    return every.select(day(), "node", "depth", F.array_join("route", ">").alias("route"))
 
 
 @query("G15", """WITH RECURSIVE p AS (SELECT 'S' || s_suppkey AS node, CASE WHEN s_suppkey > 0 THEN 'S' || (s_suppkey // 3) END AS parent FROM supplier),
-  a AS (SELECT node, parent AS ancestor, 1 AS depth FROM p WHERE parent IS NOT NULL UNION ALL SELECT a.node, p.parent, depth + 1 FROM a JOIN p ON p.node = a.ancestor WHERE p.parent IS NOT NULL AND depth < 5)
+  a AS (SELECT node, parent AS ancestor, 1 AS depth FROM p WHERE parent IS NOT NULL UNION ALL SELECT a.node, p.parent, depth + 1 FROM a JOIN p ON p.node = a.ancestor WHERE p.parent IS NOT NULL)
   SELECT * FROM a""")
 def parent_chain(v: Views):
-    """Ancestors over the parent pointer, at most five levels."""
+    """All ancestors over the parent pointer."""
     key = F.col("s_suppkey")
     parents = v.table("supplier").select(F.concat(F.lit("S"), key).alias("node"),
                                          F.when(key > 0, F.concat(F.lit("S"), F.floor(key / 3))).alias("parent"))

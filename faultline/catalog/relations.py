@@ -16,7 +16,7 @@ from faultline.plans import relations as rl
 add_view("rel_a", """SELECT 'S' || l_suppkey AS company_id, CASE l_linestatus WHEN 'F' THEN 'downstream' ELSE 'upstream' END AS direction, CAST(year(l_shipdate) AS INT) AS year,
   CASE l_returnflag WHEN 'R' THEN '预计额度（上限）' WHEN 'A' THEN '上年实际发生' ELSE '期末余额' END AS amount_type, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_c,
   o_custkey, CASE WHEN l_linenumber % 2 = 0 THEN c_name ELSE c_name || ' Trading' END AS counterparty, l_linenumber AS item, l_discount AS share, CAST(l_shipdate AS DATE) AS available_from
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_tax >= 0.05""")
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""")
 add_view("rel_b", """SELECT 'S' || (o_custkey % (SELECT count(*) FROM supplier)) AS company_id, 'upstream' AS direction, CAST(year(o_orderdate) AS INT) AS year, '采购额' AS amount_type,
   CAST(round(o_totalprice * 100) AS BIGINT) AS amount_c, o_custkey, c_name AS counterparty, 0 AS item, NULL::DOUBLE AS share, CAST(o_orderdate AS DATE) AS available_from FROM orders JOIN customer ON o_custkey = c_custkey""")
 _KEY = ["company_id", "direction", "counterparty", "year", "amount_type", "amount_c"]
@@ -30,7 +30,7 @@ def relations(v: Views) -> DataFrame:
         c = F.col
         orders = v.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(
             v.table("customer").select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"))
-        a = v.table("lineitem").where("l_tax >= 0.05").join(orders, c("l_orderkey") == c("o_orderkey")).select(
+        a = v.table("lineitem").join(orders, c("l_orderkey") == c("o_orderkey")).select(
             F.concat(F.lit("S"), "l_suppkey").alias("company_id"), F.when(c("l_linestatus") == "F", "downstream").otherwise("upstream").alias("direction"),
             F.year("l_shipdate").alias("year"), F.when(c("l_returnflag") == "R", rules.PLANNED_CAP).when(c("l_returnflag") == "A", "上年实际发生").otherwise("期末余额").alias("amount_type"),
             cents(c("l_extendedprice")).alias("amount_c"), F.when(c("l_linenumber") % 2 == 0, c("c_name")).otherwise(F.concat("c_name", F.lit(" Trading"))).alias("counterparty"),
@@ -69,23 +69,33 @@ def relation_summary(v: Views):
     return rl.summary(r)
 
 
-@query("J13 G16", """SELECT a.company_id, a.direction, a.counterparty, coalesce(max(b.counterparty), any_value(a.counterparty)) AS label FROM (SELECT DISTINCT company_id, direction, counterparty FROM rel_a) a
-  LEFT JOIN (SELECT DISTINCT company_id, direction, counterparty FROM rel_a) b ON a.company_id = b.company_id AND a.direction = b.direction AND length(b.counterparty) > length(a.counterparty) AND contains(b.counterparty, a.counterparty) GROUP BY a.company_id, a.direction, a.counterparty""")
+# customers 3k, 3k + 1 and 3k + 2 are one entity under their plain names; trading names are known by their text only
+_CUST = "CAST(regexp_extract(counterparty, '[0-9]+') AS BIGINT)"
+
+
+@query("J13 G16", f"""WITH n AS (SELECT DISTINCT company_id, direction, counterparty, {_CUST} AS cust, counterparty LIKE '% Trading' AS trading FROM rel),
+  k AS (SELECT n.*, CASE WHEN trading AND NOT EXISTS (SELECT 1 FROM n m WHERE m.company_id = n.company_id AND m.direction = n.direction AND m.cust = n.cust AND NOT m.trading)
+    THEN 't' || cust ELSE 'e' || (cust // 3) END AS comp FROM n)
+  SELECT company_id, direction, counterparty, first_value(counterparty) OVER (PARTITION BY company_id, direction, comp ORDER BY length(counterparty) DESC, counterparty DESC) AS label FROM k""")
 def linked_names(v: Views):
-    """Names of one company and direction that contain each other are one counterparty, labelled by the longest."""
+    """Names of one company and direction that contain each other or share an entity are one counterparty, labelled by the longest."""
     by = ["company_id", "direction"]
-    names = relations(v).where("src = 1").select(*by, "counterparty").distinct()
-    return rl.link_names(names, by, "counterparty").select(*by, "counterparty", "label")
+    cust = F.regexp_extract("counterparty", "[0-9]+", 0).cast("bigint")
+    names = relations(v).select(*by, "counterparty", F.when(~F.col("counterparty").endswith(" Trading"), F.floor(cust / 3)).alias("entity")).distinct()
+    return rl.link_names(names, by, "counterparty", entity="entity").select(*by, "counterparty", "label")
 
 
-@query("J19", """SELECT q.id, r.counterparty_key AS found FROM (SELECT c_custkey AS id, c_name || ' Trading Co' AS wanted FROM customer) q JOIN (SELECT DISTINCT counterparty_key FROM rel_keyed WHERE company_id = 'S1' AND direction = 'upstream') r
-  ON contains(q.wanted, r.counterparty_key) OR contains(r.counterparty_key, q.wanted)""")
+@query("J19", """WITH q AS (SELECT c_custkey AS id, 'S' || (c_custkey % (SELECT count(*) FROM supplier)) AS company_id, upper(c_name) || ' Trading Co' AS wanted FROM customer)
+  SELECT DISTINCT q.id, q.company_id, r.direction, r.counterparty_key AS found FROM q JOIN rel_keyed r ON r.company_id = q.company_id AND (contains(lower(q.wanted), lower(r.counterparty_key)) OR contains(lower(r.counterparty_key), lower(q.wanted)))""")
 def counterparty_lookup(v: Views):
-    """Counterparties found by a name that contains theirs or is contained in it."""
-    want = v.table("customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" Trading Co")).alias("wanted"))
-    have = relations(v).where("company_id = 'S1' and direction = 'upstream'").select(F.regexp_replace("counterparty", " Trading$", "").alias("found")).distinct()
-    pairs = (contains_pairs(have, want, [], "found", "wanted", gram=4).unionByName(contains_pairs(want, have, [], "wanted", "found", gram=4))).distinct()
-    return want.join(pairs, "wanted").select("id", "found")
+    """Counterparties of the company asked for, found by a normalised name that contains theirs or is contained in it."""
+    n = F.broadcast(v.table("supplier").agg(F.count("*").alias("_n")))                          # one row
+    want = v.table("customer").join(n, F.lit(True)).select(F.col("c_custkey").alias("id"), F.concat(F.lit("S"), F.col("c_custkey") % F.col("_n")).alias("company_id"),
+                                                           F.lower(F.concat(F.upper("c_name"), F.lit(" Trading Co"))).alias("wanted"))
+    have = relations(v).select("company_id", "direction", F.regexp_replace("counterparty", " Trading$", "").alias("found")).distinct().withColumn("name", F.lower("found"))
+    asked, known = want.select("wanted").distinct(), have.select("name").distinct()
+    pairs = contains_pairs(known, asked, [], "name", "wanted").unionByName(contains_pairs(asked, known, [], "wanted", "name")).distinct()
+    return want.join(pairs, "wanted").join(have, ["company_id", "name"]).select("id", "company_id", "direction", "found").distinct()
 
 
 @query("A12", f"""SELECT {DAY}, company, partner, round(sum(amount_wan) / 1e4, 6) AS amount_yi, count(*) AS edges, array_to_string(list_sort(list_distinct(list(edge_type))), ',') AS relations,

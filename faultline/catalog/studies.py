@@ -101,7 +101,8 @@ def predictors(v: Views) -> DataFrame:
     return t.unpivot(["as_of", "year", "code", "y1"], ["score", "debt_ratio", "net_margin", "prior_loss"], "predictor", "s")
 
 
-DRAWS = 40
+#: Draws as published: resampled companies, and permutations.
+DRAWS, PERMUTATIONS = 2_000, 10_000
 _N = "(SELECT count(*) FROM (SELECT DISTINCT code FROM panel))"
 
 
@@ -114,7 +115,7 @@ _N = "(SELECT count(*) FROM (SELECT DISTINCT code FROM panel))"
 def bootstrap_interval(v: Views):
     """Percentile interval of the AUC, resampling companies with all their dates; multiplicities instead of copies."""
     codes = panel(v).select("code").distinct().withColumn("_g", F.lit(1))
-    numbered = stats.shuffled_position(codes, ["_g"], "code", "_k").select("code", (F.col("_k") - 1).alias("i"))
+    numbered = stats.shuffled_position(codes, ["_g"], "code", "_k", chars=6).select("code", (F.col("_k") - 1).alias("i"))
     n = numbered.agg(F.count("*").alias("_n"))                                              # one row
     pick = (stats.with_draws(numbered.select("i"), DRAWS, F.col("i")).join(F.broadcast(n), F.lit(True))
             .select("draw", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % F.col("_n")).alias("i")).groupBy("draw", "i").agg(F.count("*").alias("w")))
@@ -142,13 +143,13 @@ def stratified_excess(v: Views):
 @query("V6", f"""WITH st AS (SELECT as_of, peer_group, count(*) AS n, count(CASE WHEN exposed THEN 1 END) AS e, count(CASE WHEN y1 THEN 1 END) AS k, count(CASE WHEN exposed AND y1 THEN 1 END) AS x FROM exposed_panel GROUP BY ALL),
   sup AS (SELECT st.as_of, st.peer_group, st.n, st.e, st.k, s.v, exp({_LNC('k', 's.v')} + {_LNC('(n - k)', '(e - s.v)')} - {_LNC('n', 'e')}) AS pr FROM st, generate_series(0, (SELECT max(n) FROM st)) s(v) WHERE s.v >= greatest(0, e + k - n) AND s.v <= least(e, k)),
   cdf AS (SELECT *, sum(pr) OVER (PARTITION BY as_of, peer_group ORDER BY v) AS c FROM sup),
-  u AS (SELECT draw, st.*, CAST('0x' || substr(md5(draw || '|' || as_of || '|' || peer_group), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM st, generate_series(1, 200) d(draw)),
+  u AS (SELECT draw, st.*, CAST('0x' || substr(md5(draw || '|' || as_of || '|' || peer_group), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM st, generate_series(1, {PERMUTATIONS}) d(draw)),
   pick AS (SELECT u.draw, u.as_of, u.peer_group, u.n, u.e, u.k, min(c.v) AS v FROM u JOIN cdf c ON c.as_of = u.as_of AND c.peer_group = u.peer_group AND (c.c >= u.u OR c.v = least(u.e, u.k)) GROUP BY ALL),
   s AS (SELECT draw, sum(v - e * k / n) AS s FROM pick GROUP BY draw), o AS (SELECT sum(x - e * k / n) AS observed FROM st)
-  SELECT round(any_value(observed), 6) AS observed, count(CASE WHEN s >= observed - 1e-9 THEN 1 END) AS hits, round((1 + count(CASE WHEN s >= observed - 1e-9 THEN 1 END)) / 201, 6) AS p FROM s, o""")
+  SELECT round(any_value(observed), 6) AS observed, count(CASE WHEN s >= observed - 1e-9 THEN 1 END) AS hits, round((1 + count(CASE WHEN s >= observed - 1e-9 THEN 1 END)) / {PERMUTATIONS + 1}, 6) AS p FROM s, o""")
 def stratified_permutation(v: Views):
     st = stats.stratified_statistic(exposed_panel(v), ["as_of", "peer_group"], "exposed", "y1")
-    return stats.permutation_p(st, ["as_of", "peer_group"], 200).select(F.round("observed", 6).alias("observed"), "hits", F.round("p", 6).alias("p"))
+    return stats.permutation_p(st, ["as_of", "peer_group"], PERMUTATIONS).select(F.round("observed", 6).alias("observed"), "hits", F.round("p", 6).alias("p"))
 
 
 add_view("xy", """SELECT m.as_of, m.code, m.debt_ratio AS x, m.vol_20d AS y FROM metrics_all m WHERE m.debt_ratio IS NOT NULL AND m.vol_20d IS NOT NULL""")
@@ -164,19 +165,19 @@ def rank_correlation(v: Views):
     return stats.spearman(xy(v), ["as_of"], "x", "y").select(day(), F.round("rho", 6).alias("rho"), "n")
 
 
-@query("V8", f"""WITH sh AS (SELECT draw, as_of, rx, ry, row_number() OVER (PARTITION BY draw, as_of ORDER BY code) AS i, row_number() OVER (PARTITION BY draw, as_of ORDER BY md5(draw || '|' || code)) AS j FROM xy_ranks, generate_series(1, 60) d(draw)),
+@query("V8", f"""WITH sh AS (SELECT draw, as_of, rx, ry, row_number() OVER (PARTITION BY draw, as_of ORDER BY code) AS i, row_number() OVER (PARTITION BY draw, as_of ORDER BY md5(draw || '|' || code)) AS j FROM xy_ranks, generate_series(1, {PERMUTATIONS}) d(draw)),
   d AS (SELECT a.draw, a.as_of, corr(a.rx, b.ry) AS rho FROM sh a JOIN sh b ON a.draw = b.draw AND a.as_of = b.as_of AND a.i = b.j GROUP BY a.draw, a.as_of), o AS (SELECT as_of, corr(rx, ry) AS rho FROM xy_ranks GROUP BY as_of)
-  SELECT CAST(o.as_of AS VARCHAR) AS as_of, round(any_value(o.rho), 6) AS rho, count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END) AS hits, round((1 + count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END)) / 61, 6) AS p FROM o JOIN d USING (as_of) GROUP BY o.as_of""")
+  SELECT CAST(o.as_of AS VARCHAR) AS as_of, round(any_value(o.rho), 6) AS rho, count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END) AS hits, round((1 + count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END)) / {PERMUTATIONS + 1}, 6) AS p FROM o JOIN d USING (as_of) GROUP BY o.as_of""")
 def correlation_permutation(v: Views):
     """Permutation p of a rank correlation: y ranks dealt out in hash order, all draws at once."""
     r = with_average_rank(with_average_rank(xy(v), ["as_of"], "x", "rx").drop("n"), ["as_of"], "y", "ry").drop("n")
-    base = stats.shuffled_position(r, ["as_of"], "code", "i")
-    draws = stats.with_draws(base.select("as_of", "code", "ry"), 60, F.col("code"))
+    base = stats.shuffled_position(r, ["as_of"], "code", "i", chars=6)
+    draws = stats.with_draws(base.select("as_of", "code", "ry"), PERMUTATIONS, F.col("code"))
     dealt = stats.shuffled_position(draws, ["draw", "as_of"], "_h", "i").select("draw", "as_of", "i", "ry")
     rho = dealt.join(base.select("as_of", "i", "rx"), ["as_of", "i"]).groupBy("draw", "as_of").agg(F.corr("rx", "ry").alias("d"))
     seen = r.groupBy("as_of").agg(F.corr("rx", "ry").alias("rho"))
     hits = F.count_if(F.col("d") >= F.col("rho") - 1e-9)
-    return rho.join(seen, "as_of").groupBy(day(), "rho").agg(hits.alias("hits")).select("as_of", F.round("rho", 6).alias("rho"), "hits", F.round((1 + F.col("hits")) / F.lit(61), 6).alias("p"))
+    return rho.join(seen, "as_of").groupBy(day(), "rho").agg(hits.alias("hits")).select("as_of", F.round("rho", 6).alias("rho"), "hits", F.round((1 + F.col("hits")) / F.lit(PERMUTATIONS + 1), 6).alias("p"))
 
 
 @query("V13", f"""SELECT {DAY}, round(median(CASE WHEN exposed THEN score END), 6) AS exposed_median, round(median(CASE WHEN NOT exposed THEN score END), 6) AS other_median,
@@ -210,7 +211,7 @@ def wilson_intervals(v: Views):
     return d.select("source", "n", "ok", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query("V21", f"""SELECT code, CAST(date AS VARCHAR) AS date, tier IN ('weak', 'medium') AS rated_before, coalesce(rank <= 500, false) AS ranked_before, coalesce(evidence, false) AS evidence_before FROM (
+@query("V21", f"""SELECT code, CAST(date AS VARCHAR) AS date, tier IN ('weak', 'medium') AS rated_before, coalesce(rank <= 5, false) AS ranked_before, coalesce(evidence, false) AS evidence_before FROM (
   SELECT e.code, e.date, f.tier, (SELECT min(rank) FROM g_fsteps s WHERE s.as_of = e.as_of AND s.dst = e.code) AS rank, EXISTS (SELECT 1 FROM signals s WHERE s.entity_id = e.code AND s.date <= e.as_of AND s.severity IN ('medium', 'high')) AS evidence
   FROM (SELECT entity_id AS code, date, max(as_of) AS as_of FROM signals, dates WHERE signal_type = 'credit_event' AND severity = 'high' AND as_of < date GROUP BY ALL) e JOIN fragility f ON f.code = e.code AND f.as_of = e.as_of)""")
 def backtest_criteria(v: Views):
@@ -221,7 +222,7 @@ def backtest_criteria(v: Views):
     rank = finding_steps(v).groupBy("as_of", F.col("dst").alias("code")).agg(F.min("rank").alias("rank"))
     first = v.signals.where("severity in ('medium', 'high')").groupBy(F.col("entity_id").alias("code")).agg(F.min("date").alias("_first"))
     t = e.join(snapshot(v).select("as_of", "code", "tier"), ["as_of", "code"]).join(rank, ["as_of", "code"], "left").join(first, "code", "left")
-    return t.select("code", day("date"), F.col("tier").isin("weak", "medium").alias("rated_before"), F.coalesce(F.col("rank") <= 500, F.lit(False)).alias("ranked_before"),
+    return t.select("code", day("date"), F.col("tier").isin("weak", "medium").alias("rated_before"), F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("ranked_before"),
                     F.coalesce(F.col("_first") <= F.col("as_of"), F.lit(False)).alias("evidence_before"))
 
 
@@ -321,12 +322,12 @@ def shock_event_z(v: Views):
     return event_z(v).where("z is not null").select("event", F.round("z", 6).alias("z"))
 
 
-@query("V10", """WITH pool AS (SELECT idx, round(z, 9) AS z FROM zs WHERE z IS NOT NULL), d AS (SELECT draw, avg(z) AS m FROM (SELECT draw, z, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '|' || idx)) AS k FROM pool, generate_series(1, 100) t(draw)) WHERE k <= 8 GROUP BY draw),
+@query("V10", f"""WITH pool AS (SELECT idx, round(z, 9) AS z FROM zs WHERE z IS NOT NULL), d AS (SELECT draw, avg(z) AS m FROM (SELECT draw, z, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '|' || idx)) AS k FROM pool, generate_series(1, {PERMUTATIONS}) t(draw)) WHERE k <= 8 GROUP BY draw),
   o AS (SELECT avg(z) AS observed FROM (SELECT z FROM pool ORDER BY idx DESC LIMIT 8)) SELECT round(any_value(observed), 6) AS observed, count(CASE WHEN m >= observed - 1e-9 THEN 1 END) AS hits FROM o LEFT JOIN d ON true""")
 def placebo_permutation(v: Views):
     """Mean z of the latest eight events against eight drawn from the pool without replacement."""
     pool = event_z(v).where("z is not null").select("event", F.round("z", 9).alias("z"))
-    drawn = stats.shuffled_position(stats.with_draws(pool, 100, F.col("event")), ["draw"], "_h", "k").where("k <= 8").groupBy("draw").agg(F.avg("z").alias("m"))
+    drawn = stats.shuffled_position(stats.with_draws(pool, PERMUTATIONS, F.col("event")), ["draw"], "_h", "k").where("k <= 8").groupBy("draw").agg(F.avg("z").alias("m"))
     seen = pool.orderBy(F.desc("event")).limit(8).agg(F.avg("z").alias("observed"))              # the eight latest events, one row
     # one row per draw on the broadcast side
     return seen.join(F.broadcast(drawn), F.lit(True), "left").groupBy("observed").agg(F.count_if(F.col("m") >= F.col("observed") - 1e-9).alias("hits")).select(F.round("observed", 6).alias("observed"), "hits")

@@ -92,19 +92,26 @@ class Views:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Dated relations between suppliers met in the same order (an order has a handful of lines)."""
+        """Dated relations between parties met in neighbouring lines of an order (an order has a handful of lines).
+
+        Every pair of lines is a relation. Large open deals are between two companies; in the others one side is an
+        unlisted party, named after the part.
+        """
         line = self.table("lineitem").where(F.col("l_returnflag").isNotNull())
-        a = line.where((F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 30)).select(
-            "l_orderkey", "l_linenumber", "l_returnflag", "l_discount", F.col("l_suppkey").alias("s"),
+        a = line.select(
+            "l_orderkey", "l_linenumber", "l_returnflag", "l_discount", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("own"),
+            (F.col("l_quantity") >= 30).alias("large"), (F.col("l_linestatus") == "F").alias("done"),
             F.to_date("l_shipdate").alias("announcement_date"), cents(F.col("l_extendedprice")).alias("amount_c"))
-        b = line.where(F.col("l_linestatus") == "O").select(
+        b = line.select(
             "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), "l_returnflag", F.col("l_suppkey").alias("d"),
-            F.col("l_partkey").alias("goods"))
+            F.col("l_partkey").alias("goods"), (F.col("l_linestatus") == "O").alias("open"))
         e = a.join(b, ["l_orderkey", "l_linenumber", "l_returnflag"]).where(F.col("s") != F.col("d"))
+        both = F.col("done") & F.col("open")
         ann, guarantee = F.col("announcement_date"), F.col("l_returnflag") == "R"
         return e.select(
             F.when(guarantee, "guarantee").when(F.col("l_returnflag") == "N", "supply").otherwise("service").alias("edge_type"),
-            F.concat(F.lit("S"), "s").alias("src_id"), F.concat(F.lit("S"), "d").alias("dst_id"),
+            F.when(F.col("large") & ~both, F.concat(F.lit("U"), "own")).otherwise(F.concat(F.lit("S"), "s")).alias("src_id"),
+            F.when(~F.col("large"), F.concat(F.lit("U"), "goods")).otherwise(F.concat(F.lit("S"), "d")).alias("dst_id"),
             F.when(F.col("l_linenumber") == 1, "wholly_owned_subsidiary").when(F.col("l_linenumber") == 2, "controlled_subsidiary")
              .when(F.col("l_linenumber") == 3, "sister_company").otherwise("unrelated").alias("relationship"),
             (F.col("amount_c") / 100.0).alias("amount_wan"), ann.alias("announcement_date"),
@@ -152,7 +159,8 @@ SQL = {
         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / sum(l_quantity) AS close
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
     "edges": """SELECT CASE a.l_returnflag WHEN 'R' THEN 'guarantee' WHEN 'N' THEN 'supply' ELSE 'service' END AS edge_type,
-        'S' || a.l_suppkey AS src_id, 'S' || b.l_suppkey AS dst_id,
+        CASE WHEN a.l_quantity >= 30 AND NOT (a.l_linestatus = 'F' AND b.l_linestatus = 'O') THEN 'U' || a.l_partkey ELSE 'S' || a.l_suppkey END AS src_id,
+        CASE WHEN a.l_quantity < 30 THEN 'U' || b.l_partkey ELSE 'S' || b.l_suppkey END AS dst_id,
         CASE a.l_linenumber WHEN 1 THEN 'wholly_owned_subsidiary' WHEN 2 THEN 'controlled_subsidiary' WHEN 3 THEN 'sister_company'
           ELSE 'unrelated' END AS relationship,
         CAST(round(a.l_extendedprice * 100) AS BIGINT) / CAST(100.0 AS DOUBLE) AS amount_wan,
@@ -162,7 +170,7 @@ SQL = {
           ELSE INTERVAL 12 MONTH END ELSE make_date(year(a.l_shipdate), 12, 31) END AS DATE) AS valid_to
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
          AND a.l_returnflag = b.l_returnflag
-        WHERE a.l_linestatus = 'F' AND a.l_quantity >= 30 AND b.l_linestatus = 'O' AND a.l_suppkey <> b.l_suppkey""",
+        WHERE a.l_suppkey <> b.l_suppkey""",
     "signals0": """SELECT event_id, 'S' || user_id AS entity_id, value,
         CAST(DATE '1995-06-01' + CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 80 + hour(ts) * 3 AS INT) AS DATE) AS date,
         CASE event_type WHEN 'error' THEN 'credit_event' WHEN 'click' THEN 'supply_disruption' WHEN 'view' THEN 'guarantee_balance'

@@ -80,7 +80,7 @@ def hedging_kind(title: Column) -> Column:
 
 
 def agreement_end(text: Column) -> Column:
-    """End of the framework agreement a text states: explicit dates or a span of years, at most three years long,
+    """End of the framework agreement a text states: explicit dates or a span of different years, at most three years long,
     the latest end wins."""
     part = lambda m, p, i: F.regexp_extract(m, p, i).try_cast("int")
     e, s = rules.AGREEMENT_EXPLICIT, rules.AGREEMENT_YEARS
@@ -88,6 +88,7 @@ def agreement_end(text: Column) -> Column:
         F.make_date(part(m, e, 1), part(m, e, 2), part(m, e, 3)).alias("a"), F.make_date(part(m, e, 4), part(m, e, 5), part(m, e, 6)).alias("b")))
     years = F.transform(F.regexp_extract_all(text, F.lit(s), F.lit(0)), lambda m: F.struct(
         F.make_date(part(m, s, 1), F.lit(1), F.lit(1)).alias("a"), F.make_date(part(m, s, 2), F.lit(12), F.lit(31)).alias("b")))
+    years = F.filter(years, lambda x: F.year(x["b"]) > F.year(x["a"]))
     days = lambda x: F.datediff(x["b"], x["a"])
     return F.array_max(F.transform(F.filter(F.concat(dated, years), lambda x: (days(x) > 0) & (days(x) <= 3 * 366 + 2)), lambda x: x["b"]))
 

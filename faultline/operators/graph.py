@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 from faultline.session import cut_lineage
 
 
-def shortest_routes(edges: DataFrame, roots: DataFrame, by: list[str], max_rounds: int | None = None) -> DataFrame:
+def shortest_routes(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, depth, route): breadth-first from the roots, one route per node (the smallest of equal length).
 
-    edges: by, src, dst. Stops when a round reaches nobody new, or after ``max_rounds``.
+    edges: by, src, dst. Stops when a round reaches nobody new.
     """
     edges = cut_lineage(edges.select(*by, "src", "dst").distinct())
     frontier = cut_lineage(roots.select(*by, "node").distinct()
                            .select(*by, "node", F.lit(0).alias("depth"), F.array("node").alias("route")))
     seen = frontier
     depth = 0
-    while max_rounds is None or depth < max_rounds:
+    while True:
         depth += 1
         step = (frontier.join(edges.withColumnRenamed("src", "node"), [*by, "node"])
                 .select(*by, F.col("dst").alias("node"), F.array_append("route", F.col("dst")).alias("route"))
@@ -29,16 +29,17 @@ def shortest_routes(edges: DataFrame, roots: DataFrame, by: list[str], max_round
     return seen
 
 
-def ancestors(parents: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(node, ancestor, depth) over a parent pointer; a chain stops at a node it has already passed."""
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) over a parent pointer, up to the last ancestor; a chain stops at a node it has already passed."""
     p = parents.where("parent is not null").select(F.col("node").alias("_c"), F.col("parent").alias("_p"))
-    level = p.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("depth"),
-                     F.array("_c", "_p").alias("_seen")).where("node <> ancestor")
+    p = cut_lineage(p)
+    level = cut_lineage(p.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("depth"),
+                                 F.array("_c", "_p").alias("_seen")).where("node <> ancestor"))
     out = level
-    for depth in range(2, max_depth + 1):
-        level = (level.join(p, level["ancestor"] == p["_c"]).where(~F.array_contains("_seen", F.col("_p")))
-                 .select("node", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth"),
-                         F.array_append("_seen", F.col("_p")).alias("_seen")))
+    while not level.isEmpty():
+        step = level.join(p, level["ancestor"] == p["_c"]).where(~F.array_contains("_seen", F.col("_p")))
+        level = cut_lineage(step.select("node", F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"),
+                                        F.array_append("_seen", F.col("_p")).alias("_seen")))
         out = out.unionByName(level)
     return out.drop("_seen")
 

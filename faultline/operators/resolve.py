@@ -8,21 +8,26 @@ from faultline.operators.asof import _day
 
 
 def contains_pairs(needles: DataFrame, hay: DataFrame, by: list[str], needle: str, text: str, gram: int = 4) -> DataFrame:
-    """(by, needle, text) with ``needle`` inside ``text``, for needles of at least ``gram`` characters.
+    """(by, needle, text) with ``needle`` inside ``text``, for needles of any length but zero.
 
-    Every needle is looked up by its rarest substring of ``gram`` characters, so frequent substrings never
-    become join keys; the candidates are then checked. Both inputs hold distinct values per ``by``.
+    A needle of ``gram`` characters or more is looked up by its rarest substring of that length, so frequent substrings
+    never become join keys, and the texts keep only substrings that some needle was given; the candidates are then checked.
+    Shorter needles are equal to a substring of their own length. Values are distinct per ``by`` before anything is cut.
     """
-    def grams(df, col):
-        spots = F.sequence(F.lit(1), F.length(col) - gram + 1)
-        return (df.where(F.length(col) >= gram)
-                .select(*by, col, F.explode(F.array_distinct(F.transform(spots, lambda i: F.substring(F.col(col), i, F.lit(gram))))).alias("_g")))
+    def grams(df, col, size):
+        spots = F.sequence(F.lit(1), F.length(col) - size + 1)
+        return (df.where(F.length(col) >= size)
+                .select(*by, col, F.explode(F.array_distinct(F.transform(spots, lambda i: F.substring(F.col(col), i, F.lit(size))))).alias("_g")))
 
-    n = grams(needles.select(*by, needle).distinct(), needle)
-    h = grams(hay.select(*by, text).distinct(), text).join(n.select(*by, "_g").distinct(), [*by, "_g"], "left_semi")
+    names, texts = needles.select(*by, needle).distinct(), hay.select(*by, text).distinct()
+    n, h = grams(names, needle, gram), grams(texts, text, gram)
     freq = h.groupBy(*by, "_g").agg(F.count("*").alias("_f"))
-    anchor = (n.join(freq, [*by, "_g"]).groupBy(*by, needle).agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g")))
-    return (anchor.join(h, [*by, "_g"]).where(F.contains(F.col(text), F.col(needle))).select(*by, needle, text))
+    anchor = n.join(freq, [*by, "_g"]).groupBy(*by, needle).agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g"))
+    found = anchor.join(h, [*by, "_g"]).where(F.contains(F.col(text), F.col(needle))).select(*by, needle, text)
+    for size in range(1, gram):
+        short = names.where(F.length(needle) == size).withColumn("_g", F.col(needle))
+        found = found.unionByName(short.join(grams(texts, text, size), [*by, "_g"]).select(*by, needle, text))
+    return found
 
 
 def resolve_names(names: DataFrame, entities: DataFrame, tokens: DataFrame) -> DataFrame:

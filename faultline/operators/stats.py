@@ -18,10 +18,17 @@ def ln_choose(n: Column, k: Column) -> Column:
     return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
 
 
+def spread(rows: DataFrame, lo: str, hi: str, out: str, chunk: int = 4096) -> DataFrame:
+    """A row for each whole number from ``lo`` to ``hi``, by way of chunks, so that no row holds the whole range."""
+    starts = rows.withColumn("_c", F.explode(F.sequence(F.floor(F.col(lo) / chunk).cast("bigint"), F.floor(F.col(hi) / chunk).cast("bigint"))))
+    inside = F.sequence(F.greatest(F.col("_c") * chunk, F.col(lo).cast("bigint")), F.least(F.col("_c") * chunk + chunk - 1, F.col(hi).cast("bigint")))
+    return starts.where(F.col(lo) <= F.col(hi)).withColumn(out, F.explode(inside)).drop("_c")
+
+
 def fisher_greater(tables: DataFrame, by: list[str], a: str, b: str, c: str, d: str) -> DataFrame:
     """(by, p): one-sided exact p of 2×2 tables, the tail spread over rows."""
     n1, n2, k = F.col(a) + F.col(b), F.col(c) + F.col(d), F.col(a) + F.col(c)
-    t = tables.select(*by, n1.alias("_n1"), n2.alias("_n2"), k.alias("_k"), F.explode(F.sequence(F.col(a), F.least(n1, k))).alias("_x"))
+    t = spread(tables.select(*by, n1.alias("_n1"), n2.alias("_n2"), k.alias("_k"), F.col(a).alias("_lo"), F.least(n1, k).alias("_hi")), "_lo", "_hi", "_x")
     n1, n2, k, x = F.col("_n1"), F.col("_n2"), F.col("_k"), F.col("_x")
     term = F.exp(ln_choose(n1, x) + ln_choose(n2, k - x) - ln_choose(n1 + n2, k))
     return t.where(k - x <= n2).withColumn("_t", term).groupBy(*by).agg(F.sum("_t").alias("p"))
@@ -47,9 +54,9 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, least: int = 3) ->
     return r.groupBy(*by).agg(F.when(F.count("*") >= least, F.corr("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
 
 
-def shuffled_position(rows: DataFrame, by: list[str], hash_: str, out: str) -> DataFrame:
-    """1-based position in hash order; the leading characters of the hash cut a group into even buckets."""
-    r = rows.withColumn("_hb", text_bucket(F.col(hash_), 3))
+def shuffled_position(rows: DataFrame, by: list[str], hash_: str, out: str, chars: int = 3) -> DataFrame:
+    """1-based position in the order of a hash (or another text); its first ``chars`` characters cut a group into buckets."""
+    r = rows.withColumn("_hb", text_bucket(F.col(hash_), chars))
     ahead = (r.groupBy(*by, "_hb").agg(F.count("*").alias("_c"))
              .withColumn("_skip", F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy("_hb").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c"))
     return (r.join(ahead, [*by, "_hb"]).withColumn(out, F.col("_skip") + F.row_number().over(W.partitionBy(*by, "_hb").orderBy(hash_))).drop("_hb", "_skip"))
@@ -75,12 +82,17 @@ def permutation_p(strata: DataFrame, stratum: list[str], draws: int) -> DataFram
     takes one number per stratum from that distribution (by a hash between 0 and 1) instead of moving rows.
     """
     lo = F.greatest(F.lit(0), F.col("e") + F.col("k") - F.col("n")).cast("bigint")
-    support = strata.select(*stratum, "n", "e", "k", F.explode(F.sequence(lo, F.least("e", "k"))).alias("x"))
+    support = spread(strata.select(*stratum, "n", "e", "k", lo.alias("_lo"), F.least("e", "k").alias("_hi")), "_lo", "_hi", "x").drop("_lo")
     prob = F.exp(ln_choose(F.col("k"), F.col("x")) + ln_choose(F.col("n") - F.col("k"), F.col("e") - F.col("x")) - ln_choose(F.col("n"), F.col("e")))
-    cdf = support.withColumn("_p", prob).withColumn("cdf", F.sum("_p").over(W.partitionBy(*stratum).orderBy("x")))
+    cdf = _running(support.withColumn("_p", prob), stratum, "x", "_p")
     key = F.concat_ws("|", *[F.col(s).cast("string") for s in stratum])
     u = with_draws(strata.select(*stratum, "n", "e", "k"), draws, key).withColumn("u", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12)))
-    pick = (u.join(cdf.select(*stratum, "x", "cdf"), stratum).where((F.col("cdf") >= F.col("u")) | (F.col("x") == F.least("e", "k")))
+    # a value owns the stretch of [0, 1) between its predecessor's sum and its own; stretches meet the draws on equal cells
+    top = F.when(F.col("x") == F.col("_hi"), F.lit(2.0)).otherwise(F.col("cdf"))
+    cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS)).cast("int")
+    held = (cdf.select(*stratum, "x", F.when(F.col("x") == F.greatest(F.lit(0), F.col("e") + F.col("k") - F.col("n")), F.lit(-1.0)).otherwise(F.col("cdf") - F.col("_p")).alias("_from"), top.alias("_to"))
+            .withColumn("_cell", F.explode(F.sequence(F.greatest(cell(F.col("_from") - 1e-12), F.lit(0)), F.greatest(cell(F.col("_to")), F.lit(0))))))
+    pick = (u.withColumn("_cell", cell(F.col("u"))).join(held, [*stratum, "_cell"]).where((F.col("_from") - 1e-12 < F.col("u")) & (F.col("u") <= F.col("_to")))
             .groupBy("draw", *stratum, "n", "e", "k").agg(F.min("x").alias("x")))
     drawn = pick.groupBy("draw").agg(F.sum(F.col("x") - F.col("e") * F.col("k") / F.col("n")).alias("s"))
     seen = strata.agg(F.sum("stat").alias("observed"))                      # one row
@@ -89,6 +101,18 @@ def permutation_p(strata: DataFrame, stratum: list[str], draws: int) -> DataFram
             .withColumn("p", (1 + F.col("hits")) / F.lit(1 + draws)))
 
 
+CELLS = 1024
+
+
+def _running(rows: DataFrame, by: list[str], order: str, value: str, chunk: int = 4096) -> DataFrame:
+    """Adds ``cdf``, the sum of ``value`` up to each row by whole number ``order``, through sums of chunks."""
+    r = rows.withColumn("_c", F.floor(F.col(order) / chunk))
+    base = r.groupBy(*by, "_c").agg(F.sum(value).alias("_s")).select(
+        *by, "_c", F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_base"))
+    inside = F.sum(value).over(W.partitionBy(*by, "_c").orderBy(order))
+    return r.withColumn("_in", inside).join(base, [*by, "_c"]).withColumn("cdf", F.col("_base") + F.col("_in")).drop("_c", "_in", "_base")
+
+
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     p = successes / n
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)

@@ -7,6 +7,7 @@ from faultline import rules
 from faultline.functions.scalars import lookup
 from faultline.operators.graph import connected_components
 from faultline.operators.resolve import contains_pairs
+from faultline.session import cut_lineage
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -15,15 +16,29 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     return rows.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_r")).select(*key, "_r.*")
 
 
-def link_names(names: DataFrame, by: list[str], name: str, shortest: int = 4) -> DataFrame:
-    """Names of one group that contain each other share the longest member as label."""
-    keys = names.where(F.length(name) >= shortest).select(*by, F.col(name).alias("a"))
-    pairs = contains_pairs(keys, names.select(*by, F.col(name).alias("b")), by, "a", "b", gram=shortest).where("a <> b")
-    # only names that contain each other go through the rounds; all others are their own label
+def link_names(names: DataFrame, by: list[str], name: str, shortest: int = 4, entity: str | None = None) -> DataFrame:
+    """Names of one group that contain each other, or share an entity id, have the longest member as label.
+
+    Containment is found once over the distinct names, whatever group they stand in; two equality joins then give the
+    pairs that meet in a group. Names shorter than ``shortest`` are found in no other. Members of an entity are linked to
+    its smallest name, so a large entity gives as many links as it has names.
+    """
+    each = cut_lineage(names.select(*by, name, *([entity] if entity else [])).distinct())
+    known = each.select(name).distinct()
+    inside = contains_pairs(known.where(F.length(name) >= shortest).select(F.col(name).alias("a")), known.select(F.col(name).alias("b")), [], "a", "b", gram=shortest)
+    inside = inside.where("a <> b")
+    in_group = each.select(*by, name).distinct()
+    pairs = (in_group.withColumnRenamed(name, "a").join(inside, "a")
+             .join(in_group.withColumnRenamed(name, "b"), [*by, "b"]).select(*by, "a", "b"))
+    if entity:
+        first = each.where(F.col(entity).isNotNull()).groupBy(*by, entity).agg(F.min(name).alias("a"))
+        same = each.join(first, [*by, entity]).select(*by, "a", F.col(name).alias("b")).where("a <> b")
+        pairs = pairs.unionByName(same)
+    # only names that are linked go through the rounds; all others are their own label
     comp = connected_components(pairs, by).withColumnRenamed("node", name)
     label = comp.groupBy(*by, "component").agg(F.max_by(name, F.struct(F.length(name), name)).alias("label"))
     linked = comp.join(label, [*by, "component"]).select(*by, name, "label")
-    return names.select(*by, name).join(linked, [*by, name], "left").withColumn("label", F.coalesce("label", name))
+    return in_group.join(linked, [*by, name], "left").withColumn("label", F.coalesce("label", name))
 
 
 def summary(rows: DataFrame) -> DataFrame:
