@@ -207,7 +207,7 @@ RULES = (("debt", "tion.{0,12}(ing|ment)"), ("freeze", "(the|les) .{0,10}(of|de)
 EXCLUDE = "worthless|buy now"
 
 
-@query("F9 F10 F12 T7", f"""SELECT kind, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT *, CASE WHEN regexp_matches(text, '{EXCLUDE}') THEN NULL
+@query("T7", f"""SELECT kind, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT *, CASE WHEN regexp_matches(text, '{EXCLUDE}') THEN NULL
   {" ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in RULES)} END AS kind FROM documents) GROUP BY kind, lang""")
 def rule_classifier(v: Views):
     """Ordered classifier with an exclusion rule over whole texts."""

@@ -183,7 +183,7 @@ def _tier_sql(total: str, weak: str) -> str:
             f"CASE WHEN {base} = 'strong' THEN 'medium' ELSE 'weak' END ELSE {base} END")
 
 
-@query("X25 P11", f"""SELECT {DAY}, code, total_score, tier AS official_tier, {", ".join(f"{_tier_sql('total_score', str(t))} AS threshold_{t}" for t in rules.SENSITIVITY_THRESHOLDS)},
+@query("X25", f"""SELECT {DAY}, code, total_score, tier AS official_tier, {", ".join(f"{_tier_sql('total_score', str(t))} AS threshold_{t}" for t in rules.SENSITIVITY_THRESHOLDS)},
   len(list_distinct([{", ".join(_tier_sql('total_score', str(t)) for t in rules.SENSITIVITY_THRESHOLDS)}])) = 1 AS stable FROM fragility""")
 def threshold_sensitivity(v: Views):
     s = snapshot(v)

@@ -127,3 +127,56 @@ def date_variants(day: Column) -> Column:
 def date_supported(day: Column, text: Column) -> Column:
     flat = F.translate(squeeze(text), "〇零ＯO", "○○○○")
     return F.exists(date_variants(day), lambda v: F.contains(squeeze(text), v) | F.contains(flat, v))
+
+
+def title_task(title: Column) -> Column:
+    return classify(title, rules.TITLE_TASKS, rules.TITLE_EXCLUDE)
+
+
+def page_task(text: Column) -> Column:
+    """The title area decides, and only if it says nothing the first pages do (the two windows are the rule itself)."""
+    return F.coalesce(*[classify(F.substring(text, 1, n), rules.PAGE_TASKS) for n in (300, 3000)])
+
+
+def product_of(item: Column) -> Column:
+    """Product of an item's name; names that stand for no product have none."""
+    name = F.trim(F.coalesce(item, F.lit("")))
+    return F.when(name != "", classify(name, [(p, words) for p, _, words in rules.PRODUCTS], rules.NOT_PRODUCT))
+
+
+def product_in(text: Column) -> Column:
+    """The first product of the table whose name or one of whose words stands in a text."""
+    found = F.lit(None).cast("string")
+    for product, name, words in reversed(rules.PRODUCTS):
+        found = F.when(F.contains(text, F.lit(name)) | text.rlike(words), product).otherwise(found)
+    return found
+
+
+def percent_move(text: Column) -> Column:
+    """Signed share of the first stated move, in percent, points or tenths; the word before it or else any word of falling decides the sign."""
+    word, value, unit = (F.regexp_extract(text, rules.MOVE, i) for i in (1, 2, 3))
+    size = value.cast("double") / F.when(unit == "成", 10).otherwise(100)
+    down = word.rlike(rules.DOWN) | ((word == "") & text.rlike(rules.DOWN))
+    return F.when(text.rlike(rules.MOVE), F.when(down, -size).otherwise(size))
+
+
+def question_route(text: Column, mention: str) -> Column:
+    """Intent of a question. ``mention``: pattern of a company's name.
+
+    Advice and questions about something else are unsupported. Company intents need a company, "today" none. If the company
+    stands after the verb of spreading, it is the one hit. A product with a move is a price question.
+    """
+    q = F.trim(text)
+    company, product, move = q.rlike(mention), product_in(q), percent_move(q)
+    intent = F.lit(None).cast("string")
+    for name, pattern in reversed(rules.INTENTS):
+        hit = q.rlike(pattern)
+        hit = hit & company if name in rules.COMPANY_INTENTS else hit & ~company if name == "today" else hit
+        intent = F.when(hit, name).otherwise(intent)
+    place = lambda p: F.length(F.regexp_extract(q, f"^(.*?)(?:{p})", 1))
+    after = (intent == "spread") & q.rlike(rules.SPREAD_VERBS) & (place(mention) > place(rules.SPREAD_VERBS))
+    intent = F.when(after, "exposure").otherwise(intent)
+    priced = product.isNotNull() & ((intent.isNull() & (move.isNotNull() | q.rlike(rules.PRICE_WORDS))) | ((intent == "today") & move.isNotNull()))
+    intent = F.when(priced, "price").otherwise(intent)
+    out = q.rlike(rules.ADVICE) | ~(company | product.isNotNull() | q.rlike(rules.DOMAIN))
+    return F.when(out, "unsupported").otherwise(F.coalesce(intent, F.when(company, "company"), F.lit("unsupported")))

@@ -92,3 +92,53 @@ BORDER_FACTOR = {2026: 0.025, 2027: 0.05, 2028: 0.10, 2029: 0.225, 2030: 0.485,
 AGREEMENT_EXPLICIT = (r"(?:有效期|期限)[^。；]{0,12}?自\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
                       r"[^。；]{0,12}?至\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日")
 AGREEMENT_YEARS = r"(\d{4})\s*(?:年度?)?\s*(?:至|-|–|—|~)\s*(\d{4})\s*年度?[^。；]{0,12}(?:关联交易|协议)"
+
+# ---- announcement titles (fixed patterns, first match wins)
+TITLE_TASKS = (
+    ("related_party", "日常关[联连]交易|日常经营相关的关[联连]交易|持续关[联连]交易|关[联连]交易(?:的)?(?:预计|框架|(?:补充)?协议|额度)"),
+    ("guarantee", "担保"),
+    ("capacity", "产能|投产|技术改造|技改|建设项目|检修|停产|项目.{0,6}(延期|终止|暂停)|高炉|转炉|电炉"),
+    ("pledge", "质押"),
+)
+TITLE_EXCLUDE = ("意见|核查|法律|独立董事|监事会|保荐|英文|摘要|问询|回复|更正|补充更正|取消|说明会|"
+                 "会议资料|决议|通知|制度|章程|激励|H股|海外监管|债券|跟踪评级|评级报告")
+PAGE_TASKS = (
+    ("related_party", "日常关[联连]交易|日常经营相关的关[联连]交易|持续关[联连]交易"),
+    ("pledge", "股份质押|质押(?:的)?(?:进展)?公告|解除质押|质押展期|补充质押"),
+    ("guarantee", "担保"),
+    ("capacity", "停产|检修|产能|投产|技术改造|技改|建设项目|高炉|转炉|电炉|项目"),
+)
+ACCOUNTING, ACCOUNTING_DAYS, HEDGE_MONTHS = "会计政策变更|会计估计变更|前期会计差错|差错更正|追溯调整", 365, 15
+
+# ---- products (fixed values): id, name, words; the first match wins
+NOT_PRODUCT = "其他|补充|合计|租赁|劳务|服务|贸易|物流|利息|内部抵消|抵销|分部间"
+PRODUCTS = (
+    ("P_IRON_ORE", "铁矿石", "铁矿|矿石|精矿|球团|矿粉"),
+    ("P_COKING_COAL", "焦煤", "焦煤|炼焦煤|原煤|煤炭|洗精煤"),
+    ("P_COKE", "焦炭", "焦炭|焦化"),
+    ("P_SCRAP", "废钢", "废钢"),
+    ("P_ALLOY", "铁合金与辅料", "铁合金|硅锰|硅铁|锰|钒|钛|耐火|耐材|石灰"),
+    ("P_SPECIAL", "特钢与不锈钢", "特钢|特殊钢|不锈|合金钢|轴承钢|齿轮钢|模具钢|工具钢|弹簧钢|高温合金|精密合金|钛合金"),
+    ("P_PIPE", "钢管", "钢管|管材|无缝|焊管|铸管|管道|管件"),
+    ("P_FLAT", "板材", "板材|板卷|板带|钢板|热轧|冷轧|中厚板|宽厚板|热带|带钢|镀锌|涂层|硅钢|卷板|薄板|中板|厚板|汽车板"),
+    ("P_LONG", "长材（建筑用钢）", "长材|螺纹|线材|高线|棒材|型钢|型材|建材|盘条|钢筋|圆钢|钢轨|H型"),
+    ("P_STEEL", "钢材（未细分品种）", "钢材|坯材|钢铁制造|钢铁业|钢铁行业|钢压延|黑色金属|炼钢轧钢"),
+    ("P_SEMI", "钢坯与生铁", "钢坯|方坯|板坯|生铁|铁水|钢锭"),
+)
+
+# ---- questions (fixed patterns, first match wins)
+ADVICE = "买入|卖出|抄底|荐股|推荐.{0,6}股|该不该买|买哪|哪只.{0,6}股|赚钱|股价|走势|涨停|目标价|仓位|加仓|减仓|多买|投资建议"
+DOMAIN = "钢|铁|焦|矿|煤|产业链|行业|企业|公司|厂|风险|预警|承压|担保|关联|公告|出口|关税|系统|你们|结论|验证|关注"
+INTENTS = (
+    ("document", "公告|上传|这份|文件|pdf|PDF"),
+    ("trust", "准不准|准确|可信|靠谱|验证|检验|回测|证据等级"),
+    ("export", "出口|关税|反倾销|退税|海外|境外"),
+    ("spread", "传给|传到谁|传导到哪|影响谁|影响哪些|波及|连累|拖累|殃及|出事.*谁|出问题.*谁|暴雷.*谁"),
+    ("exposure", "传到|来自|被.*影响|受.*影响|谁会影响|风险来源|哪些企业的风险|上游.*风险|被谁"),
+    ("ranking", "最弱|最差|最危险|风险最大|排名|排行|排第|第几|哪些.*(弱|危险)|前几|前十"),
+    ("today", "今天|今日|当前|现在|最近|最该|关注什么|预警"),
+)
+COMPANY_INTENTS = ("spread", "exposure")
+SPREAD_VERBS, PRICE_WORDS = "传给|影响谁|影响哪些|波及|连累|拖累|殃及", "涨|跌|价格|价"
+MOVE = r"(涨|上涨|上升|提高|增加|跌|下跌|下降|降低|减少|下调|上调)?\s*(\d+(?:\.\d+)?)\s*(%|％|个百分点|成)"
+DOWN = "跌|下跌|下降|降低|减少|下调"
