@@ -24,12 +24,21 @@ def nodes(v: Views) -> DataFrame:
 
 
 def build_nodes(v: Views) -> DataFrame:
-    """Suppliers of one region stand for unlisted parties: they have no rating."""
+    """Suppliers of one region stand for unlisted parent groups: they have no rating, but the listed members of a group of
+    the next nation give them a proxy."""
     rated = snapshot(v).select("as_of", "code", "tier", "total_score")
     c = v.companies.withColumn("as_of", F.explode(date_array(AS_OF))).withColumn("rated", F.col("peer_group") != "AFRICA")
-    return (c.join(rated, ["as_of", "code"], "left")
-                 .select("as_of", F.col("code").alias("node"), F.when(F.col("rated"), F.col("tier")).alias("tier"), "equity",
-                         F.col("rated").alias("listed"), "rated", "group_id", "industry", F.when(F.col("rated"), F.col("total_score")).alias("total_score")))
+    parts = F.split(F.substring(F.col("group_id"), 2, 40), "_")
+    parent_of = F.concat(F.lit("G"), (parts[0].cast("int") + 1) % 25, F.lit("_"), parts[1])
+    own = (c.join(rated, ["as_of", "code"], "left")
+           .select("as_of", F.col("code").alias("node"), F.when(F.col("rated"), F.col("tier")).alias("tier"), "equity",
+                         F.col("rated").alias("listed"), "rated", "group_id", "industry", F.when(F.col("rated"), F.col("total_score")).alias("total_score"),
+                         F.when(~F.col("rated"), parent_of).alias("proxy_of")))
+    return pg.with_proxies(own, proxies(v), BY).select("as_of", "node", "tier", "equity", "listed", "rated", "group_id", "industry", "total_score", "proxied")
+
+
+def proxies(v: Views) -> DataFrame:
+    return pg.group_proxies(snapshot(v).where("peer_group <> 'AFRICA'").select("as_of", "code", "total_score"), v.companies, BY)
 
 
 def industry_links(v: Views) -> DataFrame:
@@ -65,9 +74,15 @@ def findings(v: Views) -> DataFrame:
 
 # ------------------------------------------------------------------ SQL side
 add_view("g_edges", "SELECT d.as_of, e.* FROM edges e JOIN dates d ON valid_from <= as_of AND as_of <= valid_to")
-add_view("g_nodes", """SELECT d.as_of, c.code AS node, CASE WHEN c.peer_group <> 'AFRICA' THEN f.tier END AS tier, c.equity,
+add_view("g_proxy", """SELECT as_of, group_id, round(s, 1) AS proxy_score, CASE WHEN s >= 60 THEN 'weak' WHEN s >= 40 THEN 'medium' ELSE 'strong' END AS proxy_tier, members, top FROM (
+  SELECT as_of, group_id, round(coalesce(sum(total_score * w) / nullif(sum(w), 0), avg(total_score)), 6) AS s, count(*) AS members,
+    array_to_string(list(code ORDER BY w DESC, code)[:4], ',') AS top
+  FROM (SELECT f.as_of, f.code, c.group_id, f.total_score, CAST(greatest(c.equity, 0) AS DOUBLE) AS w FROM fragility f JOIN companies c USING (code)
+    WHERE f.total_score IS NOT NULL AND c.peer_group <> 'AFRICA') GROUP BY as_of, group_id)""")
+add_view("g_nodes", """SELECT d.as_of, c.code AS node, CASE WHEN c.peer_group <> 'AFRICA' THEN f.tier ELSE x.proxy_tier END AS tier, c.equity,
   c.peer_group <> 'AFRICA' AS rated, c.group_id, c.industry, CASE WHEN c.peer_group <> 'AFRICA' THEN f.total_score END AS total_score
-  FROM companies c CROSS JOIN dates d LEFT JOIN fragility f ON f.code = c.code AND f.as_of = d.as_of""")
+  FROM companies c CROSS JOIN dates d LEFT JOIN fragility f ON f.code = c.code AND f.as_of = d.as_of
+  LEFT JOIN g_proxy x ON c.peer_group = 'AFRICA' AND x.as_of = d.as_of AND x.group_id = 'G' || ((CAST(split_part(substr(c.group_id, 2), '_', 1) AS INT) + 1) % 25) || '_' || split_part(c.group_id, '_', 2)""")
 add_view("g_steps", """SELECT as_of, src, shock, dst, rule, round(sum(amount_wan), 4) AS amount_wan, count(*) AS rows,
   max({'a': coalesce(amount_wan, -1), 'e': source_doc || ' 第' || source_page || '页：' || evidence_text}).e AS evidence FROM (
   SELECT *, dst_id AS src, 'credit' AS shock, src_id AS dst, 'R1' AS rule FROM g_edges WHERE edge_type = 'guarantee'
@@ -184,11 +199,6 @@ def local_reach(v: Views):
     return pg.summarize(paths(v), BY)[1].select(day(), "seed", "parties", "amount_wan")
 
 
-@query("A6 A24", f"""SELECT {DAY}, group_id, round(s, 1) AS proxy_score, CASE WHEN s >= 60 THEN 'weak' WHEN s >= 40 THEN 'medium' ELSE 'strong' END AS proxy_tier, members, top FROM (
-  SELECT as_of, group_id, round(coalesce(sum(total_score * w) / nullif(sum(w), 0), avg(total_score)), 6) AS s, count(*) AS members,
-    array_to_string(list(code ORDER BY w DESC, code)[:4], ',') AS top
-  FROM (SELECT f.as_of, f.code, c.group_id, f.total_score, CAST(greatest(c.equity, 0) AS DOUBLE) AS w FROM fragility f JOIN companies c USING (code)
-    WHERE f.total_score IS NOT NULL) GROUP BY as_of, group_id)""")
+@query("A6 A24", f"SELECT {DAY}, group_id, proxy_score, proxy_tier, members, top FROM g_proxy")
 def group_proxies(v: Views):
-    return pg.group_proxies(snapshot(v).select("as_of", "code", "total_score"), v.companies, BY).select(
-        day(), "group_id", "proxy_score", "proxy_tier", "members", "top")
+    return proxies(v).select(day(), "group_id", "proxy_score", "proxy_tier", "members", "top")

@@ -30,6 +30,16 @@ def group_proxies(fragility: DataFrame, companies: DataFrame, by: list[str]) ->
             .join(top, [*by, "group_id"]))
 
 
+def with_proxies(nodes: DataFrame, proxies: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes whose tier, where they have none of their own, is the proxy of the group that ``proxy_of`` names.
+
+    Only parent groups name one. Leave the call out for a search without proxies.
+    """
+    p = proxies.select(*by, F.col("group_id").alias("proxy_of"), "proxy_tier")
+    return (nodes.join(p, [*by, "proxy_of"], "left").withColumn("tier", F.coalesce("tier", "proxy_tier"))
+            .withColumn("proxied", F.col("proxy_tier").isNotNull() & ~F.col("rated")).drop("proxy_tier"))
+
+
 def typed_steps(edges: DataFrame, by: list[str]) -> DataFrame:
     """Directed steps: guarantees run party → guarantor (credit), trades forward (supply) and back (credit).
 

@@ -32,6 +32,18 @@ def test_guarantee_continues_and_strong_absorbs(spark):
     assert shape(search(spark, edges, [node("A", "strong", 1e9), node("B", None)], [("B", "credit", "high")])) == {("B", (("R1", "A", "absorbed", "high"),))}
 
 
+def test_proxy_of_a_parent_group_absorbs_or_continues(spark):
+    """An unrated parent takes its members' tier in the search; without proxies it only weakens the path."""
+    e = spark.createDataFrame([(1, "supply", "A", "P", None, "doc", 1, "t", "disclosed"), (1, "supply", "P", "B", None, "doc", 1, "t", "disclosed")], EDGE)
+    base = spark.createDataFrame([(1, "A", "weak", 1e9, True, True, None, None), (1, "B", "weak", 1e9, True, True, None, None), (1, "P", None, None, False, False, None, None)], NODE)
+    n = base.withColumn("proxy_of", F.when(F.col("node") == "P", "G"))
+    seeds = spark.createDataFrame([(1, "A", "supply", "high")], SEED)
+    for tier, want in (("strong", (("R2", "P", "absorbed", "high"),)), ("weak", (("R2", "P", "continue", "high"), ("R2", "B", "continue", "high"))), (None, (("R2", "P", "weakened", "high"), ("R2", "B", "continue", "medium")))):
+        proxies = spark.createDataFrame([(1, "G", tier)] if tier else [], "g int, group_id string, proxy_tier string")
+        nodes = pg.with_proxies(n, proxies, ["g"])
+        assert shape(pg.enumerate_paths(seeds, pg.typed_steps(e, ["g"]), nodes, ["g"])) == {("A", want)}
+
+
 def test_small_amount_stops(spark):
     got = shape(search(spark, [("guarantee", "A", "B", 100.0)], [node("A", "weak", 1e11), node("B", None)], [("B", "credit", "high")]))
     assert got == {("B", (("R1", "A", "immaterial", "high"),))}
