@@ -76,15 +76,20 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(let(both, lambda n: n / (F.size(a) + F.size(b) - n))))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds the key of a document, ``d`` and ``h``: its doc_id (null: 0) and a hash of its text and of whether it has a doc_id."""
+    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "h": F.xxhash64("text", F.isnull("doc_id"))})
+
+
 def following(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, n_chars, next_id, next_h)``: the document after each by ascending doc_id, the first after the last.
+    """``(doc_id, d, h, n_chars, next_d, next_h)``: the document after each by ascending doc_id, the first after the last.
 
-    A document is a doc_id and a text (``h`` its 64-bit hash); null doc_ids come first, rows repeated in both count once.
+    A document is a doc_id and a text; null doc_ids come first, rows repeated in both count once.
     """
-    ids = docs.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n_chars")).distinct()
+    ids = keyed(docs).select("doc_id", "d", "h", F.char_length("text").cast("long").alias("n_chars")).distinct()
     ids = cut_lineage(common.numbered(ids, ["doc_id", "h", "n_chars"]))
     n = max(1, ids.count())
-    after = ids.select((F.pmod(F.col("idx") - 1, F.lit(n))).alias("idx"), F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"))
+    after = ids.select((F.pmod(F.col("idx") - 1, F.lit(n))).alias("idx"), F.col("d").alias("next_d"), F.col("h").alias("next_h"))
     return cut_lineage(ids.join(after, "idx").drop("idx"))
 
 
@@ -96,20 +101,21 @@ def edited(docs: DataFrame) -> DataFrame:
     document (all of it if it is shorter). Null texts count as empty. A single document is its own next one. Rows repeated
     with doc_id and text are one document to their neighbours and stay as often as they stand. Other columns are not read;
     an empty table gives none.
+
+    Texts are shuffled once, by their key; what the next document gives (a quarter and its signatures) is shuffled back.
     """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = following(whole)
-    key = F.struct("doc_id", "h").alias("k")                         # structs with nulls inside compare as equal
-    rows = whole.withColumn("h", F.xxhash64("text")).select(key, "text").withColumn("sigs", signatures(F.col("text")))
-    asked = order.select(F.struct(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h")).alias("k"), F.struct("doc_id", "h").alias("of"),
-                         "n_chars", F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"), F.expr("int(n_chars >= 0)").alias("first"))
-    # of rows repeated in doc_id and text only the first is asked; the order costs nothing, as the join sorts by the key anyway
-    nth = F.row_number().over(W.partitionBy("k").orderBy("k"))
-    given = (rows.withColumn("nth", nth).join(asked, "k").where("nth <= first")
-             .select(F.col("of").alias("k"), "n_chars", "quarter", F.expr("substring(text, 1, quarter)").alias("tail"), F.col("sigs").alias("next_sigs")))
-    both = rows.join(given, "k").select("k", "sigs", "next_sigs", "n_chars", F.concat(F.expr("substring(text, 1, cast(n_chars - quarter as int))"), "tail").alias("edited"))
+    rows = keyed(whole).select("d", "h", "text").withColumn("sigs", signatures(F.col("text")))
+    asked = order.select(F.col("next_d").alias("d"), F.col("next_h").alias("h"), F.col("d").alias("of_d"), F.col("h").alias("of_h"), "doc_id", "n_chars",
+                         F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"), F.expr("int(n_chars >= 0)").alias("first"))
+    # of rows repeated in doc_id and text only the first is asked; the number costs nothing, as the join sorts by the key anyway
+    nth = F.row_number().over(W.partitionBy("d", "h").orderBy("d", "h"))
+    given = (rows.withColumn("nth", nth).join(asked, ["d", "h"]).where("nth <= first")
+             .select(F.col("of_d").alias("d"), F.col("of_h").alias("h"), "doc_id", "n_chars", "quarter", F.expr("substring(text, 1, quarter)").alias("tail"), F.col("sigs").alias("next_sigs")))
+    both = rows.join(given, ["d", "h"]).select("doc_id", "sigs", "next_sigs", "n_chars", F.concat(F.expr("substring(text, 1, cast(n_chars - quarter as int))"), "tail").alias("edited"))
     both = both.withColumn("edited_sigs", signatures(F.col("edited")))
-    return both.select(F.col("k.doc_id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(F.col("sigs")).alias("fingerprint"),
+    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(F.col("sigs")).alias("fingerprint"),
                        digest(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
                        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").alias("signatures"))
 
