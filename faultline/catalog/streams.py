@@ -23,8 +23,30 @@ def events_stream(v: Views) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def signals_stream(v: Views) -> DataFrame:
-    s = events_stream(v)
+PARTS = 4
+_SECOND = "CAST(epoch(ts) AS BIGINT)"
+#: Part of each event by equal stretches of time; every fiftieth arrives two parts later.
+add_view("event_parts", f"""SELECT *, least({PARTS - 1}, part + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END) AS batch FROM (
+  SELECT e.*, ({_SECOND} - lo) * {PARTS} // (hi - lo + 1) AS part FROM events e, (SELECT min({_SECOND}) AS lo, max({_SECOND}) AS hi FROM events))""")
+
+
+def event_parts(v: Views, late: bool = True) -> DataFrame:
+    """The events as a stream of four files in the order of time, one file a batch, with some events that come late."""
+    path = folder(v, "parts")
+    e = v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    second = F.unix_timestamp("ts")
+    span = e.agg(F.min(second).alias("lo"), F.max(second).alias("hi"))                              # one row
+    part = F.floor((second - F.col("lo")) * PARTS / (F.col("hi") - F.col("lo") + 1))
+    delay = F.when((F.col("event_id") % 50 == 0) & F.lit(late), 2).otherwise(0)
+    batch = F.least(F.lit(PARTS - 1), part + delay)
+    cut = e.join(F.broadcast(span), F.lit(True)).withColumn("batch", batch).drop("lo", "hi")
+    for i in range(PARTS):                                           # one file each, in this order
+        cut.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(v.spark, path, e.schema, files_per_batch=1)
+
+
+def signals_stream(v: Views, s: DataFrame | None = None) -> DataFrame:
+    s = events_stream(v) if s is None else s
     day_ = F.date_add(F.lit("1995-06-01").cast("date"), F.datediff("ts", F.lit("2024-01-01")) * 80 + F.hour("ts") * 3)
     kind = (F.when(F.col("event_type") == "error", "credit_event").when(F.col("event_type") == "click", "supply_disruption").when(F.col("event_type") == "view", "guarantee_balance")
             .when(F.col("event_type") == "purchase", "credit_exposure").otherwise("share_pledge"))
@@ -40,9 +62,9 @@ def stream_intake(v: Views):
 
 @query("R2 R7", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type""")
 def stream_latest_state(v: Views):
-    """Upsert by key through increments; the newest version wins."""
-    path, s = folder(v, "latest"), events_stream(v).select("user_id", "event_type", "event_id", "value")
-    jobs.run_batches(s, jobs.upsert_latest(path, ["user_id", "event_type"], "event_id"), folder(v, "cp"))
+    """Upsert by key through increments over four batches, folded into a snapshot on the way; the newest version wins."""
+    path, s = folder(v, "latest"), event_parts(v).select("user_id", "event_type", "event_id", "value")
+    jobs.run_batches(s, jobs.upsert_latest(path, ["user_id", "event_type"], "event_id", every=3), folder(v, "cp"))
     return jobs.read_latest(v.spark, path, ["user_id", "event_type"], "event_id")
 
 
@@ -66,32 +88,38 @@ add_view("all_kept", """SELECT entity_id, signal_type, date FROM (WITH RECURSIVE
 
 @query("R4", "SELECT entity_id, signal_type, CAST(date AS VARCHAR) AS date FROM all_kept")
 def stream_collapsed_events(v: Views):
-    """Repeats within 90 days dropped by a stateful operator that keeps one date per key."""
-    s = jobs.collapse_repeats_stream(signals_stream(v), ["entity_id", "signal_type"])
-    return jobs.run_to_table(s, folder(v, "collapsed"), folder(v, "cp")).select("entity_id", "signal_type", day("date"))
+    """Repeats within 90 days dropped, whatever the order in which batches bring the days."""
+    path, key = folder(v, "collapsed"), ["entity_id", "signal_type"]
+    s = signals_stream(v, event_parts(v)).select(*key, "date")
+    jobs.run_batches(s, jobs.collapse_sink(path, key, every=3), folder(v, "cp"))
+    return jobs.read_collapsed(v.spark, path, key).select(*key, day("date"))
 
 
-@query("R5 R6", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+@query("R5 R6", """WITH m AS (SELECT b.batch, max(e.ts) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT batch FROM event_parts) b JOIN event_parts e ON e.batch < b.batch - 1 GROUP BY b.batch)
+  SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM event_parts e LEFT JOIN m ON m.batch = e.batch WHERE m.mark IS NULL OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > m.mark GROUP BY 1, 2""")
 def stream_daily_counts(v: Views):
-    """Daily windows closed by the watermark; late rows never reopen them."""
-    s = jobs.tumbling_counts(events_stream(v), "ts", "1 day", ["event_type"])
-    return jobs.run_to_table(s, folder(v, "counts"), folder(v, "cp")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
+    """Daily windows over four batches: late rows never reopen a window that the watermark has closed, open ones are shown as they stand."""
+    s, path, key = jobs.tumbling_counts(event_parts(v), "ts", "1 day", ["event_type"]), folder(v, "counts"), ["start", "event_type"]
+    jobs.run_batches(s, jobs.upsert_latest(path, key, "n"), folder(v, "cp"), mode="update")         # counts only grow
+    return jobs.read_latest(v.spark, path, key, "n").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
 
 
-@query("R5")
+@query("R5", """SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+  SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, session HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_sessions(v: Views):
-    """Sessions of a user's events closed after twelve quiet hours."""
-    s = jobs.sessions(events_stream(v), "ts", "12 hours", ["user_id"])
+    """Sessions of a user's events closed after twelve quiet hours; those still open stay in the state for the next run."""
+    s = jobs.sessions(event_parts(v, late=False), "ts", "12 hours", ["user_id"])
     return jobs.run_to_table(s, folder(v, "sessions"), folder(v, "cp")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 
-@query("R8", "SELECT event_id, value FROM events WHERE value >= 1")
+@query("R8", "SELECT event_id, value, CASE WHEN value >= 1 THEN 0 ELSE 1 END AS attempt FROM events")
 def stream_retry(v: Views):
-    """Rows whose processing fails go to a dead-letter table and are tried again with the next batch."""
+    """Rows whose processing fails go to a dead-letter table and are tried again with the next batch, those of the last at the end."""
     out, dead = folder(v, "ok"), folder(v, "dead")
-    work = lambda df: df.withColumn("ok", F.col("value") >= 1)
-    jobs.run_batches(events_stream(v).select("event_id", "value"), jobs.retrying(work, out, dead), folder(v, "cp"))
-    return v.spark.read.parquet(out).select("event_id", "value")
+    work = lambda df: df.withColumn("ok", (F.col("value") >= 1) | (F.col("attempt") > 0))
+    jobs.run_batches(event_parts(v).select("event_id", "value"), jobs.retrying(work, out, dead), folder(v, "cp"))
+    jobs.drain(v.spark, work, out, dead)
+    return v.spark.read.parquet(out).select("event_id", "value", "attempt")
 
 
 # ------------------------------------------------------------------ sources and sinks

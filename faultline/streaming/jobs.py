@@ -3,16 +3,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from faultline import rules
 from faultline.functions.text import credit_event
+from faultline.operators.stats import collapse_repeats
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Files as they arrive; ``files_per_batch`` bounds a batch."""
+    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(folder)
 
 
 def intake(stream: DataFrame, key: list[str], time: str, delay: str = "30 days") -> DataFrame:
@@ -32,24 +33,15 @@ def detect_credit_events(titles: DataFrame, reviewed: DataFrame | None = None) -
     return t.withColumn("severity", severity).withColumn("valid_to", F.date_add("date", rules.CREDIT_EVENT_DAYS))
 
 
-def collapse_repeats_stream(events: DataFrame, key: list[str], date: str = "date", days: int = rules.COLLAPSE_DAYS) -> DataFrame:
-    """Events kept when more than ``days`` after the last kept one of the key; the state is one date per key."""
-    types = {f.name: f.dataType.simpleString() for f in events.schema}
-    schema = ", ".join([*[f"{k} {types[k]}" for k in key], f"{date} date"])
+def collapse_sink(path: str, key: list[str], date: str = "date", every: int = 8) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink for ``read_collapsed``: the days of each key, each once. What is kept is decided when the table is
+    read, so days may arrive in any order and in any batch; a key's days are bounded by the calendar."""
+    return upsert_latest(path, [*key, date], date, every)
 
-    def keep(k, batches, state: GroupState):
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        seen = sorted({pd.Timestamp(d) for b in batches for d in b[date]})
-        out = []
-        for d in seen:
-            if last is None or (d - last).days > days:
-                out.append((*k, d.date()))
-                last = d
-        if last is not None:
-            state.update((last.date(),))
-        yield pd.DataFrame(out, columns=[*key, date])
 
-    return events.select(*key, date).groupBy(*key).applyInPandasWithState(keep, schema, "last date", "append", GroupStateTimeout.NoTimeout)
+def read_collapsed(spark: SparkSession, path: str, key: list[str], date: str = "date", days: int = rules.COLLAPSE_DAYS) -> DataFrame:
+    """Events more than ``days`` after the last kept one of the key, over all batches so far."""
+    return collapse_repeats(read_latest(spark, path, [*key, date], date), key, date, days)
 
 
 def tumbling_counts(stream: DataFrame, time: str, size: str, by: list[str], delay: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -63,39 +55,82 @@ def sessions(stream: DataFrame, time: str, gap: str, by: list[str], delay: str =
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n"))
 
 
-def upsert_latest(path: Callable[[int], str] | str, key: list[str], version: str) -> Callable[[DataFrame, int], None]:
+def _written(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers n of the folders ``kind=n`` that a sink has finished."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}=*/_SUCCESS")
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def upsert_latest(path: str, key: list[str], version: str, every: int = 8) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: each batch writes its newest row per key as one more increment; ``read_latest`` folds them.
-    A batch that is run again overwrites its own increment."""
+
+    A batch that is run again overwrites its own increment. Every ``every`` batches the increments are folded into a
+    snapshot and removed, so a reader meets one snapshot and a few increments however long the stream has run.
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        bases = _written(spark, path, "base")
+        if bases and epoch <= bases[-1]:
+            return                                                   # a batch run again after its snapshot
         rest = [c for c in batch.columns if c not in [*key, version]]
-        newest = batch.groupBy(*key).agg(F.max(F.struct(version, *rest)).alias("_r")).select(*key, "_r.*")
+        newest = batch.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("_v"), *rest)).alias("_r")).select(*key, "_r.*")
+        newest = newest.drop("_v") if version in key else newest.withColumnRenamed("_v", version)
         newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if (epoch + 1) % every == 0:
+            read_latest(spark, path, key, version).write.mode("overwrite").parquet(f"{path}/base={epoch}")
+            for e in _written(spark, path, "epoch"):
+                _remove(spark, f"{path}/epoch={e}")
+            for b in bases:
+                _remove(spark, f"{path}/base={b}")
     return sink
 
 
 def read_latest(spark: SparkSession, path: str, key: list[str], version: str) -> DataFrame:
-    """Latest state per key from the increments."""
-    t = spark.read.parquet(path).drop("epoch")
+    """Latest state per key from the newest snapshot and the increments after it."""
+    base = _written(spark, path, "base")[-1:]
+    parts = [f"{path}/base={b}" for b in base] + [f"{path}/epoch={e}" for e in _written(spark, path, "epoch") if not base or e > base[0]]
+    t = spark.read.parquet(*parts)
     rest = [c for c in t.columns if c not in [*key, version]]
-    return t.groupBy(*key).agg(F.max(F.struct(version, *rest)).alias("_r")).select(*key, "_r.*")
+    folded = t.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("_v"), *rest)).alias("_r")).select(*key, "_r.*")
+    return folded.drop("_v") if version in key else folded.withColumnRenamed("_v", version)
 
 
 def retrying(work: Callable[[DataFrame], DataFrame], out: str, dead: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: rows that failed before are tried again with the new batch; ``work`` returns the rows with
-    a boolean ``ok``. Failures go to the dead-letter table of the epoch."""
-    from faultline.sources.tables import path_exists
+    """foreachBatch sink: rows that failed before are tried again with the new batch.
 
+    ``work`` gets a column ``attempt`` (0 at first) and returns the rows with a boolean ``ok``. Failures go to the
+    dead-letter table of the epoch; ``drain`` tries those of the last one.
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        todo = batch
-        if epoch > 0 and path_exists(spark, f"{dead}/epoch={epoch - 1}"):
-            todo = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{dead}/epoch={epoch - 1}"))
+        todo = batch.withColumn("attempt", F.lit(0))
+        before = [e for e in _written(spark, dead, "epoch") if e < epoch]
+        if before:
+            todo = todo.unionByName(spark.read.schema(todo.schema).parquet(f"{dead}/epoch={before[-1]}"))
         done = work(todo)
         done.where("ok").drop("ok").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        done.where("not ok").select(*batch.columns).write.mode("overwrite").parquet(f"{dead}/epoch={epoch}")
+        done.where("not ok").select(*todo.columns).withColumn("attempt", F.col("attempt") + 1).write.mode("overwrite").parquet(f"{dead}/epoch={epoch}")
     return sink
 
 
+def drain(spark: SparkSession, work: Callable[[DataFrame], DataFrame], out: str, dead: str, attempts: int = 3) -> DataFrame:
+    """Try what the last batch left, at most ``attempts`` times; returns the rows that still fail."""
+    step = retrying(work, out, dead)
+    for _ in range(attempts):
+        last = _written(spark, dead, "epoch")[-1]
+        left = spark.read.parquet(f"{dead}/epoch={last}")
+        if left.isEmpty():
+            break
+        step(left.drop("attempt").limit(0), last + 1)
+    return spark.read.parquet(f"{dead}/epoch={_written(spark, dead, 'epoch')[-1]}")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process everything available, then return the written table."""
     q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path)
@@ -104,6 +139,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
