@@ -70,6 +70,18 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, VECTOR)
 
 
+def frequencies(stored: DataFrame, size: int) -> dict[int, int]:
+    """Documents that hold each term, added up inside each task first."""
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(np.concatenate([np.zeros(0, np.int64), *b["terms"]]).astype(np.int64), minlength=size)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"t": some, "n": n[some]})
+
+    return dict(stored.select("terms").mapInPandas(local, "t long, n long").groupBy("t").agg(F.sum("n")).collect())   # TERMS numbers
+
+
 def unit(terms, counts, idf: np.ndarray) -> np.ndarray:
     """TF-IDF weights (logarithmic counts) of one sparse vector, scaled to length 1."""
     w = (1 + np.log(np.asarray(counts, np.float64))) * idf[np.asarray(terms, np.int64)]
@@ -164,7 +176,7 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tupl
     terms = vocabulary(docs, chosen)
     stored = cut_lineage(vectors(docs, terms))
     total = stored.count()
-    df = dict(stored.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect())     # TERMS numbers
+    df = frequencies(stored, len(terms))
     idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
     totals = dict(chosen.groupBy("y").agg(F.count("*")).collect())
     rows = []
