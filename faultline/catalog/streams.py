@@ -178,3 +178,32 @@ def archive_and_resume(v: Views):
     sinks.append_archive(first, path, ["doc_id"])                       # the same content again adds nothing
     done = v.spark.read.parquet(path).drop("sha256")
     return sinks.resume(d, done, ["doc_id"], lambda rest: rest.withColumn("status", F.lit("new"))).select("doc_id", "source", "status")
+
+
+@query("S3 S10", """SELECT doc_id, n, amount, 0 AS rejected FROM (SELECT o_orderkey AS doc_id, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+  UNION ALL SELECT -1, 2, NULL, 2""")
+def document_folder(v: Views):
+    """Nested documents of every order read from a folder; a file without the key and one that is no JSON are set apart, and files are fingerprinted."""
+    from faultline.catalog.quality import gold
+    path = folder(v, "docs")
+    docs = gold(v).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("party", "amount")).alias("transactions"))       # lines of one order
+    docs.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/a")
+    v.spark.range(1).select(F.lit('{"transactions": []}').alias("value")).write.text(f"{path}/b")
+    v.spark.range(1).select(F.lit('{"doc_id": 1, ').alias("value")).write.text(f"{path}/c")
+    good, bad = tables.read_documents(v.spark, [path], docs.schema, "doc_id", lines=True)
+    files = tables.file_fingerprints(v.spark, path).agg(F.count_if(F.length("sha256") == 64).alias("known")).where("known >= 3")
+    summed = good.select("doc_id", F.size("transactions").cast("long").alias("n"), F.aggregate("transactions", F.lit(0).cast("bigint"), lambda a, t: a + t["amount"]).alias("amount"), F.lit(0).cast("long").alias("rejected"))
+    apart = bad.join(F.broadcast(files), F.lit(True)).groupBy().agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("doc_id"), "n", F.lit(None).cast("bigint").alias("amount"), F.col("n").alias("rejected"))
+    return summed.unionByName(apart)
+
+
+@query("S4 S8", f"""SELECT CAST(n_name AS VARCHAR) AS code, count(*) AS n, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents, '{AS_OF[3]}' AS as_of FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""")
+def keyed_files(v: Views):
+    """One delimited folder for each nation, the name being the key, and the description of the run that wrote them."""
+    path = folder(v, "nations")
+    s = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_suppkey", F.round(F.col("s_acctbal") * 100).cast("bigint").alias("cents"))
+    s.write.partitionBy("n_name").option("header", True).csv(path)
+    sinks.write_run_meta(v.spark, path + "-meta", AS_OF[3], "1", {"market": 0.5}, "20000331", "events")
+    meta = v.spark.read.parquet(path + "-meta").agg(F.max("as_of").alias("as_of"))                      # one row
+    t = tables.read_keyed_directory(v.spark, path, "s_suppkey bigint, cents bigint", "code", by_folder="n_name")
+    return t.groupBy("code").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).join(F.broadcast(meta), F.lit(True)).select("code", "n", "cents", "as_of")

@@ -12,7 +12,6 @@ from faultline.catalog.registry import query
 from faultline.catalog.scoring import day
 from faultline.catalog.views import AS_OF, AS_OF_SQL, Views, add_view
 from faultline.functions import text as tx
-from faultline.functions.scalars import to_wan
 from faultline.operators.asof import active_as_of
 from faultline.plans import documents as dc
 
@@ -122,3 +121,54 @@ def routed_questions(v: Views):
     """Intent, product and signed move of short questions."""
     q = F.replace(pick(QUESTIONS, F.col("c_custkey")), F.lit("{c}"), F.concat(F.lit("S"), F.col("c_custkey") % 97))
     return v.table("customer").select(F.col("c_custkey").alias("id"), tx.question_route(q, _MENTION).alias("intent"), tx.product_in(q).alias("product"), tx.percent_move(q).alias("move"))
+
+
+# ------------------------------------------------------------------ capacity and pledge documents, one for each customer
+CAPACITY = ("maintenance", "delay", "suspension", "termination", "new_project")
+_CAP = f"""SELECT c_custkey AS doc_id, 'C' || c_custkey AS entity, DATE '1995-01-01' + CAST(c_custkey % 2000 AS INT) AS announced, k, {sql_pick(CAPACITY, '(c_custkey + k)')} AS kind, (c_custkey * 7 + k * 13) % 45 AS days,
+  (c_custkey * 3 + k) % 70 AS loss, c_custkey % 4 AS u, abs(CAST(round(c_acctbal * 100) AS BIGINT)) / 100.0::DOUBLE AS money FROM customer, (VALUES (0), (1), (2)) t(k)"""
+add_view("cap_events", _CAP)
+
+
+def capacity_documents(v: Views) -> DataFrame:
+    c, key = v.table("customer"), F.col("c_custkey")
+    money = F.abs(F.round(F.col("c_acctbal") * 100).cast("bigint")) / F.lit(100.0)
+    announced = F.date_add(F.lit("1995-01-01").cast("date"), (key % 2000).cast("int"))
+
+    def event(k: int) -> Column:
+        days = (key * 7 + k * 13) % 45
+        changes = F.array(F.struct(F.when(key % 2 == 0, "new").otherwise("retire").alias("action"), (key % 900).cast("double").alias("capacity")))
+        return F.struct(pick(CAPACITY, key + k).alias("event_type"), F.when(key % 3 == 0, F.date_sub(announced, 5)).alias("shutdown_start"), F.when(days > 0, days).cast("int").alias("shutdown_days"),
+                        F.when(key % 5 == 0, F.date_add(announced, 20)).alias("restart_date"), ((key * 3 + k) % 70).cast("double").alias("loss"),
+                        F.when(key % 4 == 0, "吨").otherwise("万吨钢").alias("loss_unit"), money.alias("investment"), F.when(key % 4 < 2, "万元").when(key % 4 == 2, "亿元").otherwise("吨").alias("investment_unit"), changes.alias("capacity_changes"))
+
+    return c.select(key.alias("doc_id"), F.concat(F.lit("C"), key).alias("issuer_id"), announced.alias("announced"), F.array(*map(event, range(3))).alias("events"))
+
+
+def pledge_documents(v: Views) -> DataFrame:
+    key = F.col("s_suppkey")
+    announced = F.date_add(F.lit("1996-03-01").cast("date"), (key % 1500).cast("int"))
+    later = lambda every, days: F.when(key % every == 0, F.date_add(announced, days))
+    event = F.struct(F.when(key % 6 == 0, "release").otherwise("pledge").alias("event_type"), (key * 1000).alias("shares"), F.when(key % 7 != 0, (key * 11 % 101).cast("double")).alias("holding_ratio"),
+                     F.when(key % 5 != 0, (key * 3 % 40).cast("double")).alias("total_ratio"), later(2, -3).alias("start_date"), later(3, 300).alias("end_date"), later(4, 400).alias("extended_date"), later(8, 90).alias("release_date"))
+    return v.table("supplier").select(key.alias("doc_id"), F.concat(F.lit("S"), key).alias("issuer_id"), announced.alias("announced"), F.array(event).alias("events"))
+
+
+_LEVELS = "CASE WHEN {0} THEN 'high' WHEN {1} THEN 'medium' ELSE 'low' END"
+
+
+@query("G2 F15", f"""SELECT 'C' || doc_id AS doc_id, entity, signal_type, severity, round(magnitude, 4) AS magnitude, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to FROM (
+  SELECT doc_id, entity, 'supply_disruption' AS signal_type, {_LEVELS.format("days >= 30 OR (u <> 0 AND loss >= 50)", "days >= 7 OR (u <> 0 AND loss >= 10)")} AS severity, CAST(CASE WHEN days > 0 THEN days END AS DOUBLE) AS magnitude,
+    begin AS valid_from, CAST(CASE WHEN doc_id % 5 = 0 THEN announced + 20 WHEN days > 0 THEN begin + CAST(days AS INT) ELSE begin + INTERVAL 3 MONTH END AS DATE) AS valid_to
+    FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN announced - 5 ELSE announced END AS begin FROM cap_events) WHERE kind = 'maintenance'
+  UNION ALL SELECT doc_id, entity, 'project_delay', CASE kind WHEN 'delay' THEN 'low' ELSE 'medium' END, round(CASE WHEN u < 2 THEN money WHEN u = 2 THEN money * 10000 END, 4), announced, CAST(announced + INTERVAL 12 MONTH AS DATE) FROM cap_events WHERE kind IN ('delay', 'suspension', 'termination')
+  UNION ALL SELECT doc_id, entity, CASE WHEN doc_id % 2 = 0 THEN 'capacity_increase' ELSE 'capacity_reduction' END, 'info', CAST(doc_id % 900 AS DOUBLE), announced, CAST(announced + INTERVAL 12 MONTH AS DATE) FROM cap_events WHERE kind <> 'maintenance')
+  UNION ALL SELECT 'S' || s_suppkey, 'S' || s_suppkey, 'share_pledge', CASE WHEN held >= 80 THEN CASE WHEN round(total * 100 / held, 2) < 20 THEN 'medium' ELSE 'high' END WHEN held >= 50 THEN 'medium' ELSE 'low' END, CAST(s_suppkey * 1000 AS DOUBLE),
+    CAST(begin AS VARCHAR), CAST(CAST(coalesce(CASE WHEN s_suppkey % 8 = 0 THEN announced + 90 END, CASE WHEN s_suppkey % 4 = 0 THEN announced + 400 END, CASE WHEN s_suppkey % 3 = 0 THEN announced + 300 END, begin + INTERVAL 12 MONTH) AS DATE) AS VARCHAR)
+    FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN announced - 3 ELSE announced END AS begin FROM (SELECT s_suppkey, DATE '1996-03-01' + CAST(s_suppkey % 1500 AS INT) AS announced, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey * 11 % 101 ELSE 0 END AS held,
+      CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 3 % 40 END AS total FROM supplier)) WHERE s_suppkey % 6 <> 0""")
+def capacity_and_pledge_signals(v: Views):
+    """Signals of outages, projects, capacity changes and share pledges, read from nested documents."""
+    a = dc.capacity_signals(capacity_documents(v)).withColumn("doc_id", F.concat(F.lit("C"), "doc_id"))
+    b = dc.pledge_signals(pledge_documents(v)).withColumn("doc_id", F.concat(F.lit("S"), "doc_id"))
+    return a.unionByName(b).select("doc_id", "entity", "signal_type", "severity", F.round("magnitude", 4).alias("magnitude"), day("valid_from"), day("valid_to"))

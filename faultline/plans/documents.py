@@ -52,34 +52,53 @@ def pledge_severity(holding_ratio: Column, total_ratio: Column) -> Column:
     return F.when(r >= 80, F.when(stake < 20, "medium").otherwise("high")).when(r >= 50, "medium").otherwise("low")
 
 
+def project_severity(kind: Column) -> Column:
+    return F.when(kind == "delay", "low").when(kind.isin("suspension", "termination"), "medium")
+
+
+def guarantee_severity(kind: Column, relationship: Column) -> Column:
+    own = F.coalesce(relationship, F.lit("")).isin(*rules.SUBSIDIARY)
+    return F.when(kind == "guarantee_overdue", "high").when(own, "low").otherwise("medium")
+
+
 def capacity_signals(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, issuer_id, announced, events[event_type, shutdown_days, output_loss_wan_t, restart_date, capacity_changes[action, capacity]]."""
-    e = docs.select("doc_id", "issuer_id", "announced", F.explode("events").alias("e"))
-    kind = F.col("e.event_type")
-    frm, to = pd_.maintenance_window(F.lit(None).cast("date"), F.col("e.restart_date"), F.col("e.shutdown_days"), F.col("announced"))
-    stop = e.where(kind == "maintenance").select("doc_id", "issuer_id", "announced", F.lit("supply_disruption").alias("signal_type"),
-                                                 maintenance_severity(F.col("e.shutdown_days"), F.col("e.output_loss_wan_t")).alias("severity"),
+    """docs: doc_id, issuer_id, announced, events[event_type, shutdown_start, shutdown_days, restart_date, loss, loss_unit,
+    investment, investment_unit, capacity_changes[action, capacity]]. An event may give a delay and several changes."""
+    e = docs.select("doc_id", F.col("issuer_id").alias("entity"), "announced", F.explode("events").alias("e"))
+    kind, head = F.col("e.event_type"), ["doc_id", "entity", "announced"]
+    loss = F.when(F.col("e.loss_unit").startswith("万吨"), F.col("e.loss"))
+    frm, to = pd_.maintenance_window(F.col("e.shutdown_start"), F.col("e.restart_date"), F.col("e.shutdown_days"), F.col("announced"))
+    stop = e.where(kind == "maintenance").select(*head, F.lit("supply_disruption").alias("signal_type"), maintenance_severity(F.col("e.shutdown_days"), loss).alias("severity"),
                                                  F.col("e.shutdown_days").cast("double").alias("magnitude"), frm.alias("valid_from"), to.alias("valid_to"))
     year = F.add_months("announced", rules.DEFAULT_MONTHS["project"])
     delay = e.where(kind.isin("delay", "suspension", "termination")).select(
-        "doc_id", "issuer_id", "announced", F.lit("project_delay").alias("signal_type"), F.when(kind == "delay", "low").otherwise("medium").alias("severity"),
-        F.lit(None).cast("double").alias("magnitude"), F.col("announced").alias("valid_from"), year.alias("valid_to"))
-    change = e.where(kind != "maintenance").select("doc_id", "issuer_id", "announced", F.explode("e.capacity_changes").alias("c")).select(
-        "doc_id", "issuer_id", "announced", F.when(F.col("c.action") == "new", "capacity_increase").otherwise("capacity_reduction").alias("signal_type"),
+        *head, F.lit("project_delay").alias("signal_type"), project_severity(kind).alias("severity"), to_wan(F.col("e.investment"), F.col("e.investment_unit")).alias("magnitude"),
+        F.col("announced").alias("valid_from"), year.alias("valid_to"))
+    change = e.where(kind != "maintenance").select(*head, F.explode("e.capacity_changes").alias("c")).select(
+        *head, F.when(F.col("c.action") == "new", "capacity_increase").otherwise("capacity_reduction").alias("signal_type"),
         F.lit("info").alias("severity"), F.col("c.capacity").cast("double").alias("magnitude"), F.col("announced").alias("valid_from"), year.alias("valid_to"))
     return stop.unionByName(delay).unionByName(change)
 
 
+def pledge_signals(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, issuer_id, announced, events[event_type, shares, holding_ratio, total_ratio, start_date, end_date,
+    extended_date, release_date]: one signal for each new pledge."""
+    e = docs.select("doc_id", F.col("issuer_id").alias("entity"), "announced", F.explode("events").alias("e")).where("e.event_type = 'pledge'")
+    frm, to = pd_.pledge_window(F.col("e.start_date"), F.col("e.release_date"), F.col("e.extended_date"), F.col("e.end_date"), F.col("announced"))
+    return e.select("doc_id", "entity", "announced", F.lit("share_pledge").alias("signal_type"), pledge_severity(F.col("e.holding_ratio"), F.col("e.total_ratio")).alias("severity"),
+                    F.col("e.shares").cast("double").alias("magnitude"), frm.alias("valid_from"), to.alias("valid_to"))
+
+
 def guarantee_signals(docs: DataFrame) -> DataFrame:
     """Reported outside balance of a document and one signal per guarantee event."""
     ann = F.col("announced")
     balance = docs.where("balance_wan is not null").select("doc_id", F.col("issuer_id").alias("entity"), "announced", F.lit("guarantee_balance").alias("signal_type"), F.lit("info").alias("severity"),
                                                            F.col("balance_wan").alias("magnitude"), ann.alias("valid_from"), F.add_months(ann, 12).alias("valid_to"))
     e = docs.select("doc_id", "issuer_id", "announced", F.explode("events").alias("e")).where("e.event_type <> 'guarantee_released'")
-    overdue, own = F.col("e.event_type") == "guarantee_overdue", F.coalesce(F.col("e.relationship"), F.lit("")).isin(*rules.SUBSIDIARY)
+    overdue = F.col("e.event_type") == "guarantee_overdue"
     frm, to = pd_.guarantee_window(F.col("e.event_type"), F.col("e.start_date"), F.col("e.end_date"), ann)
     events = e.select("doc_id", F.coalesce("e.guarantor", "issuer_id").alias("entity"), "announced", F.when(overdue, "credit_event").otherwise("credit_exposure").alias("signal_type"),
-                      F.when(overdue, "high").when(own, "low").otherwise("medium").alias("severity"), to_wan(F.col("e.amount"), F.col("e.unit")).alias("magnitude"),
+                      guarantee_severity(F.col("e.event_type"), F.col("e.relationship")).alias("severity"), to_wan(F.col("e.amount"), F.col("e.unit")).alias("magnitude"),
                       F.when(overdue, ann).otherwise(frm).alias("valid_from"), F.when(overdue, F.add_months(ann, rules.DEFAULT_MONTHS["credit_event"])).otherwise(to).alias("valid_to"))
     return balance.unionByName(events)
 

@@ -18,16 +18,19 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str) -
     return df.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in df.columns])
 
 
-def read_keyed_directory(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "code") -> DataFrame:
-    """One delimited file per entity; the file stem is the key."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+def read_keyed_directory(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "code", by_folder: str | None = None) -> DataFrame:
+    """Delimited files, one or one folder ``<by_folder>=<key>`` for each entity; the file's stem or the folder names the key."""
+    df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    if by_folder:
+        return df.withColumn(key, F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), f"/{by_folder}=([^/]+)/", 1)))
     return df.withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
 
 
-def read_documents(spark: SparkSession, paths: list[str], schema: T.StructType, required: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejected): nested JSON from several folders, malformed files and files without the key set apart."""
+def read_documents(spark: SparkSession, paths: list[str], schema: T.StructType, required: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected): nested JSON from several folders, one document a file or (``lines``) a line; what is malformed or
+    lacks the key is set apart."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    raw = (spark.read.schema(full).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(full).option("recursiveFileLookup", True).option("multiLine", not lines).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").json(paths).withColumn("source_doc", F.col("_metadata.file_path")))
     bad = F.col("_corrupt").isNotNull() | F.col(required).isNull()
     return raw.where(~bad).drop("_corrupt"), raw.where(bad).select("source_doc", "_corrupt")
