@@ -71,12 +71,12 @@ def exposure_on_date(v: Views):
     return exposure_asof(v).select("code", day(), "year", "split_from", "product", "share")
 
 
-@query("X20", """SELECT code, year, product, share, share - lag(share) OVER (PARTITION BY code, product ORDER BY year) IS NOT NULL AS has_previous FROM exposure_p WHERE product IN ('P_LARGE', 'P_SMALL')
+@query("X20", """SELECT code, year, product, share, share - lag(share) OVER (PARTITION BY code, product ORDER BY year) IS NOT NULL AS has_previous FROM exposure_p
   UNION ALL SELECT code, year, 'OTHER', round(1 - sum(share), 8), NULL FROM exposure_p GROUP BY code, year HAVING 1 - sum(share) > 0.005 AND 1 - sum(share) < 0.5""")
 def product_mix_history(v: Views):
-    """Shares of two products by year plus the remainder of products without a name."""
+    """Shares of products by year plus the remainder of products without a name."""
     e = exposure(v)
-    mix = e.where(F.col("product").isin("P_LARGE", "P_SMALL")).select(
+    mix = e.select(
         "code", "year", "product", "share", F.lag("share").over(W.partitionBy("code", "product").orderBy("year")).isNotNull().alias("has_previous"))
     other = e.groupBy("code", "year").agg(F.sum("share").alias("s")).where("1 - s > 0.005 and 1 - s < 0.5").select(
         "code", "year", F.lit("OTHER").alias("product"), F.round(1 - F.col("s"), 8).alias("share"))
@@ -330,14 +330,14 @@ def finance_company_exposure(v: Views):
 # ------------------------------------------------------------------ layered shock expansion
 add_view("sector_links", """SELECT p_type AS t, 'P_' || p_type AS product, c_mktsegment AS sector FROM (SELECT DISTINCT p_type FROM part), (SELECT DISTINCT c_mktsegment FROM customer)
   WHERE (ascii(p_type) + ascii(c_mktsegment)) % 3 = 0""")
-add_view("end_users", """SELECT 'C' || c_custkey AS code, c_mktsegment AS sector, CASE WHEN c_acctbal > 9000 THEN 1999 WHEN c_acctbal > 8000 THEN 2002 END AS evidence_year FROM customer WHERE c_acctbal > 7500""")
+add_view("end_users", """SELECT 'C' || c_custkey AS code, c_mktsegment AS sector, CASE WHEN c_acctbal > 9000 THEN 1999 WHEN c_acctbal > 8000 THEN 2002 END AS evidence_year FROM customer""")
 add_view("trades", """SELECT e.*, p_type FROM g_edges e JOIN part ON p_partkey = CAST(evidence_text AS BIGINT) WHERE edge_type = 'supply'""")
 add_view("layer_edges", f"""SELECT as_of, 'SHOCK:' || product AS src, product AS dst, 'S0' AS rule, '-' AS grade, NULL::DOUBLE AS share, NULL::DOUBLE AS amount_wan, product AS shock FROM (SELECT DISTINCT as_of, product FROM exposure_asof WHERE product <> 'UNDIVIDED')
   UNION ALL SELECT as_of, product, code, 'S1', 'B', share, NULL, product FROM (SELECT e.*, row_number() OVER (PARTITION BY e.as_of, e.product ORDER BY round(e.share * CASE f.tier WHEN 'weak' THEN 1.0 WHEN 'medium' THEN 0.5 WHEN 'strong' THEN 0.2 ELSE 0.5 END, 6) DESC, e.code) AS k
     FROM exposure_asof e LEFT JOIN fragility f ON f.code = e.code AND f.as_of = e.as_of WHERE e.share >= 0.1 AND e.product <> 'UNDIVIDED') WHERE k <= 6
   UNION ALL SELECT as_of, 'P_' || p_type, dst_id, 'S2', 'A', NULL, max(amount_wan), 'P_' || p_type FROM trades GROUP BY as_of, p_type, dst_id
   UNION ALL SELECT d.as_of, l.product, l.sector, 'S3', 'C', NULL, NULL, l.product FROM sector_links l, dates d
-  UNION ALL SELECT d.as_of, l.sector, u.code, 'S4', CASE WHEN evidence_year IS NOT NULL AND make_date(evidence_year + 1, 4, 30) <= d.as_of THEN 'B' ELSE 'C' END, NULL, NULL, l.product FROM sector_links l JOIN end_users u USING (sector), dates d""")
+  UNION ALL SELECT d.as_of, l.sector, u.code, 'S4', CASE WHEN evidence_year IS NOT NULL AND make_date(evidence_year + 1, 4, 30) <= d.as_of THEN 'B' ELSE 'C' END, NULL, NULL, NULL FROM (SELECT DISTINCT sector FROM sector_links) l JOIN end_users u USING (sector), dates d""")
 
 
 def layer_edges(v: Views) -> DataFrame:
@@ -357,16 +357,17 @@ def layer_edges(v: Views) -> DataFrame:
               .select("as_of", F.col("product").alias("src"), F.col("dst_id").alias("dst"), F.lit("S2").alias("rule"), F.lit("A").alias("grade"), nul.alias("share"), "amount_wan", F.col("product").alias("shock")))
         types = v.table("part").select("p_type").distinct()
         sectors = v.table("customer").select(F.col("c_mktsegment").alias("sector")).distinct()
-        links = types.join(F.broadcast(sectors), (F.ascii("p_type") + F.ascii("sector")) % 3 == 0).select(F.concat(F.lit("P_"), "p_type").alias("product"), "sector")  # a handful of segments
+        links = types.join(sectors, (F.ascii("p_type") + F.ascii("sector")) % 3 == 0).select(F.concat(F.lit("P_"), "p_type").alias("product"), "sector")  # a handful of segments
         on = F.explode(date_array(AS_OF))
         s3 = links.select(on.alias("as_of"), F.col("product").alias("src"), F.col("sector").alias("dst"), F.lit("S3").alias("rule"), F.lit("C").alias("grade"), nul.alias("share"),
                           nul.alias("amount_wan"), F.col("product").alias("shock"))
-        users = v.table("customer").where("c_acctbal > 7500").select(F.concat(F.lit("C"), "c_custkey").alias("code"), F.col("c_mktsegment").alias("sector"),
+        users = v.table("customer").select(F.concat(F.lit("C"), "c_custkey").alias("code"), F.col("c_mktsegment").alias("sector"),
                                                                      F.when(F.col("c_acctbal") > 9000, 1999).when(F.col("c_acctbal") > 8000, 2002).alias("year"))
         public = F.col("year").isNotNull() & (F.make_date(F.col("year") + 1, F.lit(4), F.lit(30)) <= F.col("as_of"))
-        s4 = (users.join(links, "sector").withColumn("as_of", on)
+        # every shock that reaches a sector reaches its users: they are linked to the sector, not to each product
+        s4 = (users.join(links.select("sector").distinct(), "sector").withColumn("as_of", on)
               .select("as_of", F.col("sector").alias("src"), F.col("code").alias("dst"), F.lit("S4").alias("rule"), F.when(public, "B").otherwise("C").alias("grade"), nul.alias("share"),
-                      nul.alias("amount_wan"), F.col("product").alias("shock")))
+                      nul.alias("amount_wan"), F.lit(None).cast("string").alias("shock")))
         return s0.unionByName(s1).unionByName(s2).unionByName(s3).unionByName(s4)
     return v.stored("layer_edges", build)
 
@@ -376,11 +377,17 @@ def layered_shock(v: Views):
     return layer_edges(v).select(day(), "shock", "src", "dst", "rule", "grade", "share", "amount_wan")
 
 
-@query("X15", f"SELECT {DAY}, shock, dst AS company, min(grade) AS grade, max(coalesce(share, 0)) AS share, count(*) AS effects FROM layer_edges WHERE rule IN ('S1', 'S2', 'S4') GROUP BY ALL")
+@query("X15", f"""SELECT {DAY}, shock, dst AS company, min(grade) AS grade, max(coalesce(share, 0)) AS share, CAST(sum(n) AS BIGINT) AS effects FROM (SELECT as_of, shock, dst, grade, share, 1 AS n FROM layer_edges WHERE rule IN ('S1', 'S2')
+  UNION ALL SELECT s.as_of, s.shock, 'sector ' || s.dst, u.grade, NULL, u.n FROM layer_edges s JOIN (SELECT as_of, src, min(grade) AS grade, count(*) AS n FROM layer_edges WHERE rule = 'S4' GROUP BY ALL) u ON u.as_of = s.as_of AND u.src = s.dst WHERE s.rule = 'S3') GROUP BY ALL""")
 def layered_shock_companies(v: Views):
-    """Best grade and largest share of each company a product shock reaches."""
-    return (layer_edges(v).where(F.col("rule").isin("S1", "S2", "S4")).groupBy(day(), "shock", F.col("dst").alias("company"))
-            .agg(F.min("grade").alias("grade"), F.max(F.coalesce("share", F.lit(0.0))).alias("share"), F.count("*").alias("effects")))
+    """Best grade and largest share of each company a product shock reaches; the end users of a sector are counted together."""
+    e = layer_edges(v)
+    direct = e.where(F.col("rule").isin("S1", "S2")).select("as_of", "shock", "dst", "grade", "share", F.lit(1).cast("long").alias("n"))
+    users = e.where("rule = 'S4'").groupBy("as_of", F.col("src").alias("sector")).agg(F.min("grade").alias("grade"), F.count("*").alias("n"))
+    far = (e.where("rule = 'S3'").select("as_of", "shock", F.col("dst").alias("sector")).join(users, ["as_of", "sector"])
+           .select("as_of", "shock", F.concat(F.lit("sector "), "sector").alias("dst"), "grade", F.lit(None).cast("double").alias("share"), "n"))
+    return (direct.unionByName(far).groupBy(day(), "shock", F.col("dst").alias("company"))
+            .agg(F.min("grade").alias("grade"), F.max(F.coalesce("share", F.lit(0.0))).alias("share"), F.sum("n").alias("effects")))
 
 
 @query("X18 T4", f"""SELECT grp, counterparty, role, period, amount_wan FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY amount_wan DESC, counterparty) AS k FROM (
@@ -407,8 +414,7 @@ def named_counterparties(v: Views):
 def company_checklist(v: Views):
     """Up to three priority checks per company from a rule table."""
     from faultline.catalog.readings import finding_steps
-    from faultline.plans.propagation import group_proxies
-    proxy = group_proxies(snapshot(v).select("as_of", "code", "total_score"), v.companies, ["as_of"]).select("as_of", "group_id", "proxy_tier")
+    proxy = g.proxies(v).select("as_of", "group_id", "proxy_tier")
     effect = company_effects(v).where("equity > 0").select("as_of", "code", F.round((F.coalesce("revenue_effect_yi", F.lit(0.0)) - F.col("cost_yi")) * 1e8 / F.col("equity"), 6).alias("to_equity"))
     incoming = finding_steps(v).where("score > 0").groupBy("as_of", F.col("dst").alias("code")).agg(F.count("*").alias("n_in"))
     t = (snapshot(v).join(v.companies.select("code", "group_id"), "code").join(effect, ["as_of", "code"], "left").join(proxy, ["as_of", "group_id"], "left")

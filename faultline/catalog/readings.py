@@ -23,11 +23,6 @@ add_view("g_fsteps", """SELECT f.as_of, f.seed, f.listed_seq, f.route, f.shock,
 
 
 add_view("edge_index", """SELECT src_id, dst_id, source_doc, min({'p': source_page, 'r': relationship}).r AS relationship FROM edges GROUP BY ALL""")
-add_view("g_proxy", """SELECT as_of, group_id, CASE WHEN s >= 60 THEN 'weak' WHEN s >= 40 THEN 'medium' ELSE 'strong' END AS proxy_tier FROM (
-  SELECT f.as_of, c.group_id, round(coalesce(sum(f.total_score * CAST(greatest(c.equity, 0) AS DOUBLE)) / nullif(sum(CAST(greatest(c.equity, 0) AS DOUBLE)), 0), avg(f.total_score)), 6) AS s
-  FROM fragility f JOIN companies c USING (code) WHERE f.total_score IS NOT NULL GROUP BY ALL)""")
-
-
 def finding_steps(v: Views) -> DataFrame:
     return (g.findings(v).select("as_of", "seed", "route", "shock", "score", "rank", F.posexplode("steps").alias("pos", "s"))
             .select("as_of", "seed", "route", "shock", "score", "rank", (F.col("pos") + 1).alias("pos"), "s.*"))
@@ -211,7 +206,7 @@ def no_path_reasons(v: Views):
   FROM fragility f JOIN companies c USING (code) LEFT JOIN g_proxy p ON p.as_of = f.as_of AND p.group_id = c.group_id""")
 def group_support(v: Views):
     """Own tier next to the tier of the parent group."""
-    proxy = pg.group_proxies(snapshot(v).select("as_of", "code", "total_score"), v.companies, BY)
+    proxy = g.proxies(v)
     t = (snapshot(v).select("as_of", "code", "tier").join(v.companies.select("code", "group_id"), "code")
          .join(proxy.select("as_of", "group_id", "proxy_tier"), ["as_of", "group_id"], "left"))
     p = F.col("proxy_tier")

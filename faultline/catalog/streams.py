@@ -142,24 +142,23 @@ def delimited_round_trip(v: Views):
     return per.withColumn("missing", F.lit(0))
 
 
-@query("S3 F27", """SELECT o_orderkey AS doc_id, count(l_orderkey) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey""")
+@query("S3 F27", """SELECT o_orderkey AS doc_id, count(l_orderkey) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def document_round_trip(v: Views):
     """Nested JSON documents written and read back; files without the required key are set apart."""
     from faultline.catalog.quality import gold
     path = folder(v, "json")
-    o = v.table("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("doc"))
-    docs = gold(v).join(o, "doc", "left_semi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("party", "amount")).alias("transactions"))      # lines of one order
+    docs = gold(v).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("party", "amount")).alias("transactions"))      # lines of one order
     docs.write.json(path)
     schema = docs.schema
     read = v.spark.read.schema(schema).json(path)
     return read.select("doc_id", F.size("transactions").alias("n"), F.aggregate("transactions", F.lit(0).cast("bigint"), lambda a, t: a + t["amount"]).alias("amount"))
 
 
-@query("S5", """SELECT code, period, round(revenue * 0.01::DOUBLE, 2) AS revenue, round(round(liab / assets * 100, 2) * 0.01::DOUBLE, 4) AS debt_ratio FROM facts_q WHERE fy IN (1999, 2000)""")
+@query("S5", """SELECT code, period, round(revenue * 0.01::DOUBLE, 2) AS revenue, round(round(liab / assets * 100, 2) * 0.01::DOUBLE, 4) AS debt_ratio FROM facts_q""")
 def statement_matrix(v: Views):
     """Wide indicator × period matrix unpivoted to one row per company and period."""
-    periods = [f"{y}{md}" for y in (1999, 2000) for md in ("0331", "0630", "0930", "1231")]
-    f = v.facts_q.where("fy in (1999, 2000)")
+    f = v.facts_q
+    periods = sorted(r.period for r in f.select("period").distinct().collect())                     # the columns: bounded by the calendar
     cell = lambda c: [F.max(F.when(F.col("period") == p, c.cast("string"))).alias(p) for p in periods]
     rows = [f.groupBy("code").agg(*cell(c)).withColumn("indicator", F.lit(n)).withColumn("row", F.lit(i)) for i, (n, c) in enumerate(
         (("营业总收入", F.col("revenue")), ("资产负债率", F.round(F.col("liab") / F.col("assets") * 100, 2)), ("营业总收入", F.col("revenue") * 2)))]
