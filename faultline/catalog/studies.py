@@ -11,6 +11,7 @@ from faultline.catalog.scoring import DAY, day, metrics, snapshot
 from faultline.catalog.views import AS_OF, Views, add_view, cents
 from faultline.operators import stats
 from faultline.operators.asof import asof_join, date_array, interval_join, latest_as_of
+from faultline.session import cut_lineage
 from faultline.operators.ordering import medians, order_statistics, with_average_rank
 
 # ------------------------------------------------------------------ panel
@@ -228,21 +229,11 @@ def backtest_criteria(v: Views):
 
 @query("V12")
 def leave_one_year_out(v: Views):
-    """Ridge logistic regression on score and exposure, tested on the year left out."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    t = exposed_panel(v).select(F.year("as_of").alias("year"), "code", "score", F.col("exposed").cast("double").alias("exposed"), F.col("y1").cast("double").alias("label"))
-    t = VectorAssembler(inputCols=["score", "exposed"], outputCol="raw").transform(t)
-    years = sorted(int(d[:4]) for d in AS_OF)
-    out = None
-    for year in dict.fromkeys(years):                                                        # one fold per evaluation year
-        train, test = t.where(F.col("year") != year), t.where(F.col("year") == year)
-        scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(regParam=1e-2, elasticNetParam=0.0, maxIter=50).fit(scale.transform(train))
-        fold = model.transform(scale.transform(test)).select("year", "code", F.col("label").cast("boolean").alias("y"), vector_to_array("probability")[1].alias("p"))
-        out = fold if out is None else out.unionByName(fold)
-    return stats.auc(out.withColumn("p", F.round("p", 9)), ["year"], "p", "y").select("year", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
+    """Three nested models (margin, + score, + exposure), each date left out in turn, AUC over the pooled predictions."""
+    margin = metrics(v).select("as_of", "code", "net_margin")
+    t = exposed_panel(v).join(margin, ["as_of", "code"]).select("as_of", "code", "net_margin", F.col("score").cast("double").alias("score"), F.col("exposed").cast("double").alias("exposed"), "y1")
+    scored = stats.nested_logistic(cut_lineage(t), "as_of", ["net_margin", "score", "exposed"], "y1")
+    return stats.auc(scored.withColumn("margin", F.round("margin", 9)), ["model"], "margin", "y1").select("model", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
 
 
 # ------------------------------------------------------------------ series
@@ -389,10 +380,10 @@ def event_reaction(v: Views):
     """Five-day return after an event and its excess over equal-weighted peers."""
     crises = v.signals.where("signal_type = 'credit_event' and severity = 'high'").select(F.col("entity_id").alias("code"), F.col("date").alias("day")).distinct()
     c = v.companies.select("code", "peer_group")
-    days = crises.join(c, "code").select("peer_group", "day").distinct()                      # event days of a peer group
+    days = crises.join(c, "code").select("peer_group", "day").distinct()                      # bounded by the calendar of each peer group
     w = W.partitionBy("code").orderBy("date")                                                 # one series, bounded by the calendar
     p = v.prices_s.withColumn("_later", F.lead("close", 5).over(w)).select("code", "date", "close", "_later")
-    asked = c.join(days, "peer_group").withColumn("_before", F.date_sub("day", 1))
+    asked = c.join(F.broadcast(days), "peer_group").withColumn("_before", F.date_sub("day", 1))
     r = (asof_join(asked, p, ["code"], "_before", "date", ["close", "_later"]).where("close is not null and _later is not null")
          .withColumn("ret", F.col("_later") / F.col("close") - 1))
     peers = r.groupBy("peer_group", "day").agg(F.sum("ret").alias("s"), F.count("*").alias("n"))

@@ -17,7 +17,7 @@ AS_OF = ["1997-04-30", "1998-09-15", "1999-11-30", "2000-04-30", "2001-02-01"]
 AS_OF_SQL = "(VALUES " + ", ".join(f"(DATE '{d}')" for d in AS_OF) + ") AS dates(as_of)"
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
 def forget_snapshots() -> None:
@@ -35,10 +35,20 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @cached_property
+    def stamp(self) -> tuple:
+        """Names, sizes and times of the input files: a snapshot of other files is never answered from."""
+        jvm, found = self.spark._jvm, []
+        for pattern in ("*.parquet", "*.parquet/*"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{pattern}")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+            found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+        return tuple(sorted(found))
+
     def stored(self, name: str, build) -> DataFrame:
-        """A snapshot table written once per application to the shared folder and read by later queries,
-        as the daily job writes its snapshots before the reports read them."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        """A snapshot table written once per application and state of the input files to the shared folder and read by
+        later queries, as the daily job writes its snapshots before the reports read them."""
+        key = (self.spark.sparkContext.applicationId, self.dir, self.stamp, name)
         if key not in _STORED:
             _STORED[key] = cut_lineage(build(self))
         return _STORED[key]

@@ -78,5 +78,8 @@ def interval_join(spans: DataFrame, points: DataFrame, by: list[str], start: str
     if how == "inner":
         return joined
     if how == "left_semi":
-        return joined.select(*spans.columns).distinct()
+        # each span row stays as often as it stands
+        hit = joined.select(*[F.col(c).alias(f"_h_{c}") for c in spans.columns]).distinct()
+        same = [spans[c].eqNullSafe(hit[f"_h_{c}"]) for c in spans.columns]
+        return spans.join(hit, same, "left_semi")
     raise ValueError(how)

@@ -50,17 +50,17 @@ def connected_components(pairs: DataFrame, by: list[str] | None = None) -> DataF
     by = by or []
     both = pairs.select(*by, "a", "b").where("a <> b")
     both = cut_lineage(both.unionByName(both.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(pairs.select(*by, F.explode(F.array("a", "b")).alias("node")).distinct()
-                         .withColumn("component", F.col("node")))
+    written = labels = cut_lineage(pairs.select(*by, F.explode(F.array("a", "b")).alias("node")).distinct()
+                                   .withColumn("component", F.col("node")))
     while True:
         near = (both.join(labels.select(*by, F.col("node").alias("b"), F.col("component").alias("_l")), [*by, "b"])
                 .groupBy(*by, F.col("a").alias("node")).agg(F.min("_l").alias("_near")))
         pulled = (labels.join(near, [*by, "node"], "left")
                   .withColumn("_new", F.least("component", F.coalesce("_near", F.col("component")))))
         jump = pulled.select(*by, F.col("node").alias("_new"), F.col("_new").alias("_far"))
-        nxt = cut_lineage(pulled.join(jump, [*by, "_new"], "left")
+        written = cut_lineage(pulled.join(jump, [*by, "_new"], "left")
                           .select(*by, "node", F.least("_new", F.coalesce("_far", F.col("_new"))).alias("component"),
-                                  (F.least("_new", F.coalesce("_far", F.col("_new"))) != F.col("component")).alias("_moved")))
-        labels = nxt.drop("_moved")
-        if nxt.where("_moved").isEmpty():
+                                  (F.least("_new", F.coalesce("_far", F.col("_new"))) != F.col("component")).alias("_moved")), instead_of=written)
+        labels = written.drop("_moved")
+        if written.where("_moved").isEmpty():
             return labels

@@ -157,3 +157,50 @@ def collapse_repeats(events: DataFrame, by: list[str], date: str, days: int) ->
     keep = F.aggregate("_d", start, lambda acc, d: F.when((F.size(acc) > 0) & (F.datediff(d, F.try_element_at(acc, F.lit(-1))) <= days), acc)
                        .otherwise(F.array_append(acc, d)))
     return per_day.select(*by, F.explode(keep).alias(date))
+
+
+def nested_logistic(rows: DataFrame, fold: str, features: list[str], y: str, ridge: float = 1e-2, steps: int = 50) -> DataFrame:
+    """(model, fold, key columns, y, margin): out-of-fold log-odds of the models on the first 1, 2, ... features.
+
+    Every row trains the models of all other folds and is scored by those of its own. Features are standardised on the
+    training rows, the intercept is not shrunk. All models and folds take their Newton step together: one aggregate gives
+    the sums of each, of which models x folds small rows reach the driver. Folds are few (evaluation dates).
+    """
+    import numpy as np
+    spark, d = rows.sparkSession, len(features)
+    own = rows.where(F.col(y).isNotNull()).dropna(subset=features).withColumn("_y", F.col(y).cast("double"))
+    folds = own.select(fold).distinct().withColumnRenamed(fold, "_f")
+    pairs = own.join(F.broadcast(folds), F.lit(True))                                   # a row for each fold
+    train = pairs.where(F.col(fold) != F.col("_f"))
+    scale = train.groupBy("_f").agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(features)])
+    z = [F.when(F.col(f"_s{i}") > 0, (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(features)]
+    from faultline.session import cut_lineage
+    scale = cut_lineage(scale)
+    zs = F.array(F.lit(1.0), *z).alias("_z")
+    train = cut_lineage(train.join(F.broadcast(scale), "_f").select("_f", "_y", zs))
+    names = [r[0] for r in folds.collect()]
+    coef = {(m, f): np.zeros(m + 1) for m in range(1, d + 1) for f in names}
+    kind = rows.schema[fold].dataType.simpleString()
+
+    def table():
+        return F.broadcast(spark.createDataFrame([(m, f, [float(x) for x in [*b, *[0.0] * (d - m)]]) for (m, f), b in coef.items()], f"model int, _f {kind}, _b array<double>"))
+
+    dot = F.aggregate(F.zip_with("_z", "_b", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    for _ in range(steps if names else 0):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), dot))))
+        at = train.join(table(), "_f").withColumn("_p", p)
+        grad = [F.sum((F.col("_y") - F.col("_p")) * F.col("_z")[i]).alias(f"g{i}") for i in range(d + 1)]
+        hess = [F.sum(F.col("_p") * (1 - F.col("_p")) * F.col("_z")[i] * F.col("_z")[j]).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i + 1)]
+        move = 0.0
+        for r in at.groupBy("model", "_f").agg(*grad, *hess).collect():
+            m, key = r["model"] + 1, (r["model"], r["_f"])
+            shrink = np.diag([0.0, *[ridge] * (m - 1)])
+            g = np.array([r[f"g{i}"] for i in range(m)]) - shrink @ coef[key]
+            h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(m)] for i in range(m)]) + shrink
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
+            coef[key] = coef[key] + step
+            move = max(move, float(np.abs(step).max()))
+        if move < 1e-8:
+            break
+    test = pairs.where(F.col(fold) == F.col("_f")).join(F.broadcast(scale), "_f").withColumn("_z", F.array(F.lit(1.0), *z))
+    return test.join(table(), "_f").select("model", fold, *[c for c in rows.columns if c not in (fold, y, *features)], y, dot.alias("margin"))

@@ -36,11 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write one round of an iteration as a table in the shared folder and go on from there.
 
-    The written table survives lost executors, is computed once, and gives the next round exact sizes.
+    The written table survives lost executors, is computed once, and gives the next round exact sizes. ``instead_of``: the
+    table of an earlier round that nothing reads any more; it is removed.
     """
-    path = f"{shared_folder(df.sparkSession)}/faultline-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead_of is not None and (before := instead_of.__dict__.get("_written_to")):
+        old = spark._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    object.__setattr__(out, "_written_to", path)
+    return out

@@ -190,3 +190,31 @@ def test_read_documents_sets_malformed_files_apart(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"n": 3}')
     good, bad = read_documents(spark, [str(tmp_path)], T.StructType().add("code", T.StringType()).add("n", T.IntegerType()), "code")
     assert [r.code for r in good.collect()] == ["600001"] and bad.count() == 2
+
+
+def test_nested_logistic_against_a_plain_solver(spark):
+    import numpy as np
+    r = np.random.default_rng(3)
+    rows = [(f"d{i % 3}", i, float(a), float(b), bool(r.random() < 1 / (1 + np.exp(-a + 0.5 * b)))) for i, (a, b) in enumerate(r.normal(size=(240, 2)))]
+    df = spark.createDataFrame(rows, "g string, id int, a double, b double, y boolean")
+    got = {(x.model, x.id): x.margin for x in stats.nested_logistic(df, "g", ["a", "b"], "y").collect()}
+    for m in (1, 2):
+        for held in ("d0", "d1", "d2"):
+            train = np.array([[x[2], x[3]][:m] for x in rows if x[0] != held])
+            y = np.array([x[4] for x in rows if x[0] != held], float)
+            mean, sd = train.mean(0), train.std(0)
+            z = np.c_[np.ones(len(y)), (train - mean) / sd]
+            w, shrink = np.zeros(m + 1), np.diag([0.0] + [1e-2] * m)
+            for _ in range(40):
+                p = 1 / (1 + np.exp(-z @ w))
+                w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + shrink, z.T @ (y - p) - shrink @ w)
+            for x in rows:
+                if x[0] == held:
+                    assert abs(got[m, x[1]] - np.r_[1, (np.array([x[2], x[3]][:m]) - mean) / sd] @ w) < 1e-6
+
+
+def test_semi_interval_join_keeps_equal_rows(spark):
+    s = spark.createDataFrame([("a", "2020-01-01", "2020-03-01"), ("a", "2020-01-01", "2020-03-01"), ("b", "2020-01-01", None)], "k string, f string, t string").selectExpr("k", "date(f) f", "date(t) t")
+    p = spark.createDataFrame([("a", "2020-02-01"), ("a", "2020-02-02")], "k string, d string").selectExpr("k", "date(d) d")
+    from faultline.operators.asof import interval_join
+    assert interval_join(s, p, ["k"], "f", "t", "d", how="left_semi").count() == 2
