@@ -253,19 +253,24 @@ def overseas_share(v: Views):
 ROUTE_SQL = "CASE CAST(substr(f.code, 2) AS BIGINT) % 3 WHEN 0 THEN 'EAF' WHEN 1 THEN 'DRI-EAF' ELSE 'BF-BOF' END"
 _INT = "CASE route WHEN 'BF-BOF' THEN 2.34 WHEN 'EAF' THEN 0.69 ELSE 1.47 END::DOUBLE"
 _TW = "CASE tier WHEN 'weak' THEN 1.0 WHEN 'medium' THEN 0.5 WHEN 'strong' THEN 0.2 ELSE 0.5 END::DOUBLE"
-add_view("carbon", f"""SELECT *, round(cbam / 4000 * share * {_TW} * 100, 9) AS cbam_index, round(dom / 4000 * {_TW} * 100, 9) AS domestic_index FROM (
+CORE = ("ASIA", "EUROPE")                                # peer groups that the ranking of carbon costs covers
+STEEL = "Brand#1"                                       # the series that gives the price of a tonne
+add_view("steel_price", f"SELECT as_of, arg_max(close, date) AS price FROM prices_b JOIN dates ON date <= as_of WHERE symbol = '{STEEL}' GROUP BY as_of")
+add_view("carbon", f"""SELECT *, round(cbam / price * share * {_TW} * 100, 9) AS cbam_index, round(dom / price * {_TW} * 100, 9) AS domestic_index FROM (
   SELECT *, round(greatest(0, {_INT} * CAST(0.485 AS DOUBLE) * (600 - 90)), 1) AS cbam, round({_INT} * 90 * CAST(0.03 AS DOUBLE), 1) AS dom FROM (
-    SELECT f.as_of, f.code, f.tier, {ROUTE_SQL} AS route, o.share FROM fragility f LEFT JOIN overseas_asof o ON o.code = f.code AND o.as_of = f.as_of))""")
+    SELECT f.as_of, f.code, f.tier, {ROUTE_SQL} AS route, o.share, s.price FROM fragility f LEFT JOIN overseas_asof o ON o.code = f.code AND o.as_of = f.as_of LEFT JOIN steel_price s ON s.as_of = f.as_of WHERE f.peer_group IN {CORE}))""")
 
 
 def carbon(v: Views) -> DataFrame:
     key = F.expr("cast(substr(code, 2) as bigint)") % 3
     route = F.when(key == 0, "EAF").when(key == 1, "DRI-EAF").otherwise("BF-BOF")
-    t = (snapshot(v).select("as_of", "code", "tier").join(overseas_asof(v).select("code", "as_of", "share"), ["code", "as_of"], "left").withColumn("route", route))
+    price = latest_as_of(v.prices_b.where(F.col("symbol") == STEEL), ["symbol"], "date", AS_OF, ["close"]).select("as_of", F.col("close").alias("price"))
+    t = (snapshot(v).where(F.col("peer_group").isin(*CORE)).select("as_of", "code", "tier").join(overseas_asof(v).select("code", "as_of", "share"), ["code", "as_of"], "left")
+         .join(F.broadcast(price), "as_of", "left").withColumn("route", route))                        # a price for each date
     cbam, dom = ex.carbon_cost(F.col("route"), 2030, 600.0, 90.0, 0.03)
     w = F.coalesce(lookup(F.col("tier"), rules.STRESS_TIER_WEIGHT), F.lit(0.5))
     return (t.withColumn("cbam", cbam).withColumn("dom", dom)
-            .withColumn("cbam_index", F.round(F.col("cbam") / 4000 * F.col("share") * w * 100, 9)).withColumn("domestic_index", F.round(F.col("dom") / 4000 * w * 100, 9)))
+            .withColumn("cbam_index", F.round(F.col("cbam") / F.col("price") * F.col("share") * w * 100, 9)).withColumn("domestic_index", F.round(F.col("dom") / F.col("price") * w * 100, 9)))
 
 
 @query("X12", f"SELECT {DAY}, code, route, cbam, dom, cbam_index, domestic_index, round(coalesce(cbam_index, 0) + domestic_index, 9) AS total_index FROM carbon")
