@@ -230,6 +230,17 @@ def spot_check_sample(v: Views):
     return v.table("documents").withColumn("k", k).where("k <= 5").select("source", "doc_id")
 
 
+@query("T6", """SELECT o_orderpriority AS task, o_orderkey AS doc, l_linenumber AS record FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('20261009|' || o_orderkey)) AS k FROM orders)
+  JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) ON l_orderkey = o_orderkey WHERE k <= 10 AND r <= 5""")
+def spot_check_records(v: Views):
+    """Ten documents of each task by seeded hash, and at most five records of each."""
+    k = F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.md5(F.concat(F.lit("20261009|"), F.col("o_orderkey")))))
+    docs = v.table("orders").withColumn("k", k).where("k <= 10").select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("doc"))
+    lines = v.table("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("record")).join(docs, "doc")       # lines of the chosen only
+    r = F.row_number().over(W.partitionBy("doc").orderBy("record"))
+    return lines.withColumn("r", r).where("r <= 5").select("task", "doc", "record")
+
+
 @query("J10 U6", """SELECT o_orderkey AS doc, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_shipdate = o_orderdate + INTERVAL 5 DAY) THEN 'done'
   WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50) THEN 'reserved' ELSE 'new' END AS state FROM orders""")
 def registry_split(v: Views):

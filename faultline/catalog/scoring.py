@@ -90,7 +90,8 @@ def total_sql(weights: dict[str, float]) -> str:
 
 
 add_view("events_after", """SELECT as_of, entity_id AS code, count(*) AS events,
-  count(CASE WHEN severity = 'high' OR signal_type = 'credit_event' THEN 1 END) AS serious
+  count(CASE WHEN severity = 'high' OR signal_type = 'credit_event' THEN 1 END) AS serious,
+  list_slice(list_sort(list_distinct(list(date || ' ' || signal_type) FILTER (WHERE severity = 'high' OR signal_type = 'credit_event'))), 1, 2) AS first_serious
   FROM signals JOIN date_period d ON date <= d.as_of JOIN period_public p ON p.period = d.period AND date > p.available_by
   WHERE signal_type IN ('credit_event', 'supply_disruption', 'share_pledge', 'credit_exposure') GROUP BY as_of, entity_id""")
 add_view("fragility_full", f"""SELECT *, CASE WHEN base_tier IS NOT NULL AND red_lines <> '' THEN 'weak' ELSE base_tier END AS ruled FROM (
@@ -100,12 +101,14 @@ add_view("fragility_full", f"""SELECT *, CASE WHEN base_tier IS NOT NULL AND red
     array_to_string(list_filter([CASE WHEN m.negative_equity = 1 THEN 'negative_equity' END, CASE WHEN m.debt_ratio >= 0.85 THEN 'debt_ratio' END,
       CASE WHEN m.guarantee_to_equity >= 1 THEN 'guarantee_to_equity' END, CASE WHEN score_leverage >= 90 THEN 'extreme_leverage' END,
       CASE WHEN score_liquidity >= 90 THEN 'extreme_liquidity' END], lambda x: x IS NOT NULL), ',') AS red_lines,
-    coalesce(e.events, 0) AS events_after_report, coalesce(e.serious, 0) AS serious
+    coalesce(e.events, 0) AS events_after_report, coalesce(e.serious, 0) AS serious, coalesce(e.first_serious, []) AS first_serious
   FROM dim_scores s JOIN metrics_all m USING (as_of, code) LEFT JOIN events_after e USING (as_of, code))""")
 add_view("fragility", """SELECT as_of, code, peer_group, period, round(round(total, 6), 1) AS total_score, """ + ", ".join(
     f"round(score_{d}, 1) AS score_{d}" for d in rules.WEIGHTS) + """, base_tier,
   CASE WHEN serious > 0 AND ruled IS NOT NULL THEN CASE WHEN ruled = 'strong' THEN 'medium' ELSE 'weak' END ELSE ruled END AS tier,
-  red_lines, events_after_report, reasons FROM fragility_full""")
+  red_lines, events_after_report, array_to_string(list_filter(list_concat(list_concat(string_split(red_lines, ','),
+    list_filter(string_split(reasons, ','), lambda r: NOT (r = 'guarantee_to_equity' AND contains(red_lines, 'guarantee_to_equity')))),
+    CASE WHEN serious > 0 AND ruled IS NOT NULL THEN first_serious ELSE [] END), lambda x: x <> ''), ',') AS reasons FROM fragility_full""")
 
 FRAGILITY_COLUMNS = ["code", "peer_group", "period", "total_score", *[f"score_{d}" for d in rules.WEIGHTS], "base_tier", "tier",
                      "red_lines", "events_after_report", "reasons"]

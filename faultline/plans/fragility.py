@@ -73,13 +73,15 @@ def red_lines() -> Column:
 
 
 def events_after_report(signals: DataFrame, dates: list[str]) -> DataFrame:
-    """(as_of, code): relevant events published after the report in use, and how many are serious."""
+    """(as_of, code): relevant events published after the report in use, how many are serious, and the first two of these."""
     seen = (signals.where(F.col("signal_type").isin(*rules.EVENT_TYPES))
             .withColumn("as_of", F.explode(F.filter(date_array(dates), lambda d: d >= F.col("date"))))
             .where(F.col("date") > available_by(latest_public_period(F.col("as_of")))))
     serious = (F.col("severity") == "high") | (F.col("signal_type") == "credit_event")
     return seen.groupBy("as_of", F.col("entity_id").alias("code")).agg(
-        F.count("*").alias("events"), F.count_if(serious).alias("serious"))
+        F.count("*").alias("events"), F.count_if(serious).alias("serious"),
+        # days and kinds of the serious ones, bounded by the calendar since the report
+        F.slice(F.array_sort(F.collect_set(F.when(serious, F.concat_ws(" ", F.col("date").cast("string"), "signal_type")))), 1, 2).alias("first_serious"))
 
 
 def fragility(metrics: DataFrame, signals: DataFrame, dates: list[str]) -> DataFrame:
@@ -90,10 +92,14 @@ def fragility(metrics: DataFrame, signals: DataFrame, dates: list[str]) -> DataF
     total = weighted_total()
     base = tier_of(F.col("_total"))
     ruled = F.when(F.col("_total").isNotNull() & (F.size("_lines") > 0), "weak").otherwise(F.col("base_tier"))
+    # red lines come first and stand for a reason that says the same; serious events come last
+    own = F.filter(F.split("reasons", ","), lambda r: ~((r == "guarantee_to_equity") & F.array_contains("_lines", r)))
+    late = F.when((F.coalesce("serious", F.lit(0)) > 0) & F.col("_ruled").isNotNull(), F.col("first_serious")).otherwise(F.array().cast("array<string>"))
+    reasons = F.array_join(F.filter(F.concat("_lines", own, late), lambda r: r != ""), ",").alias("reasons")
     return (scored.withColumn("_total", total).withColumn("_lines", red_lines())
             .withColumn("base_tier", base).withColumn("_ruled", ruled)
             .select("as_of", "code", "peer_group", "period", F.round(F.round("_total", 6), 1).alias("total_score"),
                     *[F.round(f"score_{d}", 1).alias(f"score_{d}") for d in rules.WEIGHTS], "base_tier",
                     F.when(F.coalesce("serious", F.lit(0)) > 0, tier_up(F.col("_ruled"))).otherwise(F.col("_ruled")).alias("tier"),
                     F.concat_ws(",", "_lines").alias("red_lines"),
-                    F.coalesce("events", F.lit(0)).alias("events_after_report"), "reasons"))
+                    F.coalesce("events", F.lit(0)).alias("events_after_report"), reasons))
