@@ -283,7 +283,7 @@ def scope_matrix(v: Views):
 @query("A14 J9", f"""SELECT CAST(d.as_of AS VARCHAR) AS as_of, count(*) AS active_relations, any_value(t.touched) AS companies_covered, (SELECT count(*) FROM companies) AS companies,
   round(any_value(t.touched) / (SELECT count(*) FROM companies), 6) AS share, count(CASE WHEN edge_type = 'guarantee' THEN 1 END) AS n_guarantee,
   count(CASE WHEN edge_type = 'service' THEN 1 END) AS n_service, count(CASE WHEN edge_type = 'supply' THEN 1 END) AS n_supply
-  FROM g_edges d JOIN (SELECT as_of, count(DISTINCT node) AS touched FROM (SELECT as_of, unnest([src_id, dst_id]) AS node FROM g_edges) GROUP BY as_of) t ON t.as_of = d.as_of
+  FROM g_edges d JOIN (SELECT as_of, count(DISTINCT node) AS touched FROM (SELECT as_of, unnest([src_id, dst_id]) AS node FROM g_edges) WHERE node IN (SELECT code FROM companies) GROUP BY as_of) t ON t.as_of = d.as_of
   GROUP BY d.as_of""")
 def graph_coverage(v: Views):
     """Active relations, companies touched and counts by type, per evaluation date."""
