@@ -1,17 +1,30 @@
-"""Encoding of whole texts with a public tokenizer file, white-space runs looked up in a bounded cache."""
+"""Encoding of whole texts with a public tokenizer file, by looking up pre-tokens in a bounded cache."""
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
+from itertools import islice
 
-CACHED, LONGEST = 400_000, 48          # entries; characters of a run worth keeping
+WORDS, LONGEST = 250_000, 48                       # entries of each cache; characters of an entry
+#: The pre-tokens of the word tokenizer's file, written out for characters up to U+00FF.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0"
+LETTERS = "a-zªµºß-öø-ÿ"
+NUMBERS = "0-9²³¹¼-¾"
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+#: Byte-level alphabet: visible bytes stand for themselves, the others for characters from U+0100 on.
+VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    For the tokenizers whose pre-tokens never span white space, a text's ids are those of its runs between blanks, one
-    after the other, so each run is encoded once and looked up afterwards. Strings of special tokens are ordinary text.
+    For a tokenizer whose pre-tokens never span white space, a text's ids are those of its pre-tokens one after the other.
+    Texts of characters up to U+00FF are cut into pre-tokens here and only new ones reach the model; other texts are cut
+    at blanks and their new runs encoded as they stand. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -20,25 +33,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.plain = [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == SPLIT
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        known, out = self.cache, []
+        for cache in (self.words, self.runs):
+            if len(cache) > WORDS:                                   # the older half goes
+                for k in list(islice(cache, len(cache) // 2)):
+                    del cache[k]
+        out = []
         for text in texts:
-            runs = text.replace("\n", " ").replace("\t", " ").split(" ")
-            new = list({r for r in runs if r not in known})
-            if new:
-                ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-                found = dict(zip(new, ids, strict=True))
-                known.update((r, x) for r, x in found.items() if len(r) <= LONGEST)
-                if any(len(r) > LONGEST for r in new):
-                    out.append(b"".join([found[r] if r in found else known[r] for r in runs]))
-                    continue
-            out.append(b"".join(map(known.__getitem__, runs)))
+            if self.plain and narrow(text):
+                out.append(self._looked_up(PRE_TOKEN.findall(text.lower()), self.words, self._word))
+            else:
+                out.append(self._looked_up(text.replace("\n", " ").replace("\t", " ").split(" "), self.runs, self._run))
         return out
 
+    def _looked_up(self, parts: list[str], known: dict[str, bytes], learn) -> bytes:
+        ids = list(map(known.get, parts))
+        if None in ids:
+            for i, x in enumerate(ids):
+                if x is None:
+                    part = parts[i]
+                    x = ids[i] = known.get(part) or learn(part)
+                    if len(part) <= LONGEST:
+                        known[part] = x
+        return b"".join(ids)
+
+    def _word(self, word: str) -> bytes:
+        seen = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+
+
+def narrow(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
