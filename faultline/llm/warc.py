@@ -98,8 +98,11 @@ def resolved(records: DataFrame) -> DataFrame:
     none = lost.select("record_id", "url", canonical(F.col("url")).alias("canonical_url"), "captured", F.lit("no_response").alias("outcome"),
                        F.lit(None).cast(records.schema["record_id"].dataType).alias("response_id"), lowered(F.col("headers")).alias("headers"),
                        F.lit(None).cast(records.schema["record_id"].dataType).alias("body_of"))
-    bodies = records.where(F.col("kind") == "response").groupBy(F.col("record_id").alias("body_of")).agg(F.max("body").alias("body"))
-    return out.union(none).join(bodies, "body_of", "left").drop("body_of")
+    bodies = records.where(F.col("kind") == "response").groupBy(F.col("record_id").alias("key")).agg(F.max("body").alias("body"))
+    # revisits that take no body look up their own id, so that they do not meet under one empty key
+    keyed = out.union(none).withColumn("key", F.coalesce("body_of", "record_id"))
+    body = F.when(F.col("body_of").isNotNull(), F.col("body")).alias("body")
+    return keyed.join(bodies, "key", "left").select("record_id", "url", "canonical_url", "captured", "outcome", "response_id", "headers", body)
 
 
 def crawl(pages: DataFrame) -> DataFrame:
