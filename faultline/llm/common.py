@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        stars = cut_lineage(small.distinct())
+        stars = cut_lineage(small.distinct(), instead_of=stars)
 
 
 def labelled(labels: DataFrame, label: str, fold: int, held_out: int, bound: int) -> DataFrame:
