@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "fragility_ranking", "market_indicators", "outsider_placing", "order_statistic_thresholds", "single_quarter_growth", "financial_indicators",
     "typed_steps", "propagation_paths", "key_paths", "supply_layers", "guarantee_circles", "exposure_on_date", "stress_ranking",
-    "relation_summary", "linked_names", "name_resolution", "validity_windows", "events_in_following_year", "study_panel", "correlation_permutation",
+    "relation_summary", "linked_names", "name_resolution", "validity_windows", "events_in_following_year", "study_panel", "rank_correlation",
     "event_reaction", "collapsed_events", "detection_by_document", "exact_pairs", "evidence_report", "rule_classifier", "printed_rows", "web_blocks",
     "stream_daily_counts",
 ]
