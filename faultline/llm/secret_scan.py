@@ -1,7 +1,8 @@
 """Secret scan with a recursive worklist over encoded layers.
 
 A text is scanned as it stands, then every layer that can be unwrapped from it: percent escapes, backslash escapes, base64
-runs and compressed bytes inside them. Each layer is scanned again and unwrapped further until nothing new appears; a
+runs (on one line or several, from each of four characters on), text in two bytes a character and compressed bytes inside
+them, wherever they start. Decoded bytes that are no text stay on the worklist. Each layer is scanned again and unwrapped further until nothing new appears; a
 layer seen before is not taken up again. Spans found in a layer are mapped back, through every layer above it, to the
 characters of the document that carry them.
 """
@@ -14,7 +15,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,27 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+#: Escapes of one byte each, as in the printed form of bytes.
+RAW_ESCAPE = re.compile(r"(?:\\u00[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"])+")
+SIMPLE = dict(zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\"", strict=True))
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, also indented or with line ends written as escapes; it starts only where a run starts.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+ALPHABET = re.compile(r"\\[rn]|[A-Za-z0-9+/_-]+")
+#: Plain characters in two bytes each, in either byte order.
+WIDE = re.compile(r"\x00?(?:[\t\n\r -~]\x00){11,}[\t\n\r -~]\x00?")
+#: The shortest match has 12 characters, all of them ASCII, and so has all that escapes or base64 can hold one in.
+WORTH = re.compile(rb"[\t\n\r -~]{12}|(?:[\t\n\r -~]\x00){11}[\t\n\r -~]")
 #: A compressed layer is unwrapped up to this many bytes, which bounds a task's memory; ``oversize`` says if one was cut.
 MOST_BYTES = 8 << 20
-OPENERS = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15))
+STEP = 1 << 18
+ZLIB = b"|".join(re.escape(bytes([c])) + b"[" + b"".join(re.escape(bytes([f])) for f in range(256) if not (c * 256 + f) % 31 and not f & 32) + b"]" for c in range(8, 128, 16))
+OPENER = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|" + ZLIB, re.S)
+#: The same patterns for inflated bytes, whose matches all have one place; there it counts only whether there are some.
+KIND_BYTES = [re.compile(x) for x in (rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""", rb"AKIA[A-Z0-9]{16}", rb"[0-9a-f]{24}")]
+BASE64_BYTES, WRAPPED_BYTES, WIDE_BYTES = (re.compile(x.pattern.encode()) for x in (BASE64, WRAPPED, WIDE))
+PERCENT_BYTE, ESCAPE_BYTE = re.compile(rb"%[0-9A-Fa-f]{2}"), re.compile(rb"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+RAW_BYTE = re.compile(ESCAPE_BYTE.pattern + rb"|\\[abfnrtv0\\'\"]")
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -45,45 +63,167 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
 
 
 def readable(data: bytes) -> str | None:
-    """Text of decoded bytes, or nothing if it is not text."""
+    """Text of decoded bytes, or nothing if they are not text as a whole."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\n\r" for c in text[:4096])
-    return text if text and odd * 20 <= min(len(text), 4096) else None
-
-
-def inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """Bytes of a compressed run, and whether the bound cut them."""
-    try:
-        for opener, bits in OPENERS:
-            if data.startswith(opener):
-                d = zlib.decompressobj(bits)
-                out = d.decompress(data, MOST_BYTES)
-                return out, bool(d.unconsumed_tail)
-        for opener, make in ((b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor)):
-            if data.startswith(opener):
-                d = make()
-                out = d.decompress(data, MOST_BYTES)
-                return out, not d.eof and not d.needs_input
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None, False
+    odd = sum(map(data.count, ODD))
+    return text if text and odd * 20 <= len(text) else None
+
+
+ODD = [bytes([c]) for c in range(32) if c not in b"\t\n\r"]
+
+
+class Inflated:
+    """Output of the compressed members that follow each other from ``at`` on; ``end``: where they end."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.end, self.whole = data, at, at, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        at = self.at
+        while m := OPENER.match(self.data, at):
+            kind = m[0][:2]
+            d = bz2.BZ2Decompressor() if kind == b"BZ" else lzma.LZMADecompressor() if kind == b"\xfd7" else zlib.decompressobj(31 if kind == b"\x1f\x8b" else 15)
+            rest = b""
+            try:
+                while not d.eof:
+                    if not rest and getattr(d, "needs_input", True):
+                        rest = self.data[at:at + STEP]
+                        at += len(rest)
+                    out = d.decompress(rest, STEP)
+                    more = bool(rest)
+                    rest = getattr(d, "unconsumed_tail", b"")
+                    if out:
+                        yield out
+                    elif not more and not d.eof:
+                        break
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            at -= len(d.unused_data) + len(rest)
+            self.end = at
+            if not d.eof:
+                return
+            self.whole = True
+            while self.data[at:at + 1] == b"\0":                     # padding between members
+                at += 1
+
+
+def inflations(data: bytes) -> Iterator[tuple[int, int, bytes, bool, bool]]:
+    """``(start, end, bytes, ended properly, cut)`` of everything compressed in ``data``, wherever it starts."""
+    at = 0
+    while m := OPENER.search(data, at):
+        members = Inflated(data, m.start())
+        out, cut = kept(members)
+        if len(out):
+            yield m.start(), max(members.end, m.end()) if members.whole else len(data), out, members.whole, cut
+        at = members.end if members.whole else m.start() + 1
+
+
+def kept(chunks: Iterable[bytes]) -> tuple[bytes, bool]:
+    """The bytes of ``chunks``, and whether they were cut at ``MOST_BYTES``."""
+    out = bytearray()
+    for x in chunks:
+        out += x
+        if len(out) > MOST_BYTES:
+            return bytes(out[:MOST_BYTES]), True
+    return bytes(out), False
+
+
+def pieces(data: bytes, a: int, b: int) -> Iterator[bytes]:
+    for at in range(a, b, STEP):
+        yield data[at:min(b, at + STEP)]
+
+
+def substituted(data: bytes, pattern: re.Pattern, decode) -> Iterator[bytes]:
+    at = 0
+    for m in pattern.finditer(data):
+        yield from pieces(data, at, m.start())
+        yield decode(m[0])
+        at = m.end()
+    yield from pieces(data, at, len(data))
+
+
+def byte_of(escaped: bytes) -> bytes:
+    """One escape: a byte where it stands for one, else the character in UTF-8."""
+    if escaped[1:2] not in (b"u", b"x"):
+        return SIMPLE[escaped[1:].decode()].encode()
+    if len(escaped) == 12:
+        return (escaped[:6] + escaped[6:]).decode("unicode_escape").encode("utf-16-be", "surrogatepass").decode("utf-16-be").encode()
+    code = int(escaped[2:], 16)
+    return bytes([code]) if code < 256 else chr(code).encode("utf-8", "replace")
+
+
+def base64_bytes(data: bytes, a: int, b: int, phase: int) -> Iterator[bytes]:
+    """Bytes of the run [a, b) without its first ``phase`` characters."""
+    held, cut = b"", phase
+    for x in pieces(data, a, b):
+        x = held + x
+        split = len(x) - (x.endswith(b"\\") or 2 * x.endswith(b"\\r"))
+        tail, x = x[split:], x[:split]
+        x = x.replace(b"\\r", b"").replace(b"\\n", b"").translate(URLSAFE, b" \t\r\n=")
+        drop = min(cut, len(x))
+        cut -= drop
+        x = x[drop:]
+        full = len(x) // 4 * 4
+        yield base64.b64decode(x[:full])
+        held = x[full:] + tail
+    held = held[:-1] if len(held) % 4 == 1 else held
+    yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+
+URLSAFE = bytes.maketrans(b"-_", b"+/")
+
+
+def within(data: bytes) -> Iterator[tuple[bytes, bool, bool]]:
+    """``(bytes, properly a layer, cut)``: what can be unwrapped from inflated bytes."""
+    if PERCENT_BYTE.search(data):
+        yield *(x := kept(substituted(data, PERCENT_BYTE, lambda e: bytes([int(e[1:], 16)])))), True
+        if b"+" in x[0] and OPENER.search(x[0]):
+            yield *kept(substituted(data, re.compile(rb"%[0-9A-Fa-f]{2}|\+"), lambda e: b" " if e == b"+" else bytes([int(e[1:], 16)]))), False
+    if ESCAPE_BYTE.search(data):
+        yield *(x := kept(substituted(data, ESCAPE_BYTE, byte_of))), True
+        if b"\\" in x[0]:
+            yield *kept(substituted(data, RAW_BYTE, byte_of)), False
+    for pattern in (BASE64_BYTES, WRAPPED_BYTES):
+        for m in pattern.finditer(data):
+            for phase in range(4):
+                x, cut = kept(base64_bytes(data, *m.span(), phase))
+                if WORTH.search(x) or OPENER.search(x):
+                    yield x, cut, len(x) < MOST_BYTES and readable(x) is not None
+    for m in WIDE_BYTES.finditer(data):
+        yield *kept(x.replace(b"\0", b"") for x in pieces(data, *m.span())), True
+    for _, _, x, whole, cut in inflations(data):
+        yield x, cut, whole
 
 
 class Layer:
-    """A text and, for each of its characters, the stretch of the document that carries it (none: the document itself)."""
+    """A text and, for each of its characters, the stretch of the document that carries it (none: the document itself).
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.start, self.end = text, start, end
+    ``binary``: the characters are bytes, which may hold something compressed; ``sure``: the layer is text as a whole.
+    """
+
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, binary: bool = False, sure: bool = True):
+        self.text, self.start, self.end, self.binary, self.sure = text, start, end, binary, sure
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
 
-    def child(self, text: str, a: np.ndarray, b: np.ndarray) -> Layer:
+    def child(self, text: str, a: np.ndarray, b: np.ndarray, binary: bool = False, sure: bool = True) -> Layer:
         """``text`` whose characters come from stretches [a, b) of this layer."""
-        return Layer(text, a, b) if self.start is None else Layer(text, self.start[a], self.end[b - 1])
+        return Layer(text, a, b, binary, sure) if self.start is None else Layer(text, self.start[a], self.end[b - 1], binary, sure)
+
+
+class Deep:
+    """Inflated bytes: no character of them has a place of its own, all have that of the compressed run."""
+
+    def __init__(self, data: bytes, lo: int, hi: int, cut: bool, sure: bool):
+        self.data, self.lo, self.hi, self.cut, self.sure = data, lo, hi, cut, sure
+
+    def inner(self) -> Iterator[Deep]:
+        for data, cut, sure in within(self.data):
+            yield Deep(data, self.lo, self.hi, cut, sure)
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -127,53 +267,95 @@ def escape(run: str) -> tuple[str, list[int]] | None:
     return "".join(text), width
 
 
-def unwrapped(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers directly inside a layer, and how many of them the bound cut."""
-    out, cut, text = [], 0, layer.text
-    if "%" in text and (x := replaced(layer, PERCENT, percent)):
-        out.append(x)
-    if "\\" in text and (x := replaced(layer, ESCAPE, escape)):
-        out.append(x)
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
+def raw_percent(run: str) -> tuple[str, list[int]]:
+    data = binascii.unhexlify(run.replace("%", ""))
+    return data.decode("latin-1"), [3] * len(data)
+
+
+def raw_escape(run: str) -> tuple[str, list[int]]:
+    found = list(re.finditer(r"\\(?:u00(..)|x(..)|(.))", run))
+    return "".join(SIMPLE[m[3]] if m[3] else chr(int(m[1] or m[2], 16)) for m in found), [m.end() - m.start() for m in found]
+
+
+def latin(text: str) -> bytes:
+    return text.encode("latin-1", "replace")
+
+
+def from_base64(layer: Layer, a: int, b: int) -> Iterator[Layer]:
+    """Layers of the base64 run [a, b), decoded from each of its first four characters on."""
+    parts = [m.span() for m in ALPHABET.finditer(layer.text, a, b) if m[0][0] != "\\"]
+    run = "".join(layer.text[x:y] for x, y in parts)
+    place = None
+    if len(run) < 16:
+        return
+    for phase in range(4):
+        coded = run[phase:]
+        coded = (coded[:-1] if len(coded) % 4 == 1 else coded).replace("-", "+").replace("_", "/")
+        data = base64.b64decode(coded + "=" * (-len(coded) % 4))
         plain = readable(data)
-        if plain is not None:
-            size = np.array([len(c.encode()) for c in plain])
-            last = np.cumsum(size)
-            first = last - size
-            a, b = m.start() + first * 4 // 3, np.minimum(m.start() + -(-last * 4 // 3), m.end())
-            out.append(layer.child(plain, a, b))
+        if plain is None and not WORTH.search(data) and not OPENER.search(data):
             continue
-        data, over = inflate(data)
-        plain = None if data is None else readable(data if not over else data[:-4].decode("utf-8", "ignore").encode())
-        cut += over
-        if plain is not None:                                        # no character of it has a place of its own
-            out.append(layer.child(plain, np.full(len(plain), m.start()), np.full(len(plain), m.end())))
-    return out, cut
+        if place is None:
+            place = np.concatenate([np.arange(x, y) for x, y in parts])
+        text = data.decode("latin-1") if plain is None else plain
+        last = np.arange(1, len(text) + 1) if plain is None or len(plain) == len(data) else np.cumsum([len(c.encode()) for c in plain])
+        first = np.concatenate([[0], last[:-1]])
+        yield layer.child(text, place[phase + first * 4 // 3], place[phase - 1 - (-last * 4 // 3)] + 1, plain is None or bool(OPENER.match(data)), plain is not None)
+
+
+def unwrapped(layer: Layer) -> Iterator[Layer | Deep]:
+    """Layers directly inside a layer."""
+    text = layer.text
+    if "%" in text and (x := replaced(layer, PERCENT, percent)):
+        yield x
+        raw = replaced(layer, PERCENT, raw_percent)
+        for y in (raw.text, raw.text.replace("+", " ") if "+" in text else None):
+            if y is not None and OPENER.search(latin(y)):
+                yield Layer(y, raw.start, raw.end, True, False)
+    if "\\" in text and (x := replaced(layer, ESCAPE, escape)):
+        yield x
+        raw = replaced(layer, RAW_ESCAPE, raw_escape)
+        if raw and OPENER.search(latin(raw.text)):
+            yield Layer(raw.text, raw.start, raw.end, True, False)
+    for pattern in (BASE64, WRAPPED):
+        for m in pattern.finditer(text):
+            yield from from_base64(layer, *m.span())
+    if "\0" in text:
+        for m in WIDE.finditer(text):
+            at = m.start() + np.flatnonzero([c != "\0" for c in m[0]])
+            yield layer.child(m[0].replace("\0", ""), at, at + 1)
+    if layer.binary:
+        for a, b, data, whole, cut in inflations(latin(text)):
+            yield Deep(data, *layer.origin(a, b), cut, whole)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Base spans, all spans (each ``(start, kind, end)``, ascending), layers unwrapped, layers cut at the bound."""
     base = spans_of(text)
-    every, work, seen, layers, oversize = set(base), [Layer(text)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0, 0
+    every, seen, layers, oversize = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0, 0
+    work = [unwrapped(Layer(text))]                                  # depth first: one layer of each depth is held
     while work:
-        inner, cut = unwrapped(work.pop())
-        oversize += cut
-        for x in inner:
-            name = hashlib.sha256(x.text.encode("utf-8", "surrogatepass"))
-            if x.start is not None and len(x.start):                 # the same content elsewhere is another layer
-                name.update(int(x.start[0]).to_bytes(8, "little") + int(x.end[-1]).to_bytes(8, "little"))
-            if name.digest() in seen:
-                continue
-            seen.add(name.digest())
-            layers += 1
-            for a, kind, b in spans_of(x.text):
-                lo, hi = x.origin(a, b)
-                every.add((lo, kind, hi))
-            work.append(x)
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        deep = isinstance(x, Deep)
+        name = hashlib.sha256(x.data if deep else x.text.encode("utf-8", "surrogatepass"))
+        if deep or len(x.text):                                      # the same content elsewhere is another layer
+            lo, hi = (x.lo, x.hi) if deep else x.origin(0, len(x.text))
+            name.update(lo.to_bytes(8, "little") + hi.to_bytes(8, "little") + bytes([deep, not deep and x.binary]))
+        if name.digest() in seen:
+            continue
+        seen.add(name.digest())
+        if deep:
+            found = {(x.lo, k, x.hi) for k, pattern in enumerate(KIND_BYTES) if pattern.search(x.data)}
+            oversize += x.cut
+            work.append(x.inner())
+        else:
+            found = {(lo, kind, hi) for a, kind, b in spans_of(x.text) for lo, hi in (x.origin(a, b),)}
+            work.append(unwrapped(x))
+        layers += x.sure or bool(found)                              # bytes in which nothing is found are no layer
+        every |= found
     return base, sorted(every), layers, oversize
 
 

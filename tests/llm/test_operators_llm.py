@@ -1,16 +1,18 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
 import base64
+import bz2
 import functools
 import gzip
 import hashlib
 import itertools
+import lzma
 import math
 import random
 import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import pytest
@@ -350,6 +352,31 @@ def test_layers_map_to_the_text(wrap):
     assert b - a >= 0.8 * len(coded) * 26 / 30 or wrap is None
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+NOISE = random.Random(5).randbytes(90)
+
+
+@pytest.mark.parametrize("coded", [
+    b64(gzip.compress(gzip.compress(HIDDEN.encode()))), b64(gzip.compress(zlib.compress(HIDDEN.encode()))), b64(bz2.compress(lzma.compress(HIDDEN.encode()))),
+    b64(gzip.compress(b"a first member, ") + gzip.compress(HIDDEN[:9].encode()) + gzip.compress(HIDDEN[9:].encode())), b64(bz2.compress(b"x") + bz2.compress(HIDDEN.encode())),
+    "".join(f"%{c:02X}" for c in gzip.compress(HIDDEN.encode())), "".join(f"\\x{c:02x}" for c in zlib.compress(HIDDEN.encode())),
+    quote(gzip.compress(HIDDEN.encode())), quote_plus(gzip.compress(b" " + HIDDEN.encode() * 3 + NOISE)), repr(gzip.compress(HIDDEN.encode()))[2:-1],
+    *(f"/v/{'abcdefgh'[:n]}/" + b64(HIDDEN.encode()) for n in range(8)), "id-" + b64(HIDDEN.encode()), "id_ab/" + b64(gzip.compress(HIDDEN.encode())),
+    base64.encodebytes(gzip.compress(NOISE + HIDDEN.encode())).decode(), base64.encodebytes(b"x" * 50 + HIDDEN.encode() + NOISE).decode().replace("\n", "\r\n  "),
+    base64.encodebytes(b"x" * 50 + HIDDEN.encode()).decode().replace("\n", "\\n"), b64(NOISE + HIDDEN.encode()),
+    b64(HIDDEN.encode("utf-16")), b64(HIDDEN.encode("utf-16-be")), b64(gzip.compress(HIDDEN.encode("utf-16-le"))), quote(HIDDEN.encode("utf-16-be")),
+    b64(gzip.compress(base64.encodebytes(b"x" * 50 + HIDDEN.encode()))), b64(gzip.compress(quote(gzip.compress(HIDDEN.encode())).encode())),
+    b64(zlib.compress("".join(f"\\u{ord(c):04x}" for c in HIDDEN).encode())), b64(b"t" * 4200 + bytes(range(8)) * 40 + HIDDEN.encode())])
+def test_no_layer_is_lost(coded):
+    text = f"é before: {coded} after"
+    base, every, _, _ = secret_scan.scan(text)
+    at = text.index(coded)
+    assert any(k == 0 and at <= a < b <= at + len(coded) for a, k, b in set(every) - set(base))
+
+
 def test_percent_spans_are_tight():
     text = "see p%61ssword%3Dabcdefg&x"
     _, every, _, _ = secret_scan.scan(text)
