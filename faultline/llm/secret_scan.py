@@ -13,7 +13,9 @@ import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -41,7 +43,8 @@ ALPHABET = re.compile(r"\\[rn]|[A-Za-z0-9+/_-]+")
 WIDE = re.compile(r"\x00?(?:[\t\n\r -~]\x00){11,}[\t\n\r -~]\x00?")
 #: The shortest match has 12 characters, all of them ASCII, and so has all that escapes or base64 can hold one in.
 WORTH = re.compile(rb"[\t\n\r -~]{12}|(?:[\t\n\r -~]\x00){11}[\t\n\r -~]")
-#: A compressed layer is unwrapped up to this many bytes, which bounds a task's memory; ``oversize`` says if one was cut.
+#: An inflated layer above this many bytes is put into a file and read as mapped memory, which bounds a task's memory;
+#: it is scanned as a whole, and ``oversize`` counts such layers.
 MOST_BYTES = 8 << 20
 STEP = 1 << 18
 ZLIB = b"|".join(re.escape(bytes([c])) + b"[" + b"".join(re.escape(bytes([f])) for f in range(256) if not (c * 256 + f) % 31 and not f & 32) + b"]" for c in range(8, 128, 16))
@@ -78,7 +81,7 @@ ODD = [bytes([c]) for c in range(32) if c not in b"\t\n\r"]
 class Inflated:
     """Output of the compressed members that follow each other from ``at`` on; ``end``: where they end."""
 
-    def __init__(self, data: bytes, at: int):
+    def __init__(self, data: bytes | mmap.mmap, at: int):
         self.data, self.at, self.end, self.whole = data, at, at, False
 
     def __iter__(self) -> Iterator[bytes]:
@@ -110,33 +113,40 @@ class Inflated:
                 at += 1
 
 
-def inflations(data: bytes) -> Iterator[tuple[int, int, bytes, bool, bool]]:
-    """``(start, end, bytes, ended properly, cut)`` of everything compressed in ``data``, wherever it starts."""
+def inflations(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, bytes | mmap.mmap, bool, bool]]:
+    """``(start, end, bytes, ended properly, large)`` of everything compressed in ``data``, wherever it starts."""
     at = 0
     while m := OPENER.search(data, at):
         members = Inflated(data, m.start())
-        out, cut = kept(members)
+        out, large = kept(members)
         if len(out):
-            yield m.start(), max(members.end, m.end()) if members.whole else len(data), out, members.whole, cut
+            yield m.start(), max(members.end, m.end()) if members.whole else len(data), out, members.whole, large
         at = members.end if members.whole else m.start() + 1
 
 
-def kept(chunks: Iterable[bytes]) -> tuple[bytes, bool]:
-    """The bytes of ``chunks``, and whether they were cut at ``MOST_BYTES``."""
-    out = bytearray()
+def kept(chunks: Iterable[bytes]) -> tuple[bytes | mmap.mmap, bool]:
+    """The bytes of ``chunks``, and whether they are above ``MOST_BYTES`` and so in a file (gone with the last use)."""
+    out, file = bytearray(), None
     for x in chunks:
         out += x
         if len(out) > MOST_BYTES:
-            return bytes(out[:MOST_BYTES]), True
-    return bytes(out), False
-
-
-def pieces(data: bytes, a: int, b: int) -> Iterator[bytes]:
+            file = file or tempfile.TemporaryFile()
+            file.write(out)
+            out = bytearray()
+    if file is None:
+        return bytes(out), False
+    with file:
+        file.write(out)
+        file.flush()
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), True
+
+
+def pieces(data: bytes | mmap.mmap, a: int, b: int) -> Iterator[bytes]:
     for at in range(a, b, STEP):
         yield data[at:min(b, at + STEP)]
 
 
-def substituted(data: bytes, pattern: re.Pattern, decode) -> Iterator[bytes]:
+def substituted(data: bytes | mmap.mmap, pattern: re.Pattern, decode) -> Iterator[bytes]:
     at = 0
     for m in pattern.finditer(data):
         yield from pieces(data, at, m.start())
@@ -155,7 +165,7 @@ def byte_of(escaped: bytes) -> bytes:
     return bytes([code]) if code < 256 else chr(code).encode("utf-8", "replace")
 
 
-def base64_bytes(data: bytes, a: int, b: int, phase: int) -> Iterator[bytes]:
+def base64_bytes(data: bytes | mmap.mmap, a: int, b: int, phase: int) -> Iterator[bytes]:
     """Bytes of the run [a, b) without its first ``phase`` characters."""
     held, cut = b"", phase
     for x in pieces(data, a, b):
@@ -176,8 +186,8 @@ def base64_bytes(data: bytes, a: int, b: int, phase: int) -> Iterator[bytes]:
 URLSAFE = bytes.maketrans(b"-_", b"+/")
 
 
-def within(data: bytes) -> Iterator[tuple[bytes, bool, bool]]:
-    """``(bytes, properly a layer, cut)``: what can be unwrapped from inflated bytes."""
+def within(data: bytes | mmap.mmap) -> Iterator[tuple[bytes | mmap.mmap, bool, bool]]:
+    """``(bytes, properly a layer, large)``: what can be unwrapped from inflated bytes."""
     if PERCENT_BYTE.search(data):
         yield *(x := kept(substituted(data, PERCENT_BYTE, lambda e: bytes([int(e[1:], 16)])))), True
         if b"+" in x[0] and OPENER.search(x[0]):
@@ -189,13 +199,13 @@ def within(data: bytes) -> Iterator[tuple[bytes, bool, bool]]:
     for pattern in (BASE64_BYTES, WRAPPED_BYTES):
         for m in pattern.finditer(data):
             for phase in range(4):
-                x, cut = kept(base64_bytes(data, *m.span(), phase))
+                x, large = kept(base64_bytes(data, *m.span(), phase))
                 if WORTH.search(x) or OPENER.search(x):
-                    yield x, cut, len(x) < MOST_BYTES and readable(x) is not None
+                    yield x, large, not large and readable(x) is not None
     for m in WIDE_BYTES.finditer(data):
         yield *kept(x.replace(b"\0", b"") for x in pieces(data, *m.span())), True
-    for _, _, x, whole, cut in inflations(data):
-        yield x, cut, whole
+    for _, _, x, whole, large in inflations(data):
+        yield x, large, whole
 
 
 class Layer:
@@ -218,12 +228,12 @@ class Layer:
 class Deep:
     """Inflated bytes: no character of them has a place of its own, all have that of the compressed run."""
 
-    def __init__(self, data: bytes, lo: int, hi: int, cut: bool, sure: bool):
-        self.data, self.lo, self.hi, self.cut, self.sure = data, lo, hi, cut, sure
+    def __init__(self, data: bytes | mmap.mmap, lo: int, hi: int, large: bool, sure: bool):
+        self.data, self.lo, self.hi, self.large, self.sure = data, lo, hi, large, sure
 
     def inner(self) -> Iterator[Deep]:
-        for data, cut, sure in within(self.data):
-            yield Deep(data, self.lo, self.hi, cut, sure)
+        for data, large, sure in within(self.data):
+            yield Deep(data, self.lo, self.hi, large, sure)
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -325,12 +335,12 @@ def unwrapped(layer: Layer) -> Iterator[Layer | Deep]:
             at = m.start() + np.flatnonzero([c != "\0" for c in m[0]])
             yield layer.child(m[0].replace("\0", ""), at, at + 1)
     if layer.binary:
-        for a, b, data, whole, cut in inflations(latin(text)):
-            yield Deep(data, *layer.origin(a, b), cut, whole)
+        for a, b, data, whole, large in inflations(latin(text)):
+            yield Deep(data, *layer.origin(a, b), large, whole)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans (each ``(start, kind, end)``, ascending), layers unwrapped, layers cut at the bound."""
+    """Base spans, all spans (each ``(start, kind, end)``, ascending), layers unwrapped, layers above ``MOST_BYTES``."""
     base = spans_of(text)
     every, seen, layers, oversize = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0, 0
     work = [unwrapped(Layer(text))]                                  # depth first: one layer of each depth is held
@@ -349,7 +359,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         seen.add(name.digest())
         if deep:
             found = {(x.lo, k, x.hi) for k, pattern in enumerate(KIND_BYTES) if pattern.search(x.data)}
-            oversize += x.cut
+            oversize += x.large
             work.append(x.inner())
         else:
             found = {(lo, kind, hi) for a, kind, b in spans_of(x.text) for lo, hi in (x.origin(a, b),)}

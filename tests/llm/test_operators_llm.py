@@ -377,6 +377,23 @@ def test_no_layer_is_lost(coded):
     assert any(k == 0 and at <= a < b <= at + len(coded) for a, k, b in set(every) - set(base))
 
 
+@pytest.mark.parametrize("inner", [HIDDEN.encode(), b64(gzip.compress(HIDDEN.encode())).encode(), quote(quote(HIDDEN)).encode(), gzip.compress(HIDDEN.encode())])
+@pytest.mark.parametrize("before", [70, 99_995])
+def test_secret_behind_the_bound(monkeypatch, inner, before):
+    monkeypatch.setattr(secret_scan, "MOST_BYTES", 100_000)
+    coded = b64(gzip.compress(b"a line of a dump\n" * 10_000 + b"x " * before + inner + b"\nlast"))
+    assert [s for s in secret_scan.scan(coded)[1] if s[1] == 0] == [(0, 0, len(coded.rstrip("=")))]
+
+
+def test_long_base64_behind_the_bound(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_BYTES", 100_000)
+    monkeypatch.setattr(secret_scan, "STEP", 1009)
+    body = NOISE * 3000 + HIDDEN.encode() + NOISE
+    for form in (b64(body).encode(), base64.encodebytes(body), base64.encodebytes(body).replace(b"\n", b"\\r\\n")):
+        coded = b64(zlib.compress(b"ab " + form))
+        assert [s[1] for s in secret_scan.scan(coded)[1] if s[1] == 0] == [0]
+
+
 def test_percent_spans_are_tight():
     text = "see p%61ssword%3Dabcdefg&x"
     _, every, _, _ = secret_scan.scan(text)
