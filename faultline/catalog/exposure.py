@@ -395,6 +395,19 @@ def layered_shock_companies(v: Views):
             .agg(F.min("grade").alias("grade"), F.max(F.coalesce("share", F.lit(0.0))).alias("share"), F.sum("n").alias("effects")))
 
 
+@query("X15 X16", f"""SELECT {DAY}, u.sector AS sector, u.code AS company, CASE WHEN evidence_year IS NOT NULL AND make_date(evidence_year + 1, 4, 30) <= d.as_of THEN 'B' ELSE 'C' END AS grade
+  FROM (SELECT DISTINCT sector FROM sector_links) l JOIN end_users u USING (sector), dates d""")
+def layered_shock_users(v: Views):
+    """Each end user a shock reaches, with its own grade on the date; ``layered_shock_sectors`` tells which shocks reach its sector."""
+    return layer_edges(v).where("rule = 'S4'").select(day(), F.col("src").alias("sector"), F.col("dst").alias("company"), "grade")
+
+
+@query("X15", f"SELECT {DAY}, product AS shock, sector FROM sector_links, dates")
+def layered_shock_sectors(v: Views):
+    """The sectors each product shock reaches on a date: joined with ``layered_shock_users``, its end users."""
+    return layer_edges(v).where("rule = 'S3'").select(day(), "shock", F.col("dst").alias("sector"))
+
+
 @query("X18 T4", f"""SELECT grp, counterparty, role, period, amount_wan FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY amount_wan DESC, counterparty) AS k FROM (
   SELECT grp, counterparty, b.role AS role, b.period AS period, b.amount AS amount_wan FROM (SELECT grp, counterparty, arg_max({{'role': role, 'period': period, 'amount': amount_wan}}, {{'s': role = 'supplier', 'y': substr(period, 6, 2) = '12', 'p': period, 'a': amount_wan}}) AS b FROM (
     SELECT c.group_id AS grp, src_id AS counterparty, CASE edge_type WHEN 'supply' THEN 'supplier' ELSE 'payable' END AS role, strftime(announcement_date, '%Y-%m') AS period, amount_wan
