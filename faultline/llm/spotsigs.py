@@ -69,7 +69,7 @@ def digest(sigs: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of signatures; two empty sets are alike.
 
-    Where even the smaller set as a whole could not make the similarity positive, nothing is intersected.
+    Where one of them is empty, nothing is intersected.
     """
     both = F.size(F.array_intersect(a, b))
     return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
@@ -124,8 +124,10 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(a, b, similarity)``: pairs of different fingerprints (by digest, a < b) with a Jaccard similarity of ``threshold`` or more.
 
     Documents with equal fingerprints are one; ``members`` lists them. A set meets only sets of its own and the next size
-    class, on signatures among its rarest ``size - ceil(threshold * size) + 1``, so common signatures are not joined on, and
-    a pair is compared once, where its first shared rare signature stands. Empty sets are alike only among themselves.
+    class, on signatures among its rarest ``size - ceil(threshold * size) + 1``, so common signatures are not joined on;
+    pairs met more than once are made distinct before they are compared. Empty sets are alike only among themselves.
+
+    No query uses this: one rare signature shared by many different sets makes all their pairs.
     """
     sets = cut_lineage(members(docs).select("digest", "sigs").dropDuplicates(["digest"]))
     each = sets.select("digest", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
