@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import exact, lengths, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity, warc
+from faultline.llm import exact, lengths, lloyd, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity, warc
 from faultline.llm.common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolved(warc.crawl(read(spark, sf_dir, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return out.withColumn("headers", F.array_join(lines, "; ")).withColumn("body_sha256", F.sha2(F.col("body").cast("binary"), 256)).drop("body")
+
+
+@query(lloyd.sql())
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(read(spark, sf_dir, "embeddings"))
