@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import exact, lengths, lloyd, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity, warc
+from faultline.llm import collocations, curve, exact, lengths, lloyd, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity, warc
 from faultline.llm.common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,13 @@ def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lloyd.sql())
 def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.clustered(read(spark, sf_dir, "embeddings"))
+
+
+@query(collocations.SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.pack(read(spark, sf_dir, "documents"))
