@@ -253,30 +253,32 @@ class Shard:
         return words, keys[order], n[order].astype(np.int64)
 
 
-def shards(docs: DataFrame) -> DataFrame:
-    """``(lang, first, phrases, automaton)``: automata of at most PIECE phrases each, from the sorted phrases of a shard."""
+def shards(docs: DataFrame, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
+    """``(lang, first, phrases, automaton)``: automata of at most ``piece`` phrases each, from the sorted phrases of about ``shard`` words."""
+    chunk = min(CHUNK, shard)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Shard] = {}
         size = 0
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 words = tokens(text)
-                for lo in range(0, len(words), CHUNK):
-                    part = words[lo:lo + CHUNK + LONGEST - 1]
-                    held.setdefault(lang, Shard()).add(part, min(CHUNK, len(words) - lo))
+                for lo in range(0, len(words), chunk):
+                    part = words[lo:lo + chunk + LONGEST - 1]
+                    held.setdefault(lang, Shard()).add(part, min(chunk, len(words) - lo))
                     size += len(part)
-                    if size >= SHARD:
+                    if size >= shard:
                         yield from written(held)
                         held, size = {}, 0
         yield from written(held)
 
     def written(held: dict[str, Shard]) -> Iterator[pd.DataFrame]:
-        for lang, shard in held.items():
-            words, keys, n = shard.counted()
+        for lang, counted in held.items():
+            words, keys, n = counted.counted()
             rows = []
-            for lo in range(0, len(keys), PIECE):
+            for lo in range(0, len(keys), piece):
                 first = b" ".join(phrase_at(words, int(keys[lo]))).decode()
-                rows.append((lang, first, len(keys[lo:lo + PIECE]), automaton(words, keys[lo:lo + PIECE], n[lo:lo + PIECE])))
+                rows.append((lang, first, len(keys[lo:lo + piece]), automaton(words, keys[lo:lo + piece], n[lo:lo + piece])))
             yield pd.DataFrame(rows, columns=["lang", "first", "phrases", "automaton"])
 
     common.small_batches(docs.sparkSession)
@@ -284,7 +286,7 @@ def shards(docs: DataFrame) -> DataFrame:
     return read.mapInPandas(count, "lang string, first string, phrases long, automaton binary")
 
 
-def borders_of(pieces: DataFrame, size: int) -> dict[str, list[tuple[bytes, ...]]]:
+def borders_of(pieces: DataFrame, size: int, piece: int = PIECE) -> dict[str, list[tuple[bytes, ...]]]:
     """Sorted borders of each language's prefix ranges, so that a range has about ``size`` phrases before they are united."""
     pieces_in_all = pieces.count()
     every = max(1, -(-pieces_in_all // MOST_BORDERS))
@@ -292,17 +294,17 @@ def borders_of(pieces: DataFrame, size: int) -> dict[str, list[tuple[bytes, ...]
     firsts: dict[str, list[tuple[bytes, ...]]] = {}
     for lang, first in seen:
         firsts.setdefault(lang, []).append(tuple(first.encode().split(b" ")))
-    step = max(1, size // (PIECE * every))
+    step = max(1, size // (piece * every))
     return {lang: sorted(set(sorted(x)[step::step])) for lang, x in firsts.items()}
 
 
-def counts(docs: DataFrame, least: int = LEAST, size: int = RANGE) -> tuple[DataFrame, dict[str, list[tuple[bytes, ...]]]]:
+def counts(docs: DataFrame, least: int = LEAST, size: int = RANGE, piece: int = PIECE, shard: int = SHARD) -> tuple[DataFrame, dict[str, list[tuple[bytes, ...]]]]:
     """``(lang, part, words, automaton)`` for each prefix range: occurrences of words, and the phrases met ``least`` times.
 
     The second result holds the borders of the ranges.
     """
-    pieces = cut_lineage(shards(docs))
-    borders = borders_of(pieces, size)
+    pieces = cut_lineage(shards(docs, piece, shard))
+    borders = borders_of(pieces, size, piece)
     shared = docs.sparkSession.sparkContext.broadcast(borders)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +348,8 @@ def cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c > 0, joined([a, zero, zero]), joined([b, c, zero])
 
 
-def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP, size: int = RANGE) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP, size: int = RANGE, piece: int = PIECE,
+                 shard: int = SHARD) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of two or three words.
 
     ``a``, ``l`` and ``r`` are the occurrences of the phrase and of the two parts of its lowest-scoring cut (ties: the
@@ -356,7 +359,7 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     A-Z lower-cased. Null texts count as empty, a null language as ``und``; repeated rows count again, doc_id and other
     columns are not read. Equal scores are ordered by ``a`` and then by the phrase's UTF-8 bytes. An empty table gives none.
     """
-    table, borders = counts(docs, least, size)
+    table, borders = counts(docs, least, size, piece, shard)
     shared = docs.sparkSession.sparkContext.broadcast(borders)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
