@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from faultline.llm import common
 from faultline.llm.common import LOWER, UPPER
+from faultline.llm.tokens import give_back
 from faultline.session import cut_lineage
 
 LONGEST, LEAST, COVER, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
-SHARD, CHUNK = 1_500_000, 500_000      # words counted before an automaton is built; words taken from a text at a time
-PIECE, RANGE = 16_384, 2_000_000       # phrases of a stored automaton; phrases of a range before they are united
+SHARD, CHUNK = 1_000_000, 500_000      # words counted before automata are built; words taken from a text at a time
+RANGE, SAMPLE = 1_500_000, 4_000       # phrases of a range before they are united; texts whose phrases give the borders
 MOST_BORDERS = 1 << 20
 BITS = 21                              # of a word's number; SHARD + CHUNK words fit in
 LOW = (1 << BITS) - 1
+MOST_WORDS = LOW - 1                   # of united parts; more are cut in two
 STOP = b"."                            # stands for every character that ends a piece, so no word equals it
 ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", STOP * 10)
 UNKNOWN = "und"
@@ -115,12 +117,17 @@ def automaton(words: list[bytes], keys: np.ndarray, weights: np.ndarray) -> byte
 
 def phrases(data: bytes) -> Phrases:
     """All paths with a weight, in order."""
+    words, keys, weights = unsplit(data)
+    return words.split(b"\n") if words else [], keys, weights
+
+
+def unsplit(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The same with the words as one string of lines."""
     arrays, at = [], 0
     for _ in range(10):
         a, at = wide(data, at)
         arrays.append(a)
     label1, weight1, target1, offsets2, label2, weight2, target2, offsets3, label3, weight3 = arrays
-    words = data[at:].split(b"\n") if at < len(data) else []
     on = np.flatnonzero(target1 > 0)
     arcs, ends = stretches(offsets2, target1[on] - 1)
     first = np.repeat(label1[on], np.diff(ends))
@@ -132,7 +139,7 @@ def phrases(data: bytes) -> Phrases:
                            first[above] << 2 * BITS | second[above] << BITS | label3[arcs]])
     weights = np.concatenate([weight1[weight1 > 0], w2[w2 > 0], weight3[arcs]])
     order = np.argsort(keys)
-    return words, keys[order], weights[order]
+    return data[at:], keys[order], weights[order]
 
 
 def key_of(words: list[bytes], phrase: tuple[bytes, ...]) -> int:
@@ -160,8 +167,12 @@ def phrase_at(words: list[bytes], key: int) -> tuple[bytes, ...]:
     return tuple(words[n - 1] for n in (key >> 2 * BITS, key >> BITS & LOW, key & LOW) if n)
 
 
-def union(parts: list[Phrases], combine=np.add) -> Iterator[Phrases]:
-    """The united phrases, weights of equal ones combined, as consecutive prefix ranges.
+def lines(words: list[bytes] | bytes) -> list[bytes]:
+    return words.split(b"\n") if isinstance(words, bytes) else words
+
+
+def union(parts: list, combine=np.add) -> Iterator[Phrases]:
+    """The united phrases, weights of equal ones combined, as consecutive prefix ranges. Parts' words may be unsplit.
 
     One range is enough unless the words of all parts are more than a key can number; then the parts are cut in two at a
     middle phrase first.
@@ -169,13 +180,16 @@ def union(parts: list[Phrases], combine=np.add) -> Iterator[Phrases]:
     parts = [p for p in parts if len(p[1])]
     if not parts:
         return
-    words = sorted(set(chain.from_iterable(p[0] for p in parts)))
-    if len(words) >= LOW:
+    words = sorted(set(chain.from_iterable(lines(p[0]) for p in parts)))
+    if len(words) > MOST_WORDS:
         middle = max(parts, key=lambda p: len(p[1]))
-        border = phrase_at(middle[0], int(middle[1][len(middle[1]) // 2]))
+        if len(middle[1]) > 1:
+            border = phrase_at(lines(middle[0]), int(middle[1][len(middle[1]) // 2]))
+        else:
+            border = max(phrase_at(lines(p[0]), int(p[1][0])) for p in parts)
         halves: dict[int, list[Phrases]] = {0: [], 1: []}
         for p in parts:
-            for i, (w, k, n) in split_at(p, [border]):
+            for i, (w, k, n) in split_at((lines(p[0]), *p[1:]), [border]):
                 halves[i].append(renumbered(w, k, n))
         if halves[0] and halves[1]:
             yield from union(halves[0], combine)
@@ -184,8 +198,8 @@ def union(parts: list[Phrases], combine=np.add) -> Iterator[Phrases]:
         raise ValueError("a single phrase cannot hold so many words")
     number = {w: i + 1 for i, w in enumerate(words)}
     keys, weights = [], []
-    for w, k, n in parts:
-        new = np.array([0, *map(number.__getitem__, w)], np.int64)
+    for w, k, n in parts:                                            # words of one part at a time
+        new = np.array([0, *map(number.__getitem__, lines(w))], np.int64)
         keys.append(joined([new[x] for x in parted(k)]))
         weights.append(n)
     k, n = np.concatenate(keys), np.concatenate(weights)
@@ -253,8 +267,13 @@ class Shard:
         return words, keys[order], n[order].astype(np.int64)
 
 
-def shards(docs: DataFrame, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
-    """``(lang, first, phrases, automaton)``: automata of at most ``piece`` phrases each, from the sorted phrases of about ``shard`` words."""
+def phrases_near(octets: int) -> int:
+    """About how many different phrases the shards of so many bytes of text hold together."""
+    return octets // 3
+
+
+def counting(borders: dict[str, list[tuple[bytes, ...]]], shard: int):
+    """A task's work: ``(lang, part, automaton)`` for each prefix range of each shard of about ``shard`` words."""
     chunk = min(CHUNK, shard)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,65 +290,68 @@ def shards(docs: DataFrame, piece: int = PIECE, shard: int = SHARD) -> DataFrame
                         yield from written(held)
                         held, size = {}, 0
         yield from written(held)
+        give_back()
 
     def written(held: dict[str, Shard]) -> Iterator[pd.DataFrame]:
-        for lang, counted in held.items():
-            words, keys, n = counted.counted()
-            rows = []
-            for lo in range(0, len(keys), piece):
-                first = b" ".join(phrase_at(words, int(keys[lo]))).decode()
-                rows.append((lang, first, len(keys[lo:lo + piece]), automaton(words, keys[lo:lo + piece], n[lo:lo + piece])))
-            yield pd.DataFrame(rows, columns=["lang", "first", "phrases", "automaton"])
-
-    common.small_batches(docs.sparkSession)
-    read = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return read.mapInPandas(count, "lang string, first string, phrases long, automaton binary")
+        for lang in list(held):
+            found = held.pop(lang).counted()
+            for i, p in split_at(found, borders.get(lang, [])):
+                yield pd.DataFrame([(lang, i, automaton(*p))], columns=["lang", "part", "automaton"])
 
+    return count
 
-def borders_of(pieces: DataFrame, size: int, piece: int = PIECE) -> dict[str, list[tuple[bytes, ...]]]:
-    """Sorted borders of each language's prefix ranges, so that a range has about ``size`` phrases before they are united."""
-    pieces_in_all = pieces.count()
-    every = max(1, -(-pieces_in_all // MOST_BORDERS))
-    seen = pieces.where(F.pmod(F.xxhash64("first", "phrases"), F.lit(every)) == 0).select("lang", "first").collect()
-    firsts: dict[str, list[tuple[bytes, ...]]] = {}
-    for lang, first in seen:
-        firsts.setdefault(lang, []).append(tuple(first.encode().split(b" ")))
-    step = max(1, size // (piece * every))
-    return {lang: sorted(set(sorted(x)[step::step])) for lang, x in firsts.items()}
 
+def borders_of(texts: DataFrame, size: int, rows: int = SAMPLE) -> dict[str, list[tuple[bytes, ...]]]:
+    """Sorted borders of each language's prefix ranges, so that a range has about ``size`` phrases before they are united.
 
-def counts(docs: DataFrame, least: int = LEAST, size: int = RANGE, piece: int = PIECE, shard: int = SHARD) -> tuple[DataFrame, dict[str, list[tuple[bytes, ...]]]]:
+    They are quantiles of the phrases of about ``rows`` texts chosen by hash and steer the balance only.
+    """
+    octets = F.sum(F.octet_length("text"))
+    have, total = texts.agg(F.count("*"), F.coalesce(octets, F.lit(0))).first()
+    large = {lang: min(MOST_BORDERS, -(-phrases_near(n) // size)) for lang, n in
+             texts.groupBy("lang").agg(octets.alias("n")).where(F.col("n") > 3 * size).collect()}        # total / size rows at most
+    if not large:
+        return {}
+    every = max(1, have // rows)
+    skip = max(1, phrases_near(total // every) // (64 * sum(large.values())))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in counting({}, SHARD)(batches):
+            words, keys, _ = phrases(b["automaton"][0])
+            at = keys[len(keys) % skip // 2::skip].tolist()
+            yield pd.DataFrame({"lang": b["lang"][0], "phrase": [b" ".join(phrase_at(words, k)).decode() for k in at]})
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInPandas(pick, "lang string, phrase string")
+    seen: dict[str, list[tuple[bytes, ...]]] = {}
+    for lang, phrase in some.where(F.col("lang").isin(list(large)) if len(large) < 1000 else F.lit(True)).collect():
+        seen.setdefault(lang, []).append(tuple(phrase.encode().split(b" ")))
+    return {lang: sorted({x[len(x) * i // n] for i in range(1, n)}) for lang, n in large.items() if (x := sorted(seen.get(lang, [])))}
+
+
+def counts(docs: DataFrame, least: int = LEAST, size: int = RANGE, shard: int = SHARD) -> tuple[DataFrame, dict[str, list[tuple[bytes, ...]]]]:
     """``(lang, part, words, automaton)`` for each prefix range: occurrences of words, and the phrases met ``least`` times.
 
     The second result holds the borders of the ranges.
     """
-    pieces = cut_lineage(shards(docs, piece, shard))
-    borders = borders_of(pieces, size, piece)
+    common.small_batches(docs.sparkSession)
+    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    borders = borders_of(texts, size)
     shared = docs.sparkSession.sparkContext.broadcast(borders)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for lang, data in zip(b["lang"], b["automaton"], strict=True):
-                at = shared.value.get(lang, [])
-                words, keys, n = phrases(data)
-                low, high = (bisect_right(at, phrase_at(words, int(k))) for k in (keys[0], keys[-1]))
-                if low == high:                                      # inside one range: as it is
-                    rows.append((lang, low, data))
-                else:
-                    rows += [(lang, low + i, automaton(*p)) for i, p in split_at((words, keys, n), at[low:high])]
-            yield pd.DataFrame(rows, columns=["lang", "part", "automaton"])
+        return counting(shared.value, shard)(batches)
 
     def unite(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         said, kept = 0, []
-        for words, keys, n in union([phrases(x) for x in group["automaton"]]):
+        for words, keys, n in union([unsplit(x) for x in group["automaton"]]):
             said += int(n[(keys & ((1 << 2 * BITS) - 1)) == 0].sum())
             on = n >= least
             kept.append(automaton(*renumbered(words, keys[on], n[on])) if on.any() else None)
         rows = [(*key, said if i == 0 else 0, x) for i, x in enumerate(kept)]
+        give_back()
         return pd.DataFrame(rows, columns=["lang", "part", "words", "automaton"])
 
-    dealt = pieces.select("lang", "automaton").mapInPandas(deal, "lang string, part int, automaton binary")
+    dealt = texts.mapInPandas(deal, "lang string, part int, automaton binary")
     return cut_lineage(dealt.groupBy("lang", "part").applyInPandas(unite, "lang string, part int, words long, automaton binary")), borders
 
 
@@ -337,7 +359,7 @@ def frequent(group: pd.DataFrame) -> Phrases:
     """The phrases of one prefix range, whose automata follow each other or are one."""
     found = list(union([phrases(x) for x in group["automaton"] if x is not None]))
     if len(found) > 1:
-        raise ValueError(f"frequent phrases of one range hold over {LOW} words: choose smaller ranges")
+        raise ValueError(f"frequent phrases of one range hold over {MOST_WORDS} words: choose smaller ranges")
     return found[0] if found else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -348,8 +370,7 @@ def cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c > 0, joined([a, zero, zero]), joined([b, c, zero])
 
 
-def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP, size: int = RANGE, piece: int = PIECE,
-                 shard: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP, size: int = RANGE, shard: int = SHARD) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of two or three words.
 
     ``a``, ``l`` and ``r`` are the occurrences of the phrase and of the two parts of its lowest-scoring cut (ties: the
@@ -359,7 +380,7 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     A-Z lower-cased. Null texts count as empty, a null language as ``und``; repeated rows count again, doc_id and other
     columns are not read. Equal scores are ordered by ``a`` and then by the phrase's UTF-8 bytes. An empty table gives none.
     """
-    table, borders = counts(docs, least, size, piece, shard)
+    table, borders = counts(docs, least, size, shard)
     shared = docs.sparkSession.sparkContext.broadcast(borders)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

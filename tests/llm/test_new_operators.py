@@ -51,7 +51,7 @@ def brute(rows, least, cover, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"size": 64, "piece": 16, "shard": 300}, {"size": 16, "piece": 16, "shard": 7, "top": 5, "least": 3}])
+@pytest.mark.parametrize("how", [{}, {"size": 300, "shard": 300}, {"size": 40, "shard": 7, "top": 5, "least": 3}])
 def test_collocations_against_brute_force(spark, talked, how):
     rows = [(r.lang, r.text) for r in talked.select("lang", "text").collect()]
     got = collocations.collocations(talked.repartition(3), **how)
@@ -86,8 +86,8 @@ def test_automata_keep_split_and_unite(seed, monkeypatch):
         assert all(sum(b <= q for b in borders) == i for q in table_of(x))
     other = some_phrases(seed + 100)
     want = Counter(rows) + Counter(other[0])
-    for low_ in (collocations.LOW, 40):                              # few numbers: cut in two until the words fit
-        monkeypatch.setattr(collocations, "LOW", low_) if low_ > 40 else None
+    for most in (collocations.MOST_WORDS, 20):                       # few numbers: cut in two until the words fit
+        monkeypatch.setattr(collocations, "MOST_WORDS", most)
         found = list(collocations.union([collocations.phrases(x) for x in parts] + [other[1]]))
         assert {k: n for x in found for k, n in table_of(x).items()} == want
 
