@@ -6,10 +6,12 @@ from faultline.catalog import history  # noqa: F401  isort:skip
 from faultline.catalog import graph  # noqa: F401  isort:skip
 from faultline.catalog import readings  # noqa: F401  isort:skip
 from faultline.catalog import exposure  # noqa: F401  isort:skip
+from faultline.catalog import increments  # noqa: F401  isort:skip
 from faultline.catalog import basics  # noqa: F401  isort:skip
 from faultline.catalog import relations  # noqa: F401  isort:skip
 from faultline.catalog import studies  # noqa: F401  isort:skip
 from faultline.catalog import quality  # noqa: F401  isort:skip
+from faultline.catalog import capacity  # noqa: F401  isort:skip
 from faultline.catalog import textjobs  # noqa: F401  isort:skip
 from faultline.catalog import wording  # noqa: F401  isort:skip
 from faultline.catalog import streams  # noqa: F401  isort:skip

@@ -61,7 +61,17 @@ def exact_pairs(v: Views):
     return mt.lock_exact(gold(v), predictions(v), ["doc", "cat", "party", "amount"]).select("doc", "cat", "party", "amount", "gold_idx", "pred_idx")
 
 
-@query("E20 E21")
+# the greedy order, one gold record of each bucket a round
+add_view("rest_gold", "SELECT *, row_number() OVER (PARTITION BY doc, cat ORDER BY idx) AS n FROM gold g WHERE NOT EXISTS (SELECT 1 FROM exact_pairs e WHERE e.doc = g.doc AND e.gold_idx = g.idx)")
+add_view("rest_pred", "SELECT * FROM pred p WHERE NOT EXISTS (SELECT 1 FROM exact_pairs e WHERE e.doc = p.doc AND e.pred_idx = p.idx)")
+_EQUAL = " + ".join(f"CAST(g.{f} IS NOT DISTINCT FROM p.{f} AS INT)" for f in FIELDS)
+
+
+@query("E20 E21", f"""WITH RECURSIVE taken AS (SELECT DISTINCT doc, cat, 0 AS n, [NULL::INT] AS used, NULL::INT AS gold_idx, NULL::INT AS pred_idx FROM rest_gold
+  UNION ALL SELECT t.doc, t.cat, t.n + 1, list_append(any_value(t.used), arg_max(p.idx, {{'s': {len(FIELDS) + 1} * CAST(g.party IS NOT DISTINCT FROM p.party AS INT) + {_EQUAL}, 'i': -p.idx}})), g.idx,
+    arg_max(p.idx, {{'s': {len(FIELDS) + 1} * CAST(g.party IS NOT DISTINCT FROM p.party AS INT) + {_EQUAL}, 'i': -p.idx}})
+    FROM taken t JOIN rest_gold g ON g.doc = t.doc AND g.cat = t.cat AND g.n = t.n + 1 JOIN rest_pred p ON p.doc = t.doc AND p.cat = t.cat AND NOT coalesce(list_contains(t.used, p.idx), false) GROUP BY t.doc, t.cat, t.n, g.idx)
+  SELECT doc, gold_idx, pred_idx FROM exact_pairs UNION ALL SELECT doc, gold_idx, pred_idx FROM taken WHERE n > 0""")
 def greedy_record_pairs(v: Views):
     """Both passes: exact pairs locked, the rest paired greedily in gold order inside (document, category)."""
     return mt.pair_records(gold(v), predictions(v), "doc", "cat", "party", "amount", FIELDS)

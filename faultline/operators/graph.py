@@ -29,6 +29,33 @@ def shortest_routes(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFr
     return seen
 
 
+def weakest_routes(edges: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, depth, grade, middle, last): for each node reached, the best of its routes by length, then by the grade
+    of its weakest hop, then by name; ``middle`` lists the nodes between start and end, ``last`` is the last hop's row.
+
+    edges: by, src, dst, grade (better ones sort first) and further columns, one row for each (by, src, dst). Routes form
+    a semiring: hops add up and grades combine by their maximum, alternatives by the minimum, so one row a node goes on.
+    """
+    rest = [c for c in edges.columns if c not in (*by, "src", "dst")]
+    edges = cut_lineage(edges)
+    hop = edges.select(*by, F.col("src").alias("node"), "dst", F.col("grade").alias("_grade"), F.struct(*rest).alias("_hop"))
+    frontier = cut_lineage(starts.select(*by, "node").distinct().select(
+        *by, "node", F.lit(0).alias("depth"), F.lit("").alias("grade"), F.array("node").alias("route"), F.lit(None).cast(hop.schema["_hop"].dataType).alias("last")))
+    seen, depth = frontier, 0
+    while True:
+        depth += 1
+        label = F.struct(F.greatest("grade", "_grade").alias("grade"), F.array_append("route", F.col("dst")).alias("route"), F.col("_hop").alias("last"))
+        step = (frontier.select(*by, "node", "grade", "route").join(hop, [*by, "node"]).join(
+            seen.select(*by, F.col("node").alias("dst")), [*by, "dst"], "left_anti")
+            .groupBy(*by, F.col("dst").alias("node")).agg(F.min_by(label, F.struct(label["grade"], label["route"])).alias("b")))
+        frontier = cut_lineage(step.select(*by, "node", F.lit(depth).alias("depth"), "b.grade", "b.route", "b.last"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0").select(*by, F.col("route")[0].alias("start"), "node", "depth", "grade",
+                                          F.slice("route", 2, F.size("route") - 2).alias("middle"), "last")
+
+
 def ancestors(parents: DataFrame) -> DataFrame:
     """(node, ancestor, depth) over a parent pointer, up to the last ancestor; a chain stops at a node it has already passed."""
     p = parents.where("parent is not null").select(F.col("node").alias("_c"), F.col("parent").alias("_p"))

@@ -1,7 +1,6 @@
 """Gold against predicted records: pairing, field comparison, metrics."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -14,37 +13,30 @@ def lock_exact(gold: DataFrame, pred: DataFrame, key: list[str], order: str = "i
 
 def greedy_pairs(gold: DataFrame, pred: DataFrame, bucket: list[str], fields: list[str], name: str) -> DataFrame:
     """(bucket, gold_idx, pred_idx): each gold record, in order, takes the open prediction of its bucket with the
-    most equal fields; an equal name outweighs all fields. A bucket is one category of one document.
+    most equal fields (two missing values are equal); an equal name outweighs all fields, ties go to the first prediction.
 
-    Buckets with one record on each side need no choice and stay in the JVM; the others, each a row holding the
-    records of one document's category, go through one small loop.
+    A bucket is one category of one document. The gold records are folded over with the open predictions as state.
     """
     def side(df):
         return df.groupBy(*bucket).agg(F.sort_array(F.collect_list(F.struct("idx", name, *fields))).alias("_r"))
 
     both = side(gold).withColumnRenamed("_r", "_g").join(side(pred).withColumnRenamed("_r", "_p"), bucket)
-    alone = (F.size("_g") == 1) & (F.size("_p") == 1)
-    single = both.where(alone).select(*bucket, F.col("_g")[0]["idx"].cast("int").alias("gold_idx"), F.col("_p")[0]["idx"].cast("int").alias("pred_idx"))
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in gold.select(*bucket).schema], "gold_idx int", "pred_idx int"])
-    columns, weight = [*bucket, "gold_idx", "pred_idx"], len(fields) + 1
-
-    def same(a, b):
-        return a == b or (pd.isna(a) and pd.isna(b))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                open_ = list(row["_p"])
-                for left in row["_g"]:
-                    if not open_:
-                        break
-                    scores = [weight * (r[name] == left[name]) + sum(same(r[f], left[f]) for f in fields) for r in open_]
-                    best = open_.pop(scores.index(max(scores)))
-                    out.append((*[row[b] for b in bucket], left["idx"], best["idx"]))
-            yield pd.DataFrame(out, columns=columns)
-
-    return single.unionByName(both.where(~alone).mapInPandas(run, schema))
+    item = both.schema["_p"].dataType.elementType.simpleString()
+
+    def score(left: Column, right: Column) -> Column:
+        equal = [F.when(left[f].eqNullSafe(right[f]), 1).otherwise(0) for f in fields]
+        return F.when(left[name].eqNullSafe(right[name]), len(fields) + 1).otherwise(0) + sum(equal[1:], equal[0])
+
+    def take(state: Column, left: Column) -> Column:
+        ranked = F.transform(state["open"], lambda r: F.struct(score(left, r).alias("score"), (-r["idx"]).alias("first")))
+        best = -F.array_max(ranked)["first"]
+        return F.when(F.size(state["open"]) == 0, state).otherwise(F.struct(
+            F.filter(state["open"], lambda r: r["idx"] != best).alias("open"),
+            F.array_append(state["out"], F.struct(left["idx"].cast("int").alias("gold_idx"), best.cast("int").alias("pred_idx"))).alias("out")))
+
+    start = F.struct(F.col("_p").cast(f"array<{item}>").alias("open"), F.expr("cast(array() as array<struct<gold_idx:int,pred_idx:int>>)").alias("out"))
+    found = F.aggregate("_g", start, take, lambda state: state["out"])
+    return both.select(*bucket, F.explode(found).alias("pair")).select(*bucket, "pair.gold_idx", "pair.pred_idx")
 
 
 def pair_records(gold: DataFrame, pred: DataFrame, doc: str, category: str, name: str, amount: str, fields: list[str]) -> DataFrame:

@@ -124,49 +124,107 @@ def material() -> Column:
     return unknown | (F.col("amount_wan") * 1e4 / F.col("dst_equity") >= rules.MATERIALITY)
 
 
+def start(seeds: DataFrame, by: list[str]) -> DataFrame:
+    """The frontier before the first hop, a row for each seed."""
+    return seeds.select(*by, F.col("node").alias("seed"), "shock", "node", level_number(F.col("severity")).alias("level"),
+                        F.array("node").alias("visited"), F.lit("").alias("key"), F.lit(False).alias("grouped"),
+                        F.expr("cast(array() as array<struct<rule:string,src:string,dst:string,severity:string,dst_tier:string,"
+                               "decision:string,basis:string,evidence:string,amount_wan:double,dst_listed:boolean>>)").alias("steps"))
+
+
+def grown_by(frontier: DataFrame, opts: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Branches one step longer; ``how`` = "left" keeps branches without an option, with a null dst."""
+    o, f = opts.alias("o"), frontier.alias("f")
+    cond = ((F.col("o.node") == F.col("f.node")) & (F.col("o.shock") == F.col("f.shock"))
+            & ~F.array_contains("f.visited", F.col("o.dst")) & ~((F.col("o.rule") == "R3") & F.col("f.grouped")))
+    for b in by:
+        cond = cond & (F.col(f"o.{b}") == F.col(f"f.{b}"))
+    grown = f.join(o, cond, how).select(
+        "f.*", *[F.col(f"o.{c}").alias(c) for c in ("dst", "rule", "amount_wan", "basis", "evidence", "dst_tier",
+                                                     "dst_equity", "dst_listed")])
+    weak = F.col("dst_tier") == "weak"
+    decision = first_match([((F.col("rule") != "R4") & ~material(), F.lit("immaterial")), (F.col("dst_tier") == "strong", F.lit("absorbed")),
+                            (~weak & (F.col("level") == 1), F.lit("end")), (~weak, F.lit("weakened"))], F.lit("continue"))
+    step = F.struct("rule", F.col("node").alias("src"), "dst", level_name(F.col("level")).alias("severity"), "dst_tier",
+                    "decision", "basis", "evidence", "amount_wan", "dst_listed")
+    moved = F.col("dst").isNotNull()
+    return (grown.withColumn("decision", F.when(moved, decision))
+            .withColumn("steps", F.when(moved, F.array_append("steps", step)).otherwise(F.col("steps")))
+            .withColumn("key", F.when(moved, F.concat("key", F.lit(">"), "rule", F.lit(":"), "dst")).otherwise(F.col("key"))))
+
+
+def divided(grown: DataFrame, by: list[str], last: bool) -> tuple[DataFrame, DataFrame]:
+    """Finished branches, and the frontier of the next hop."""
+    weak = F.col("dst_tier") == "weak"
+    stop = (F.col("dst").isNull() | F.col("decision").isin("immaterial", "absorbed", "end") | (F.col("rule") == "R4") | F.lit(last))
+    done = grown.where(stop & (F.size("steps") > 0)).select(*by, "seed", "shock", "key", "steps")
+    frontier = grown.where(~stop).select(
+        *by, "seed", "shock", F.col("dst").alias("node"), F.when(weak, F.col("level")).otherwise(F.col("level") - 1).alias("level"),
+        F.array_append("visited", F.col("dst")).alias("visited"), "key", (F.col("grouped") | (F.col("rule") == "R3")).alias("grouped"), "steps")
+    return done, frontier
+
+
 def enumerate_paths(seeds: DataFrame, steps: DataFrame, nodes: DataFrame, by: list[str], links: DataFrame | None = None,
-                    max_hops: int = rules.MAX_HOPS) -> DataFrame:
+                    max_hops: int = rules.MAX_HOPS, frontiers: list[DataFrame] | None = None) -> DataFrame:
     """All finished branches: (by, seed, shock, key, steps).
 
-    seeds: by, node, shock, severity; nodes: by, node, tier, equity, listed, rated, group_id, industry.
+    seeds: by, node, shock, severity; nodes: by, node, tier, equity, listed, rated, group_id, industry. ``frontiers``: a
+    list that receives the branches that were open before each hop, for ``new_paths``.
     """
-    frontier = cut_lineage(seeds).select(*by, F.col("node").alias("seed"), "shock", "node", level_number(F.col("severity")).alias("level"),
-                            F.array("node").alias("visited"), F.lit("").alias("key"), F.lit(False).alias("grouped"),
-                            F.expr("cast(array() as array<struct<rule:string,src:string,dst:string,severity:string,dst_tier:string,"
-                                   "decision:string,basis:string,evidence:string,amount_wan:double,dst_listed:boolean>>)").alias("steps"))
+    frontier = start(cut_lineage(seeds), by)
     steps, nodes = cut_lineage(steps), cut_lineage(nodes)        # read by every hop
     finished = None
     for hop in range(1, max_hops + 1):
-        # the option table is aliased so that an option-less branch stays, with a null dst
-        opts = _options(frontier, steps, nodes, links, by)
-        o, f = opts.alias("o"), frontier.alias("f")
-        cond = ((F.col("o.node") == F.col("f.node")) & (F.col("o.shock") == F.col("f.shock"))
-                & ~F.array_contains("f.visited", F.col("o.dst")) & ~((F.col("o.rule") == "R3") & F.col("f.grouped")))
-        for b in by:
-            cond = cond & (F.col(f"o.{b}") == F.col(f"f.{b}"))
-        grown = f.join(o, cond, "left").select(
-            "f.*", *[F.col(f"o.{c}").alias(c) for c in ("dst", "rule", "amount_wan", "basis", "evidence", "dst_tier",
-                                                         "dst_equity", "dst_listed")])
-        weak = F.col("dst_tier") == "weak"
-        decision = first_match([((F.col("rule") != "R4") & ~material(), F.lit("immaterial")), (F.col("dst_tier") == "strong", F.lit("absorbed")),
-                                (~weak & (F.col("level") == 1), F.lit("end")), (~weak, F.lit("weakened"))], F.lit("continue"))
-        step = F.struct("rule", F.col("node").alias("src"), "dst", level_name(F.col("level")).alias("severity"), "dst_tier",
-                        "decision", "basis", "evidence", "amount_wan", "dst_listed")
-        moved = F.col("dst").isNotNull()
-        grown = (grown.withColumn("decision", F.when(moved, decision))
-                 .withColumn("steps", F.when(moved, F.array_append("steps", step)).otherwise(F.col("steps")))
-                 .withColumn("key", F.when(moved, F.concat("key", F.lit(">"), "rule", F.lit(":"), "dst")).otherwise(F.col("key"))))
-        stop = ~moved | F.col("decision").isin("immaterial", "absorbed", "end") | (F.col("rule") == "R4") | F.lit(hop == max_hops)
+        if frontiers is not None:
+            frontiers.append(frontier)
+        # a branch without an option stays, with a null dst
+        grown = grown_by(frontier, _options(frontier, steps, nodes, links, by), by, "left")
         if hop < max_hops:
             grown = cut_lineage(grown)
-        done = grown.where(stop & (F.size("steps") > 0)).select(*by, "seed", "shock", "key", "steps")
+        done, frontier = divided(grown, by, hop == max_hops)
         finished = done if finished is None else finished.unionByName(done)
-        frontier = grown.where(~stop).select(
-            *by, "seed", "shock", F.col("dst").alias("node"), F.when(weak, F.col("level")).otherwise(F.col("level") - 1).alias("level"),
-            F.array_append("visited", F.col("dst")).alias("visited"), "key", (F.col("grouped") | (F.col("rule") == "R3")).alias("grouped"), "steps")
     return finished
 
 
+STEP_KEY = ["src", "shock", "dst", "rule"]
+
+
+def merged_steps(base: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Steps of ``new`` edges merged with parallel ones of the ``base``: (touched steps, all steps)."""
+    key = [*by, *STEP_KEY]
+    old = base.select(*key, *[F.col(c).alias(f"_{c}") for c in ("amount_wan", "rows", "evidence", "basis")])
+    top = lambda name: F.when(F.col("_rows").isNull() | (F.coalesce("amount_wan", F.lit(-1.0)) >= F.coalesce("_amount_wan", F.lit(-1.0))),
+                              F.col(name)).otherwise(F.col(f"_{name}")).alias(name)
+    amount = F.when(F.col("amount_wan").isNull(), F.col("_amount_wan")).otherwise(F.round(F.col("amount_wan") + F.coalesce("_amount_wan", F.lit(0.0)), 4))
+    touched = cut_lineage(new.join(old, key, "left").select(*key, amount.alias("amount_wan"), (F.col("rows") + F.coalesce("_rows", F.lit(0))).alias("rows"),
+                                                            top("evidence"), top("basis")))
+    return touched, base.join(touched.select(*key), key, "left_anti").unionByName(touched)
+
+
+def new_paths(frontiers: list[DataFrame], new_seeds: DataFrame, base: DataFrame, new: DataFrame, nodes: DataFrame, by: list[str],
+              links: DataFrame | None = None) -> DataFrame:
+    """Finished branches that the ``new`` steps or ``new_seeds`` add to a search over ``base``: (by, seed, shock, key, steps).
+
+    ``frontiers`` are the open branches of the base search before each hop. A hop extends branches that already hold
+    something new by every step, and the base's branches by touched steps only, so nothing the base search has found is
+    made again. A step whose merged amount changes counts as new.
+    """
+    touched, steps = merged_steps(base, new, by)
+    steps, nodes = cut_lineage(steps), cut_lineage(nodes)
+    fresh = start(cut_lineage(new_seeds), by)
+    out = None
+    for hop, old in enumerate(frontiers, 1):
+        ends = touched.select(*by, F.col("src").alias("node"), "shock").distinct()
+        near = old.join(ends, [*by, "node", "shock"], "left_semi")
+        grown = (grown_by(fresh, _options(fresh, steps, nodes, links, by), by, "left")
+                 .unionByName(grown_by(near, _options(near, touched, nodes, None, by).where("rule in ('R1', 'R2')"), by, "inner")))
+        if hop < len(frontiers):
+            grown = cut_lineage(grown)
+        done, fresh = divided(grown, by, hop == len(frontiers))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 def path_strings(paths: DataFrame) -> DataFrame:
     """Flat columns for export and comparison."""
     text = lambda f: F.array_join(F.transform("steps", lambda s: F.coalesce(s[f].cast("string"), F.lit("-"))), ">")

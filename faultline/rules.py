@@ -58,6 +58,8 @@ LEVELS = ("low", "medium", "high")
 SUPPLY_SIGNALS = ("supply_disruption", "capacity_reduction")
 CREDIT_SIGNALS = ("credit_event", "credit_exposure", "share_pledge")
 SEVERITY_WEIGHT = {"high": 3, "medium": 2, "low": 1}
+#: Weight of an evidence grade in the strength of a supply flow.
+GRADE_WEIGHT = {"A": 1.0, "B": 0.7, "C": 0.4}
 REACH_TIER_WEIGHT = {"weak": 1.0, "medium": 0.5, "strong": 0.0}
 OPAQUE_HIGH, OPAQUE_MEDIUM = 0.5, 0.1
 
@@ -142,3 +144,25 @@ COMPANY_INTENTS = ("spread", "exposure")
 SPREAD_VERBS, PRICE_WORDS = "传给|影响谁|影响哪些|波及|连累|拖累|殃及", "涨|跌|价格|价"
 MOVE = r"(涨|上涨|上升|提高|增加|跌|下跌|下降|降低|减少|下调|上调)?\s*(\d+(?:\.\d+)?)\s*(%|％|个百分点|成)"
 DOWN = "跌|下跌|下降|降低|减少|下调"
+
+
+# Wording that decides how capacity announcements are cleaned.
+MONETARY_UNIT = r"^(人民币|美元|港元|欧元|日元)?(元|千元|万元|百万元|千万元|亿元|万美元|亿美元|美元)$"
+INVESTMENT_UNIT_SCALE = {"元": 1, "万元": 10_000, "亿元": 100_000_000, "美元": 1, "万美元": 10_000, "亿美元": 100_000_000}
+NON_PROJECT_CAPITAL = "注册资本|注册资金|授权资本|融资|担保|授信|额度|借款|贷款|募集资金净额|募集资金总额|发行费用|资产总[计额]|净资产|总资产"
+FRAMEWORK_PLAN = r"投资框架计划|固定资产投资(年中)?计划|年度投资计划|投资计划(调整)?$"
+TEMPORARY_LOSS = (r"(停产|停炉|停机|检修|休风|焖炉|限产|减产).{0,30}?\d+(\.\d+)?\s*(天|日|个月)|\d+(\.\d+)?\s*(天|日|个月).{0,20}?(停产|停炉|检修)"
+                  r"|(减少|影响|损失|降低).{0,15}?(产量|铁水量|钢产量)|复产|恢复生产")
+PERMANENT_RETIREMENT = "淘汰|拆除|去功能化|退出|关停|永久"
+EXPLICIT_RETIREMENT = "淘汰|退出|关停|拆除|停产|去功能化"
+HYPOTHETICAL_OUTPUT = "完全达产后|整体建成投产后|项目建成后|建成投产后|预计可年产|将形成年产|计划新增年产"
+FORMAL_CAPACITY = "生产规模|新增产能|年新增|设计产能"
+FORMAL_SCALE = r"生产规模(为|：|:)?.{0,40}?\d+(\.\d+)?万吨/年"
+FORMAL_AGGREGATE = r"(生产规模|新增产能|设计产能)(?:为|：|:)?([^，。；;\d]{1,30}?)(\d+(?:,\d{3})*(?:\.\d+)?)\s*(万吨/年|万吨|吨/年)"
+EQUIPMENT_SPEC_UNITS = ("m³/座", "m3/座", "m³", "m3", "立方米", "立方米/座", "㎡/台", "㎡", "平方米", "平方米/台", "t/座", "t", "吨", "吨/座",
+                        "mm/条", "毫米/条", "mm", "毫米")
+EQUIPMENT_COUNT_UNITS = ("台", "座", "条", "套")
+TECHNICAL_UPGRADE = ("成熟技术移植", "技术移植", "工艺改造", "系统改造", "升级改造", "大修")
+ACTUAL_COMMISSIONING = "正式投产|投入生产|建成投运|全线投产|顺利出铁|顺利出焦|成功下线"
+NON_COMMISSIONING = "验收|预计|计划|公告|董事会"
+ADVERSE_EVENTS = ("termination", "suspension", "delay")
