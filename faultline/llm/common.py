@@ -27,6 +27,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_hash(row: str) -> Column:
+    """A text that settles ties between rows, whatever the partitioning: a hash over all columns, which need not be orderable."""
+    return F.sha2(F.to_json(row).cast("binary"), 256)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,6 @@ by SHA-256 of the whole normalised text. The filter can err to one side only, so
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +23,11 @@ SENT_TOGETHER = 1 << 20
 
 def digests(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_sha256, key)``: SHA-256 of the text lower-cased in A-Z only (null text: empty), and 64 bits of it."""
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", digest_of(F.col("text")).alias("text_sha256")).withColumn("key", F.xxhash64("text_sha256"))
 
 
 def digest_of(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def sha(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(x.lower()).hexdigest() for x in texts])     # bytes.lower() changes A-Z only
-
-    return sha(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), common.UPPER, common.LOWER).cast("binary"), 256)
 
 
 def filter_bits(rows: int) -> int:
@@ -50,8 +44,8 @@ def positions(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([k & np.uint64(bits - 1), (k >> np.uint64(33)) * np.uint64(0x9E3779B1) & np.uint64(bits - 1)], 1).astype(np.int64)
 
 
-def repeated_plane(hashes: DataFrame, rows: int) -> tuple[int, DataFrame]:
-    """The plane "seen again" as ``(slice, bits)``: a bit is on if two rows set it.
+def repeated_plane(hashes: DataFrame, rows: int, least: int = 2) -> tuple[int, DataFrame]:
+    """The plane "seen again" as ``(slice, bits)``: a bit is on if two rows set it (``least`` 1: any row).
 
     Tasks combine their own rows first and send sorted positions with a flag "twice here"; each slice is summed up by one
     group, whose input is at most one entry for a bit and task.
@@ -80,7 +74,7 @@ def repeated_plane(hashes: DataFrame, rows: int) -> tuple[int, DataFrame]:
         for once, twice in zip(parts["once"], parts["twice"], strict=True):
             count[np.frombuffer(once, "<u2")] += 1
             count[np.frombuffer(twice, "<u2")] += 1
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(count >= least, bitorder="little").tobytes()]})
 
     sent = hashes.select("key").mapInPandas(local, "slice long, once binary, twice binary")
     return bits, sent.groupBy("slice").applyInPandas(merge, "slice long, bits binary")
@@ -88,12 +82,16 @@ def repeated_plane(hashes: DataFrame, rows: int) -> tuple[int, DataFrame]:
 
 def possibly_repeated(keyed: DataFrame, rows: int, hashes: DataFrame | None = None) -> DataFrame:
     """Adds ``maybe``: false only where no other row has the same ``key``. ``hashes``: the same keys, if stored apart."""
-    spark = keyed.sparkSession
     bits, plane = repeated_plane(keyed if hashes is None else hashes, rows)
+    return tested(keyed, bits, plane)
+
+
+def tested(keyed: DataFrame, bits: int, plane: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false only where the plane ``(slice, bits)`` does not hold ``key``."""
     filled = np.zeros(bits // 8, np.uint8)
     for s, part in plane.collect():                                  # the filter itself: at most MAX_BITS / 8 bytes
         filled[s * SLICE // 8:(s + 1) * SLICE // 8] = np.frombuffer(part, np.uint8)
-    shared = spark.sparkContext.broadcast(filled)
+    shared = keyed.sparkSession.sparkContext.broadcast(filled)
 
     @F.pandas_udf("boolean")
     def hit(keys: pd.Series) -> pd.Series:
@@ -129,11 +127,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without exact copies, all columns kept; the same rules as ``exact_groups``.
 
     Rows met once pass straight through. The others are reduced to one row a text inside each task before they travel, so
-    a text that a third of all rows share sends one row from each task.
+    a text that a third of all rows share sends one row from each task. Of rows equal in text and doc_id the one with the
+    largest hash of all its columns stays.
     """
     hashes = cut_lineage(digests(docs).select("key"))
-    keyed = docs.select(F.struct("*").alias("row"), F.struct("doc_id").alias("id"), digest_of(F.col("text")).alias("text_sha256"))
+    keyed = docs.select(F.struct("*").alias("row"), digest_of(F.col("text")).alias("text_sha256"))
     tagged = possibly_repeated(keyed.withColumn("key", F.xxhash64("text_sha256")), hashes.count(), hashes)
     once = tagged.where("not maybe").select("row")
-    best = tagged.where("maybe").groupBy("text_sha256").agg(F.max_by("row", "id").alias("row")).select("row")
+    best = tagged.where("maybe").groupBy("text_sha256").agg(F.max_by("row", F.struct("row.doc_id", common.row_hash("row"))).alias("row")).select("row")
     return once.union(best).select("row.*")

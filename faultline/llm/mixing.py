@@ -17,6 +17,7 @@ SHARE, MOST, BLOCK = 1.5, 2, 1024
 PERIOD = 1 << 31
 GOLDEN = 1327217885                    # odd number next to 2**31 / golden ratio: i * GOLDEN mod 2**31 visits every point
 CELLS = 1024                           # stretches of [0, 1) on which slots meet sources
+MOST_SOURCES = 10_000                  # a table of so many sources' borders is broadcast
 BUCKET_DIGITS = 3                      # hexadecimal digits of the shuffle hash that name a bucket
 
 
@@ -92,7 +93,7 @@ def schedule(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
 def laid_out(measured: DataFrame, wanted: DataFrame) -> DataFrame:
     """Adds ``source_size``, ``target``, ``idx`` and ``start``, the first word's place on the source's shuffled line."""
     keyed = measured.join(wanted, measured["source"].eqNullSafe(wanted["source"])).select(
-        "doc_id", "size", wanted["idx"], "source_size", "target", shuffle_key(F.col("doc_id")).alias("key"))
+        "doc_id", wanted["source"].alias("source"), "size", wanted["idx"], "source_size", "target", shuffle_key(F.col("doc_id")).alias("key"))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     return common.running_total(keyed, ["idx"], "bucket", ["key", "doc_id", "size"], "size", "start")
 
@@ -108,13 +109,8 @@ def placed(measured: DataFrame, wanted: DataFrame, slots: DataFrame, block: int
     return blocks.join(slots, ["idx", "rank"]).select("doc_id", "idx", "size", "start", "slot", "rank", (from_ - F.col("a")).alias("from_word"), (to - from_).alias("words"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken``.
-
-    ``taken`` counts the words that the mix takes, repeats included: none, once, twice, or a part in the one document where
-    a source's target falls. A null source is a source of its own. Texts without words have size 0 and give none; rows
-    repeated with one doc_id lie next to each other as documents of their own. An empty table gives an empty result.
-    """
+def taken_words(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, key, size, source_size, target, taken)``, a row for each document."""
     measured = sizes(docs)
     wanted = targets(measured)
     line = cut_lineage(laid_out(measured, wanted))
@@ -122,7 +118,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = pieces.groupBy("idx", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
     same = [line["idx"] == taken["idx"], line["start"] == taken["start"], line["size"] == taken["size"], line["doc_id"].eqNullSafe(taken["doc_id"])]
     return line.join(taken, same, "left").select(
-        line["doc_id"], line["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        line["doc_id"], "source", "key", line["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """One row for each document: ``doc_id, size, source_size, target, taken``.
+
+    ``taken`` counts the words that the mix takes, repeats included: none, once, twice, or a part in the one document where
+    a source's target falls. A null source is a source of its own. Texts without words have size 0 and give none; rows
+    repeated with one doc_id lie next to each other as documents of their own. An empty table gives an empty result.
+    """
+    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -130,11 +136,40 @@ def mixture(docs: DataFrame) -> DataFrame:
 
     The document where a source's target falls is cut to the words taken, joined by single spaces; ``n_chars`` follows
     the text. Documents that the mix does not take go.
+
+    Along a source's shuffled line documents are taken twice, then once, then not at all. Texts stay where they are and look
+    up these borders of their source; only rows with the doc_id of a border document, and those without words, which
+    go, meet their own counts.
     """
-    counted = mixed(docs).where("taken > 0")
-    each = counted.groupBy(F.struct("doc_id", "size").alias("k")).agg(F.collect_list("taken").alias("takes"))   # rows of one doc_id
-    keyed = docs.select(F.struct("*").alias("row"), F.struct("doc_id", words_in(F.col("text")).alias("size")).alias("k"))
-    nth = F.row_number().over(W.partitionBy("k").orderBy(F.xxhash64("row.text")))
+    counted = cut_lineage(taken_words(docs))
+    place = F.struct("key", "doc_id")
+    times = F.when(F.col("taken") == 0, 0).when(F.col("taken") == F.col("size"), 1).when(F.col("taken") == 2 * F.col("size"), 2)
+    by_doc = (counted.where("size > 0").groupBy("source", "key", "doc_id")
+              .agg(F.min(F.coalesce(times, F.lit(-1))).alias("low"), F.max(F.coalesce(times, F.lit(-1))).alias("high")))
+    mixed_up = (F.col("low") < 0) | (F.col("low") != F.col("high"))
+    borders = cut_lineage(by_doc.groupBy("source").agg(
+        F.max(F.when(~mixed_up & (F.col("low") == 2), place)).alias("twice"), F.max(F.when(~mixed_up & (F.col("low") >= 1), place)).alias("once"),
+        F.collect_list(F.when(mixed_up, place)).alias("border")))                    # the target falls into one document
+    few = borders.count() <= MOST_SOURCES
+    b = (F.broadcast(borders) if few else borders).select(F.col("source").alias("_source"), "twice", "once", "border")
+    own = F.struct(shuffle_key(F.col("doc_id")).alias("key"), F.col("doc_id").alias("doc_id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("_of"), own.alias("place"))
+    rows = rows.join(b, F.col("_of").eqNullSafe(F.col("_source")))
+    at_border = F.exists("border", lambda x: x.eqNullSafe(F.col("place")))
+    laps = F.when(F.col("place") <= F.col("twice"), 2).when(F.col("place") <= F.col("once"), 1).otherwise(0)
+    whole = (rows.where(~at_border).where(F.regexp_like("row.text", F.lit(common.WORD)))
+             .select("row", F.explode(F.array_repeat(F.lit(0), laps)).alias("lap")).select("row.*"))
+    cut_docs = rows.where(at_border).select("row.*")
+    return whole.unionByName(border_rows(cut_docs, counted.select(F.col("source").alias("_source"), F.struct("key", "doc_id").alias("place"), "doc_id", "size", "taken")
+                                         .join(b.select(F.col("_source").alias("_of"), "border"), F.col("_source").eqNullSafe(F.col("_of")))
+                                         .where(at_border)))
+
+
+def border_rows(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """The rows of the documents in which targets fall, each as often and as long as ``counted`` (doc_id, size, taken) says."""
+    each = counted.where("taken > 0").groupBy(F.struct("doc_id", "size").alias("k")).agg(F.array_sort(F.collect_list("taken")).alias("takes"))   # rows of one doc_id
+    keyed = docs.select(F.struct("*").alias("row"), F.struct("doc_id", words_in(F.col("text")).alias("size")).alias("k")).withColumn("h", common.row_hash("row"))
+    nth = F.row_number().over(W.partitionBy("k").orderBy("h"))
     hit = keyed.withColumn("nth", nth).join(each, "k").select("row", F.col("k.size").alias("size"), F.get("takes", F.col("nth") - 1).alias("taken"))
     hit = hit.where("taken > 0").withColumn("words", F.explode(F.transform(
         F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long")),

@@ -31,15 +31,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     width, end = 4 * capacity, END_ID.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(path).encode
+        encoder = tokens.encoder(path)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], encode(b["text"].tolist()), strict=True):
-                ids += end
+            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                ids = encoder.encode([text])[0] + end
                 for p, lo in enumerate(range(0, len(ids), width)):
                     part = ids[lo:lo + width]
                     rows.append((doc_id, p, lo // 4, len(part) // 4, zlib.crc32(part), part)[:6 if with_ids else 5])
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:6 if with_ids else 5]).astype({"doc_id": "Int64"})
+        encoder.rest()
 
     common.small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm import common
+from faultline.llm import common, exact
 from faultline.session import cut_lineage
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -180,12 +180,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id; all columns kept.
 
-    Of rows repeated with that doc_id and fingerprint one stays; a group whose members all lack a doc_id keeps one row.
+    Of rows repeated with that doc_id the one with the smallest fingerprint and text hash stays, of rows equal in these the
+    one with the smallest hash of all columns; a group whose members all lack a doc_id keeps one row.
+
+    Rows that stay as the only ones of their key pass a Bloom filter of the other keys and never travel; only rows that it
+    may hold are shuffled to be told apart.
     """
-    placed = grouped(cut_lineage(fingerprints(docs)))
-    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "fp")).alias("k")
-    stays = cut_lineage(placed.groupBy("root").agg(first).select(F.col("k.id").alias("id"), F.col("k.fp").alias("stay_fp")))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", fp_of(F.col("text")).alias("fp"))
-    kept = rows.join(stays, (F.col("fp") == F.col("stay_fp")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    # rows repeated with one doc_id and fingerprint: one stays
-    return kept.groupBy("doc_id", "fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")
+    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
+    common.small_batches(docs.sparkSession)
+    marked = cut_lineage(docs.select(*key, fp_of(F.col("text")).alias("fp")))
+    placed = grouped(marked)
+    copies = marked.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")
+    first = placed.join(copies, "fp").groupBy("root").agg(F.min(rank).alias("first"))
+    stays = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.lit(True).alias("stays"))
+    same = copies["doc_id"].eqNullSafe(stays["doc_id"]) & (copies["text_hash"] == stays["text_hash"])
+    told = cut_lineage(copies.join(stays, same, "left").select(copies["doc_id"], copies["text_hash"], "copies", F.coalesce("stays", F.lit(False)).alias("stays"))
+                       .where("not stays or copies > 1").withColumn("key", F.xxhash64("doc_id", "text_hash")))
+    bits, plane = exact.repeated_plane(told, told.count(), least=1)
+    keyed = docs.select(F.struct("*").alias("row"), *key).withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    tested = exact.tested(keyed, bits, plane)
+    alone = tested.where("not maybe").select("row.*")
+    rest, told = tested.where("maybe").alias("r"), told.alias("t")
+    found = rest.join(told, (F.col("r.key") == F.col("t.key")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_hash") == F.col("t.text_hash")), "left")
+    missed = found.where("stays IS NULL").select("row.*")                            # the filter erred
+    one = (found.where("stays").select("r.doc_id", "r.text_hash", "row").withColumn("h", common.row_hash("row")).groupBy("doc_id", "text_hash")
+           .agg(F.min_by("row", "h").alias("row")).select("row.*"))
+    return alone.union(missed).union(one)

@@ -1,13 +1,14 @@
 """Encoding of whole texts with a public tokenizer file, by looking up pre-tokens in a bounded cache."""
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
 from array import array
-from itertools import islice
 
 WORDS, LONGEST = 250_000, 48                       # entries of each cache; characters of an entry
+HELD, RESTING, ENTRY = 32 << 20, 4 << 20, 150      # bytes of each cache during a task and between tasks; bytes an entry costs besides its own
 #: The pre-tokens of the word tokenizer's file, written out for characters up to U+00FF.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -39,12 +40,28 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.cost = {id(self.words): 0, id(self.runs): 0}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def rest(self) -> None:
+        """At the end of a task: most of what is cached goes, and the memory with it."""
         for cache in (self.words, self.runs):
-            if len(cache) > WORDS:                                   # the older half goes
-                for k in list(islice(cache, len(cache) // 2)):
-                    del cache[k]
+            self._shrink(cache, RESTING, WORDS)
+        give_back()
+
+    def _shrink(self, cache: dict[str, bytes], most: int, entries: int) -> None:
+        """The oldest entries go until the cache has at most ``entries`` and costs at most ``most`` bytes."""
+        cost = self.cost[id(cache)]
+        gone = []
+        for k, v in cache.items():
+            if cost <= most and len(cache) - len(gone) <= entries:
+                break
+            cost -= ENTRY + len(k) + len(v)
+            gone.append(k)
+        for k in gone:
+            del cache[k]
+        self.cost[id(cache)] = cost
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if self.plain and narrow(text):
@@ -60,8 +77,11 @@ class Encoder:
                 if x is None:
                     part = parts[i]
                     x = ids[i] = known.get(part) or learn(part)
-                    if len(part) <= LONGEST:
+                    if len(part) <= LONGEST and part not in known:
                         known[part] = x
+                        self.cost[id(known)] += ENTRY + len(part) + len(x)
+            if self.cost[id(known)] > HELD or len(known) > WORDS:
+                self._shrink(known, HELD // 2, WORDS // 2)
         return b"".join(ids)
 
     def _word(self, word: str) -> bytes:
@@ -80,6 +100,12 @@ def narrow(text: str) -> bool:
     return True
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, so that a worker that waits for its next task is small."""
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
