@@ -9,9 +9,9 @@ from faultline.catalog import graph as g
 from faultline.catalog.registry import query
 from faultline.catalog.scoring import DAY, day, snapshot
 from faultline.catalog.views import AS_OF, Views, add_view
-from faultline.session import shared_folder
+from faultline.session import cut_lineage, shared_folder
 from faultline.sources import sinks, tables
-from faultline.streaming import jobs
+from faultline.streaming import jobs, state
 
 
 def folder(v: Views, name: str) -> str:
@@ -31,7 +31,8 @@ add_view("event_parts", f"""SELECT *, least({PARTS - 1}, part + CASE WHEN event_
 
 
 def event_parts(v: Views, late: bool = True) -> DataFrame:
-    """The events as a stream of four files in the order of time, one file a batch, with some events that come late."""
+    """The events as a stream of four batches in the order of time, each of as many files as there are tasks, with some
+    events that come late."""
     path = folder(v, "parts")
     e = v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
     second = F.unix_timestamp("ts")
@@ -40,9 +41,13 @@ def event_parts(v: Views, late: bool = True) -> DataFrame:
     delay = F.when((F.col("event_id") % 50 == 0) & F.lit(late), 2).otherwise(0)
     batch = F.least(F.lit(PARTS - 1), part + delay)
     cut = e.join(F.broadcast(span), F.lit(True)).withColumn("batch", batch).drop("lo", "hi")
-    for i in range(PARTS):                                           # one file each, in this order
-        cut.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(v.spark, path, e.schema, files_per_batch=1)
+    cut = cut_lineage(cut)
+    least = cut.groupBy("batch").count().agg(F.min("count"), F.count("*")).first()
+    files = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files if least[1] == PARTS and least[0] >= 100 * files else 1      # rows are dealt evenly: every file has some
+    for i in range(PARTS):                                           # so many files each, in this order
+        cut.where(F.col("batch") == i).drop("batch").repartition(files).write.mode("append").parquet(path)
+    return jobs.file_stream(v.spark, path, e.schema, files_per_batch=files)
 
 
 def signals_stream(v: Views, s: DataFrame | None = None) -> DataFrame:
@@ -68,6 +73,31 @@ def stream_latest_state(v: Views):
     return jobs.read_latest(v.spark, path, ["user_id", "event_type"], "event_id")
 
 
+QUIET_DAYS = 4
+_STATE = "k0 AS (SELECT user_id, event_type, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, NULL::TIMESTAMP AS last, NULL AS status, NULL::BIGINT AS said, NULL::DOUBLE AS said_value FROM event_parts GROUP BY ALL)"
+for _b in range(PARTS + 1):                                          # the last one only moves the watermark on
+    _mark = "(SELECT max(ts) - INTERVAL 1 DAY FROM event_parts WHERE batch <= {0})"
+    _STATE += f""", n{_b} AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value, max(ts) AS last FROM event_parts WHERE batch = {_b}
+        AND ts > coalesce({_mark.format(_b - 2)}, TIMESTAMP '1900-01-01') GROUP BY ALL),
+      j{_b} AS (SELECT k.user_id, k.event_type, n.event_id IS NOT NULL AS came, greatest(k.last, n.last) AS last, k.status, k.said, k.said_value,
+        CASE WHEN k.event_id IS NULL OR n.event_id > k.event_id THEN n.event_id ELSE k.event_id END AS event_id, CASE WHEN k.event_id IS NULL OR n.event_id > k.event_id THEN n.value ELSE k.value END AS value
+        FROM k{_b} k LEFT JOIN n{_b} n USING (user_id, event_type)),
+      x{_b} AS (SELECT *, event_id IS NOT NULL AND last + INTERVAL {QUIET_DAYS} DAY < {_mark.format(_b - 1)} AS over FROM j{_b}),
+      k{_b + 1} AS (SELECT user_id, event_type, CASE WHEN coalesce(over, false) THEN NULL ELSE event_id END AS event_id, CASE WHEN coalesce(over, false) THEN NULL ELSE value END AS value,
+        CASE WHEN coalesce(over, false) THEN NULL ELSE last END AS last, CASE WHEN over THEN 'expired' WHEN came THEN 'live' ELSE status END AS status,
+        CASE WHEN came OR over THEN event_id ELSE said END AS said, CASE WHEN came OR over THEN value ELSE said_value END AS said_value FROM x{_b})"""
+
+
+@query("R2 R7", f"""WITH {_STATE} SELECT user_id, event_type, said AS event_id, said_value AS value, status FROM k{PARTS + 1} WHERE status IS NOT NULL""")
+def stream_keyed_state(v: Views):
+    """The latest event of each user and kind in a state store over several batches; a key quiet for some days before the
+    watermark is forgotten and reported as expired."""
+    key, path = ["user_id", "event_type"], folder(v, "state")
+    s = state.latest_by_key(event_parts(v), key, "event_id", "ts", ["value"], f"{QUIET_DAYS} days")
+    jobs.run_batches(s, state.change_sink(path), folder(v, "cp"), mode="update")
+    return state.read_changes(s.schema, v.spark, path, key)
+
+
 @query("R3", """SELECT event_id, CASE WHEN event_type = 'error' AND value >= 100 THEN 'debt_default' WHEN event_type = 'error' AND value >= 60 THEN 'freeze' ELSE 'st_warning' END AS event_type,
   CASE WHEN event_type = 'error' AND value >= 60 AND user_id % 4 <> 0 THEN 'high' ELSE 'medium' END AS severity, CAST(CAST(ts AS DATE) + 365 AS VARCHAR) AS valid_to FROM events WHERE (event_type = 'error' AND value >= 60) OR (event_type = 'view' AND value >= 60 AND user_id % 4 <> 1)""")
 def stream_credit_events(v: Views):

@@ -166,3 +166,20 @@ TECHNICAL_UPGRADE = ("成熟技术移植", "技术移植", "工艺改造", "系
 ACTUAL_COMMISSIONING = "正式投产|投入生产|建成投运|全线投产|顺利出铁|顺利出焦|成功下线"
 NON_COMMISSIONING = "验收|预计|计划|公告|董事会"
 ADVERSE_EVENTS = ("termination", "suspension", "delay")
+
+
+# Wording of printed tables in annual reports and announcements.
+REGION_TITLE = "^(分地区|主营业务分地区情况)"
+REGION_FOREIGN = "境外|国外|海外|出口|国际|外销|亚洲|欧洲|美洲|非洲|大洋洲|中东|东南亚|港澳台|其他国家"
+REGION_DOMESTIC = "中国大陆|境内|国内|内销|中国境内"
+REGION_WORD = "华东|华南|华北|华中|西南|西北|东北|东部|西部|南部|北部|中部|省|市|区域|地区"
+REGION_STOP = r"分销售模式|分行业|分产品|说明|占公司营业收入|产销量|^\s*\(?\d\)|^（\d）"
+REGION_NOT_A_ROW = "营业收入|营业成本|毛利率|分地区|合计|小计|单位"
+STATED_UNIT = r"单位[:：]\s*(?:人民币)?\s*(百万元|千元|万元|亿元|元)"
+ORE_TITLE = "铁矿石供应情况"
+ORE_ROWS = {"self": "自供", "domestic": "国内采购", "import": "国外进口", "total": "合计"}
+PARTY_TABLES = (("应收账款", "receivable"), ("预付", "prepayment"), ("应付账款", "payable"), ("供应商", "supplier"), ("客户", "customer"))
+PARTY_TITLE = "前五[名大](客户|供应商)|应收账款.{0,10}前五名|预付.{0,10}前五名|应付账款.{0,10}前五名"
+ANONYMOUS_PARTY = r"^(单位|客户|供应商|债务人|公司)?\s*[一二三四五六七八九十0-9A-Za-z]{1,2}\s*$|^第[一二三四五]名$|^[A-ER]$"
+PARTY_COLUMN_WORDS = "单位|余额|金额|比例|占比|序号|名称|性质|关联|账龄|坏账|年末|月末"
+PARTY_ROW_WORDS = "是|否|关联方|第三方|货款|工程款|往来款|借款"
