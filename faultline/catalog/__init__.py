@@ -7,6 +7,7 @@ from faultline.catalog import graph  # noqa: F401  isort:skip
 from faultline.catalog import readings  # noqa: F401  isort:skip
 from faultline.catalog import exposure  # noqa: F401  isort:skip
 from faultline.catalog import increments  # noqa: F401  isort:skip
+from faultline.catalog import shocks  # noqa: F401  isort:skip
 from faultline.catalog import basics  # noqa: F401  isort:skip
 from faultline.catalog import relations  # noqa: F401  isort:skip
 from faultline.catalog import studies  # noqa: F401  isort:skip

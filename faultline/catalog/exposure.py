@@ -39,8 +39,13 @@ def composition(v: Views) -> DataFrame:
                       F.round(F.col("revenue") / whole, 6).alias("share"), F.lit(1).alias("basis_rank"))
 
 
+def stored_composition(v: Views) -> DataFrame:
+    """Written once: exposures by product and by brand read it."""
+    return v.stored("composition", composition)
+
+
 def exposure(v: Views) -> DataFrame:
-    return v.stored("product_exposure", lambda v: ex.exposure_rows(composition(v), digits=8))
+    return v.stored("product_exposure", lambda v: ex.exposure_rows(stored_composition(v), digits=8))
 
 
 @query("X2 A10", """SELECT code, year, product, share, gross_margin, items, unmapped_share FROM exposure_p""")
@@ -101,7 +106,7 @@ add_view("brand_asof", """SELECT b.code, a.as_of, b.symbol, b.share FROM brand_s
 
 def brand_asof(v: Views) -> DataFrame:
     """Revenue share per tracked brand from the latest public year."""
-    b = composition(v).where("product is not null").groupBy("code", "year", F.col("p_brand").alias("symbol")).agg(F.round(F.sum("share"), 8).alias("share"))
+    b = stored_composition(v).where("product is not null").groupBy("code", "year", F.col("p_brand").alias("symbol")).agg(F.round(F.sum("share"), 8).alias("share"))
     years = b.select("code", "year").distinct().withColumn("public", F.make_date(F.col("year") + 1, F.lit(4), F.lit(30)))
     return latest_as_of(years, ["code"], "public", AS_OF, ["year"]).join(b, ["code", "year"]).select("code", "as_of", "symbol", "share")
 
@@ -112,7 +117,7 @@ def brand_asof(v: Views) -> DataFrame:
 def stress_ranking(v: Views):
     """|move| × share × tier multiplier for every shocked product and exposed company."""
     shocked = ex.price_moves(v.prices_b, AS_OF).where("shock").select("symbol", "as_of", "ret")
-    t = brand_asof(v).join(F.broadcast(shocked), ["symbol", "as_of"]).join(snapshot(v).select("code", "as_of", "tier"), ["code", "as_of"], "left")  # brands × dates
+    t = brand_asof(v).join(shocked, ["symbol", "as_of"]).join(snapshot(v).select("code", "as_of", "tier"), ["code", "as_of"], "left")
     weight = F.coalesce(lookup(F.col("tier"), rules.STRESS_TIER_WEIGHT), F.lit(0.5))
     idx = F.when(F.col("share") > 0, F.round(F.abs("ret") * F.col("share") * weight * 100, 4))
     return t.select(day(), "symbol", "code", "share", "ret", "tier", idx.alias("stress"))

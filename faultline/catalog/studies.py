@@ -11,8 +11,8 @@ from faultline.catalog.scoring import DAY, day, metrics, snapshot
 from faultline.catalog.views import AS_OF, Views, add_view, cents
 from faultline.operators import stats
 from faultline.operators.asof import asof_join, date_array, interval_join, latest_as_of
-from faultline.session import cut_lineage
 from faultline.operators.ordering import medians, order_statistics, with_average_rank
+from faultline.session import cut_lineage
 
 # ------------------------------------------------------------------ panel
 add_view("loss_events", """SELECT f.code, p.available_by AS date, f.period, f.revenue - f.cost - f.tax AS np, round(-(f.revenue - f.cost - f.tax) / abs(nullif(f.assets - f.liab, 0)), 6) AS loss_to_equity
@@ -166,17 +166,41 @@ def rank_correlation(v: Views):
     return stats.spearman(xy(v), ["as_of"], "x", "y").select(day(), F.round("rho", 6).alias("rho"), "n")
 
 
-@query("V8", f"""WITH sh AS (SELECT draw, as_of, rx, ry, row_number() OVER (PARTITION BY draw, as_of ORDER BY code) AS i, row_number() OVER (PARTITION BY draw, as_of ORDER BY md5(draw || '|' || code)) AS j FROM xy_ranks, generate_series(1, {PERMUTATIONS}) d(draw)),
-  d AS (SELECT a.draw, a.as_of, corr(a.rx, b.ry) AS rho FROM sh a JOIN sh b ON a.draw = b.draw AND a.as_of = b.as_of AND a.i = b.j GROUP BY a.draw, a.as_of), o AS (SELECT as_of, corr(rx, ry) AS rho FROM xy_ranks GROUP BY as_of)
+add_view("perm_n", """SELECT as_of, n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT as_of, n, arg_max(a, {'e': -(CAST(ceil(n / a) AS BIGINT) * a - n), 'a': a}) AS a FROM (
+  SELECT as_of, n, unnest(generate_series(greatest(1, CAST(ceil(sqrt(n)) AS BIGINT) // 2), CAST(ceil(sqrt(n)) AS BIGINT))) AS a FROM (SELECT as_of, count(*) AS n FROM xy_ranks GROUP BY as_of)) GROUP BY as_of, n)""")
+add_view("perm_0", f"""SELECT draw, as_of, rx, row_number() OVER (PARTITION BY draw, as_of ORDER BY code) - 1 AS t, n, a, b FROM xy_ranks JOIN perm_n USING (as_of), generate_series(1, {PERMUTATIONS}) d(draw)""")
+_STEPS = 4                             # written out in the SQL; the plan takes as many as it needs
+
+
+def _mix_sql(value: str, turn: int) -> list[str]:
+    """The mixing function as columns m0 to m4, each of the one before."""
+    return [f"({value} * 1103515 + draw * 69069 + {turn * 7919 + 1}) % 2147483647", "(m * 48271 + 12345) % 2147483647", "xor(m, m >> 13)", "(m * 69621 + 12345) % 2147483647", "xor(m, m >> 13)"]
+
+
+_from, _at = "perm_0", 0
+for _step in range(_STEPS):
+    add_view(f"perm_s{_step}", f"SELECT *, t // b AS l, t % b AS r FROM {_from}")
+    _from = f"perm_s{_step}"
+    for _turn in range(stats.ROUNDS):
+        _side, _other, _radix = ("l", "r", "a") if _turn % 2 == 0 else ("r", "l", "b")
+        _inner = f"SELECT draw, as_of, rx, t, n, a, b, l, r, {_mix_sql(_other, _turn)[0]} AS m FROM {_from}"
+        for _m in _mix_sql(_other, _turn)[1:]:
+            _inner = f"SELECT * REPLACE ({_m} AS m) FROM ({_inner})"
+        add_view(f"perm_t{_at}", f"SELECT draw, as_of, rx, t, n, a, b, {'(l + m) % a AS l, r' if _side == 'l' else 'l, (r + m) % b AS r'} FROM ({_inner})")
+        _from, _at = f"perm_t{_at}", _at + 1
+    add_view(f"perm_e{_step}", f"SELECT draw, as_of, rx, {'l * b + r' if _step == 0 else 'CASE WHEN t >= n THEN l * b + r ELSE t END'} AS t, n, a, b FROM {_from}")
+    _from = f"perm_e{_step}"
+
+
+@query("V8", f"""WITH ys AS (SELECT as_of, ry, row_number() OVER (PARTITION BY as_of ORDER BY code) - 1 AS t FROM xy_ranks),
+  d AS (SELECT p.draw, p.as_of, corr(p.rx, ys.ry) AS rho FROM {_from} p JOIN ys ON ys.as_of = p.as_of AND ys.t = p.t GROUP BY p.draw, p.as_of), o AS (SELECT as_of, corr(rx, ry) AS rho FROM xy_ranks GROUP BY as_of)
   SELECT CAST(o.as_of AS VARCHAR) AS as_of, round(any_value(o.rho), 6) AS rho, count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END) AS hits, round((1 + count(CASE WHEN d.rho >= o.rho - 1e-9 THEN 1 END)) / {PERMUTATIONS + 1}, 6) AS p FROM o JOIN d USING (as_of) GROUP BY o.as_of""")
 def correlation_permutation(v: Views):
-    """Permutation p of a rank correlation: y ranks dealt out in hash order, all draws at once."""
+    """Permutation p of a rank correlation: each draw's permutation is computed, no draw is sorted."""
     r = with_average_rank(with_average_rank(xy(v), ["as_of"], "x", "rx").drop("n"), ["as_of"], "y", "ry").drop("n")
-    base = stats.shuffled_position(r, ["as_of"], "code", "i", chars=6)
-    draws = stats.with_draws(base.select("as_of", "code", "ry"), PERMUTATIONS, F.col("code"))
-    dealt = stats.shuffled_position(draws, ["draw", "as_of"], "_h", "i").select("draw", "as_of", "i", "ry")
-    rho = dealt.join(base.select("as_of", "i", "rx"), ["as_of", "i"]).groupBy("draw", "as_of").agg(F.corr("rx", "ry").alias("d"))
-    seen = r.groupBy("as_of").agg(F.corr("rx", "ry").alias("rho"))
+    base = cut_lineage(stats.shuffled_position(r, ["as_of"], "code", "_k", chars=6).withColumn("i", F.col("_k") - 1).select("as_of", "i", "rx", "ry"))
+    rho = stats.permuted_correlation(base, "as_of", "i", "rx", "ry", PERMUTATIONS).withColumnRenamed("rho", "d")
+    seen = base.groupBy("as_of").agg(F.corr("rx", "ry").alias("rho"))
     hits = F.count_if(F.col("d") >= F.col("rho") - 1e-9)
     return rho.join(seen, "as_of").groupBy(day(), "rho").agg(hits.alias("hits")).select("as_of", F.round("rho", 6).alias("rho"), "hits", F.round((1 + F.col("hits")) / F.lit(PERMUTATIONS + 1), 6).alias("p"))
 

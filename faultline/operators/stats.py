@@ -68,6 +68,73 @@ def with_draws(rows: DataFrame, draws: int, key: Column, out: str = "draw") -> D
             .withColumn("_h", F.md5(F.concat(F.col(out).cast("string"), F.lit("|"), key.cast("string")))))
 
 
+MERSENNE = (1 << 31) - 1
+ROUNDS = 8                             # of the network that permutes row numbers
+
+
+def mixed(value: Column, draw: Column, turn: int) -> Column:
+    """A whole number below 2^31 that looks unrelated to its arguments; products stay below 2^63."""
+    y = (value * 1103515 + draw * 69069 + (turn * 7919 + 1)) % MERSENNE
+    for factor in (48271, 69621):
+        y = (y * factor + 12345) % MERSENNE
+        y = y.bitwiseXOR(F.shiftright(y, 13))
+    return y
+
+
+def radices(n: int) -> tuple[int, int]:
+    """Two numbers near the root of ``n`` whose product is ``n`` or little more."""
+    root = max(1, int(n ** 0.5))
+    while root * root < n:
+        root += 1
+    a = min(range(max(1, root // 2), root + 1), key=lambda x: (-(-n // x) * x - n, -x))
+    return a, -(-n // a)
+
+
+def permuted(rows: DataFrame, sizes: dict, by: str, place: str, draw: str, out: str) -> DataFrame:
+    """Adds ``out``: where a draw's permutation sends ``place`` (0 to n - 1 within ``by``); no row is sorted or moved.
+
+    A keyed Feistel network over two digits with the radices of ``n``; a value that falls beyond ``n`` is sent on until it
+    does not, which takes at most one step more than the product of the radices exceeds ``n``. ``sizes``: n of each ``by``.
+    """
+    fits = {k: radices(n) for k, n in sizes.items()}
+    pick = lambda f: F.coalesce(*[F.when(F.col(by) == F.lit(k), F.lit(f(k)).cast("bigint")) for k in sizes]) if sizes else F.lit(1)
+    a, b, n = pick(lambda k: fits[k][0]), pick(lambda k: fits[k][1]), pick(lambda k: sizes[k])
+    t = rows.withColumn("_a", a).withColumn("_b", b).withColumn("_n", n).withColumn(out, F.col(place).cast("bigint"))
+    steps = max((fits[k][0] * fits[k][1] - sizes[k] + 1 for k in sizes), default=0)
+    for step in range(steps):
+        t = t.withColumn("_l", F.floor(F.col(out) / F.col("_b"))).withColumn("_r", F.col(out) % F.col("_b"))
+        for turn in range(ROUNDS):
+            side, other, radix = ("_l", "_r", "_a") if turn % 2 == 0 else ("_r", "_l", "_b")
+            t = t.withColumn(side, (F.col(side) + mixed(F.col(other), F.col(draw), turn)) % F.col(radix))
+        moved = F.col("_l") * F.col("_b") + F.col("_r")
+        t = t.withColumn(out, moved if step == 0 else F.when(F.col(out) >= F.col("_n"), moved).otherwise(F.col(out)))
+    return t.drop("_a", "_b", "_n", "_l", "_r")
+
+
+def permuted_correlation(ranks: DataFrame, by: str, place: str, x: str, y: str, draws: int, most: int = 2_000_000) -> DataFrame:
+    """(by, draw, rho): correlation of ``x`` with ``y`` dealt out anew in each draw; ``place`` numbers the rows from 0.
+
+    Only the sum of products changes between draws: each row looks up the y of its draw's place and products are added up
+    before they are shuffled. The y of all groups are broadcast as arrays up to ``most`` values, beyond that joined.
+    """
+    sizes = {r[by]: r["n"] for r in ranks.groupBy(by).agg(F.count("*").alias("n")).collect()}        # a number for each date
+    moments = ranks.groupBy(by).agg(F.count("*").alias("_n"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"), F.sum(F.col(x) * F.col(x)).alias("_sxx"),
+                                    F.sum(F.col(y) * F.col(y)).alias("_syy"))
+    drawn = ranks.select(by, place, x).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(draws).cast("bigint"))))
+    drawn = permuted(drawn, sizes, by, place, "draw", "_to")
+    if sum(sizes.values()) <= most:
+        held = ranks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(place, y))).alias("_p")).select(by, F.col("_p")[y].alias("_ys"))
+        met = drawn.join(F.broadcast(held), by).withColumn("_y", F.get("_ys", F.col("_to").cast("int")))
+    else:
+        # a generated column: the network's expressions are not copied into a filter on the join key
+        apart = drawn.select(by, "draw", x, F.explode(F.array("_to")).alias("_to"))
+        met = apart.join(ranks.select(by, F.col(place).alias("_to"), F.col(y).alias("_y")), [by, "_to"])
+    sums = met.groupBy(by, "draw").agg(F.sum(F.col(x) * F.col("_y")).alias("_sxy"))
+    c = F.col
+    spread_ = F.sqrt((c("_n") * c("_sxx") - c("_sx") * c("_sx")) * (c("_n") * c("_syy") - c("_sy") * c("_sy")))
+    return sums.join(moments, by).select(by, "draw", F.try_divide(c("_n") * c("_sxy") - c("_sx") * c("_sy"), spread_).alias("rho"))
+
+
 def stratified_statistic(rows: DataFrame, stratum: list[str], exposed: str, y: str) -> DataFrame:
     """Per stratum the counts that decide the exposed-minus-expected statistic, and the statistic itself."""
     t = rows.groupBy(*stratum).agg(F.count("*").alias("n"), F.count_if(F.col(exposed)).alias("e"), F.count_if(F.col(y)).alias("k"),
