@@ -110,25 +110,25 @@ def placed(measured: DataFrame, wanted: DataFrame, slots: DataFrame, block: int
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, key, size, source_size, target, taken)``, a row for each document."""
+    """``(doc_id, source, key, size, source_size, target, taken, first_slot)``, a row for each document."""
     measured = sizes(docs)
     wanted = targets(measured)
     line = cut_lineage(laid_out(measured, wanted))
     pieces = placed(measured, wanted, schedule(wanted))
-    taken = pieces.groupBy("idx", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("idx", "start", "doc_id", "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     same = [line["idx"] == taken["idx"], line["start"] == taken["start"], line["size"] == taken["size"], line["doc_id"].eqNullSafe(taken["doc_id"])]
     return line.join(taken, same, "left").select(
-        line["doc_id"], "source", "key", line["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        line["doc_id"], "source", "key", line["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken``.
+    """One row for each document: ``doc_id, size, source_size, target, taken, first_slot``.
 
-    ``taken`` counts the words that the mix takes, repeats included: none, once, twice, or a part in the one document where
+    ``first_slot`` is the first slot of the mix that holds some of the document (null: none). ``taken`` counts the words that the mix takes, repeats included: none, once, twice, or a part in the one document where
     a source's target falls. A null source is a source of its own. Texts without words have size 0 and give none; rows
     repeated with one doc_id lie next to each other as documents of their own. An empty table gives an empty result.
     """
-    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -182,8 +182,8 @@ def border_rows(docs: DataFrame, counted: DataFrame) -> DataFrame:
     return out.select("row.*")
 
 
-#: The same for DuckDB. Taken words depend on the shuffled order, the line and the target alone, not on the slots' order.
-SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+#: The same for DuckDB; the slots are those of the golden-ratio walk.
+SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source),
     w AS (SELECT *, [3, 1, 2][idx % 3 + 1] AS weight, 2 * source_size AS cap FROM s),
     levels AS (SELECT 0 AS i, CAST(-1.0 AS DOUBLE) AS level UNION ALL
@@ -191,6 +191,16 @@ SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_al
         / sum(weight) FILTER (NOT cap <= level * weight) FROM w) FROM levels WHERE i < 60),
     g AS (SELECT max(level) AS level FROM levels),
     t AS (SELECT w.*, CASE WHEN cap <= level * weight THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM w, g),
-    l AS (SELECT d.doc_id, d.size, source_size, target, CAST(sum(d.size) OVER (PARTITION BY t.idx ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')),
-        d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-    SELECT doc_id, size, source_size, target, CAST(least(size, greatest(0, floor(target) - start)) + least(size, greatest(0, floor(target) - start - source_size)) AS BIGINT) AS taken FROM l"""
+    l AS (SELECT d.doc_id, d.size, t.idx, source_size, target, row_number() OVER () AS row, CAST(sum(d.size) OVER (PARTITION BY t.idx ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')),
+        d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    need AS (SELECT idx, goal, CAST(ceil(goal / {BLOCK}) AS BIGINT) AS need, CAST(sum(goal) OVER (ORDER BY idx) AS BIGINT) - goal AS before, CAST(sum(goal) OVER () AS BIGINT) AS total
+      FROM (SELECT idx, CAST(floor(target) AS BIGINT) AS goal FROM t) WHERE goal > 0),
+    held AS (SELECT *, before::DOUBLE / total * {CELLS} AS low, (before + goal)::DOUBLE / total * {CELLS} AS high FROM need),
+    drawn AS (SELECT slot, (slot % {PERIOD} * {GOLDEN} % {PERIOD})::DOUBLE / {PERIOD} * {CELLS} AS point FROM range((SELECT CAST(sum(need) AS BIGINT) FROM need)) r(slot)),
+    given AS (SELECT idx, slot, need, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS rank FROM drawn JOIN held ON point >= low AND point < high),
+    slots AS (SELECT idx, rank, slot FROM given WHERE rank < need UNION ALL
+      SELECT idx, rank, (SELECT CAST(sum(need) AS BIGINT) FROM need) + rank FROM (SELECT idx, unnest(range(need)) AS rank FROM need) m WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.idx = m.idx AND g.rank = m.rank)),
+    laps AS (SELECT row, idx, start + lap * source_size AS a, least(start + lap * source_size + size, CAST(floor(target) AS BIGINT)) AS b FROM l, range({MOST}) x(lap)),
+    blocks AS (SELECT row, idx, a, b, unnest(generate_series(a // {BLOCK}, (b - 1) // {BLOCK})) AS rank FROM laps WHERE a < b),
+    met AS (SELECT row, CAST(sum(least(b, (rank + 1) * {BLOCK}) - greatest(a, rank * {BLOCK})) AS BIGINT) AS taken, min(slot) AS first_slot FROM blocks JOIN slots USING (idx, rank) GROUP BY row)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM l LEFT JOIN met USING (row)"""

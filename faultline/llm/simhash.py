@@ -53,23 +53,36 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def over_radius(planes: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Lanes that differ in more than two bits. ``planes``: (64, ...) words, ``queries``: (64, ...) all-ones or zero words.
+def over_radius(planes: np.ndarray, queries: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, int]:
+    """Lanes that differ in more than two bits, and how many words of planes were read for it.
 
-    Counters of weight one and two are kept bit-sliced; what carries out of them is over the radius for good.
+    ``planes``: (64, groups, words), ``queries``: (64, groups, members) all-ones or zero words, ``over``: (groups, members,
+    words) with the lanes set that need no answer. Counters of weight one and two are kept bit-sliced; what carries out of
+    them is over the radius for good. Every eight planes the words whose lanes are all over are abandoned.
     """
-    ones = np.zeros(np.broadcast(planes[0], queries[0]).shape, np.uint64)
-    twos, over = ones.copy(), ones.copy()
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = over.copy().reshape(-1)
+    at = np.flatnonzero(out != full)
+    g, q, w = np.unravel_index(at, over.shape)
+    ones = np.zeros(len(at), np.uint64)
+    twos, lanes, read = ones.copy(), out[at], 0
     for j in range(64):
-        x = planes[j] ^ queries[j]
+        x = planes[j][g, w] ^ queries[j][g, q]
         carry = ones & x
         ones ^= x
-        over |= twos & carry
+        lanes |= twos & carry
         twos ^= carry
-        over |= twos & ones
-        if j % 8 == 7 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
-            break                                                    # the whole block is over the radius
-    return over
+        lanes |= twos & ones
+        read += len(at)
+        if j % 8 == 7:
+            open_ = lanes != full
+            if not open_.all():
+                out[at[~open_]] = full
+                at, g, q, w, ones, twos, lanes = (v[open_] for v in (at, g, q, w, ones, twos, lanes))
+            if not len(at):
+                break
+    out[at] = lanes
+    return out.reshape(over.shape), read
 
 
 def sliced(bits: np.ndarray) -> np.ndarray:
@@ -96,17 +109,24 @@ def links_within(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             for i, g in enumerate(part):
                 value[i, :len(g)], valid[i, :len(g)] = g, True
             bits = np.unpackbits(value.view(np.uint8).reshape(len(part), lanes, 8), axis=2, bitorder="little")
+            # planes in which members differ most are read first, so that words are abandoned early
+            share = bits.reshape(-1, 64).mean(0)
+            order = np.argsort(np.abs(share - 0.5), kind="stable")
+            bits = np.ascontiguousarray(bits[:, :, order])
             planes = sliced(bits)
+            empty = np.ascontiguousarray(np.packbits(~valid, axis=1, bitorder="little")).view("<u8")         # (groups, words)
+            lane = np.arange(lanes)
             label = np.arange(value.size).reshape(value.shape)
             pairs = []
             for q in range(0, max(map(len, part)), 64):              # 64 members of every group at a time
                 member = bits[:, q:q + 64, :].transpose(2, 0, 1)
-                over = over_radius(planes[:, :, None, :], (np.uint64(0) - member.astype(np.uint64))[:, :, :, None])
+                upto = np.packbits(lane[None, :] <= q + np.arange(member.shape[2])[:, None], axis=1, bitorder="little").view("<u8")
+                closed = empty[:, None, :] | upto[None, :, :]        # a member is compared with later ones only
+                closed[~valid[:, q:q + 64]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                over, _ = over_radius(planes, np.uint64(0) - member.astype(np.uint64), closed)
                 near = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=2, bitorder="little").astype(bool)
-                near &= valid[:, q:q + 64, None] & valid[:, None, :]
                 g, a, b = np.nonzero(near)
-                keep = a + q < b
-                pairs.append((label[g[keep], a[keep] + q], label[g[keep], b[keep]]))
+                pairs.append((label[g, a + q], label[g, b]))
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             root = label.ravel().copy()
             while len(a):

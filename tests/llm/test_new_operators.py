@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators_llm import docs_of, low, odd  # noqa: F401
 
-from faultline.llm import collocations, curve, lloyd
+from faultline.llm import collocations, curve, lloyd, mixing, simhash
 
 PHRASES = ["new york city", "hot dog", "in the", "of the new", "red red red red", "machine learning", "the end"]
 
@@ -242,3 +242,60 @@ def test_neighbours_on_the_curve_are_alike(spark):
     order = [r.doc_id % 8 for r in seen]
     changes = sum(a != b for a, b in zip(order, order[1:]))
     assert changes < 200                                             # random order: about 280; doc_id order: 319
+
+
+# SimHash planes and the mix's slots ----------------------------------------------------------------------------------
+
+def test_blocks_beyond_the_radius_are_abandoned():
+    r = random.Random(1)
+    value = np.array([r.getrandbits(64) for _ in range(512)], np.uint64)
+    value[300] = value[7] ^ np.uint64(5)
+    bits = np.unpackbits(value.view(np.uint8).reshape(1, 512, 8), axis=2, bitorder="little")
+    queries = np.uint64(0) - bits[:, :64, :].transpose(2, 0, 1).astype(np.uint64)
+    over, read = simhash.over_radius(simhash.sliced(bits), queries, np.zeros((1, 64, 8), np.uint64))
+    near = np.argwhere(np.unpackbits((~over).view(np.uint8), axis=2, bitorder="little"))
+    want = [[0, a, b] for a in range(64) for b in range(512) if bin(int(value[a]) ^ int(value[b])).count("1") <= 2]
+    assert near.tolist() == want and [0, 7, 300] in want
+    assert read < 64 * 64 * 8 / 2                                    # words of planes, of all members and blocks
+
+
+def walk(target, block):
+    """The golden-ratio walk by itself: which source fills each slot."""
+    goal = {i: math.floor(t) for i, t in target.items()}
+    need = {i: -(-g // block) for i, g in goal.items()}
+    total, before, low = sum(goal.values()), 0, {}
+    for i in sorted(goal):
+        if goal[i] > 0:
+            low[i] = (before / total * mixing.CELLS, (before + goal[i]) / total * mixing.CELLS)
+        before += goal[i]
+    given, out, n = Counter(), {}, sum(need.values())
+    for slot in range(n):
+        point = slot % mixing.PERIOD * mixing.GOLDEN % mixing.PERIOD / mixing.PERIOD * mixing.CELLS
+        for i, (a, b) in low.items():
+            if a <= point < b:
+                if given[i] < need[i]:
+                    out[i, given[i]] = slot
+                given[i] += 1
+    for i in need:
+        for rank in range(min(given[i], need[i]), need[i]):
+            out[i, rank] = n + rank
+    return out
+
+
+def test_first_slots_follow_the_walk(spark, odd):  # noqa: F811
+    docs = docs_of(spark, odd + [(900 + i, "w " * (3000 + i), f"s{i % 2}") for i in range(6)], True)
+    rows = mixing.taken_words(docs).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s))
+    target = {sources.index(r.source): r.target for r in rows}
+    slots = walk(target, mixing.BLOCK)
+    for i, s in enumerate(sources):
+        mine = sorted((r for r in rows if r.source == s), key=lambda r: (r.key, (r.doc_id is not None, r.doc_id or 0), r.size))
+        at, size = 0, sum(r.size for r in mine)
+        for r in mine:
+            met = []
+            for lap in (0, 1):
+                a, b = at + lap * size, min(at + lap * size + r.size, math.floor(target[i]))
+                met += [slots[i, k] for k in range(a // mixing.BLOCK, (b - 1) // mixing.BLOCK + 1)] if b > a else []
+            assert r.first_slot == (min(met) if met else None)
+            at += r.size
+    assert sum(r.taken > 0 for r in rows) == sum(r.first_slot is not None for r in rows) > 10
