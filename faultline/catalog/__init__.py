@@ -14,6 +14,7 @@ from faultline.catalog import studies  # noqa: F401  isort:skip
 from faultline.catalog import quality  # noqa: F401  isort:skip
 from faultline.catalog import capacity  # noqa: F401  isort:skip
 from faultline.catalog import printed  # noqa: F401  isort:skip
+from faultline.catalog import clauses  # noqa: F401  isort:skip
 from faultline.catalog import textjobs  # noqa: F401  isort:skip
 from faultline.catalog import wording  # noqa: F401  isort:skip
 from faultline.catalog import streams  # noqa: F401  isort:skip

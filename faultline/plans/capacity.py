@@ -146,9 +146,10 @@ def kept_breaks(text: Column) -> Column:
 
 
 def number_index(pages: DataFrame) -> DataFrame:
-    """(doc, page, pos, number, before, after, segment): each number of a page, from 0, with what stands around it.
+    """(doc, page, pos, number, before, after, segment, clause): each number of a page, from 0, with what stands around it.
 
-    ``before`` and ``after`` are 40 characters, ``segment`` is the text between the sentence ends on either side.
+    ``before`` and ``after`` are 40 characters, ``segment`` is the text between the sentence ends on either side, ``clause``
+    what stands before the number since the last comma or sentence end.
     """
     t = pages.select("doc", "page", kept_breaks(F.coalesce("text", F.lit(""))).alias("text"))
     t = t.withColumn("n", F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))).withColumn("gap", F.split("text", NUMBER, -1)).where("size(n) > 0")
@@ -161,7 +162,8 @@ def number_index(pages: DataFrame) -> DataFrame:
     return t.select("doc", "page", pos.alias("pos"), F.replace("x.n", F.lit(","), F.lit("")).try_cast("decimal(38,6)").alias("number"),
                     F.substring("text", F.greatest(pos - 40, F.lit(0)) + 1, F.least(pos, F.lit(40))).alias("before"),
                     F.substring("text", pos + size + 1, F.lit(40)).alias("after"),
-                    F.concat(F.substring_index(F.substring(ended, F.lit(1), pos), END, -1), F.substring_index(F.substring(ended, pos + 1, F.length(ended)), END, 1)).alias("segment"))
+                    F.concat(F.substring_index(F.substring(ended, F.lit(1), pos), END, -1), F.substring_index(F.substring(ended, pos + 1, F.length(ended)), END, 1)).alias("segment"),
+                    F.substring_index(F.translate(F.substring("text", F.lit(1), pos), "；，", END * 2), END, -1).alias("clause"))
 
 
 def unit_forms(amount: Column, unit: Column) -> Column:

@@ -183,3 +183,14 @@ PARTY_TITLE = "前五[名大](客户|供应商)|应收账款.{0,10}前五名|预
 ANONYMOUS_PARTY = r"^(单位|客户|供应商|债务人|公司)?\s*[一二三四五六七八九十0-9A-Za-z]{1,2}\s*$|^第[一二三四五]名$|^[A-ER]$"
 PARTY_COLUMN_WORDS = "单位|余额|金额|比例|占比|序号|名称|性质|关联|账龄|坏账|年末|月末"
 PARTY_ROW_WORDS = "是|否|关联方|第三方|货款|工程款|往来款|借款"
+
+
+# Relationship that an entity table implies, by the scope of the counterparty's name.
+SCOPE_OF_PARENT = {"self": "parent_or_controlling_shareholder", "self_and_subsidiaries": "parent_or_controlling_shareholder", "subsidiaries": "sister_company",
+                   "associates": "other_related_party"}
+# Wording of guarantees, pledges and project agreements.
+CUMULATIVE_HEADING = "[一二三四五六七八九十]+、(公司)?累计对外担保"
+DATE_ONLY = r"^\s*\d{4}\s*([-/.]|年)\s*\d{1,2}\s*([-/.]|月)\s*\d{1,2}\s*日?\s*$"
+RELEASE_BOOLEANS = ("is_restricted_share", "is_supplementary_pledge")
+PROJECT_AGREEMENT = "(项目合资协议|项目投资协议|项目建设协议)$"
+AGREEMENT_CAPACITY = r"(年产|产能|生产规模).{0,30}\d+(\.\d+)?万?吨"
