@@ -13,7 +13,7 @@ HEADLINE = [
     "typed_steps", "propagation_paths", "key_paths", "supply_layers", "guarantee_circles", "exposure_on_date", "stress_ranking",
     "relation_summary", "linked_names", "name_resolution", "validity_windows", "events_in_following_year", "study_panel", "rank_correlation",
     "event_reaction", "collapsed_events", "detection_by_document", "exact_pairs", "evidence_report", "rule_classifier", "printed_rows", "web_blocks",
-    "stream_daily_counts",
+    "stream_daily_counts", "correlation_permutation", "new_document_paths", "suppressed_records", "named_parties", "price_shock_layers", "stream_keyed_state",
 ]
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from faultline import rules
-from faultline.catalog import exposure as xp
+from faultline.catalog import exposure as xp, graph as g, history as hi
 from faultline.catalog.quality import gold
 from faultline.catalog.registry import query
-from faultline.catalog.scoring import day
+from faultline.catalog.readings import finding_steps
+from faultline.catalog.scoring import day, snapshot
 from faultline.catalog.shocks import FINISHED, shares
-from faultline.catalog.views import AS_OF, Views, add_view
+from faultline.catalog.views import AS_OF, Views, add_view, cents
 from faultline.functions.periods import available_by
 from faultline.functions.scalars import lookup
 from faultline.operators.asof import latest_as_of
 from faultline.operators.graph import ancestors
-from faultline.plans import clauses as cl, exposure as ex
+from faultline.plans import clauses as cl, exposure as ex, statements as st
 
 DAY = "CAST(as_of AS VARCHAR) AS as_of"
 
@@ -135,3 +136,53 @@ def margin_context(v: Views):
     at = ex.history_position(s, AS_OF, ["kind"]).select("as_of", F.round("pct_3y", 6).alias("p"))
     band = F.when(F.col("p") <= 0.2, "low").when(F.col("p") >= 0.8, "high").otherwise("")
     return last.join(at, "as_of").select(day(), F.round("value", 6).alias("value"), F.round(F.col("value") - F.col("base"), 6).alias("change"), band.alias("band"))
+
+
+# ------------------------------------------------------------------ prices of products, checks of companies
+add_view("price_stats", """SELECT 'P_' || p_type AS product, CAST(year(l_shipdate) AS INT) AS year, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0::DOUBLE / sum(l_quantity) AS mean_price,
+  min(CAST(round(l_extendedprice * 100) AS BIGINT) / 100.0::DOUBLE / l_quantity) AS low, max(CAST(round(l_extendedprice * 100) AS BIGINT) / 100.0::DOUBLE / l_quantity) AS high, sum(l_quantity)::DOUBLE AS volume
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+
+
+@query("X20", """SELECT product, year, round(mean_price, 6) AS mean_price, round(low, 6) AS low, round(high, 6) AS high, volume, round(mean_price / lag(mean_price) OVER w - 1, 6) AS price_change,
+  round(volume / lag(volume) OVER w - 1, 6) AS volume_change FROM price_stats WINDOW w AS (PARTITION BY product ORDER BY year)""")
+def product_price_statistics(v: Views):
+    """Yearly price of each product weighed by volume, its range, and the changes of price and volume against the year before."""
+    c = F.col
+    part = v.table("part").select("p_partkey", F.concat(F.lit("P_"), "p_type").alias("product"))
+    money = cents(c("l_extendedprice"))
+    t = (v.table("lineitem").select("l_partkey", F.year("l_shipdate").alias("year"), money.alias("m"), "l_quantity").join(part, c("l_partkey") == c("p_partkey")).groupBy("product", "year")
+         .agg((F.sum("m") / F.lit(100.0) / F.sum("l_quantity")).alias("mean"), F.min(c("m") / F.lit(100.0) / c("l_quantity")).alias("low"),
+              F.max(c("m") / F.lit(100.0) / c("l_quantity")).alias("high"), F.sum("l_quantity").cast("double").alias("volume")))
+    w = W.partitionBy("product").orderBy("year")                     # a handful of years
+    return t.select("product", "year", F.round("mean", 6).alias("mean_price"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "volume",
+                    F.round(c("mean") / F.lag("mean").over(w) - 1, 6).alias("price_change"), F.round(c("volume") / F.lag("volume").over(w) - 1, 6).alias("volume_change"))
+
+
+#: Companies without a disclosed hedge of goods, for the check of input costs.
+_UNHEDGED = "CAST(substr({0}, 2) AS BIGINT) % 3 <> 0"
+
+
+@query("X30 F17", f"""SELECT CAST(as_of AS VARCHAR) AS as_of, code, i AS pos, checks[i] AS item FROM (SELECT f.as_of, f.code, list_slice(list_filter([
+    CASE WHEN red_lines <> '' THEN 'debt_arrangements' END, CASE WHEN events_after_report > 0 THEN 'events_after_report' END, CASE WHEN f.tier = 'weak' AND p.proxy_tier IS NOT NULL THEN 'group_support' END,
+    CASE WHEN to_equity <= -0.1 AND {_UNHEDGED.format('f.code')} THEN 'input_cost_hedge' END, CASE WHEN n_in > 0 THEN 'incoming_paths' END, CASE WHEN r.first IS NOT NULL THEN 'report_signal ' || r.first END], lambda x: x IS NOT NULL), 1, 3) AS checks
+  FROM fragility f JOIN companies c ON c.code = f.code LEFT JOIN (SELECT as_of, code, round((coalesce(revenue_effect_yi, 0) - cost_yi) * 1e8 / equity, 6) AS to_equity FROM company_effect WHERE equity > 0) e ON e.as_of = f.as_of AND e.code = f.code
+  LEFT JOIN g_proxy p ON p.as_of = f.as_of AND p.group_id = c.group_id
+  LEFT JOIN (SELECT as_of, code, CASE WHEN np > 0 AND dn < 0 THEN 'loss_before_nonrecurring' WHEN np <> 0 AND abs(np - dn) >= CAST(0.3 AS DOUBLE) * abs(np) THEN 'nonrecurring_share' WHEN np > 0 AND ocf < 0 THEN 'negative_cash_flow'
+    WHEN np > 0 AND ocf < CAST(0.5 AS DOUBLE) * np THEN 'low_cash_flow' END AS first FROM report_asof) r ON r.as_of = f.as_of AND r.code = f.code
+  LEFT JOIN (SELECT as_of, dst, count(*) AS n_in FROM g_fsteps WHERE score > 0 GROUP BY ALL) n ON n.as_of = f.as_of AND n.dst = f.code), generate_series(1, 3) s(i) WHERE i <= len(checks)""")
+def company_checks(v: Views):
+    """Up to three checks by the fixed order of rules: debts, later events, group support, unhedged inputs, incoming paths, report signals."""
+    c = F.col
+    proxy = g.proxies(v).select("as_of", "group_id", "proxy_tier")
+    effect = xp.company_effects(v).where("equity > 0").select("as_of", "code", F.round((F.coalesce("revenue_effect_yi", F.lit(0.0)) - c("cost_yi")) * 1e8 / c("equity"), 6).alias("to_equity"))
+    incoming = finding_steps(v).where("score > 0").groupBy("as_of", c("dst").alias("code")).agg(F.count("*").alias("n_in"))
+    signal = hi.reports(v).select("as_of", "code", F.get(st.report_signals(c("np"), c("dn"), c("ocf")), F.lit(0)).alias("signal"))
+    t = (snapshot(v).join(v.companies.select("code", "group_id"), "code").join(effect, ["as_of", "code"], "left").join(proxy, ["as_of", "group_id"], "left")
+         .join(incoming, ["as_of", "code"], "left").join(signal, ["as_of", "code"], "left"))
+    unhedged = F.substring("code", 2, 20).cast("long") % 3 != 0
+    checks = F.slice(F.array_compact(F.array(
+        F.when(c("red_lines") != "", F.lit("debt_arrangements")), F.when(c("events_after_report") > 0, F.lit("events_after_report")),
+        F.when((c("tier") == "weak") & c("proxy_tier").isNotNull(), F.lit("group_support")), F.when((c("to_equity") <= -0.1) & unhedged, F.lit("input_cost_hedge")),
+        F.when(c("n_in") > 0, F.lit("incoming_paths")), F.when(c("signal").isNotNull(), F.concat(F.lit("report_signal "), "signal")))), 1, 3)
+    return t.select("as_of", "code", F.posexplode(checks).alias("pos", "item")).select(day(), "code", (c("pos") + 1).alias("pos"), "item")

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faultline.session import cut_lineage
+
 from faultline.sources.tables import fingerprint, path_exists
 
 
@@ -33,9 +35,12 @@ def write_run_meta(spark: SparkSession, path: str, as_of: str, version: str, wei
 
 
 def append_archive(df: DataFrame, path: str, key: list[str]) -> int:
-    """Append rows with new keys; refuse the whole write when a known key comes with different content."""
+    """Append rows with new keys; refuse the whole write when a known key comes with different content.
+
+    The rows are computed once and stored, then checked, then moved.
+    """
     spark = df.sparkSession
-    rows = fingerprint(df)
+    rows = cut_lineage(fingerprint(df))
     if path_exists(spark, path):
         old = spark.read.parquet(path)
         clash = rows.join(old.select(*key, F.col("sha256").alias("_old")), key).where(F.col("sha256") != F.col("_old"))
