@@ -69,7 +69,7 @@ def test_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
