@@ -299,3 +299,17 @@ def test_first_slots_follow_the_walk(spark, odd):  # noqa: F811
             assert r.first_slot == (min(met) if met else None)
             at += r.size
     assert sum(r.taken > 0 for r in rows) == sum(r.first_slot is not None for r in rows) > 10
+
+
+def test_ties_do_not_depend_on_partitioning(spark):
+    """Rows equal in doc_id and text (or but for case) and different elsewhere: the same row stays however they are dealt."""
+    from faultline.llm import exact
+
+    text = "one text that several rows share word by word"
+    rows = [(7, text, f"s{i}") for i in range(6)] + [(7, text.upper(), "t0"), (7, text.upper(), "t1"), (3, text, "u0"), (3, text, "u1"), (None, "other words here", "v0"), (None, "other words here", "v1")]
+    seen = []
+    for n in (1, 3, 7):
+        df = docs_of(spark, rows, True).repartition(n, "source")
+        seen.append([sorted((str(r.doc_id), r.text, r.source) for r in f(df).collect()) for f in (exact.exact_dedup, simhash.near_dedup)])
+    assert seen[0] == seen[1] == seen[2]
+    assert [len(x) for x in seen[0]] == [2, 2] and [x[0][0] for x in seen[0]] == ["3", "7"][::-1]
