@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import mmap
@@ -78,6 +79,19 @@ def readable(data: bytes) -> str | None:
 ODD = [bytes([c]) for c in range(32) if c not in b"\t\n\r"]
 
 
+def is_text(data: bytes | mmap.mmap) -> bool:
+    """Whether ``readable`` takes the bytes for text, read in stretches whatever their length."""
+    decoder, odd, chars = codecs.getincrementaldecoder("utf-8")(), 0, 0
+    try:
+        for x in pieces(data, 0, len(data)):
+            chars += len(decoder.decode(x))
+            odd += sum(map(x.count, ODD))
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return False
+    return chars > 0 and odd * 20 <= chars
+
+
 class Inflated:
     """Output of the compressed members that follow each other from ``at`` on; ``end``: where they end."""
 
@@ -187,7 +201,7 @@ URLSAFE = bytes.maketrans(b"-_", b"+/")
 
 
 def within(data: bytes | mmap.mmap) -> Iterator[tuple[bytes | mmap.mmap, bool, bool]]:
-    """``(bytes, properly a layer, large)``: what can be unwrapped from inflated bytes."""
+    """``(bytes, large, properly a layer)``: what can be unwrapped from inflated bytes."""
     if PERCENT_BYTE.search(data):
         yield *(x := kept(substituted(data, PERCENT_BYTE, lambda e: bytes([int(e[1:], 16)])))), True
         if b"+" in x[0] and OPENER.search(x[0]):
@@ -201,7 +215,7 @@ def within(data: bytes | mmap.mmap) -> Iterator[tuple[bytes | mmap.mmap, bool, b
             for phase in range(4):
                 x, large = kept(base64_bytes(data, *m.span(), phase))
                 if WORTH.search(x) or OPENER.search(x):
-                    yield x, large, not large and readable(x) is not None
+                    yield x, large, is_text(x)
     for m in WIDE_BYTES.finditer(data):
         yield *kept(x.replace(b"\0", b"") for x in pieces(data, *m.span())), True
     for _, _, x, whole, large in inflations(data):

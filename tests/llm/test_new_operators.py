@@ -313,3 +313,19 @@ def test_ties_do_not_depend_on_partitioning(spark):
         seen.append([sorted((str(r.doc_id), r.text, r.source) for r in f(df).collect()) for f in (exact.exact_dedup, simhash.near_dedup)])
     assert seen[0] == seen[1] == seen[2]
     assert [len(x) for x in seen[0]] == [2, 2] and [x[0][0] for x in seen[0]] == ["3", "7"][::-1]
+
+
+@pytest.mark.parametrize("text", ["plain words that hold no secret at all " * 5_000, "Ünïcode wörds " * 9_000, "\x01\x02 mostly odd" * 9_000])
+def test_layers_are_counted_alike_on_both_sides_of_the_bound(monkeypatch, text):
+    import base64
+    import gzip
+
+    from faultline.llm import secret_scan
+
+    inner = base64.b64encode(text.encode())
+    coded = base64.b64encode(gzip.compress(b"log " + base64.b64encode(inner) + b" end")).decode()
+    small = secret_scan.scan(coded)
+    monkeypatch.setattr(secret_scan, "MOST_BYTES", 50_000)
+    large = secret_scan.scan(coded)
+    assert small[:3] == large[:3] and small[3] == 0 < large[3]
+    assert secret_scan.is_text(text.encode()) == (secret_scan.readable(text.encode()) is not None)
