@@ -114,11 +114,13 @@ def merge_log(v: Views):
     return cp.merged(cp.sanitized(events(v)).drop("log"))[1]
 
 
+# any record may be the sum of those that "of which" lists beside it, whatever its own wording
+add_view("c_sums", """SELECT x.doc, x.event_index, x.idx, x.action, x.unit, x.capacity, count(*) AS listed, sum(s.capacity) AS added FROM c_records x JOIN c_records s
+  ON s.doc = x.doc AND s.event_index = x.event_index AND s.idx <> x.idx AND s.action = x.action AND s.unit = x.unit AND s.capacity < x.capacity AND s.t IN (1, 2) GROUP BY ALL""")
 add_view("c_rules", """SELECT r.*, doc % 3 = 0 AS formal_doc, event_type = 'capacity_construction' AND doc % 7 = 0 AS retyped,
   bool_or(t = 0 AND action = 'new') OVER (PARTITION BY doc, event_index) AS formal_event, bool_or(t = 4) OVER (PARTITION BY doc, event_index) AS projected,
-  CASE WHEN t IN (1, 2) THEN (SELECT count(*) FROM c_records s WHERE s.doc = r.doc AND s.event_index = r.event_index AND s.t IN (1, 2) AND s.capacity < x.capacity) >= 2
-    AND abs((SELECT sum(s.capacity) FROM c_records s WHERE s.doc = r.doc AND s.event_index = r.event_index AND s.t IN (1, 2) AND s.capacity < x.capacity) - x.capacity) <= 0.01 * x.capacity AND r.capacity < x.capacity ELSE false END AS part
-  FROM c_records r LEFT JOIN (SELECT doc, event_index, max(capacity) AS capacity FROM c_records WHERE t IN (0, 1, 2) GROUP BY ALL) x USING (doc, event_index)""")
+  t IN (1, 2) AND EXISTS (SELECT 1 FROM c_sums x WHERE x.doc = r.doc AND x.event_index = r.event_index AND x.idx <> r.idx AND x.action = r.action AND x.unit = r.unit AND r.capacity < x.capacity
+    AND x.listed >= 2 AND abs(x.added - x.capacity) <= 0.01 * x.capacity) AS part FROM c_records r""")
 _ADVERSE = "event_type IN ('termination', 'suspension', 'delay')"
 _BUILD = "event_type = 'capacity_construction' AND NOT retyped AND action = 'new' AND (formal_doc OR formal_event) AND t <> 0"
 
