@@ -153,7 +153,8 @@ def event_types_and_losses(v: Views):
 
 @query("E33", """SELECT v.doc, v.event_index, amount, source_amount, source_unit FROM c_values v LEFT JOIN (
     SELECT doc, event_index, arg_min(CASE WHEN yi THEN value / 10000.0::DOUBLE ELSE value END, {'r': yi, 'p': page}) AS source_amount, arg_min(CASE WHEN yi THEN '亿元' ELSE '万元' END, {'r': yi, 'p': page}) AS source_unit FROM (
-      SELECT v.doc, v.event_index, v.amount AS value, p.event_index AS page, p.party % 3 = 1 AS yi FROM c_values v JOIN c_values p ON p.doc = v.doc AND CAST(p.n AS DOUBLE) = v.amount AND p.party % 5 <> 2) GROUP BY ALL) s
+      SELECT v.doc, v.event_index, v.amount AS value, p.event_index AS page, p.party % 3 = 1 AS yi FROM c_values v JOIN c_values p ON p.doc = v.doc AND CAST(p.n AS DOUBLE) = v.amount AND p.party % 5 <> 2
+      UNION ALL SELECT v.doc, v.event_index, v.amount, l.event_index, true FROM c_values v JOIN c_lines l ON l.doc = v.doc AND l.t = 10 AND l.q * 10000.0::DOUBLE = v.amount) GROUP BY ALL) s
   ON s.doc = v.doc AND s.event_index = v.event_index""")
 def investment_support(v: Views):
     """The form in which the document prints an event's investment; null where it prints none, or as capital only."""

@@ -43,3 +43,10 @@ def test_sum_of_parts_that_is_a_temporary_loss(spark, tables):
                               line(2, 1, 1, 1, 10, 2000), line(2, 2, 2, 1, 20, 2000), line(2, 3, 9, 1, 31, 2000)])
     got = {(r.doc, r.record_index): r.reason for r in check(spark, "suppressed_records", folder).collect()}
     assert got[1, 1] == got[1, 2] == "remove_capacity_breakdown" and got[2, 1] is None and got[2, 2] is None
+
+
+def test_investment_that_a_record_prints(spark, tables):
+    # 100000 万元, printed as capital only, stand as 10 亿元 in the evidence of the second record
+    folder = tables(lineitem=[line(1, 1, 3, 2, 7, 100000), line(1, 2, 10, 1, 10, 2000), line(2, 1, 3, 2, 7, 100000), line(2, 2, 10, 1, 11, 2000)])
+    got = {r.doc: (r.source_amount, r.source_unit) for r in check(spark, "investment_support", folder).collect()}
+    assert got == {1: (10.0, "亿元"), 2: (None, None)}
