@@ -24,7 +24,7 @@ def events_stream(v: Views) -> DataFrame:
 
 
 PARTS = 4
-_SECOND = "CAST(epoch(ts) AS BIGINT)"
+_SECOND = "epoch_us(ts) // 1000000"                                # whole seconds: a cast of epoch(ts) would round up
 #: Part of each event by equal stretches of time; every fiftieth arrives two parts later.
 add_view("event_parts", f"""SELECT *, least({PARTS - 1}, part + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END) AS batch FROM (
   SELECT e.*, ({_SECOND} - lo) * {PARTS} // (hi - lo + 1) AS part FROM events e, (SELECT min({_SECOND}) AS lo, max({_SECOND}) AS hi FROM events))""")

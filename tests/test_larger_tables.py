@@ -50,3 +50,12 @@ def test_investment_that_a_record_prints(spark, tables):
     folder = tables(lineitem=[line(1, 1, 3, 2, 7, 100000), line(1, 2, 10, 1, 10, 2000), line(2, 1, 3, 2, 7, 100000), line(2, 2, 10, 1, 11, 2000)])
     got = {r.doc: (r.source_amount, r.source_unit) for r in check(spark, "investment_support", folder).collect()}
     assert got == {1: (10.0, "亿元"), 2: (None, None)}
+
+
+def test_part_of_an_event_in_the_last_half_of_a_second(spark, tables):
+    # the tables span thirty whole days, so a part ends at midnight; an event soon after it must not close one more day
+    start, at = dt.datetime(2024, 1, 1), lambda **t: dt.datetime(2024, 1, 1) + dt.timedelta(**t)
+    times = [start, at(days=14, seconds=86399), at(days=15, seconds=0.3), at(days=29, seconds=86399.8), at(days=22, hours=1)]
+    rows = [(i + 1, t, 1, "view", 1.0, "{}") for i, t in enumerate(times)] + [(50, at(days=13, hours=2), 1, "view", 1.0, "{}"), (51, at(days=13, hours=1), 1, "view", 1.0, "{}")]
+    got = {r.start: r.n for r in check(spark, "stream_daily_counts", tables(events=rows)).collect()}
+    assert got["2024-01-14"] == 2
