@@ -6,7 +6,6 @@ import pytest
 
 from compare import TABLES, compare, connect
 from faultline.catalog import QUERIES
-from faultline.operators import resolve
 from faultline.plans import shocks as sk
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +58,16 @@ def test_part_of_an_event_in_the_last_half_of_a_second(spark, tables):
     rows = [(i + 1, t, 1, "view", 1.0, "{}") for i, t in enumerate(times)] + [(50, at(days=13, hours=2), 1, "view", 1.0, "{}"), (51, at(days=13, hours=1), 1, "view", 1.0, "{}")]
     got = {r.start: r.n for r in check(spark, "stream_daily_counts", tables(events=rows)).collect()}
     assert got["2024-01-14"] == 2
+
+
+def test_an_outage_meets_only_the_uses_of_its_own_company(spark):
+    f = spark.createDataFrame
+    made = f([("d", "outage", c, "-", p, c) for c, p in (("a", "plate"), ("b", "plate"), ("b", "wire"))], "as_of string, kind string, subject string, way string, product string, code string")
+    uses = f([("d", "product_application", "plate", "a", "x"), ("d", "product_application", "plate", "b", "y"), ("d", "product_application", "wire", "a", "z")],
+             "as_of string, relation string, product string, src string, dst string")
+    shares = f([("d", "a", "plate", 0.5), ("d", "b", "plate", 0.4)], "as_of string, code string, product string, share double")
+    edges = sk.applications(made, uses, shares, made)
+    assert {(r.subject, r.src, r.dst, r.rule) for r in edges.collect()} == {("a", "plate", "a", "S1"), ("b", "plate", "b", "S1"), ("a", "a", "x", "S5"), ("b", "b", "y", "S5")}
+    # no step joins uses by date and product alone
+    joins = [x for x in edges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "relation" not in x]
+    assert not [x for x in joins if "product" in x and "code" not in x and "src" not in x and "subject" not in x]
