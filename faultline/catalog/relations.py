@@ -29,8 +29,8 @@ def relations(v: Views) -> DataFrame:
     def build(v: Views) -> DataFrame:
         c = F.col
         orders = v.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(
-            v.table("customer").select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"))
-        a = v.table("lineitem").join(orders, c("l_orderkey") == c("o_orderkey")).select(
+            v.table("customer").select("c_custkey", "c_name").hint("merge"), c("o_custkey") == c("c_custkey"))       # growing sides: compressed files look small enough to broadcast
+        a = v.table("lineitem").join(orders.hint("merge"), c("l_orderkey") == c("o_orderkey")).select(
             F.concat(F.lit("S"), "l_suppkey").alias("company_id"), F.when(c("l_linestatus") == "F", "downstream").otherwise("upstream").alias("direction"),
             F.year("l_shipdate").alias("year"), F.when(c("l_returnflag") == "R", rules.PLANNED_CAP).when(c("l_returnflag") == "A", "上年实际发生").otherwise("期末余额").alias("amount_type"),
             cents(c("l_extendedprice")).alias("amount_c"), F.when(c("l_linenumber") % 2 == 0, c("c_name")).otherwise(F.concat("c_name", F.lit(" Trading"))).alias("counterparty"),

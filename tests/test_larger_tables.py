@@ -6,6 +6,7 @@ import pytest
 
 from compare import TABLES, compare, connect
 from faultline.catalog import QUERIES
+from faultline.operators import resolve
 from faultline.plans import shocks as sk
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +61,24 @@ def test_part_of_an_event_in_the_last_half_of_a_second(spark, tables):
     assert got["2024-01-14"] == 2
 
 
+def test_counterparties_are_not_broadcast_by_the_size_of_their_files(spark):
+    from faultline.catalog import relations, views
+    seen = []
+    v = views.Views(spark, SF)
+    v.stored = lambda name, build: seen.append(build(v)) or seen[-1]
+    relations.relations(v)
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "BroadcastHashJoin" not in plan
+
+
+def test_numbered_names_do_not_meet_at_shared_characters(spark):
+    names = spark.range(2000).selectExpr("format_string('customer#%09d', id * 7919 % 1000003) AS a")
+    texts = names.selectExpr("concat(a, ' trading co') AS b")
+    found = resolve.contains_pairs(names, texts, [], "a", "b")
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((r.a, r.a + " trading co") for r in names.collect())
+    assert resolve.contains_pairs(names.selectExpr("concat(a, 'x') AS a"), texts, [], "a", "b").count() == 0
+
+
 def test_an_outage_meets_only_the_uses_of_its_own_company(spark):
     f = spark.createDataFrame
     made = f([("d", "outage", c, "-", p, c) for c, p in (("a", "plate"), ("b", "plate"), ("b", "wire"))], "as_of string, kind string, subject string, way string, product string, code string")
