@@ -235,46 +235,59 @@ def _amount(steps: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.coalesce(s["amount_wan"], F.lit(0.0)))
 
 
-def summarize(paths: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def summarize(paths: DataFrame, by: list[str], ranked: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ranked findings and local reach.
 
     A path is cut after its last listed company; what lies beyond is folded into a count and an amount. Cut
     paths with the same listed companies in the same order are one finding with counted alternatives.
+
+    All this is decided on short rows of numbers and names. The steps of a cut path follow from its seed, shock and route,
+    so they meet the findings once, at the end. ``ranked`` adds ``rank``, the position of ``with_rank``.
     """
     last = F.coalesce(F.array_max(F.transform("steps", lambda s, i: F.when(s["dst_listed"], i + 1).otherwise(0))), F.lit(0))
-    cut = paths.withColumn("_last", last)
-    name = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat(s["rule"], F.lit(":"), s["dst"])), ">")
-    head, tail = F.slice("steps", 1, F.col("_last")), F.slice("steps", F.col("_last") + 1, rules.MAX_HOPS)
-    severity = level_number(F.col("_head")[0]["severity"])
-    kept = (cut.where("_last > 0").withColumn("_head", head).withColumn("_tail", tail).withColumn("route", name(F.col("_head")))
-            .withColumn("_beyond", F.transform("_tail", lambda s: s["dst"])))
-    keyed = [*by, "seed", "route"]
-    heads = kept.groupBy(*keyed).agg(
-        F.max(F.struct(severity.alias("sev"), F.when(F.col("shock") == "credit", 1).otherwise(0).alias("c"), F.col("shock").alias("shock"),
-                       F.col("_head").alias("steps"))).alias("_best"),
-        F.round(F.sum(F.when(F.size("_tail") > 0, F.coalesce(F.col("_tail")[0]["amount_wan"], F.lit(0.0))).otherwise(0.0)), 4).alias("beyond_amount_wan"))
-    # distinct far nodes are counted on rows, not in one collected set
-    far = (kept.select(*keyed, F.explode("_beyond").alias("_n")).distinct().groupBy(*keyed).agg(F.count("*").alias("beyond")))
-    s = heads.join(far, keyed, "left").select(*keyed, "_best.shock", "_best.sev", F.col("_best.steps").alias("steps"), "beyond_amount_wan",
-                                              F.coalesce("beyond", F.lit(0)).alias("beyond"))
-    reach = F.aggregate(F.filter("steps", lambda x: x["dst_listed"]), F.lit(0.0),
-                        lambda a, x: a + lookup(x["dst_tier"], rules.REACH_TIER_WEIGHT, 0.0))
-    amount_yi = _amount(F.col("steps")) / 1e4
-    full = F.round(F.col("sev") * (1 + F.log10(1 + amount_yi)) * F.col("listed_reach"), 2)
-    s = (s.withColumn("listed_reach", reach).withColumn("amount_yi", F.round(amount_yi, 6)).withColumn("_full", full)
-         .withColumn("scenario", F.exists("steps", lambda x: x["rule"] == "R4"))
+    ends = F.try_element_at("steps", F.lit(-1))["dst_listed"]                          # most paths end at a listed company
+    cut = paths.withColumn("_last", F.when(ends, F.size("steps")).otherwise(last))
+    names = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat(s["rule"], F.lit(":"), s["dst"])), ">")
+    kept = cut.where("_last > 0").withColumn("_whole", F.col("_last") == F.size("steps"))
+    kept = kept.withColumn("_head", F.when(F.col("_whole"), F.col("steps")).otherwise(F.slice("steps", 1, F.col("_last"))))
+    kept = kept.withColumn("route", F.when(F.col("_whole"), F.substring("key", 2, 1 << 30)).otherwise(names(F.col("_head"))))
+    keyed, credit = [*by, "seed", "route"], F.col("shock") == "credit"
+    listed = F.filter("_head", lambda x: x["dst_listed"])
+    reach = F.aggregate(listed, F.lit(0.0), lambda a, x: a + lookup(x["dst_tier"], rules.REACH_TIER_WEIGHT, 0.0))
+    short = kept.select(
+        *keyed, F.array_join(listed["dst"], ">").alias("listed_seq"), F.array_join(F.col("_head")["rule"], "+").alias("rules"),
+        # severity first, then credit before supply
+        (level_number(F.col("_head")[0]["severity"]) * 2 + credit.cast("int")).alias("_sev"), credit.alias("_credit"),
+        _amount(F.col("_head")).alias("_amount"), reach.alias("_reach"),
+        F.get("steps", F.col("_last"))["amount_wan"].alias("_beyond"), F.slice("steps", F.col("_last") + 1, rules.MAX_HOPS)["dst"].alias("_far"))
+    # distinct far nodes are counted on rows, not in one collected set; a path's amount counts on its first row
+    keyed = [*keyed, "listed_seq", "rules"]
+    rows = short.select("*", F.posexplode_outer("_far").alias("_i", "_n")).drop("_far").repartition(*by, "seed", "route")
+    most = lambda c: F.max(c).alias(c)
+    sides = [F.max(F.when(F.col("_credit"), F.col("_amount"))).alias("_a1"), F.max(F.when(~F.col("_credit"), F.col("_amount"))).alias("_a0")]
+    per = rows.groupBy(*keyed, "_n").agg(most("_sev"), most("_reach"), *sides, F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.coalesce("_beyond", F.lit(0.0))).otherwise(0.0)).alias("_b"))
+    s = per.groupBy(*keyed).agg(most("_sev"), most("_reach"), most("_a1"), most("_a0"), F.round(F.sum("_b"), 4).alias("beyond_amount_wan"), F.count("_n").alias("beyond"))
+    first = F.col("_sev") % 2 == 1
+    amount_yi = F.when(first, F.col("_a1")).otherwise(F.col("_a0")) / 1e4
+    full = F.round(F.floor(F.col("_sev") / 2) * (1 + F.log10(1 + amount_yi)) * F.col("_reach"), 2)
+    s = (s.withColumn("shock", F.when(first, "credit").otherwise("supply")).withColumn("amount_yi", F.round(amount_yi, 6)).withColumn("_full", full)
+         .withColumn("scenario", F.array_contains(F.split("rules", r"\+"), "R4"))
          .withColumn("score", F.when(F.col("scenario"), 0.0).otherwise(F.col("_full")))
-         .withColumn("scenario_score", F.when(F.col("scenario"), F.col("_full"))).drop("_full")
-         .withColumn("listed_seq", F.array_join(F.transform(F.filter("steps", lambda x: x["dst_listed"]), lambda x: x["dst"]), ">"))
-         .withColumn("rules", F.array_join(F.transform("steps", lambda x: x["rule"]), "+")))
+         .withColumn("scenario_score", F.when(F.col("scenario"), F.col("_full"))).withColumnRenamed("_reach", "listed_reach"))
     group = [*by, "seed", "listed_seq"]
     best = s.groupBy(*group).agg(
         F.min(F.struct((-F.col("score")).alias("_s"), "rules", "route", "shock", "score", "scenario", "scenario_score", "amount_yi",
-                       "listed_reach", "beyond", "beyond_amount_wan", "steps")).alias("_b"),
+                       "listed_reach", "beyond", "beyond_amount_wan")).alias("_b"),
         (F.count("*") - 1).alias("alternatives"),
         F.array_join(F.array_sort(F.collect_set("rules")), ",").alias("route_rules"))   # at most 84 rule strings exist
-    findings = best.select(*group, "_b.rules", "_b.route", "_b.shock", "_b.score", "_b.scenario", "_b.scenario_score", "_b.amount_yi",
-                           "_b.listed_reach", "_b.beyond", "_b.beyond_amount_wan", "alternatives", "route_rules", F.col("_b.steps").alias("steps"))
+    best = best.select(*group, "_b.rules", "_b.route", "_b.shock", "_b.score", "_b.scenario", "_b.scenario_score", "_b.amount_yi",
+                       "_b.listed_reach", "_b.beyond", "_b.beyond_amount_wan", "alternatives", "route_rules")
+    one = [*by, "seed", "shock", "route"]
+    if ranked:
+        best = cut_lineage(best)                       # ranked and read again
+        best = best.join(with_rank(best.select(*one, "score"), by).select(*one, "rank"), one)
+    # equal paths up to the cut have equal steps: any of them stands for all
+    findings = best.join(kept.select(*one, F.col("_head").alias("steps")), one).dropDuplicates(one)
     local = cut.where("_last = 0")
     parties = (local.select(*by, "seed", F.explode("steps").alias("s")).select(*by, "seed", "s.dst").distinct()
                .groupBy(*by, "seed").agg(F.count("*").alias("parties")))

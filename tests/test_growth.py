@@ -26,3 +26,27 @@ def test_public_periods_are_worked_out_per_date(spark):
     got = events_after_report(signals, ["1999-11-30", "1997-04-30"])
     assert "BroadcastNestedLoopJoin" in plan(got)
     assert [(r.code, r.events, r.serious) for r in got.collect()] == [("A", 1, 1)]
+
+
+def test_findings_are_decided_without_carrying_steps(spark):
+    from faultline.plans import propagation as pg
+    step = "rule string, src string, dst string, severity string, dst_tier string, decision string, basis string, evidence string, amount_wan double, dst_listed boolean"
+    hop = lambda a, b, amount, listed: ("R2", a, b, "high", "weak", "continue", "disclosed", f"{a}{b}", amount, listed)
+    rows = [("g", "A", "supply", ">R2:B>R2:U", [hop("A", "B", 5.0, True), hop("B", "U", 3.0, False)]), ("g", "A", "credit", ">R2:B>R2:V", [hop("A", "B", 7.0, True), hop("B", "V", 2.0, False)]),
+            ("g", "A", "credit", ">R2:B", [hop("A", "B", 7.0, True)]), ("g", "A", "credit", ">R2:C>R2:B", [hop("A", "C", 1.0, False), hop("C", "B", 1.0, True)])]
+    paths = spark.createDataFrame(rows, f"g string, seed string, shock string, key string, steps array<struct<{step.replace(' string', ':string').replace(' double', ':double').replace(' boolean', ':boolean')}>>")
+    found = pg.summarize(paths, ["g"])[0]
+    assert not [x for x in plan(found).splitlines() if "max(struct" in x or ("min(struct" in x and "steps" in x.split("min(struct")[1].split("alias")[0])]
+    r, = found.collect()
+    assert (r.route, r.shock, r.beyond, r.beyond_amount_wan, r.alternatives, r.route_rules) == ("R2:B", "credit", 2, 5.0, 1, "R2,R2+R2") and [s.amount_wan for s in r.steps] == [7.0]
+    assert [x["rank"] for x in pg.summarize(paths, ["g"], ranked=True)[0].collect()] == [1]
+
+
+def test_neighbourhood_repeats_no_path_for_its_companies(spark, monkeypatch):
+    from faultline.catalog import QUERIES, graph
+    day = dt.date(1999, 11, 30)
+    rows = [(day, 1, "A", "R2:B", [("B",)]), (day, 2, "C", "R2:B", [("B",)]), (day, 3, "C", "R2:D", [("D",)]), (day, 4, "D", "R2:A", [("A",)])]
+    found = spark.createDataFrame(rows, "as_of date, rank long, seed string, route string, steps array<struct<dst:string>>")
+    monkeypatch.setattr(graph, "findings", lambda v: found)
+    near = QUERIES["path_neighbourhood"].run(spark, "")
+    assert "Generate" not in plan(near) and sorted(r["rank"] for r in near.collect()) == [2, 4]
