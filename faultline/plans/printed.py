@@ -1,7 +1,7 @@
 """Printed tables read from page text: regional revenue, ore supply, named parties, appendix rows with two headers.
 
 A table is found by its title line; the lines after it are folded by a small automaton, so only a bounded stretch of lines
-meets in a row. Declarations are carried down a document in chunks of lines.
+meets in a row. Declarations are carried down a document over blocks of lines.
 """
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from faultline.functions.scalars import first_match, to_wan
 from faultline.functions.text import squeeze
 
 NUM = r"-?[\d,]+(?:\.\d+)?"
-CHUNK = 4096                           # lines over which a declaration is carried in one task
+CHUNK = 4096                           # lines of a block
 
 
 def numbered_lines(pages: DataFrame) -> DataFrame:
@@ -152,32 +152,30 @@ def named_parties(pages: DataFrame) -> DataFrame:
         "doc", "b.page", "title", "b.kind", "b.unit", "counterparty", F.col("amount").cast("double").alias("amount"), "b.related")
 
 
-def carried(lines: DataFrame, value: Column, out: str, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``out``: the last non-null ``value`` at or above a line of its document, carried over chunks of lines.
-
-    lines: doc, n and more. A chunk's last value is handed on by a window over one row for each chunk.
-    """
-    t = lines.withColumn("_v", value).withColumn("_c", F.floor(F.col("n") / chunk))
-    ends = t.groupBy("doc", "_c").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("n"))).alias("_e"))
-    above = F.last("_e", ignorenulls=True).over(W.partitionBy("doc").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))
-    inside = F.last("_v", ignorenulls=True).over(W.partitionBy("doc", "_c").orderBy("n"))
-    return (t.join(ends.select("doc", "_c", above.alias("_a")), ["doc", "_c"]).withColumn(out, F.coalesce(inside, "_a")).drop("_v", "_c", "_a"))
-
-
 def appendix_rows(pages: DataFrame, outer: list[tuple[str, str]], inner: list[tuple[str, str]], chunk: int = CHUNK) -> DataFrame:
     """(doc, page, n, section, part, short, estimate, prior) of price-basis rows under two nested headers.
 
     ``outer`` and ``inner`` are (start of a header line, label); an inner header is forgotten when a new outer one comes.
     Rows without a section and rows of others (其他) are left out.
     """
-    lines = numbered_lines(pages)
-    s = F.trim("line")
-    find = lambda table: first_match([(s.startswith(k), F.lit(label)) for k, label in table])
-    top = find(outer)
-    t = carried(lines, F.when(top.isNotNull(), F.struct(top.alias("label"), F.col("n").alias("at"))), "_top", chunk)
-    low = find(inner)
-    t = carried(t, F.when(low.isNotNull(), F.struct(low.alias("label"), F.col("n").alias("at"))), "_low", chunk)
     row = r"^\s*(\S+?)\s+(市场价|协议价)\s+([\d,]+\.\d+)\s+[\d.]+%\s+([\d,]+\.\d+)\s+[\d.]+%"
+    find = lambda table, x: first_match([(F.trim(x).startswith(k), F.lit(label)) for k, label in table])
+    headers = (("_top", outer), ("_low", inner))
+    t = pages.select("doc", "page", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    t = t.withColumn("_at", F.coalesce(F.sum(F.size("l")).over(W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # blocks of lines: each hands on its last headers, so the blocks of a document meet and no line is shuffled or read twice
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / chunk).cast("int"))).alias("_k")
+    t = t.select("doc", "page", "_at", "l", k).select("doc", "page", (F.col("_at") + F.col("_k") * chunk).alias("_at"), F.slice("l", F.col("_k") * chunk + 1, F.lit(chunk)).alias("l"))
+    for name, table in headers:
+        heads = F.transform("l", lambda x, i: F.when(find(table, x).isNotNull(), F.struct(find(table, x).alias("label"), (F.col("_at") + i).alias("at"))))  # noqa: B023
+        t = t.withColumn(name, F.try_element_at(F.filter(heads, lambda h: h.isNotNull()), F.lit(-1)))
+    before = W.partitionBy("doc").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    t = t.select("doc", "page", "_at", "l", *[F.last(name, ignorenulls=True).over(before).alias(f"{name}_above") for name, _ in headers])
+    t = t.select("doc", "page", "_at", *[f"{name}_above" for name, _ in headers], F.posexplode("l").alias("_i", "line")).withColumn("n", F.col("_at") + F.col("_i"))
+    t = t.where(F.col("line").rlike(row) | find(outer, F.col("line")).isNotNull() | find(inner, F.col("line")).isNotNull())
+    here = W.partitionBy("doc", "_at").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    own = lambda table: F.when(find(table, F.col("line")).isNotNull(), F.struct(find(table, F.col("line")).alias("label"), F.col("n").alias("at")))
+    t = t.select("doc", "page", "n", "line", *[F.coalesce(F.last(own(table), ignorenulls=True).over(here), f"{name}_above").alias(name) for name, table in headers])
     part = F.when(F.col("_low.at") > F.col("_top.at"), F.col("_low.label"))
     get = lambda i: F.regexp_extract("line", row, i)
     return t.where(F.col("line").rlike(row) & F.col("_top").isNotNull()).select(

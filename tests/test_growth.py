@@ -50,3 +50,11 @@ def test_neighbourhood_repeats_no_path_for_its_companies(spark, monkeypatch):
     monkeypatch.setattr(graph, "findings", lambda v: found)
     near = QUERIES["path_neighbourhood"].run(spark, "")
     assert "Generate" not in plan(near) and sorted(r["rank"] for r in near.collect()) == [2, 4]
+
+
+def test_appendix_reads_and_shuffles_its_pages_once(spark):
+    from faultline.plans import printed as pr
+    pages = spark.createDataFrame([(1, 1, "一、采购\n甲 市场价 1.00 1% 1.00 1%"), (1, 2, "乙 市场价 2.00 1% 1.00 1%")], "doc int, page int, text string")
+    rows = pr.appendix_rows(pages, [("一、采购", "buy")], [("1、租入", "lease")], 2)
+    assert plan(rows).count("Scan ExistingRDD") == 1 and "Join" not in plan(rows)
+    assert sorted((r.page, r.n, r.section, r.short) for r in rows.collect()) == [(1, 1, "buy", "甲"), (2, 2, "buy", "乙")]
