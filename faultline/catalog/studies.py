@@ -116,11 +116,8 @@ _N = "(SELECT count(*) FROM (SELECT DISTINCT code FROM panel))"
 def bootstrap_interval(v: Views):
     """Percentile interval of the AUC, resampling companies with all their dates; multiplicities instead of copies."""
     codes = panel(v).select("code").distinct().withColumn("_g", F.lit(1))
-    numbered = stats.shuffled_position(codes, ["_g"], "code", "_k", chars=6).select("code", (F.col("_k") - 1).alias("i"))
-    n = numbered.agg(F.count("*").alias("_n"))                                              # one row
-    pick = (stats.with_draws(numbered.select("i"), DRAWS, F.col("i")).join(F.broadcast(n), F.lit(True))
-            .select("draw", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % F.col("_n")).alias("i")).groupBy("draw", "i").agg(F.count("*").alias("w")))
-    rows = pick.join(numbered, "i").join(panel(v).select("code", "score", "y1"), "code")
+    numbered = cut_lineage(stats.shuffled_position(codes, ["_g"], "code", "_k", chars=6).select("code", (F.col("_k") - 1).alias("i")))
+    rows = cut_lineage(stats.resampled(panel(v).select("code", "score", "y1"), numbered, "code", ["score", "y1"], DRAWS))       # read twice below
     a = stats.auc(rows, ["draw"], "score", "y1", "w").withColumn("_g", F.lit(1))
     cut = order_statistics(a, ["_g"], "auc", {"lo": F.floor(F.lit(0.025) * F.col("n")), "hi": F.floor(F.lit(0.975) * F.col("n")) - 1})
     return cut.select(F.col("n").alias("draws"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))

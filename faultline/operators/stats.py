@@ -62,10 +62,30 @@ def shuffled_position(rows: DataFrame, by: list[str], hash_: str, out: str, char
     return (r.join(ahead, [*by, "_hb"]).withColumn(out, F.col("_skip") + F.row_number().over(W.partitionBy(*by, "_hb").orderBy(hash_))).drop("_hb", "_skip"))
 
 
+def draw_hash(draw: Column, key: Column) -> Column:
+    return F.md5(F.concat(draw.cast("string"), F.lit("|"), key.cast("string")))
+
+
 def with_draws(rows: DataFrame, draws: int, key: Column, out: str = "draw") -> DataFrame:
     """Rows repeated per draw with the hash that orders the draw."""
-    return (rows.withColumn(out, F.explode(F.sequence(F.lit(1), F.lit(draws))))
-            .withColumn("_h", F.md5(F.concat(F.col(out).cast("string"), F.lit("|"), key.cast("string")))))
+    return rows.withColumn(out, F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_h", draw_hash(F.col(out), key))
+
+
+def resampled(rows: DataFrame, numbered: DataFrame, unit: str, values: list[str], draws: int, most: int = 2_000_000) -> DataFrame:
+    """(draw, values, w): how often a draw holds each combination of values, when whole units are drawn with replacement.
+
+    ``numbered`` numbers the units from 0 (``i``); the i-th pick of a draw follows from a hash of both. A task makes whole
+    draws and looks its picks up, so what leaves it is bounded by draws x combinations, not by picks. Up to ``most`` rows are
+    looked up in a broadcast table, more in a join.
+    """
+    held = rows.join(numbered, unit).select("i", *values)
+    n = max(numbered.count(), 1)
+    every = rows.sparkSession.range(0, draws * n, 1, min(draws, 256)).select(F.expr(f"id div {n} + 1").alias("draw"), (F.col("id") % n).alias("_at"))
+    at = F.conv(F.substring(draw_hash(F.col("draw"), F.col("_at")), 1, 8), 16, 10).cast("bigint") % n
+    pick = every.select("draw", F.coalesce(at, F.lit(0).cast("bigint")).alias("i"))              # never null, so the hash is not copied into a filter
+    if rows.count() <= most:
+        return pick.join(F.broadcast(held), "i").groupBy("draw", *values).agg(F.count("*").alias("w"))
+    return pick.groupBy("draw", "i").agg(F.count("*").alias("_w")).join(held, "i").groupBy("draw", *values).agg(F.sum("_w").alias("w"))
 
 
 MERSENNE = (1 << 31) - 1

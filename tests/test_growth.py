@@ -58,3 +58,21 @@ def test_appendix_reads_and_shuffles_its_pages_once(spark):
     rows = pr.appendix_rows(pages, [("一、采购", "buy")], [("1、租入", "lease")], 2)
     assert plan(rows).count("Scan ExistingRDD") == 1 and "Join" not in plan(rows)
     assert sorted((r.page, r.n, r.section, r.short) for r in rows.collect()) == [(1, 1, "buy", "甲"), (2, 2, "buy", "乙")]
+
+
+def test_resampling_shuffles_no_picks(spark):
+    import hashlib
+    from collections import Counter
+    from faultline.operators import stats
+    rows = spark.createDataFrame([(f"S{u}", float(u % 3), bool(u % 2)) for u in range(7) for _ in range(2)], "code string, score double, y1 boolean")
+    numbered = spark.createDataFrame([(f"S{u}", u) for u in range(7)], "code string, i long")
+    want = Counter()
+    for draw in range(1, 41):
+        for at in range(7):
+            u = int(hashlib.md5(f"{draw}|{at}".encode()).hexdigest()[:8], 16) % 7
+            want[draw, float(u % 3), bool(u % 2)] += 2
+    for most in (100, 0):
+        got = stats.resampled(rows, numbered, "code", ["score", "y1"], 40, most)
+        assert {(r.draw, r.score, r.y1): r.w for r in got.collect()} == want
+    near = stats.resampled(rows, numbered, "code", ["score", "y1"], 40)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i#" not in near and "BroadcastHashJoin [i#" in near
