@@ -7,7 +7,7 @@ from faultline import rules
 from faultline.catalog import exposure as xp, graph as g, history as hi
 from faultline.catalog.quality import gold
 from faultline.catalog.registry import query
-from faultline.catalog.readings import finding_steps
+from faultline.catalog.readings import scored_steps
 from faultline.catalog.scoring import day, snapshot
 from faultline.catalog.shocks import FINISHED, shares
 from faultline.catalog.views import AS_OF, Views, add_view, cents
@@ -176,7 +176,7 @@ def company_checks(v: Views):
     c = F.col
     proxy = g.proxies(v).select("as_of", "group_id", "proxy_tier")
     effect = xp.company_effects(v).where("equity > 0").select("as_of", "code", F.round((F.coalesce("revenue_effect_yi", F.lit(0.0)) - c("cost_yi")) * 1e8 / c("equity"), 6).alias("to_equity"))
-    incoming = finding_steps(v).where("score > 0").groupBy("as_of", c("dst").alias("code")).agg(F.count("*").alias("n_in"))
+    incoming = scored_steps(v).groupBy("as_of", c("dst").alias("code")).agg(F.count("*").alias("n_in"))
     signal = hi.reports(v).select("as_of", "code", F.get(st.report_signals(c("np"), c("dn"), c("ocf")), F.lit(0)).alias("signal"))
     t = (snapshot(v).join(v.companies.select("code", "group_id"), "code").join(effect, ["as_of", "code"], "left").join(proxy, ["as_of", "group_id"], "left")
          .join(incoming, ["as_of", "code"], "left").join(signal, ["as_of", "code"], "left"))

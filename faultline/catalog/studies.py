@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from faultline import rules
 from faultline.catalog import graph as g
-from faultline.catalog.readings import reached
+from faultline.catalog.readings import on_the_way, scored_steps
 from faultline.catalog.registry import query
 from faultline.catalog.scoring import DAY, day, metrics, snapshot
 from faultline.catalog.views import AS_OF, Views, add_view, cents
@@ -128,7 +128,7 @@ add_view("exposed_panel", """SELECT p.as_of, p.code, p.peer_group, p.y1, EXISTS
 
 
 def exposed_panel(v: Views) -> DataFrame:
-    r = reached(g.findings(v).where("score >= 5")).withColumnRenamed("node", "code").withColumn("exposed", F.lit(True))
+    r = on_the_way(scored_steps(v).where("score >= 5")).withColumnRenamed("node", "code").withColumn("exposed", F.lit(True))
     return panel(v).join(r, ["as_of", "code"], "left").fillna(False, ["exposed"])
 
 

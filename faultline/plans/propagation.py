@@ -235,6 +235,58 @@ def _amount(steps: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.coalesce(s["amount_wan"], F.lit(0.0)))
 
 
+def _cut(paths: DataFrame) -> DataFrame:
+    """Paths with ``_last``, the number of steps up to the last listed company."""
+    last = F.coalesce(F.array_max(F.transform("steps", lambda s, i: F.when(s["dst_listed"], i + 1).otherwise(0))), F.lit(0))
+    ends = F.try_element_at("steps", F.lit(-1))["dst_listed"]                          # most paths end at a listed company
+    return paths.withColumn("_last", F.when(ends, F.size("steps")).otherwise(last))
+
+
+def _kept(cut: DataFrame) -> DataFrame:
+    """Paths that meet a listed company, with the steps up to the last one (``_head``) and their ``route``."""
+    names = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat(s["rule"], F.lit(":"), s["dst"])), ">")
+    kept = cut.where("_last > 0").withColumn("_whole", F.col("_last") == F.size("steps"))
+    kept = kept.withColumn("_head", F.when(F.col("_whole"), F.col("steps")).otherwise(F.slice("steps", 1, F.col("_last"))))
+    return kept.withColumn("route", F.when(F.col("_whole"), F.substring("key", 2, 1 << 30)).otherwise(names(F.col("_head"))))
+
+
+def _short() -> list[Column]:
+    """What decides between cut paths, as numbers and names."""
+    credit = F.col("shock") == "credit"
+    listed = F.filter("_head", lambda x: x["dst_listed"])
+    reach = F.aggregate(listed, F.lit(0.0), lambda a, x: a + lookup(x["dst_tier"], rules.REACH_TIER_WEIGHT, 0.0))
+    return [F.array_join(listed["dst"], ">").alias("listed_seq"), F.array_join(F.col("_head")["rule"], "+").alias("rules"),
+            # severity first, then credit before supply
+            (level_number(F.col("_head")[0]["severity"]) * 2 + credit.cast("int")).alias("_sev"), credit.alias("_credit"),
+            _amount(F.col("_head")).alias("_amount"), reach.alias("_reach")]
+
+
+def _best() -> list[Column]:
+    sides = [F.max(F.when(F.col("_credit"), F.col("_amount"))).alias("_a1"), F.max(F.when(~F.col("_credit"), F.col("_amount"))).alias("_a0")]
+    return [F.max("_sev").alias("_sev"), F.max("_reach").alias("_reach"), *sides]
+
+
+def _scores() -> tuple[Column, Column, Column]:
+    """Of the best rows of a route: whether it is a credit path, its amount, its score."""
+    first = F.col("_sev") % 2 == 1
+    amount_yi = F.when(first, F.col("_a1")).otherwise(F.col("_a0")) / 1e4
+    return first, amount_yi, F.round(F.floor(F.col("_sev") / 2) * (1 + F.log10(1 + amount_yi)) * F.col("_reach"), 2)
+
+
+def scored_routes(paths: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seed, listed_seq, rules, route, score): the findings of ``summarize`` with a score above 0, without their steps.
+
+    Scenarios and paths that reach no weak or medium listed company score 0 and lose to any other, so they are left out
+    before rows are shuffled, once, by seed and listed companies.
+    """
+    kept = _kept(_cut(paths)).where(~F.exists("_head", lambda x: x["rule"] == "R4"))
+    group = [*by, "seed", "listed_seq"]
+    rows = kept.select(*by, "seed", "route", *_short()).where("_reach > 0").repartition(*group)
+    per = rows.groupBy(*group, "rules", "route").agg(*_best()).withColumn("score", _scores()[2]).where("score > 0")
+    best = F.min(F.struct((-F.col("score")).alias("_s"), "rules", "route", "score")).alias("_b")
+    return per.groupBy(*group).agg(best).select(*group, "_b.rules", "_b.route", "_b.score")
+
+
 def summarize(paths: DataFrame, by: list[str], ranked: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ranked findings and local reach.
 
@@ -244,32 +296,19 @@ def summarize(paths: DataFrame, by: list[str], ranked: bool = False) -> tuple[Da
     All this is decided on short rows of numbers and names. The steps of a cut path follow from its seed, shock and route,
     so they meet the findings once, at the end. ``ranked`` adds ``rank``, the position of ``with_rank``.
     """
-    last = F.coalesce(F.array_max(F.transform("steps", lambda s, i: F.when(s["dst_listed"], i + 1).otherwise(0))), F.lit(0))
-    ends = F.try_element_at("steps", F.lit(-1))["dst_listed"]                          # most paths end at a listed company
-    cut = paths.withColumn("_last", F.when(ends, F.size("steps")).otherwise(last))
-    names = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat(s["rule"], F.lit(":"), s["dst"])), ">")
-    kept = cut.where("_last > 0").withColumn("_whole", F.col("_last") == F.size("steps"))
-    kept = kept.withColumn("_head", F.when(F.col("_whole"), F.col("steps")).otherwise(F.slice("steps", 1, F.col("_last"))))
-    kept = kept.withColumn("route", F.when(F.col("_whole"), F.substring("key", 2, 1 << 30)).otherwise(names(F.col("_head"))))
-    keyed, credit = [*by, "seed", "route"], F.col("shock") == "credit"
-    listed = F.filter("_head", lambda x: x["dst_listed"])
-    reach = F.aggregate(listed, F.lit(0.0), lambda a, x: a + lookup(x["dst_tier"], rules.REACH_TIER_WEIGHT, 0.0))
+    cut = _cut(paths)
+    kept = _kept(cut)
+    keyed = [*by, "seed", "route"]
     short = kept.select(
-        *keyed, F.array_join(listed["dst"], ">").alias("listed_seq"), F.array_join(F.col("_head")["rule"], "+").alias("rules"),
-        # severity first, then credit before supply
-        (level_number(F.col("_head")[0]["severity"]) * 2 + credit.cast("int")).alias("_sev"), credit.alias("_credit"),
-        _amount(F.col("_head")).alias("_amount"), reach.alias("_reach"),
+        *keyed, *_short(),
         F.get("steps", F.col("_last"))["amount_wan"].alias("_beyond"), F.slice("steps", F.col("_last") + 1, rules.MAX_HOPS)["dst"].alias("_far"))
     # distinct far nodes are counted on rows, not in one collected set; a path's amount counts on its first row
     keyed = [*keyed, "listed_seq", "rules"]
     rows = short.select("*", F.posexplode_outer("_far").alias("_i", "_n")).drop("_far").repartition(*by, "seed", "route")
     most = lambda c: F.max(c).alias(c)
-    sides = [F.max(F.when(F.col("_credit"), F.col("_amount"))).alias("_a1"), F.max(F.when(~F.col("_credit"), F.col("_amount"))).alias("_a0")]
-    per = rows.groupBy(*keyed, "_n").agg(most("_sev"), most("_reach"), *sides, F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.coalesce("_beyond", F.lit(0.0))).otherwise(0.0)).alias("_b"))
+    per = rows.groupBy(*keyed, "_n").agg(*_best(), F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.coalesce("_beyond", F.lit(0.0))).otherwise(0.0)).alias("_b"))
     s = per.groupBy(*keyed).agg(most("_sev"), most("_reach"), most("_a1"), most("_a0"), F.round(F.sum("_b"), 4).alias("beyond_amount_wan"), F.count("_n").alias("beyond"))
-    first = F.col("_sev") % 2 == 1
-    amount_yi = F.when(first, F.col("_a1")).otherwise(F.col("_a0")) / 1e4
-    full = F.round(F.floor(F.col("_sev") / 2) * (1 + F.log10(1 + amount_yi)) * F.col("_reach"), 2)
+    first, amount_yi, full = _scores()
     s = (s.withColumn("shock", F.when(first, "credit").otherwise("supply")).withColumn("amount_yi", F.round(amount_yi, 6)).withColumn("_full", full)
          .withColumn("scenario", F.array_contains(F.split("rules", r"\+"), "R4"))
          .withColumn("score", F.when(F.col("scenario"), 0.0).otherwise(F.col("_full")))

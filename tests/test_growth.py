@@ -76,3 +76,33 @@ def test_resampling_shuffles_no_picks(spark):
         assert {(r.draw, r.score, r.y1): r.w for r in got.collect()} == want
     near = stats.resampled(rows, numbered, "code", ["score", "y1"], 40)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(i#" not in near and "BroadcastHashJoin [i#" in near
+
+
+def test_scored_routes_carry_no_steps_and_agree_with_the_findings(spark):
+    from faultline.catalog import graph as g, readings
+    from faultline.catalog.views import Views
+    from faultline.plans import propagation as pg
+    v = Views(spark, "/root/testdata/sf0.001")
+    short = pg.scored_routes(g.paths(v), ["as_of"])
+    exchanges = [x for x in short._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert len(exchanges) == 1 and "Join" not in plan(short)
+    key = ["as_of", "seed", "listed_seq", "rules", "route", "score"]
+    assert sorted(map(tuple, short.select(*key).collect())) == sorted(map(tuple, g.findings(v).where("score > 0").select(*key).collect()))
+    whole = readings.finding_steps(v).where("score > 0").select("as_of", "seed", "dst", "dst_listed").collect()
+    assert sorted(map(tuple, readings.scored_steps(v).select("as_of", "seed", "dst", "dst_listed").collect())) == sorted(map(tuple, whole))
+
+
+def test_relations_shuffle_the_lines_once(spark):
+    from faultline.catalog.views import Views
+    made = plan(Views(spark, "/root/testdata/sf0.001").edges)
+    assert made.count("FileScan") == 1 and "Join" not in made
+
+
+def test_companys_brands_are_told_apart_only_where_tracked(spark):
+    from faultline.catalog import exposure as xp
+    from faultline.catalog.views import Views
+    v = Views(spark, "/root/testdata/sf0.001")
+    some, key = [xp.OUT, xp.IN1], ["as_of", "code", "symbol", "share"]
+    assert {r.symbol for r in xp.brand_asof(v, some).select("symbol").distinct().collect()} <= {*some, "OTHER"}
+    pick = lambda t: sorted(map(tuple, t.where(xp.F.col("symbol").isin(*some)).select(*key).collect()))
+    assert pick(xp.brand_asof(v, some)) == pick(xp.brand_asof(v))
