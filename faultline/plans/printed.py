@@ -13,6 +13,7 @@ from faultline.functions.text import squeeze
 
 NUM = r"-?[\d,]+(?:\.\d+)?"
 CHUNK = 4096                           # lines of a block
+PARTY_LINES = 39                       # lines after a title that may belong to its table of parties
 
 
 def numbered_lines(pages: DataFrame) -> DataFrame:
@@ -120,33 +121,41 @@ def named_parties(pages: DataFrame) -> DataFrame:
     A name wrapped over lines without numbers is carried down to the next numbers; anonymous names are dropped; a row met
     twice under one title counts once.
     """
-    lines = numbered_lines(pages)
-    line, flat = F.trim(F.col("line")), F.col("flat")
-    heads = lines.where(line.rlike(rules.PARTY_TITLE) & (F.length(line) <= 60) & ~(line.contains("占") & line.contains("比例") & ~line.contains("表"))).select(
-        "doc", F.col("n").alias("head"), "page", line.alias("title"))
-    body = stretch(lines, heads, 1, 39, "body")
-    near = stretch(lines, heads, 0, 3, "near").select("doc", "head", F.when(F.array_join(F.col("near")["line"], " ").contains("亿元"), "亿元").otherwise("万元").alias("unit"))
     amount = r"(?<![\d.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+)(?![\d.])"
-
-    def read(state: Column, x: Column) -> Column:
-        s = F.trim(x["line"])
-        skip = (s == "") | s.rlike(r"^\d{1,4}$")
-        stop = state["done"] | (~skip & (s.rlike(r"^合\s*计") | (s.rlike(rules.PARTY_TITLE) & (F.size(state["rows"]) > 0))))
+    # a page sees as many lines of the pages behind it as a table may run on, so no line is shuffled for a title or joined to it
+    t = pages.select("doc", "page", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim).alias("l"))
+    w = W.partitionBy("doc").orderBy("page")
+    t = t.select("doc", "page", "l", F.coalesce(F.sum(F.size("l")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"),
+                 F.flatten(F.collect_list(F.slice("l", 1, PARTY_LINES)).over(w.rowsBetween(1, PARTY_LINES))).alias("after"))
+    is_title = lambda x: x.rlike(rules.PARTY_TITLE) & (F.length(x) <= 60) & ~(x.contains("占") & x.contains("比例") & ~x.contains("表"))
+    titles = F.filter(F.transform("l", lambda x, i: F.when(is_title(x), F.struct(i.alias("i"), x.alias("title")))), lambda h: h.isNotNull())
+    t = t.withColumn("h", F.explode(titles)).select("doc", "page", (F.col("at") + F.col("h.i")).alias("head"), "h.title", F.slice(
+        F.concat(F.slice("l", F.col("h.i") + 2, F.lit(PARTY_LINES)), F.slice("after", 1, PARTY_LINES)), 1, PARTY_LINES).alias("body"))
+    unit = F.when(F.array_join(F.concat(F.array("title"), F.slice("body", 1, 3)), " ").contains("亿元"), "亿元").otherwise("万元")
+    total = F.array_position(F.transform("body", lambda s: s.rlike(r"^合\s*计")), True).cast("int")
+    t = t.withColumn("unit", unit).withColumn("body", F.when(total > 0, F.slice("body", F.lit(1), total)).otherwise(F.col("body")))
+
+    def parsed(s: Column) -> Column:
+        """What a line says, worked out once."""
         parts = F.filter(F.split(F.regexp_replace(s, r"\s{2,}", "|"), r"\|"), lambda p: F.trim(p).rlike(r"^[一-龥A-Za-z（）()·&\s]{4,}$") & ~p.rlike(rules.PARTY_COLUMN_WORDS))
-        nums = F.regexp_extract_all(s, F.lit(amount), F.lit(1))
-        name = F.regexp_replace(F.trim(F.concat(state["carry"], F.array_join(F.filter(parts, lambda p: ~p.rlike(rules.PARTY_ROW_WORDS)), ""))), r"^\d+\s*", "")
         related = first_match([(s.rlike(r"(?<!非)关联方|\s是(\s|$)"), F.lit("是")), (s.rlike(r"非关联|第三方|\s否(\s|$)"), F.lit("否"))], F.lit(""))
+        return F.struct(((s == "") | s.rlike(r"^\d{1,4}$")).alias("skip"), s.rlike(r"^合\s*计").alias("total"), s.rlike(rules.PARTY_TITLE).alias("title"), parts.alias("parts"),
+                        F.get(F.regexp_extract_all(s, F.lit(amount), F.lit(1)), F.lit(0)).alias("amount"), related.alias("related"))
+
+    def read(state: Column, x: Column) -> Column:
+        stop = state["done"] | (~x["skip"] & (x["total"] | (x["title"] & (F.size(state["rows"]) > 0))))
+        name = F.regexp_replace(F.trim(F.concat(state["carry"], F.array_join(F.filter(x["parts"], lambda p: ~p.rlike(rules.PARTY_ROW_WORDS)), ""))), r"^\d+\s*", "")
         keep = (F.length(name) >= 4) & ~name.rlike(rules.ANONYMOUS_PARTY)
-        item = F.struct(name.alias("counterparty"), F.replace(nums[0], F.lit(","), F.lit("")).alias("amount"), related.alias("related"))
-        idle, numbers = stop | skip, F.size(nums) > 0
+        item = F.struct(name.alias("counterparty"), F.replace(x["amount"], F.lit(","), F.lit("")).alias("amount"), x["related"].alias("related"))
+        idle, numbers = stop | x["skip"], x["amount"].isNotNull()
         return F.struct(stop.alias("done"),
-                        F.when(idle, state["carry"]).when(numbers, "").otherwise(F.concat(state["carry"], F.array_join(parts, ""))).alias("carry"),
+                        F.when(idle, state["carry"]).when(numbers, "").otherwise(F.concat(state["carry"], F.array_join(x["parts"], ""))).alias("carry"),
                         F.when(~idle & numbers & keep, F.array_append(state["rows"], item)).otherwise(state["rows"]).alias("rows"))
 
     start = F.struct(F.lit(False).alias("done"), F.lit("").alias("carry"), F.expr("cast(array() as array<struct<counterparty:string,amount:string,related:string>>)").alias("rows"))
     kind = first_match([(F.col("title").contains(w), F.lit(k)) for w, k in rules.PARTY_TABLES], F.lit("other"))
-    rows = (body.select("doc", "head", F.posexplode(F.aggregate("body", start, read, lambda s: s["rows"])).alias("k", "r")).join(heads, ["doc", "head"]).join(near, ["doc", "head"])
-            .select("doc", "head", "k", "page", "title", kind.alias("kind"), "unit", "r.*"))
+    found = F.aggregate(F.transform("body", parsed), start, read, lambda s: s["rows"])
+    rows = t.select("doc", "head", "page", "title", kind.alias("kind"), "unit", F.posexplode(found).alias("k", "r")).select("doc", "head", "k", "page", "title", "kind", "unit", "r.*")
     first = F.min_by(F.struct("page", "kind", "unit", "related"), F.struct("head", "k")).alias("b")
     return rows.groupBy("doc", "title", "counterparty", "amount").agg(first).select(
         "doc", "b.page", "title", "b.kind", "b.unit", "counterparty", F.col("amount").cast("double").alias("amount"), "b.related")

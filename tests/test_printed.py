@@ -72,3 +72,11 @@ def test_appendix_headers_are_carried_and_totals_reconciled(spark, chunk):
     assert sorted((r.name, r.estimate) for r in known.collect()) == [("甲公司", 3.0), ("甲公司", 1000.0)]
     stated = spark.createDataFrame([(0, "buy", 1002.5), (0, "sell", 3.0), (0, "lease", 1.0)], "doc int, section string, stated double")
     assert {(r.section, r.difference, r.agrees) for r in pr.reconciled(known, stated).collect()} == {("buy", -2.5, False), ("sell", 0.0, True), ("lease", -1.0, False)}
+
+
+def test_named_parties_join_no_lines_and_run_on_over_pages(spark):
+    head, rest = "2023年前五名客户情况\n甲方钢铁", ["有限公司   1.50   是", "", "乙方钢铁有限公司   2.50   否\n合 计\n丙方钢铁有限公司   3.50"]
+    found = pr.named_parties(pages(spark, [head, *rest], [head, *[""] * 37, rest[0]], [head, *[""] * 38, rest[0]]))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Join" not in plan
+    assert sorted((r.doc, r.page, r.counterparty, r.amount) for r in found.collect()) == [(0, 1, "乙方钢铁有限公司", 2.5), (0, 1, "甲方钢铁有限公司", 1.5), (1, 1, "甲方钢铁有限公司", 1.5)]
