@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from faultline import rules
 from faultline.functions.scalars import evidence, first_match, level_name, level_number, lookup, tier_of
 from faultline.operators.ordering import text_bucket, with_row_number
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, sorted_joins
 
 STEP = ["rule", "src", "dst", "severity", "dst_tier", "decision", "basis", "evidence", "amount_wan", "dst_listed"]
 
@@ -52,8 +52,8 @@ def typed_steps(edges: DataFrame, by: list[str]) -> DataFrame:
             .when(trade, F.array(way("R2", "supply", "src_id", "dst_id"), way("R2", "credit", "dst_id", "src_id"))))
     proof = evidence(F.col("source_doc"), F.col("source_page"), F.col("evidence_text"))
     rows = edges.select(*by, F.explode(ways).alias("w"), "amount_wan", proof.alias("evidence"), "basis")
-    return (rows.groupBy(*by, F.col("w.src").alias("src"), F.col("w.shock").alias("shock"), F.col("w.dst").alias("dst"),
-                         F.col("w.rule").alias("rule"))
+    return (rows.groupBy(F.col("w.src").alias("src"), F.col("w.dst").alias("dst"), *by, F.col("w.shock").alias("shock"),
+                         F.col("w.rule").alias("rule"))                    # a node first: rows are sorted by their leading key
             .agg(F.sum("amount_wan").alias("amount_wan"), F.count("*").alias("rows"),
                  F.max(F.struct(F.coalesce("amount_wan", F.lit(-1.0)).alias("a"), "evidence", "basis")).alias("_top"))
             .select(*by, "src", "shock", "dst", "rule", F.round("amount_wan", 4).alias("amount_wan"), "rows",
@@ -98,8 +98,8 @@ def _options(frontier: DataFrame, steps: DataFrame, nodes: DataFrame, links: Dat
     here = frontier.select(*by, "node", "shock").distinct()
     info = nodes.select(*by, F.col("node").alias("dst"), F.coalesce("tier", F.lit("unknown")).alias("dst_tier"),
                         F.col("equity").alias("dst_equity"), F.col("listed").alias("dst_listed"), "group_id", "industry")
-    direct = (steps.withColumnRenamed("src", "node").join(here, [*by, "node", "shock"], "left_semi")
-              .join(info.drop("group_id", "industry"), [*by, "dst"], "left")
+    direct = (steps.withColumnRenamed("src", "node").join(here, ["node", "shock", *by], "left_semi")
+              .join(info.drop("group_id", "industry"), ["dst", *by], "left")
               .select(*by, "node", "shock", "dst", "rule", "amount_wan", "basis", "evidence", "dst_tier", "dst_equity", "dst_listed"))
     mine = here.join(nodes.select(*by, "node", "group_id", "industry"), [*by, "node"])
     group = (mine.where("shock = 'credit' and group_id is not null")
@@ -132,36 +132,45 @@ def start(seeds: DataFrame, by: list[str]) -> DataFrame:
                                "decision:string,basis:string,evidence:string,amount_wan:double,dst_listed:boolean>>)").alias("steps"))
 
 
-def grown_by(frontier: DataFrame, opts: DataFrame, by: list[str], how: str) -> DataFrame:
-    """Branches one step longer; ``how`` = "left" keeps branches without an option, with a null dst."""
+def _joined(frontier: DataFrame, opts: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Branches beside each of their next steps, with what is decided about it."""
     o, f = opts.alias("o"), frontier.alias("f")
     cond = ((F.col("o.node") == F.col("f.node")) & (F.col("o.shock") == F.col("f.shock"))
             & ~F.array_contains("f.visited", F.col("o.dst")) & ~((F.col("o.rule") == "R3") & F.col("f.grouped")))
     for b in by:
         cond = cond & (F.col(f"o.{b}") == F.col(f"f.{b}"))
-    grown = f.join(o, cond, how).select(
-        "f.*", *[F.col(f"o.{c}").alias(c) for c in ("dst", "rule", "amount_wan", "basis", "evidence", "dst_tier",
-                                                     "dst_equity", "dst_listed")])
+    grown = f.join(o, cond, how).select("f.*", *[F.col(f"o.{c}").alias(c) for c in opts.columns if c not in (*by, "node", "shock")])
     weak = F.col("dst_tier") == "weak"
     decision = first_match([((F.col("rule") != "R4") & ~material(), F.lit("immaterial")), (F.col("dst_tier") == "strong", F.lit("absorbed")),
                             (~weak & (F.col("level") == 1), F.lit("end")), (~weak, F.lit("weakened"))], F.lit("continue"))
-    step = F.struct("rule", F.col("node").alias("src"), "dst", level_name(F.col("level")).alias("severity"), "dst_tier",
-                    "decision", "basis", "evidence", "amount_wan", "dst_listed")
     moved = F.col("dst").isNotNull()
     return (grown.withColumn("decision", F.when(moved, decision))
-            .withColumn("steps", F.when(moved, F.array_append("steps", step)).otherwise(F.col("steps")))
             .withColumn("key", F.when(moved, F.concat("key", F.lit(">"), "rule", F.lit(":"), "dst")).otherwise(F.col("key"))))
 
 
+def grown_by(frontier: DataFrame, opts: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Branches one step longer; ``how`` = "left" keeps branches without an option, with a null dst."""
+    step = F.struct("rule", F.col("node").alias("src"), "dst", level_name(F.col("level")).alias("severity"), "dst_tier",
+                    "decision", "basis", "evidence", "amount_wan", "dst_listed")
+    return _joined(frontier, opts, by, how).withColumn("steps", F.when(F.col("dst").isNotNull(), F.array_append("steps", step)).otherwise(F.col("steps")))
+
+
+def _ended(last: bool) -> Column:
+    return F.col("dst").isNull() | F.col("decision").isin("immaterial", "absorbed", "end") | (F.col("rule") == "R4") | F.lit(last)
+
+
+def _onward(*carried: str) -> list:
+    """The columns of the next frontier: what the last step changes, and what is carried as it is."""
+    weak = F.col("dst_tier") == "weak"
+    return ["seed", "shock", F.col("dst").alias("node"), F.when(weak, F.col("level")).otherwise(F.col("level") - 1).alias("level"),
+            F.array_append("visited", F.col("dst")).alias("visited"), "key", (F.col("grouped") | (F.col("rule") == "R3")).alias("grouped"), *carried]
+
+
 def divided(grown: DataFrame, by: list[str], last: bool) -> tuple[DataFrame, DataFrame]:
     """Finished branches, and the frontier of the next hop."""
-    weak = F.col("dst_tier") == "weak"
-    stop = (F.col("dst").isNull() | F.col("decision").isin("immaterial", "absorbed", "end") | (F.col("rule") == "R4") | F.lit(last))
+    stop = _ended(last)
     done = grown.where(stop & (F.size("steps") > 0)).select(*by, "seed", "shock", "key", "steps")
-    frontier = grown.where(~stop).select(
-        *by, "seed", "shock", F.col("dst").alias("node"), F.when(weak, F.col("level")).otherwise(F.col("level") - 1).alias("level"),
-        F.array_append("visited", F.col("dst")).alias("visited"), "key", (F.col("grouped") | (F.col("rule") == "R3")).alias("grouped"), "steps")
-    return done, frontier
+    return done, grown.where(~stop).select(*by, *_onward("steps"))
 
 
 def enumerate_paths(seeds: DataFrame, steps: DataFrame, nodes: DataFrame, by: list[str], links: DataFrame | None = None,
@@ -172,7 +181,7 @@ def enumerate_paths(seeds: DataFrame, steps: DataFrame, nodes: DataFrame, by: li
     list that receives the branches that were open before each hop, for ``new_paths``.
     """
     frontier = start(cut_lineage(seeds), by)
-    steps, nodes = cut_lineage(steps), cut_lineage(nodes)        # read by every hop
+    steps, nodes = sorted_joins(cut_lineage(steps)), sorted_joins(cut_lineage(nodes))        # read by every hop
     finished = None
     for hop in range(1, max_hops + 1):
         if frontiers is not None:
@@ -180,7 +189,7 @@ def enumerate_paths(seeds: DataFrame, steps: DataFrame, nodes: DataFrame, by: li
         # a branch without an option stays, with a null dst
         grown = grown_by(frontier, _options(frontier, steps, nodes, links, by), by, "left")
         if hop < max_hops:
-            grown = cut_lineage(grown)
+            grown = sorted_joins(cut_lineage(grown))
         done, frontier = divided(grown, by, hop == max_hops)
         finished = done if finished is None else finished.unionByName(done)
     return finished
@@ -273,18 +282,64 @@ def _scores() -> tuple[Column, Column, Column]:
     return first, amount_yi, F.round(F.floor(F.col("_sev") / 2) * (1 + F.log10(1 + amount_yi)) * F.col("_reach"), 2)
 
 
-def scored_routes(paths: DataFrame, by: list[str]) -> DataFrame:
-    """(by, seed, listed_seq, rules, route, score): the findings of ``summarize`` with a score above 0, without their steps.
+def cut_routes(paths: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seed, route, listed_seq, rules and the numbers that make a score): paths cut after their last listed company."""
+    return _kept(_cut(paths)).select(*by, "seed", "route", *_short())
+
+
+def listed_routes(seeds: DataFrame, steps: DataFrame, nodes: DataFrame, by: list[str], links: DataFrame | None = None,
+                  max_hops: int = rules.MAX_HOPS) -> DataFrame:
+    """``cut_routes`` of ``enumerate_paths``, searched without building paths.
 
-    Scenarios and paths that reach no weak or medium listed company score 0 and lose to any other, so they are left out
-    before rows are shuffled, once, by seed and listed companies.
+    A branch carries the route, rules, amount and reach up to its last listed company as plain columns and moves them on when
+    it meets the next one, so no array of steps is written, read or folded. ``steps`` and ``nodes`` are written tables.
     """
-    kept = _kept(_cut(paths)).where(~F.exists("_head", lambda x: x["rule"] == "R4"))
-    group = [*by, "seed", "listed_seq"]
-    rows = kept.select(*by, "seed", "route", *_short()).where("_reach > 0").repartition(*group)
-    per = rows.groupBy(*group, "rules", "route").agg(*_best()).withColumn("score", _scores()[2]).where("score > 0")
+    text, number, weight = F.lit(""), F.lit(0.0), lookup(F.col("dst_tier"), rules.REACH_TIER_WEIGHT, 0.0)
+    frontier = start(cut_lineage(seeds), by).drop("steps").select(
+        "*", (F.col("level") * 2 + (F.col("shock") == "credit").cast("int")).alias("_sev"), text.alias("_way"), number.alias("_sum"),
+        text.alias("route"), text.alias("rules"), text.alias("listed_seq"), number.alias("_amount"), number.alias("_reach"))
+    carried = ["_sev", "_way", "_sum", "route", "rules", "listed_seq", "_amount", "_reach"]
+    met, finished = F.col("dst").isNotNull() & F.col("dst_listed"), None
+    for hop in range(1, max_hops + 1):
+        grown = _joined(frontier, _options(frontier, steps, nodes, links, by).drop("basis", "evidence"), by, "left")
+        grown = (grown.withColumns({"_way": F.when(F.col("dst").isNotNull(), F.concat("_way", F.lit("+"), "rule")).otherwise(F.col("_way")),
+                                    "_sum": F.col("_sum") + F.coalesce("amount_wan", F.lit(0.0))})
+                 .withColumns({"listed_seq": F.when(met, F.concat("listed_seq", F.lit(">"), "dst")).otherwise(F.col("listed_seq")),
+                               "_reach": F.when(met, F.col("_reach") + weight).otherwise(F.col("_reach")),
+                               **{to: F.when(met, F.col(c)).otherwise(F.col(to)) for to, c in (("route", "key"), ("rules", "_way"), ("_amount", "_sum"))}})
+                 .select(*by, "seed", "shock", "node", "level", "visited", "key", "grouped", *carried, "dst", "rule", "dst_tier", "decision"))
+        if hop < max_hops:
+            grown = sorted_joins(cut_lineage(grown))
+        done = grown.where(_ended(hop == max_hops) & (F.col("listed_seq") != "")).select(
+            *by, "seed", *[F.substring(c, 2, 1 << 30).alias(c) for c in ("route", "listed_seq", "rules")], "_sev",
+            (F.col("shock") == "credit").alias("_credit"), "_amount", "_reach")
+        finished = done if finished is None else finished.unionByName(done)
+        frontier = grown.where(~_ended(False)).select(*by, *_onward(*carried))
+    return finished
+
+
+def best_routes(routes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seed, listed_seq, rules, route, score): the findings of ``summarize`` of cut routes, without their steps; rows are
+    shuffled once, by seed and listed companies."""
+    group = ["seed", "listed_seq", *by]                     # rows are sorted by their leading key
+    per = routes.repartition(*group).groupBy(*group, "rules", "route").agg(*_best())
+    per = per.withColumn("score", F.when(_scenario(), 0.0).otherwise(_scores()[2]))
     best = F.min(F.struct((-F.col("score")).alias("_s"), "rules", "route", "score")).alias("_b")
-    return per.groupBy(*group).agg(best).select(*group, "_b.rules", "_b.route", "_b.score")
+    return per.groupBy(*group).agg(best).select(*by, "seed", "listed_seq", "_b.rules", "_b.route", "_b.score")
+
+
+def _scenario() -> Column:
+    return F.array_contains(F.split("rules", r"\+"), "R4")
+
+
+def scoring(routes: DataFrame) -> DataFrame:
+    """Scenarios and routes that reach no weak or medium listed company score 0 and lose to any other."""
+    return routes.where(~_scenario() & (F.col("_reach") > 0))
+
+
+def scored_routes(paths: DataFrame, by: list[str]) -> DataFrame:
+    """``best_routes`` with a score above 0, of paths at hand; what scores 0 is left out before rows are shuffled."""
+    return best_routes(scoring(cut_routes(paths, by)), by).where("score > 0")
 
 
 def summarize(paths: DataFrame, by: list[str], ranked: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -310,7 +365,7 @@ def summarize(paths: DataFrame, by: list[str], ranked: bool = False) -> tuple[Da
     s = per.groupBy(*keyed).agg(most("_sev"), most("_reach"), most("_a1"), most("_a0"), F.round(F.sum("_b"), 4).alias("beyond_amount_wan"), F.count("_n").alias("beyond"))
     first, amount_yi, full = _scores()
     s = (s.withColumn("shock", F.when(first, "credit").otherwise("supply")).withColumn("amount_yi", F.round(amount_yi, 6)).withColumn("_full", full)
-         .withColumn("scenario", F.array_contains(F.split("rules", r"\+"), "R4"))
+         .withColumn("scenario", _scenario())
          .withColumn("score", F.when(F.col("scenario"), 0.0).otherwise(F.col("_full")))
          .withColumn("scenario_score", F.when(F.col("scenario"), F.col("_full"))).withColumnRenamed("_reach", "listed_reach"))
     group = [*by, "seed", "listed_seq"]

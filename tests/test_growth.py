@@ -106,3 +106,32 @@ def test_companys_brands_are_told_apart_only_where_tracked(spark):
     assert {r.symbol for r in xp.brand_asof(v, some).select("symbol").distinct().collect()} <= {*some, "OTHER"}
     pick = lambda t: sorted(map(tuple, t.where(xp.F.col("symbol").isin(*some)).select(*key).collect()))
     assert pick(xp.brand_asof(v, some)) == pick(xp.brand_asof(v))
+
+
+def test_routes_are_searched_without_paths(spark):
+    from faultline.catalog import graph as g
+    from faultline.catalog.views import Views
+    from faultline.plans import propagation as pg
+    v = Views(spark, "/root/testdata/sf0.001")
+    light, whole = g.listed_routes(v), pg.cut_routes(g.paths(v), g.BY)
+    assert "steps" not in plan(light) and "evidence" not in plan(light)
+    key = ["as_of", "seed", "route", "listed_seq", "rules", "_sev", "_credit", "_amount", "_reach"]
+    assert sorted(map(tuple, light.select(*key).collect())) == sorted(map(tuple, whole.select(*key).collect()))
+    found = {tuple(r) for r in g.findings(v).select("as_of", "seed", "listed_seq", "rules", "route", "score").collect()}
+    assert {tuple(r) for r in pg.best_routes(light, g.BY).collect()} == found
+
+
+def test_flow_sides_shuffle_routes_twice_and_round_as_the_sql(spark, monkeypatch):
+    from faultline.catalog import QUERIES, graph
+    day = dt.date(1999, 11, 30)
+    rows = [(day, "A", "R2:B", "B", "R2", 5, True, 0.0, 10.0), (day, "A", "R1:C>R2:B>R3:D", "B>D", "R1+R2+R3", 5, True, 0.0, 4.055),
+            (day, "E", "R2:A", "A", "R2", 5, True, 0.0, 1.0), (day, "A", "R2:C>R2:B", "B", "R2+R2", 5, True, 0.0, 10.0), (day, "A", "R4:F", "F", "R4", 5, True, 0.0, 3.0)]
+    routes = spark.createDataFrame(rows, "as_of date, seed string, route string, listed_seq string, rules string, _sev int, _credit boolean, _amount double, _reach double")
+    monkeypatch.setattr(graph, "listed_routes", lambda v: routes)
+    sides = QUERIES["flow_sides"].run(spark, "")
+    made = sides._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in made and len([x for x in made.splitlines() if "Exchange hashpartitioning" in x]) == 2
+    got = {(r.focus, r.side, r.far): (r.score, r.via, r.strength) for r in sides.collect()}
+    assert got["A", "right", "B"] == (20.0, "", 1.0) and got["A", "right", "D"] == (8.11, "C,B", 0.406) and got["D", "left", "A"] == (8.11, "C,B", 1.0)
+    assert got["A", "right", "F"] == (0.0, "", 0.05) and got["B", "left", "A"] == (20.0, "", 1.0) and got["B", "right", "D"][1] == "" and got["B", "left", "A"][1] == ""
+    assert len(got) == 11
