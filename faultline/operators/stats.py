@@ -173,7 +173,8 @@ def permutation_p(strata: DataFrame, stratum: list[str], draws: int) -> DataFram
     prob = F.exp(ln_choose(F.col("k"), F.col("x")) + ln_choose(F.col("n") - F.col("k"), F.col("e") - F.col("x")) - ln_choose(F.col("n"), F.col("e")))
     cdf = _running(support.withColumn("_p", prob), stratum, "x", "_p")
     key = F.concat_ws("|", *[F.col(s).cast("string") for s in stratum])
-    u = with_draws(strata.select(*stratum, "n", "e", "k"), draws, key).withColumn("u", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12)))
+    # strata are few, their draws and values are not: neither side is to be sent whole
+    u = with_draws(strata.select(*stratum, "n", "e", "k"), draws, key).hint("merge").withColumn("u", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12)))
     # a value owns the stretch of [0, 1) between its predecessor's sum and its own; stretches meet the draws on equal cells
     top = F.when(F.col("x") == F.col("_hi"), F.lit(2.0)).otherwise(F.col("cdf"))
     cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS)).cast("int")

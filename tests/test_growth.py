@@ -135,3 +135,16 @@ def test_flow_sides_shuffle_routes_twice_and_round_as_the_sql(spark, monkeypatch
     assert got["A", "right", "B"] == (20.0, "", 1.0) and got["A", "right", "D"] == (8.11, "C,B", 0.406) and got["D", "left", "A"] == (8.11, "C,B", 1.0)
     assert got["A", "right", "F"] == (0.0, "", 0.05) and got["B", "left", "A"] == (20.0, "", 1.0) and got["B", "right", "D"][1] == "" and got["B", "left", "A"][1] == ""
     assert len(got) == 11
+
+
+def test_growing_tables_are_not_sent_whole_on_the_guess_of_their_packed_size(spark):
+    from faultline.catalog.views import Views
+    from faultline.operators import stats
+    from faultline.operators.asof import interval_join
+    v = Views(spark, "/root/testdata/sf0.001")
+    spans = v.stored("spans_of_a_test", lambda v: spark.range(100).selectExpr("concat('S', id) AS code", "date'1997-05-01' AS lo", "date'1998-04-30' AS hi"))
+    hit = plan(interval_join(spans, v.signals.select(v.signals["entity_id"].alias("code"), "date"), ["code"], "lo", "hi", "date"))
+    assert "SortMergeJoin" in hit and "Broadcast" not in hit
+    strata = spark.sql("SELECT * FROM VALUES ('a', 40L, 10L, 12L, 3L, 0D), ('b', 30L, 8L, 9L, 4L, 1.6D) AS t(g, n, e, k, x, stat)")
+    drawn = plan(stats.permutation_p(strata, ["g"], 50))
+    assert [x for x in drawn.splitlines() if "SortMergeJoin" in x and "_cell" in x] and not [x for x in drawn.splitlines() if "BroadcastHashJoin" in x and "_cell" in x]
